@@ -5,6 +5,7 @@ Two-digit years are read as 2000-2099.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -12,13 +13,30 @@ from pyspark.sql import functions as F
 
 # Day zero of workbook serial numbers and the text layouts met in landed data.
 SERIAL_DAY_ZERO = "1899-12-30"
-DAY_FIRST_FORMATS = ("dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "d-M-yyyy", "dd/MM/yy")
-ISO_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d/M/yy")
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
+
+
+def _shape(fmt: str) -> str:
+    """Regular expression of the texts a layout can read."""
+    widths = {"yyyy": "{4}", "yy": "{2}", "MM": "{2}", "dd": "{2}", "M": "{1,2}", "d": "{1,2}"}
+    widths |= {"HH": "{2}", "mm": "{2}", "ss": "{2}"}
+    parts = re.findall(r"yyyy|yy|MM|dd|HH|mm|ss|M|d|.", fmt)
+    return "^" + "".join(rf"\d{widths[p]}" if p in widths else re.escape(p) for p in parts) + "$"
 
 
 def parse(col: Column, fmt: str) -> Column:
-    """Date in one layout, null when the text does not fit."""
-    return F.try_to_date(col, fmt)
+    """Date in one layout, null when the text does not fit.
+
+    Text of another shape is told apart by a pattern first: a failing parse costs an
+    exception per row, which dominates when several layouts are tried in turn.
+    """
+    return F.when(col.rlike(_shape(fmt)), F.try_to_date(col, fmt))
+
+
+def parse_iso(col: Column) -> Column:
+    """``yyyy-MM-dd``, with or without a valid time of day behind it."""
+    return F.when(col.rlike(ISO_SHAPE), F.substring(col, 1, 10).try_cast("date"))
 
 
 def parse_any(col: Column, formats: Sequence[str]) -> Column:
@@ -27,7 +45,8 @@ def parse_any(col: Column, formats: Sequence[str]) -> Column:
 
 
 def parse_day_first(col: Column) -> Column:
-    return parse_any(F.trim(col), DAY_FIRST_FORMATS + ISO_FORMATS)
+    trimmed = F.trim(col)
+    return F.coalesce(*(parse(trimmed, fmt) for fmt in DAY_FIRST_FORMATS), parse_iso(trimmed))
 
 
 def from_serial(col: Column) -> Column:

@@ -16,8 +16,7 @@ DAYS_IN_YEAR = 365
 
 def to_number(col: Column) -> Column:
     """Number or null; NaN text counts as missing, since the model has no NaN."""
-    value = col.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def placeholder_to_zero(col: Column, marker: str = "s/o") -> Column:

@@ -1,7 +1,8 @@
 """Rows out of rendered HTML pages.
 
-Clean markup is read with regular expressions inside the JVM. ``parsed_tables`` is for
-markup with missing end tags: the standard library's parser in Arrow batches.
+Markup is read with patterns inside the JVM; missing end tags do no harm. Pages where tags
+stand in comments or scripts need ``parsed_tables``: the standard library's parser in Arrow
+batches.
 """
 
 from __future__ import annotations
@@ -49,12 +50,13 @@ def table_rows(
 ) -> DataFrame:
     """Rows of the tables with a class and/or with all given header texts.
 
-    Output: ``keep``, table, line, cells ARRAY<STRING> (header lines left out).
+    Output: ``keep``, table, line, cells ARRAY<STRING> (header lines left out). End tags
+    of cells and lines may be missing.
     """
     tables = pages.select(
         *keep,
         F.posexplode(
-            F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>.*?</table>"), F.lit(0))
+            F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>.*?(?:</table>|$)"), F.lit(0))
         ).alias("table", "_table"),
     )
     if css_class:
@@ -69,18 +71,28 @@ def table_rows(
         )
         wanted = F.array(*(F.lit(h) for h in headers))
         tables = tables.filter(F.size(F.array_except(wanted, heads)) == 0)
-    lines = tables.select(
-        *keep,
-        "table",
-        F.posexplode(
-            F.regexp_extract_all("_table", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-        ).alias("line", "_line"),
-    )
-    cells = F.transform(
-        F.regexp_extract_all("_line", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)),
-        inner_text,
+    # Lines and cells are cut in one nested expression below a single generator: filters
+    # on cells stay above it, and every pattern runs once.
+    line_texts = _after(F.col("_table"), "tr")
+    lines = F.transform(
+        line_texts, lambda line: F.transform(_after(_until(line, "tr|table"), "td"), _cell_text)
     )
-    return lines.select(*keep, "table", "line", cells.alias("cells")).filter(F.size("cells") > 0)
+    found = tables.select(*keep, "table", F.posexplode(lines).alias("line", "cells"))
+    return found.filter(F.size("cells") > 0)
+
+
+def _after(col: Column, tag: str) -> Column:
+    """Pieces of markup, each starting right behind one opening tag."""
+    return F.slice(F.split(col, rf"(?i)<{tag}\b[^>]*>"), F.lit(2), F.lit(2**30))
+
+
+def _until(col: Column, tags: str) -> Column:
+    """Markup in front of the first end tag; a missing end tag leaves it whole."""
+    return F.regexp_replace(col, rf"(?is)</(?:{tags})\b.*$", "")
+
+
+def _cell_text(col: Column) -> Column:
+    return inner_text(_until(col, "td|tr|table"))
 
 
 class _TableReader(HTMLParser):
@@ -123,7 +135,7 @@ class _TableReader(HTMLParser):
 
 
 def parsed_tables(pages: DataFrame, html: str, key: str) -> DataFrame:
-    """Like ``table_rows`` for markup that leaves out end tags (``key``: page id)."""
+    """Rows of all tables, read by a real parser (``key``: page id)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

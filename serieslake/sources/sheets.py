@@ -34,13 +34,11 @@ def column_index(letters: str) -> int:
 
 def _iso_or_serial(cell: Column) -> Column:
     """A date cell lands as ISO text or as its serial number."""
-    return F.coalesce(
-        dates.parse_any(cell, dates.ISO_FORMATS), dates.from_serial(numbers.to_number(cell))
-    )
+    return F.coalesce(dates.parse_iso(cell), dates.from_serial(numbers.to_number(cell)))
 
 
 DATE_READERS: dict[str, Callable[[Column], Column]] = {
-    "iso": lambda cell: dates.parse_any(cell, dates.ISO_FORMATS),
+    "iso": dates.parse_iso,
     "iso_or_serial": _iso_or_serial,
     "dd/MM/yyyy": lambda cell: dates.parse(cell, "dd/MM/yyyy"),
     "yyyyMMdd": lambda cell: dates.parse(text.strip_float_tail(cell), "yyyyMMdd"),
@@ -239,11 +237,19 @@ def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFra
         *(F.when(F.col("date_reader") == name, DATE_READERS[name](date_cell)) for name in readers)
     )
     present = F.forall("required_pos", lambda pos: F.get("cells", pos).isNotNull())
-    cell = F.get("cells", F.col("item.pos"))
-    marker = F.col("item.marker")
+    # Cells are picked before the explode, so only the picked one travels with each record.
+    picked = F.transform(
+        "items",
+        lambda item: F.struct(
+            item["series_id"].alias("series_id"),
+            item["marker"].alias("marker"),
+            F.get("cells", item["pos"]).alias("cell"),
+        ),
+    )
     value = F.when(
-        marker.isNotNull() & (cell.isNull() | (cell == marker)), F.lit(0.0)
-    ).otherwise(numbers.to_number(cell))
+        F.col("marker").isNotNull() & (F.col("cell").isNull() | (F.col("cell") == F.col("marker"))),
+        F.lit(0.0),
+    ).otherwise(numbers.to_number(F.col("cell")))
     return (
         rows.join(blocks, "sheet")
         .filter((F.col("row") >= F.col("first_row")) & present)
@@ -252,10 +258,8 @@ def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFra
             "table",
             obs_date.alias("obs_date"),
             F.get("cells", F.col("freq_pos")).alias("freq"),
-            "cells",
-            "items",
+            F.inline(picked),
         )
         .filter("obs_date is not null")
-        .select("workbook", "table", "obs_date", "freq", "cells", F.explode("items").alias("item"))
-        .select("workbook", "table", "item.series_id", "obs_date", "freq", value.alias("value"))
+        .select("workbook", "table", "series_id", "obs_date", "freq", value.alias("value"))
     )

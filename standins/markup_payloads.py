@@ -134,17 +134,28 @@ FROM orders
 
 
 def s3_unclosed_tables(spark, folder):
-    """Markup without end tags, read with the standard library's parser."""
+    """Markup without end tags of cells and lines."""
+    pages = _unclosed_pages(spark, folder)
+    return _two_cells(markup.table_rows(pages, "html", ["c_custkey"]))
+
+
+def s3_parsed_tables(spark, folder):
+    """The same pages through the standard library's parser."""
+    return _two_cells(markup.parsed_tables(_unclosed_pages(spark, folder), "html", "c_custkey"))
+
+
+def _unclosed_pages(spark, folder) -> DataFrame:
     rows = [
-        _td(F.col("o_orderstatus"), F.lit("a &lt; b"), end=""),
-        _td(F.col("o_orderpriority"), F.col("o_custkey").cast("string"), end=""),
+        _td(F.col("c_name"), F.lit("a &lt; b"), end=""),
+        _td(F.col("c_mktsegment"), F.col("c_nationkey").cast("string"), end=""),
     ]
-    pages = table(spark, folder, "orders").select(
-        "o_orderkey", _page(rows, "plain", ["uno", "dos"], row_end="").alias("html")
-    )
-    found = markup.parsed_tables(pages, "html", "o_orderkey")
-    return found.select(
-        "o_orderkey",
+    page = _page(rows, "plain", ["uno", "dos"], row_end="")
+    return table(spark, folder, "customer").select("c_custkey", page.alias("html"))
+
+
+def _two_cells(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        "c_custkey",
         "table",
         "line",
         F.get("cells", F.lit(0)).alias("uno"),
@@ -153,10 +164,10 @@ def s3_unclosed_tables(spark, folder):
 
 
 S3_UNCLOSED_SQL = """
-SELECT o_orderkey, CAST(0 AS INTEGER) AS "table", CAST(0 AS INTEGER) AS line, 'decoy' AS uno,
-       NULL::VARCHAR AS dos FROM orders
-UNION ALL SELECT o_orderkey, 1, 1, o_orderstatus, 'a < b' FROM orders
-UNION ALL SELECT o_orderkey, 1, 2, o_orderpriority, CAST(o_custkey AS VARCHAR) FROM orders
+SELECT c_custkey, CAST(0 AS INTEGER) AS "table", CAST(0 AS INTEGER) AS line, 'decoy' AS uno,
+       NULL::VARCHAR AS dos FROM customer
+UNION ALL SELECT c_custkey, 1, 1, c_name, 'a < b' FROM customer
+UNION ALL SELECT c_custkey, 1, 2, c_mktsegment, CAST(c_nationkey AS VARCHAR) FROM customer
 """
 
 # --- payloads -------------------------------------------------------------------------------------
@@ -353,6 +364,7 @@ QUERIES = {
     "s3_html_items": (s3_html_items, S3_ITEMS_SQL),
     "s3_html_tables": (s3_html_tables, S3_TABLES_SQL),
     "s3_unclosed_tables": (s3_unclosed_tables, S3_UNCLOSED_SQL),
+    "s3_parsed_tables": (s3_parsed_tables, S3_UNCLOSED_SQL),
     "q6_livestock": (q6_livestock, Q6_SQL),
     "s4_json_records": (s4_json_records, S4_SQL),
     "q1_spot_payloads": (q1_spot_payloads, Q1_SQL),

@@ -422,8 +422,9 @@ def q14_param_loads(spark, folder):
     )
     start = F.when(key % 3 == 1, sheets.column_index("EP")).otherwise(0)
     second = F.when(key % 3 == 0, 3).when(key % 3 == 1, sheets.column_index("EQ")).otherwise(3)
+    last = F.when(key % 3 == 0, 11).when(key % 3 == 1, width - 1).otherwise(34)
     cells = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
+        F.sequence(F.lit(0), last),
         lambda i: F.when(i == start, day)
         .when((i == second) & (key % 10 == 0), None)
         .otherwise((whole("o_totalprice") + i).cast("string")),
