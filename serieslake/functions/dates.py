@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Day zero of workbook serial numbers and the text layouts met in landed data.
 SERIAL_DAY_ZERO = "1899-12-30"
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d/M/yy")
-ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}( ([01]\d|2[0-3]):[0-5]\d:[0-5]\d)?$"
+TIME_TAIL = r" ([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
 
 
 def _shape(fmt: str) -> str:
@@ -36,7 +36,11 @@ def parse(col: Column, fmt: str) -> Column:
 
 def parse_iso(col: Column) -> Column:
     """``yyyy-MM-dd``, with or without a valid time of day behind it."""
-    return F.when(col.rlike(ISO_SHAPE), F.substring(col, 1, 10).try_cast("date"))
+    dashed = (F.substring(col, 5, 1) == "-") & (F.substring(col, 8, 1) == "-")
+    day = F.substring(col, 1, 10).try_cast("date")
+    return F.when((F.length(col) == 10) & dashed, day).when(
+        (F.length(col) == 19) & dashed & col.rlike(TIME_TAIL), day
+    )
 
 
 def parse_any(col: Column, formats: Sequence[str]) -> Column:

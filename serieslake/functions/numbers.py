@@ -30,22 +30,22 @@ def scaled(col: Column, divisor: float) -> Column:
 
 def point_thousands(col: Column) -> Column:
     """``1.234,56`` -> 1234.56: dots group thousands, the comma is the decimal mark."""
-    return to_number(F.regexp_replace(text.remove(col, r"[$.\s]"), ",", "."))
+    return to_number(F.translate(col, ",$. ", "."))
 
 
 def comma_thousands(col: Column) -> Column:
     """``1,234.5`` -> 1234.5."""
-    return to_number(text.remove(col, ","))
+    return to_number(F.translate(col, ",", ""))
 
 
 def whole_number(col: Column) -> Column:
     """``1.234`` -> 1234: dots group thousands and there are no decimals."""
-    return to_number(text.remove(col, r"\."))
+    return to_number(F.translate(col, ".", ""))
 
 
 def implied_cents(col: Column) -> Column:
     """``$1.234,56`` -> 1234.56 by dropping every mark and dividing by 100."""
-    return scaled(text.remove(col, r"[$,.]"), 100)
+    return scaled(F.translate(col, "$,.", ""), 100)
 
 
 def digits_only(col: Column) -> Column:

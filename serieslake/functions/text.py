@@ -15,7 +15,7 @@ def strip(col: Column) -> Column:
 
 def strip_float_tail(col: Column) -> Column:
     """``20240110.0`` -> ``20240110``: one literal ``.0`` ending, nothing else."""
-    return F.regexp_replace(col, r"\.0$", "")
+    return F.when(col.endswith(".0"), F.substr(col, F.lit(1), F.length(col) - 2)).otherwise(col)
 
 
 def remove(col: Column, pattern: str) -> Column:

@@ -18,12 +18,20 @@ from pyspark.sql import functions as F
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&amp;": "&"}
 
 
-def inner_text(col: Column) -> Column:
-    """Text of a fragment: tags removed, entities decoded, outer blanks trimmed."""
-    out = F.regexp_replace(col, r"<[^>]*>", "")
+def inner_text(col: Column, up_to: str | None = None) -> Column:
+    """Text of a fragment: tags removed, entities decoded, outer blanks trimmed.
+
+    ``up_to`` names the end tags (as ``td|tr``) behind which everything is left out.
+    """
+    tags = r"<[^>]*>" if up_to is None else rf"(?is)</(?:{up_to})\b.*$|<[^>]*>"
+    out = F.regexp_replace(col, tags, "")
+    return F.trim(F.when(out.contains("&"), _decoded(out)).otherwise(out))
+
+
+def _decoded(col: Column) -> Column:
     for entity, character in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(character))
-    return F.trim(out)
+        col = F.replace(col, F.lit(entity), F.lit(character))
+    return col
 
 
 def repeated_items(
@@ -53,16 +61,11 @@ def table_rows(
     Output: ``keep``, table, line, cells ARRAY<STRING> (header lines left out). End tags
     of cells and lines may be missing.
     """
-    tables = pages.select(
-        *keep,
-        F.posexplode(
-            F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>.*?(?:</table>|$)"), F.lit(0))
-        ).alias("table", "_table"),
-    )
+    texts = _after(F.col(html), "table", keep_tag=True)
+    tables = pages.select(*keep, F.posexplode(texts).alias("table", "_table"))
     if css_class:
-        opening = F.regexp_extract("_table", r"(?i)^<table\b[^>]*>", 0)
         tables = tables.filter(
-            opening.rlike(rf"(?i)class\s*=\s*[\"'][^\"']*\b{css_class}\b")
+            F.col("_table").rlike(rf"(?i)^[^>]*class\s*=\s*[\"'][^\"']*\b{css_class}\b")
         )
     if headers:
         heads = F.transform(
@@ -73,26 +76,27 @@ def table_rows(
         tables = tables.filter(F.size(F.array_except(wanted, heads)) == 0)
     # Lines and cells are cut in one nested expression below a single generator: filters
     # on cells stay above it, and every pattern runs once.
-    line_texts = _after(F.col("_table"), "tr")
     lines = F.transform(
-        line_texts, lambda line: F.transform(_after(_until(line, "tr|table"), "td"), _cell_text)
+        _after(_until(F.col("_table"), "table"), "tr"),
+        lambda line: F.transform(_after(_until(line, "tr"), "td"), _cell_text),
     )
     found = tables.select(*keep, "table", F.posexplode(lines).alias("line", "cells"))
     return found.filter(F.size("cells") > 0)
 
 
-def _after(col: Column, tag: str) -> Column:
-    """Pieces of markup, each starting right behind one opening tag."""
-    return F.slice(F.split(col, rf"(?i)<{tag}\b[^>]*>"), F.lit(2), F.lit(2**30))
+def _after(col: Column, tag: str, keep_tag: bool = False) -> Column:
+    """Pieces of markup, each starting right behind one opening tag (or its name)."""
+    rest = "" if keep_tag else "[^>]*>"
+    return F.slice(F.split(col, rf"(?i)<{tag}\b{rest}"), F.lit(2), F.lit(2**30))
 
 
-def _until(col: Column, tags: str) -> Column:
+def _until(col: Column, tag: str) -> Column:
     """Markup in front of the first end tag; a missing end tag leaves it whole."""
-    return F.regexp_replace(col, rf"(?is)</(?:{tags})\b.*$", "")
+    return F.get(F.split(col, rf"(?i)</{tag}\b", 2), F.lit(0))
 
 
 def _cell_text(col: Column) -> Column:
-    return inner_text(_until(col, "td|tr|table"))
+    return inner_text(col, up_to="td|th|tr|table")
 
 
 class _TableReader(HTMLParser):

@@ -196,70 +196,83 @@ def until_blank(df: DataFrame, by: Sequence[str], order: str, key: Column) -> Da
     )
 
 
-BLOCK = (
-    "`table` string, sheet string, first_row bigint, date_pos int, date_reader string, "
-    "freq_pos int, required_pos array<int>, "
-    "items array<struct<series_id: string, pos: int, marker: string>>"
+NO_DATE = "0001-01-01"
+PLACES = "sheet_no int, col int, block int, `table` string, series_id string, marker string"
+BLOCKS = (
+    "sheet string, sheet_no int, blocks array<struct<first_row: bigint, date_pos: int, date_reader: string, "
+    "freq_pos: int, required: array<int>>>"
 )
 
 
-def _block(layout: SheetRange) -> tuple:
-    columns = dict(layout.columns())
-    items = [
-        (name, pos, layout.zero_markers.get(name))
-        for name, pos in columns.items()
-        if name != layout.date_column and name not in layout.text_columns
-    ]
-    return (
-        layout.table,
-        layout.sheet,
-        layout.first_row,
-        columns[layout.date_column],
-        layout.date_reader,
-        columns.get("tipoSerie"),
-        [columns[name] for name in layout.required],
-        items,
-    )
+def _layout_tables(layouts: Sequence[SheetRange]) -> tuple[list[tuple], list[tuple]]:
+    """The layouts as records: the blocks of each sheet and the place of each series."""
+    blocks: dict[str, list[tuple]] = {}
+    numbers_of = {sheet: n for n, sheet in enumerate(sorted({one.sheet for one in layouts}))}
+    places = []
+    for one in layouts:
+        columns = dict(one.columns())
+        mine = blocks.setdefault(one.sheet, [])
+        for name, pos in columns.items():
+            if name != one.date_column and name not in one.text_columns:
+                marker = one.zero_markers.get(name)
+                places.append((numbers_of[one.sheet], pos, len(mine), one.table, name, marker))
+        required = [columns[name] for name in one.required]
+        date_pos = columns[one.date_column]
+        mine.append((one.first_row, date_pos, one.date_reader, columns.get("tipoSerie"), required))
+    return [(sheet, numbers_of[sheet], mine) for sheet, mine in blocks.items()], places
 
 
 def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFrame:
     """All ranges at once, in long form: one scan of the landing table, no shuffle.
 
-    The layouts themselves become a table of a few dozen records, joined to the rows by
-    sheet. Output: workbook, table, series_id, obs_date, freq, value; rows without a
-    date are left out.
+    The layouts become two tables of at most some hundred records: the blocks of a sheet
+    and the series of a column. Dates are read once per row and block, then the cells
+    are exploded and matched to their series. Output: workbook, table, series_id,
+    obs_date, freq, value; rows without a date are left out.
     """
     spark = rows.sparkSession
-    blocks = F.broadcast(spark.createDataFrame([_block(one) for one in layouts], BLOCK))
+    blocks, places = _layout_tables(layouts)
+    block_table = F.broadcast(spark.createDataFrame(blocks, BLOCKS))
+    place_table = F.broadcast(spark.createDataFrame(places, PLACES))
     readers = sorted({one.date_reader for one in layouts})
-    date_cell = F.get("cells", F.col("date_pos"))
-    obs_date = F.coalesce(
-        *(F.when(F.col("date_reader") == name, DATE_READERS[name](date_cell)) for name in readers)
+
+    def date_of(block: Column) -> Column:
+        cell = F.get("cells", block["date_pos"])
+        read = F.coalesce(
+            *(F.when(block["date_reader"] == name, DATE_READERS[name](cell)) for name in readers)
+        )
+        present = F.forall(block["required"], lambda pos: F.get("cells", pos).isNotNull())
+        return F.when((F.col("row") >= block["first_row"]) & present, read)
+
+    # Two steps: what shares a select with an explode is computed once per exploded record.
+    dated = rows.join(block_table, "sheet").select(
+        "workbook",
+        "sheet_no",
+        "cells",
+        F.transform("blocks", date_of).alias("_dates"),
+        F.transform("blocks", lambda block: F.get("cells", block["freq_pos"])).alias("_freqs"),
     )
-    present = F.forall("required_pos", lambda pos: F.get("cells", pos).isNotNull())
-    # Cells are picked before the explode, so only the picked one travels with each record.
-    picked = F.transform(
-        "items",
-        lambda item: F.struct(
-            item["series_id"].alias("series_id"),
-            item["marker"].alias("marker"),
-            F.get("cells", item["pos"]).alias("cell"),
-        ),
+    exploded = dated.select(
+        "workbook", "sheet_no", "_dates", "_freqs", F.posexplode("cells").alias("col", "_cell")
+    )
+    cell, marker = F.col("_cell"), F.col("marker")
+    value = F.when(marker.isNotNull() & (cell.isNull() | (cell == marker)), F.lit(0.0)).otherwise(
+        numbers.to_number(cell)
     )
-    value = F.when(
-        F.col("marker").isNotNull() & (F.col("cell").isNull() | (F.col("cell") == F.col("marker"))),
-        F.lit(0.0),
-    ).otherwise(numbers.to_number(F.col("cell")))
+    obs_date = F.get("_dates", F.col("block"))
+    no_date = F.lit(NO_DATE).cast("date")
+    # ``coalesce`` keeps the optimizer from inferring "_dates is not null" and pushing that
+    # below the explode, where all dates would be read a second time.
+    dated_only = F.coalesce(obs_date, no_date) != no_date
     return (
-        rows.join(blocks, "sheet")
-        .filter((F.col("row") >= F.col("first_row")) & present)
+        exploded.join(place_table, ["sheet_no", "col"])
+        .filter(dated_only)
         .select(
             "workbook",
             "table",
+            "series_id",
             obs_date.alias("obs_date"),
-            F.get("cells", F.col("freq_pos")).alias("freq"),
-            F.inline(picked),
+            F.get("_freqs", F.col("block")).alias("freq"),
+            value.alias("value"),
         )
-        .filter("obs_date is not null")
-        .select("workbook", "table", "series_id", "obs_date", "freq", value.alias("value"))
     )
