@@ -65,6 +65,26 @@ def price_index(cells: DataFrame) -> DataFrame:
     return varied.select("workbook", "date", *names, *(layouts.variation_name(n) for n in names))
 
 
+def price_observations(cells: DataFrame) -> DataFrame:
+    """Levels and variations in long form, without a 126-column intermediate.
+
+    Item rows meet the date heading of their column, then one scan per series.
+    """
+    spark = cells.sparkSession
+    names = list(zip(layouts.PRICE_ROWS[1:], layouts.price_columns()))
+    items = F.broadcast(spark.createDataFrame(names, "row bigint, series_id string"))
+    block = cells.filter(F.col("sheet") == layouts.PRICE_SHEET)
+    months = block.filter(F.col("row") == layouts.PRICE_FIRST_ROW).select(
+        "workbook", "col", sheets.DATE_READERS["iso_or_serial"](F.col("value")).alias("obs_date")
+    )
+    levels = block.join(items, "row").select(
+        "workbook", "col", "series_id", numbers.to_number(F.col("value")).alias("level")
+    )
+    dated = levels.join(months, ["workbook", "col"]).filter(F.col("obs_date").isNotNull())
+    varied = price_variations(dated, ["workbook", "series_id"], "obs_date", "level")
+    return varied.select("workbook", "series_id", "obs_date", "level", "variation")
+
+
 def price_variations(levels: DataFrame, by: Sequence[str], date: str, value: str) -> DataFrame:
     """Monthly variation in long form: one column, however many series there are."""
     return series.changes(levels, by, [date], {"variation": value})

@@ -138,39 +138,40 @@ FROM customer GROUP BY 1
 # --- price index -----------------------------------------------------------------------------
 
 
-def q3_price_index(spark, folder):
-    """A price workbook per order status: 126 item rows, a column per month.
-
-    Shown in long form: level and variation of every item and month.
-    """
-    names = layouts.price_columns()
+def _price_cells(spark, folder) -> DataFrame:
+    """A price workbook per order status: 126 item rows, a column per month."""
+    items = len(layouts.price_columns())
     totals = (
         table(spark, folder, "orders")
         .groupBy(
             F.col("o_orderstatus").alias("workbook"),
             F.trunc("o_orderdate", "month").alias("month"),
-            (F.col("o_custkey") % len(names)).cast("int").alias("item"),
+            (F.col("o_custkey") % items).cast("int").alias("item"),
         )
         .agg(F.sum(whole("o_totalprice")).alias("total"))
     )
     column = F.months_between("month", F.lit("1995-01-01").cast("date")).cast("int") + 1
-    # One expression gives both the item's cell and, from the first item met, the heading.
-    heading = F.struct(
-        F.lit(layouts.PRICE_FIRST_ROW).cast("long").alias("row"),
-        F.date_format("month", "yyyy-MM-dd").alias("value"),
-    )
-    rows_of_items = F.array(*(F.lit(r) for r in layouts.PRICE_ROWS[1:]))
-    level = F.struct(
-        F.get(rows_of_items, F.col("item")).cast("long").alias("row"),
-        F.col("total").cast("string").alias("value"),
-    )
-    note = F.struct(F.lit(17 + layouts.PRICE_FIRST_ROW).cast("long").alias("row"), F.lit("x").alias("value"))
-    cells = totals.select(
+    place = lambda df, row, value: df.select(
         "workbook",
         F.lit(layouts.PRICE_SHEET).alias("sheet"),
+        row.cast("long").alias("row"),
         column.alias("col"),
-        F.inline(F.array(heading, level, note)),
+        value.alias("value"),
+    )
+    rows_of_items = F.array(*(F.lit(r) for r in layouts.PRICE_ROWS[1:]))
+    levels = place(totals, F.get(rows_of_items, F.col("item")), F.col("total").cast("string"))
+    months = totals.groupBy("workbook", "month").agg(F.count(F.lit(1)).alias("n"))
+    headings = place(
+        months, F.lit(layouts.PRICE_FIRST_ROW), F.date_format("month", "yyyy-MM-dd")
     )
+    notes = place(months, F.lit(layouts.PRICE_FIRST_ROW + 17), F.lit("x"))
+    return levels.unionByName(headings).unionByName(notes)
+
+
+def q3_price_index(spark, folder):
+    """The wide price table, shown in long form: level and variation of every item."""
+    names = layouts.price_columns()
+    cells = _price_cells(spark, folder)
     wide = prices.price_index(cells)
     entry = lambda n: F.struct(
         F.lit(n).alias("series_id"),
@@ -199,6 +200,26 @@ SELECT workbook, date, series_id, level,
 FROM padded
 """
 
+
+
+def q3_price_observations(spark, folder):
+    """The same workbooks without the wide step; only the cells that exist."""
+    long = prices.price_observations(_price_cells(spark, folder))
+    return long.select(
+        "workbook", "series_id", "obs_date", "level", F.round("variation", 9).alias("variation")
+    )
+
+
+Q3_LONG_SQL = f"""
+WITH totals AS (
+  SELECT o_orderstatus AS workbook, CAST(date_trunc('month', o_orderdate) AS DATE) AS obs_date,
+    o_custkey % 126 AS item, CAST(sum({TOTAL}) AS DOUBLE) AS level FROM orders GROUP BY 1, 2, 3)
+SELECT workbook, [{_names}][item + 1] AS series_id, obs_date, level,
+  round(level / nullif(lag(level) OVER (PARTITION BY workbook, item ORDER BY obs_date), 0) - 1, 9)
+    AS variation
+FROM totals
+"""
+
 # --- activity index, real exchange rate, narrow series ----------------------------------------
 
 
@@ -568,6 +589,7 @@ QUERIES = {
     "f9_take_while": (f9_take_while, F9_SQL),
     "p7_transpose": (p7_transpose, P7_SQL),
     "q3_price_index": (q3_price_index, Q3_SQL),
+    "q3_price_observations": (q3_price_observations, Q3_LONG_SQL),
     "p6_ordinal_month": (q10_activity_index, Q10_SQL),
     "q18_real_exchange": (q18_real_exchange, Q18_SQL),
     "q18_until_blank": (q18_until_blank, Q18_BLANK_SQL),
