@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslake.functions import dates, numbers, text
@@ -106,17 +106,24 @@ def narrow_series(rows: DataFrame, layouts: Sequence[sheets.SheetRange]) -> Data
     """Two-column sheets (a date and a value) as observations, any number of them.
 
     Sheets of these workbooks carry no telling name, so the workbook says which series
-    it is: rows are matched on ``workbook = table``.
+    it is: rows are matched on ``workbook = table``, all in one scan.
     """
-    parts = [
-        sheets.read_rows(rows.filter(F.col("workbook") == one.table), one).select(
-            F.lit(one.table).alias("series_id"),
-            F.col("date").alias("obs_date"),
-            F.col(one.names[1]).alias("value"),
+
+    def cell(one: sheets.SheetRange, name: str) -> Column:
+        inside = (
+            (F.col("workbook") == one.table)
+            & (F.col("sheet") == one.sheet)
+            & (F.col("row") >= one.first_row)
         )
-        for one in layouts
-    ]
-    return filters.with_key(reshape.union_all(parts), "obs_date")
+        position = dict(one.columns())[name]
+        return F.when(inside, one.typed(name, F.get("cells", F.lit(position))))
+
+    found = rows.filter(F.col("workbook").isin([one.table for one in layouts])).select(
+        F.col("workbook").alias("series_id"),
+        F.coalesce(*(cell(one, "date") for one in layouts)).alias("obs_date"),
+        F.coalesce(*(cell(one, one.names[1]) for one in layouts)).alias("value"),
+    )
+    return filters.with_key(found, "obs_date")
 
 
 def rate_from_csv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from serieslake.functions import text
 from serieslake.operators import project
@@ -25,13 +26,24 @@ def page_gaps(pages: DataFrame, body: str) -> DataFrame:
 def trades(
     pages: DataFrame, body: str, run_date: str, schemas: Mapping[str, str]
 ) -> DataFrame:
-    """All pages of all endpoints, dated with the run date.
+    """All pages of all endpoints in one scan, dated with the run date.
 
     ``schemas`` gives the declared record fields per endpoint; a field one endpoint
-    lacks is null there.
+    lacks is null there. Pages are read once with the fields of all endpoints together.
     """
-    parts = [
-        records.record_array(pages.filter(F.col("endpoint") == name), body, record, ["endpoint"])
-        for name, record in schemas.items()
-    ]
-    return project.with_run_date(records.union_pages(parts), run_date)
+    fields: dict[str, str] = {}
+    owners: dict[str, list[str]] = {}
+    for endpoint, record in schemas.items():
+        for field in StructType.fromDDL(record):
+            kind = fields.setdefault(field.name, field.dataType.simpleString())
+            if kind != field.dataType.simpleString():
+                raise ValueError(f"field {field.name} has two types")
+            owners.setdefault(field.name, []).append(endpoint)
+    merged = ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
+    wanted = pages.filter(F.col("endpoint").isin(list(schemas)))
+    found = records.record_array(wanted, body, merged, ["endpoint"])
+    named = found.select(
+        "endpoint",
+        *(F.when(F.col("endpoint").isin(owners[f]), F.col(f)).alias(f) for f in fields),
+    )
+    return project.with_run_date(named, run_date)

@@ -199,7 +199,7 @@ def until_blank(df: DataFrame, by: Sequence[str], order: str, key: Column) -> Da
 NO_DATE = "0001-01-01"
 PLACES = "sheet_no int, col int, block int, `table` string, series_id string, marker string"
 BLOCKS = (
-    "sheet string, sheet_no int, blocks array<struct<first_row: bigint, date_pos: int, date_reader: string, "
+    "sheet string, sheet_no int, width int, blocks array<struct<first_row: bigint, date_pos: int, date_reader: string, "
     "freq_pos: int, required: array<int>>>"
 )
 
@@ -219,7 +219,10 @@ def _layout_tables(layouts: Sequence[SheetRange]) -> tuple[list[tuple], list[tup
         required = [columns[name] for name in one.required]
         date_pos = columns[one.date_column]
         mine.append((one.first_row, date_pos, one.date_reader, columns.get("tipoSerie"), required))
-    return [(sheet, numbers_of[sheet], mine) for sheet, mine in blocks.items()], places
+    width = {sheet: 0 for sheet in blocks}
+    for one in layouts:
+        width[one.sheet] = max(width[one.sheet], column_index(one.last_col) + 1)
+    return [(sheet, numbers_of[sheet], width[sheet], mine) for sheet, mine in blocks.items()], places
 
 
 def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFrame:
@@ -244,11 +247,15 @@ def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFra
         present = F.forall(block["required"], lambda pos: F.get("cells", pos).isNotNull())
         return F.when((F.col("row") >= block["first_row"]) & present, read)
 
+    missing = F.col("width") - F.size("cells")
     # Two steps: what shares a select with an explode is computed once per exploded record.
     dated = rows.join(block_table, "sheet").select(
         "workbook",
         "sheet_no",
-        "cells",
+        # Blank cells at the end of a row may be missing; they are null observations.
+        F.when(missing > 0, F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing)))
+        .otherwise(F.col("cells"))
+        .alias("cells"),
         F.transform("blocks", date_of).alias("_dates"),
         F.transform("blocks", lambda block: F.get("cells", block["freq_pos"])).alias("_freqs"),
     )

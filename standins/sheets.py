@@ -396,7 +396,8 @@ def _dashboard_rows(spark, folder) -> DataFrame:
     special[f"p{position}"] = placeholder.otherwise((whole("o_totalprice") + position).cast("string"))
     special[f"p{sheets.column_index('V')}"] = F.when(key % 4 != 0, iso_day())
     cells = cell_numbers(sheets.column_index("BE") + 1, **special)
-    return landed(table(spark, folder, "orders"), F.lit("panel"), F.lit("DATOS | DATA"), 0, cells)
+    sheet = F.when(key % 50 == 49, "OTRA").otherwise("DATOS | DATA")
+    return landed(table(spark, folder, "orders"), F.lit("panel"), sheet, 0, cells)
 
 
 def q12_dashboard_blocks(spark, folder):
@@ -410,11 +411,39 @@ SELECT "table", series_id, count(*) AS observations, count(*) AS present,
            THEN 0 ELSE {TOTAL} + pos END) AS DOUBLE) AS total,
   min({DAY}) AS first_date, max({DAY}) AS last_date
 FROM orders CROSS JOIN items
-WHERE o_orderkey >= 27 AND (o_orderkey % 4 <> 0 OR "table" <> 'infomond_liquidez_entidades')
+WHERE o_orderkey >= 27 AND o_orderkey % 50 <> 49
+  AND (o_orderkey % 4 <> 0 OR "table" <> 'infomond_liquidez_entidades')
 GROUP BY 1, 2
 """
 
 
+def s14_dashboard_constraints(spark, folder):
+    """Only the even orders' last cell is missing, so one series has nulls; dates repeat."""
+    rows = _dashboard_rows(spark, folder).withColumn(
+        "cells",
+        F.when(F.col("row") % 2 == 0, F.slice("cells", 1, sheets.column_index("BE"))).otherwise(
+            F.col("cells")
+        ),
+    )
+    return monetary.dashboard_constraints(rows)
+
+
+S14_DASHBOARD_SQL = f"""
+WITH items(g, "table", series_id, pos) AS (VALUES {_item_rows(layouts.DASHBOARD_BLOCKS)}),
+cells AS (
+  SELECT "table", series_id, {DAY} AS d, count(*) AS n,
+    count(*) FILTER (WHERE pos = 56 AND o_orderkey % 2 = 0) AS nulls
+  FROM orders CROSS JOIN items
+  WHERE o_orderkey >= 27 AND o_orderkey % 50 <> 49
+    AND (o_orderkey % 4 <> 0 OR "table" <> 'infomond_liquidez_entidades')
+  GROUP BY 1, 2, 3)
+SELECT "table" AS table_name, series_id, 'primary key (date)' AS constraint_name,
+  count(*) FILTER (WHERE n > 1) AS violations FROM cells GROUP BY 1, 2
+UNION ALL
+SELECT "table", series_id, 'not null', CAST(sum(nulls) AS BIGINT) FROM cells GROUP BY 1, 2
+"""
+
+
 def m2_placeholder_block(spark, folder):
     """The interest block as a wide table: null and the marker are 0, in that column only."""
     return monetary.dashboard_tables(_dashboard_rows(spark, folder))["infomond_tasa_interes"]
@@ -425,7 +454,7 @@ SELECT 'panel' AS workbook, {DAY} AS date,
   CAST(CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 0 ELSE {TOTAL} + 9 END AS DOUBLE)
     AS pase_pasivo,
   CAST({TOTAL} + 10 AS DOUBLE) AS pase_activo, CAST({TOTAL} + 11 AS DOUBLE) AS tasa
-FROM orders WHERE o_orderkey >= 27
+FROM orders WHERE o_orderkey >= 27 AND o_orderkey % 50 <> 49
 """
 
 _DEPOSITS = ("depUVA", "depTotalSectoresEntidadesNoInformantes", "depDM20TotalSectores")
@@ -597,6 +626,7 @@ QUERIES = {
     "q11_monetary_sheets": (q11_monetary_sheets, Q11_SQL),
     "q11_wide_table": (q11_wide_table, _q11_wide_sql()),
     "q12_dashboard_blocks": (q12_dashboard_blocks, Q12_SQL),
+    "s14_dashboard_constraints": (s14_dashboard_constraints, S14_DASHBOARD_SQL),
     "m2_placeholder_block": (m2_placeholder_block, M2_SQL),
     "q14_param_loads": (q14_param_loads, Q14_SQL),
     "q13_daily_balance": (q13_daily_balance, _q13_sql()),
