@@ -126,7 +126,7 @@ def w3_long_scan(spark, folder):
         bucket=F.date_trunc("hour", "ts"),
     )
     kept = scanned.select("event_type", "event_id", "filled", "before", "growth")
-    return rounded(kept, {"growth": 9})
+    return rounded(kept, {"growth": 6})
 
 
 W3_LONG_SQL = """
@@ -139,7 +139,7 @@ SELECT event_type, event_id,
   last_value(quote IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
   round(product(factor) OVER (PARTITION BY event_type ORDER BY ts, event_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS growth
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS growth
 FROM quotes
 """
 
