@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Day zero of workbook serial numbers and the text layouts met in landed data.
 SERIAL_DAY_ZERO = "1899-12-30"
+DAY_SECONDS = 86400
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d/M/yy")
 TIME_TAIL = r" ([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
 
@@ -65,11 +66,12 @@ def from_serial_or_text(col: Column) -> Column:
 
 
 def to_epoch_seconds(col: Column) -> Column:
-    return F.unix_seconds(col.cast("timestamp"))
+    return F.unix_date(col).cast("bigint") * DAY_SECONDS
 
 
 def from_epoch_seconds(col: Column) -> Column:
-    return F.timestamp_seconds(col).cast("date")
+    """Calendar day of an instant, in UTC whatever the session's zone."""
+    return from_epoch_days(F.floor(col / DAY_SECONDS))
 
 
 def from_epoch_days(col: Column) -> Column:

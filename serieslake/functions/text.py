@@ -22,11 +22,21 @@ def remove(col: Column, pattern: str) -> Column:
     return F.regexp_replace(col, pattern, "")
 
 
+SEPARATOR = "\x1f"  # unit separator: does not occur in text
+
+
 def extract_groups(col: Column, pattern: str, names: Sequence[str]) -> list[Column]:
-    """One column per capture group; no match gives null instead of ''."""
+    """One column per capture group of the first match; no match gives null.
+
+    The groups are rewritten into one separated text first, a subexpression all columns
+    share, so the pattern runs once per row instead of once per group.
+    """
+    joined = SEPARATOR.join(f"${i}" for i in range(1, len(names) + 1))
+    parts = F.split(F.regexp_replace(col, rf"(?s)^.*?{pattern}.*$", joined), SEPARATOR)
+    matched = F.size(parts) == len(names)
     return [
-        F.nullif(F.regexp_extract(col, pattern, i), F.lit("")).alias(name)
-        for i, name in enumerate(names, start=1)
+        F.when(matched, F.nullif(F.get(parts, F.lit(i)), F.lit(""))).alias(name)
+        for i, name in enumerate(names)
     ]
 
 

@@ -77,8 +77,7 @@ def table_rows(
     # Lines and cells are cut in one nested expression below a single generator: filters
     # on cells stay above it, and every pattern runs once.
     lines = F.transform(
-        _after(_until(F.col("_table"), "table"), "tr"),
-        lambda line: F.transform(_after(_until(line, "tr"), "td"), _cell_text),
+        _after(F.col("_table"), "tr"), lambda line: F.transform(_after(line, "td"), _cell_text)
     )
     found = tables.select(*keep, "table", F.posexplode(lines).alias("line", "cells"))
     return found.filter(F.size("cells") > 0)
@@ -90,13 +89,17 @@ def _after(col: Column, tag: str, keep_tag: bool = False) -> Column:
     return F.slice(F.split(col, rf"(?i)<{tag}\b{rest}"), F.lit(2), F.lit(2**30))
 
 
-def _until(col: Column, tag: str) -> Column:
-    """Markup in front of the first end tag; a missing end tag leaves it whole."""
-    return F.get(F.split(col, rf"(?i)</{tag}\b", 2), F.lit(0))
-
-
 def _cell_text(col: Column) -> Column:
-    return inner_text(col, up_to="td|th|tr|table")
+    """Text of a cell up to whichever end tag comes first.
+
+    Most cells hold no markup of their own: there the text is what stands before the
+    end tag, and no pattern is needed.
+    """
+    plain = F.substr(col, F.instr(col, "<"), F.lit(5)) == "</td>"
+    bare = F.substring_index(col, "<", 1)
+    return F.when(plain & ~bare.contains("&"), F.trim(bare)).otherwise(
+        inner_text(col, up_to="td|th|tr|table")
+    )
 
 
 class _TableReader(HTMLParser):

@@ -47,5 +47,5 @@ monthly AS (
 
 
 def whole(column: str):
-    """An amount as a whole number, so sums are exact in any order."""
-    return F.round(F.col(column), 0).cast("bigint")
+    """A positive amount as a whole number, so sums are exact in any order."""
+    return F.floor(F.col(column) + 0.5)

@@ -374,6 +374,28 @@ FROM trended t JOIN scaled s ON s.series_id = t.series_id AND s.moy = month(t.da
 """
 
 
+def x4_per_series(spark, folder):
+    """A routine from outside Spark: centred 12-month mean of each series."""
+
+    def smoothed(one):
+        mean = one["value"].rolling(13, center=True).mean()
+        return one.assign(smooth=mean)
+
+    found = series.per_series(
+        monthly(spark, folder), ["series_id"], "obs_date", smoothed, "smooth double"
+    )
+    present = F.nanvl("smooth", F.lit(None).cast("double"))
+    return rounded(found.withColumn("smooth", present), {"value": 2, "smooth": 2})
+
+
+X4_SQL = f"""
+WITH {MONTHLY_SQL}
+SELECT series_id, obs_date, round(value, 2) AS value,
+  round(CASE WHEN count(*) OVER w = 13 THEN avg(value) OVER w END, 2) AS smooth
+FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY obs_date
+                          ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)
+"""
+
 # --- consolidated rate ------------------------------------------------------------------------
 
 SPOT_OF = {"click": "CCL", "view": "CCL3", "purchase": "CCL2", "error": "CCL1", "signup": "MEP"}
@@ -474,6 +496,7 @@ QUERIES = {
     "q4_aggregates_yoy": (q4_aggregates_yoy, Q4_SQL),
     "q5_real_money": (q5_real_money, Q5_SQL),
     "w7_seasonal": (w7_seasonal, W7_SQL),
+    "x4_per_series": (x4_per_series, X4_SQL),
     "a5_consolidated": (a5_consolidated, A5_SQL),
     "f13_incremental": (f13_incremental, F13_SQL),
     "j5_scalar_newer": (j5_scalar_newer, J5_SQL),

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serieslake.functions import dates
 from serieslake.operators import load, series
 from serieslake.plans import exchange, ledger, monetary, prices
 from serieslake.session import scratch_path
@@ -195,7 +196,9 @@ def s15_get_table(spark, folder):
     (
         table(spark, folder, "events")
         .select(
-            F.unix_seconds(F.col("ts").cast("timestamp")).alias("date"),
+            (
+                dates.to_epoch_seconds(F.to_date("ts")) + F.hour("ts") * 3600 + F.minute("ts") * 60
+            ).alias("date"),
             "event_id",
             "value",
             F.when(F.col("event_type") == "click", "D").otherwise("M").alias("tipoSerie"),
