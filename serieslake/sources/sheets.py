@@ -8,7 +8,8 @@ Workbooks land in one of two shapes:
 ``row`` is the 1-based row of the sheet and ``col`` the 0-based column, both written
 by the landing job, so order is data and never recovered by sorting. Reading a range
 from ``rows`` is a projection without any shuffle; reading it from ``cells`` needs one
-shuffle on the row key, after a map-side merge.
+shuffle on the row key, after a map-side merge. Landing tables partitioned by ``sheet`` let a
+reader skip the other sheets.
 """
 
 from __future__ import annotations

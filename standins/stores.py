@@ -17,7 +17,7 @@ from serieslake.plans import exchange, ledger, monetary, prices
 from serieslake.session import scratch_path
 from serieslake.sources import delimited, tables
 from serieslake.streaming import stream_append_new
-from standins.common import DAILY_SQL, daily, table
+from standins.common import DAILY_SQL, daily, table, whole
 from standins.sheets import DAY, TOTAL, daily_balance_rows, ledger_rows
 
 
@@ -85,8 +85,14 @@ def s10_replace_slice(spark, folder):
         "workbook", "date", "tipoCambio"
     )
     monetary.store_daily_balance(balance, path, 1995)
-    restated = balance.filter("year(date) between 1999 and 2000").withColumn(
-        "tipoCambio", F.col("tipoCambio") + 1
+    restated = (
+        table(spark, folder, "orders")
+        .filter(F.year("o_orderdate").between(1999, 2000))
+        .select(
+            F.col("o_custkey").cast("string").alias("workbook"),
+            F.to_date("o_orderdate").alias("date"),
+            (whole("o_totalprice") + 35).cast("double").alias("tipoCambio"),
+        )
     )
     monetary.store_daily_balance(restated, path, 1999)
     monetary.store_daily_balance(restated, path, 1999)
