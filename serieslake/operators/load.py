@@ -24,9 +24,6 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StructField, Struc
 
 from serieslake.operators import filters, quality
 
-MODES = ("append", "append_new", "overwrite", "truncate_append", "replace_slice")
-
-
 @dataclass(frozen=True)
 class LoadResult:
     """What a load did; ``rows`` is counted while writing, not by a second pass."""
@@ -185,11 +182,20 @@ def insert_many(df: DataFrame, path: str, replace: bool = False) -> LoadResult:
     return overwrite(df, path) if replace else append(df, path)
 
 
+MODES = {
+    "append": append,
+    "append_new": append_new,
+    "overwrite": overwrite,
+    "truncate_append": truncate_append,
+    "replace_slice": replace_slice,
+}
+
+
 def load(df: DataFrame, path: str, mode: str, **options) -> LoadResult:
     """One entry point for every mode."""
     if mode not in MODES:
         raise ValueError(f"unknown load mode {mode!r}; one of {', '.join(MODES)}")
-    return globals()[mode](df, path, **options)
+    return MODES[mode](df, path, **options)
 
 
 def table_schema(df: DataFrame, date: str = "date", epoch: bool = False) -> StructType:

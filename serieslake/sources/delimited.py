@@ -12,6 +12,7 @@ def read(
     schema: StructType | str,
     sep: str = ",",
     header: bool = True,
+    **options: str,
 ) -> DataFrame:
     """Bad fields become null; the columns follow ``schema`` by position."""
     return (
@@ -20,5 +21,6 @@ def read(
         .option("header", header)
         .option("enforceSchema", True)
         .option("mode", "PERMISSIVE")
+        .options(**options)
         .csv(path)
     )

@@ -24,7 +24,7 @@ def record_array(
     record's text, so fields outside the declared schema are not lost.
     """
     if with_raw:
-        wrapped = f"array<string>" if field is None else f"struct<{field}:array<string>>"
+        wrapped = "array<string>" if field is None else f"struct<{field}:array<string>>"
     else:
         wrapped = (
             f"array<struct<{record}>>"

@@ -241,10 +241,8 @@ def s2_delimited(spark, folder):
         )
         .write.option("header", True).option("escape", '"').csv(path)
     )
-    return (
-        spark.read.schema("o_orderkey bigint, date date, monto double, nota string")
-        .option("header", True).option("escape", '"').csv(path)
-    )
+    schema = "o_orderkey bigint, date date, monto double, nota string"
+    return delimited.read(spark, path, schema, escape='"')
 
 
 S2_SQL = f"""
