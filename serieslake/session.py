@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -49,3 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/serieslake/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_serieslake_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="serieslake-code-")) / "serieslake.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for module in sorted(package.rglob("*.py")):
+            archive.write(module, Path(package.name) / module.relative_to(package))
+    context.addPyFile(str(target))  # the driver serves it to executors that join later, too
+    context._serieslake_shipped = True
