@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.llm import quality
+from serieslake.llm import decontaminate, line_dedup, ngram_join, quality
 from serieslake.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar(table(spark, folder, "documents")).drop("th")
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights, bias = quality.fit(documents, table(spark, folder, "labels"))
@@ -20,7 +28,14 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # name -> (query, SQL or None)
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, None),
+    "op7_ngram_jaccard_join": (op7_ngram_jaccard_join, None),
     "op9_quality": (op9_quality, None),
+    "op10_benchmark_leaks": (op10_benchmark_leaks, None),
 }
