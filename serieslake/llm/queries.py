@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.llm import decontaminate, line_dedup, ngram_join, quality
+from serieslake.llm import bpe, decontaminate, embedding_dedup, line_dedup, ngram_join, quality, token_counts, token_files
 from serieslake.llm.common import table
 
 
@@ -13,10 +13,27 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), ["doc_id"])
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, folder, "documents"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar(table(spark, folder, "documents")).drop("th")
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.checksums(token_files.write(table(spark, folder, "documents"), end_id=2))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     weights, bias = quality.fit(documents, table(spark, folder, "labels"))
@@ -35,7 +52,11 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 # name -> (query, SQL or None)
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, None),
+    "op2_embedding_near_dedup": (op2_embedding_near_dedup, None),
+    "op5_bpe": (op5_bpe, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_ngram_jaccard_join": (op7_ngram_jaccard_join, None),
+    "op8_token_files": (op8_token_files, None),
     "op9_quality": (op9_quality, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, None),
 }
