@@ -56,12 +56,36 @@ def with_columns_of_text(
     return df.select(*[F.col(f"`{c}`") for c in kept], text_of(text).alias("__text")).mapInArrow(mapped, schema)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
+    """(doc_id, text, label) of at most so many ids of class 0 and class 1, in one partition.
+
+    The ids with the least hash are taken. Null ids and labels, and ids labelled both ways, are left out.
+    """
+    ship(documents.sparkSession)
+    marked = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+        .groupBy("doc_id")
+        .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
+        .where("label = other")
+    )
+    zero, one = (
+        marked.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "label")
+        for value, most in enumerate(per_class)
+    )
+    ids = F.broadcast(zero.union(one))  # at most sum(per_class) rows
+    return documents.select("doc_id", text_of().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).repartition(1)
+
+
+def settle(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there.
+
+    ``kept`` tables outlast the next ``sweep``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _settled.append(path)
+    if not kept:
+        _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

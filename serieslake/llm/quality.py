@@ -21,15 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serieslake.llm import words
-from serieslake.llm.common import text_of, with_columns_of_text
-from serieslake.session import ship
+from serieslake.llm.common import labelled_sample, text_of, with_columns_of_text
+from serieslake.llm.ftrl import Ftrl
 
 BITS = 18  # weights per sort of n-gram: 2 ** BITS
 SORTS = 5
 PER_CLASS = 1500  # labelled texts of each class that a model is fitted on, at most
 EPOCHS = 4
 SCALE = 20.0
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -95,21 +94,17 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 value.append(SCALE * count / max(high[i] - low[i], 1))
             rows.append((np.concatenate(index), np.concatenate(value)))
     size = (SORTS << BITS) + 1
-    z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
+    model = Ftrl(size)
     labels = sample["label"].to_numpy(dtype=float)
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
             index, value = rows[k]
             index, value = np.append(index, size - 1), np.append(value, 1.0)
-            zi, ni = z[index], n[index]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            p = 1.0 / (1.0 + np.exp(-np.clip(wi @ value, -30, 30)))
-            g = (p - labels[k]) * value
-            z[index] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
-            n[index] = ni + g * g
-    keep = np.abs(z) > L1
-    w[keep] = -(z[keep] - np.sign(z[keep]) * L1) / ((BETA + np.sqrt(n[keep])) / ALPHA + L2)
+            w = model.at(index)
+            p = 1.0 / (1.0 + np.exp(-np.clip(w @ value, -30, 30)))
+            model.learn(index, w, (p - labels[k]) * value)
+    w = model.all()
     yield pd.DataFrame({"weights": [w.astype(np.float32).tobytes()]})
 
 
@@ -119,19 +114,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_cla
     The ids with the least hash are taken. Only the sample, bounded by ``per_class``, meets in one
     task, and only the weights reach the driver.
     """
-    ship(documents.sparkSession)
-    marked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
-        .groupBy("doc_id")
-        .agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other"))
-        .where("label = other")
-    )
-    chosen = [
-        marked.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", "label")
-        for value in (0, 1)
-    ]
-    ids = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows
-    sample = documents.select("doc_id", text_of().alias("text")).join(ids, "doc_id").repartition(1)
+    sample = labelled_sample(documents, labels.where(~held_out()), label, (per_class, per_class))
     found = sample.mapInPandas(_fit, "weights binary").first()
     w = np.frombuffer(found[0], np.float32).astype(np.float64) if found else np.zeros((SORTS << BITS) + 1)
     return w[:-1], float(w[-1])

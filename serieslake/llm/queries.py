@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.llm import bpe, decontaminate, embedding_dedup, line_dedup, ngram_join, quality, token_counts, token_files
+from serieslake.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, ngram_join, quality, token_counts, token_files, toxicity
 from serieslake.llm.common import table
 
 
@@ -17,6 +17,15 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"), ["page_id", "url"])
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.grade(documents, toxicity.fit(documents, table(spark, folder, "labels")), ["doc_id"])
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ["doc_id"])
 
@@ -53,6 +62,8 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, None),
     "op2_embedding_near_dedup": (op2_embedding_near_dedup, None),
+    "op3_html_text": (op3_html_text, None),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_bpe": (op5_bpe, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_ngram_jaccard_join": (op7_ngram_jaccard_join, None),
