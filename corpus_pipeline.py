@@ -1,17 +1,17 @@
 """The corpus pipeline: documents through the operators of the subpackage, stage by stage.
 
-Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; ``run`` writes
-every stage's result as Parquet and reads it back as the next stage's documents.
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one the
+token counts and digests per document. ``run`` writes every stage's result as Parquet and reads
+it back as the next stage's documents. Tables that a stage settled are removed once its
+result is stored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from serieslake.llm import quality
-from serieslake.llm.common import settle, table
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from serieslake.llm import bpe, decontaminate, line_dedup, ngram_join, quality
+from serieslake.llm.common import settle, sweep, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights, bias).where("quality_label = 1").select(*docs.columns)
 
 
-STAGES = [("quality classifier", keep_good)]
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go; the documents stay, with what is left of their text."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: token counts and digests."""
+    return bpe.digests(docs, ["doc_id"])
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", tokenize),
+]
 
 # SQL can express neither the trained classifier nor the tokenizer
 ORACLE_SQL = None
@@ -29,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
+        sweep(spark)
     return docs
