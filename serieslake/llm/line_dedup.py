@@ -162,13 +162,20 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """The documents without repeated chunks; ``lines_removed`` counts the lines taken out."""
     spans = repeated_spans(documents)
-    kept = [c for c in documents.columns if c not in ("lines_removed", "th")]
-    rows = documents.select(*[f"`{c}`" for c in kept]).withColumn("th", F.xxhash64(text_of()))
+    kept = [c for c in documents.columns if c != "lines_removed"]
+    rows = documents.select(
+        "doc_id", F.xxhash64(text_of()).alias("th"), text_of().alias("whole"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    )
     joined = _same_document(rows, spans, "left")
-    lines = F.split(text_of(), "\n", -1)
+    lines = F.split("whole", "\n", -1)
     left = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s["first"] <= i) & (i < s["end"])))
-    text = F.when(F.col("spans").isNull(), text_of()).otherwise(F.array_join(left, "\n"))
-    removed = F.when(F.col("spans").isNull(), 0).otherwise(F.size(lines) - F.size(left))
-    made = {"text": text, "lines_removed": removed.cast("int")}
-    out = joined.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in kept], made["lines_removed"].alias("lines_removed"))
-    return out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in kept else out
+    untouched = F.col("spans").isNull()
+    out = joined.select(
+        "row",
+        F.when(untouched, F.col("whole")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(untouched, 0).otherwise(F.size(lines) - F.size(left)).cast("int").alias("lines_removed"),
+    )
+    made = {"text": F.col("text")}
+    if "n_chars" in kept:
+        made["n_chars"] = F.length("text").cast(documents.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in kept], "lines_removed")
