@@ -3,14 +3,16 @@
 A text is the set of its distinct 4-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; a text
 of fewer words is one shingle, a text without words none). All sets share one order of shingles:
 by hash, those most frequent in prefixes last. Two sets whose Jaccard similarity reaches the
-threshold share ``OVERLAP`` shingles of their prefixes. Texts with the same prefix and size form
+threshold share ``OVERLAP`` or more shingles of their prefixes. Texts with the same prefix and size form
 a group; group pairs are filtered by size, by the places of the shared shingle and by the number
 of shared prefix shingles, and only then expanded into their members and verified on whole sets.
 
-Candidates come in two rounds. The first pairs the groups of a prefix shingle with the least
-of them, which settles large groups of copies in linear work. The second pairs all
-groups that share a prefix shingle but lie in different components, so no link between
-components is missed. Copies (equal sets) are one node throughout.
+Candidates come in rounds. The first ones pair each group with a few hubs per prefix shingle, the most central
+one among them; that settles most large groups of near copies in linear work and names, for each group, the
+cluster of its heaviest hub. The last round takes all groups that share a prefix shingle but still lie
+in different components, so no link between components is missed: members of one cluster are compared in
+blocks, once those are left out that share too little with other components, and all others by pairs.
+Copies (equal sets) are one node throughout.
 
 Null texts count as empty; sets without shingles are linked with nothing. Rows that
 repeat are copies. A null doc_id never becomes a component_id unless all ids of the
@@ -19,6 +21,7 @@ component are null. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,9 @@ PERCENT = 85  # 100 * intersection >= PERCENT * union
 OVERLAP = 4
 FREQUENT = 1 << 18  # shingles moved to the end of the order, at most: 2 MB
 FREQUENT_FROM = 32
+ROUNDS = 2  # rounds that pair groups with hubs only, before all pairs across components
+HUBS = 8
+BLOCK = 64  # copies of a neighbourhood that are verified together
 MAP_BITS = 24  # bits of the map that picks texts to verify: 2 MB
 
 
@@ -99,30 +105,84 @@ def _members(frequent) -> callable:
     return mapped
 
 
+def _on_map(batches: Iterator[pa.RecordBatch], bits) -> Iterator[np.ndarray]:
+    """The sets of the texts whose hash is on the map, copies within the task once."""
+    seen = set()
+    for batch in batches:
+        low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+        on = ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+        for k in np.flatnonzero(on):
+            th = batch.column(0)[int(k)].as_py()
+            on[k] = th not in seen
+            seen.add(th)
+        yield from _shingle_sets(batch.column(1).filter(pa.array(on)).to_pylist())
+
+
+def _in_runs(sets: Iterator[np.ndarray], size: int = 500) -> Iterator[list[np.ndarray]]:
+    while run := list(itertools.islice(sets, size)):
+        yield run
+
+
 def _wanted_sets(bits) -> callable:
-    """The whole sets of the texts whose hash is on the map."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _in_runs(_on_map(batches, bits.value)):
+            data = [s.tobytes() for s in run]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(xxhash.xxh3_128_hexdigest, data), pa.string()), pa.array(data, pa.binary())], names=["copy", "items"]
+            )
+
+    return mapped
 
+
+def _wanted_items(bits) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-            on = (bits.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)
-            batch = batch.filter(pa.array(on.astype(bool)))
-            if batch.num_rows:
-                sets = [(xxhash.xxh3_128_hexdigest(s.tobytes()), s.tobytes()) for s in _shingle_sets(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s[0] for s in sets], pa.string()), pa.array([s[1] for s in sets], pa.binary())], names=["copy", "items"]
-                )
+        for run in _in_runs(_on_map(batches, bits.value)):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in run], pa.string()),
+                    pa.array(map(len, run), pa.int32()),
+                    pa.array([s.view(np.int64) for s in run], pa.list_(pa.int64())),
+                ],
+                names=["copy", "size", "items"],
+            )
 
     return mapped
 
 
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between components within each pair of blocks, whose copies stand together."""
+    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+    for _, block in itertools.groupby(rows, key=lambda row: row[0]):
+        sides = {-1: [], 0: [], 1: []}
+        for _, copy, root, side, items in block:
+            sides[side].append((copy, root, np.frombuffer(items, np.uint64)))
+        pairs = itertools.chain(itertools.combinations(sides[0], 2), itertools.product(sides[-1], sides[1]))
+        found = [(one[0], two[0]) for one, two in pairs if one[1] != two[1] and _linked(one[2], two[2])]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["src", "dst"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that reach the threshold. Rows come by block, each block's sets before its pairs."""
+    block, sets = None, {}
     for batch in batches:
-        left = [np.frombuffer(b, np.uint64) for b in batch.column(2).to_pylist()]
-        right = [np.frombuffer(b, np.uint64) for b in batch.column(3).to_pylist()]
-        both = [len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(left, right)]
-        linked = [100 * x >= PERCENT * (len(a) + len(b) - x) for x, a, b in zip(both, left, right)]
-        yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+        src, dst = [], []
+        for key, one, two, items in zip(*(column.to_pylist() for column in batch.columns)):
+            if key != block:
+                block, sets = key, {}
+            if items is not None:
+                sets[one] = np.frombuffer(items, np.uint64)
+                continue
+            if _linked(sets[one], sets[two]):
+                src.append(one)
+                dst.append(two)
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
 
 
 def _can_link(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -131,12 +191,88 @@ def _can_link(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
 
 
-def _link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (src, dst) pairs of copies whose sets reach the threshold."""
-    one = sets.withColumnsRenamed({"copy": "src", "items": "src_items"})
-    two = sets.withColumnsRenamed({"copy": "dst", "items": "dst_items"})
-    joined = pairs.join(one, "src").join(two, "dst").select("src", "dst", "src_items", "dst_items")
-    return joined.mapInArrow(_verified, "src string, dst string")
+def _enough(shared: Column, n: Column, m: Column) -> Column:
+    """Whether sets that share so many prefix shingles can reach the threshold.
+
+    Of the set whose prefix ends first, all but what lies behind its prefix is known to be shared or not.
+    """
+    def behind(size: Column) -> Column:
+        need = F.ceil(size * PERCENT / 100)
+        return need - F.least(F.lit(OVERLAP), need)
+
+    return (100 + PERCENT) * (shared + F.greatest(behind(n), behind(m))) >= PERCENT * (n + m)
+
+
+def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(copy, items) of at least the wanted copies (copy, th), made again from the texts."""
+    bits = texts.sparkSession.sparkContext.broadcast(_map_of(wanted.select("th")))
+    sets = texts.select("th", "text").mapInArrow(_wanted_sets(bits), "copy string, items binary")
+    return sets.groupBy("copy").agg(F.first("items").alias("items"))
+
+
+def _link(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (src, dst) pairs of copies whose whole sets reach the threshold.
+
+    Pairs are dealt out by the blocks of their two ends, about ``BLOCK`` copies of a neighbourhood each, so
+    a set travels once per pair of blocks and not once per pair.
+    """
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("copy")).distinct().join(nodes, "copy")
+    ends = settle(ends.groupBy("copy").agg(F.min("th").alias("th"), F.min("home").alias("home")), "verified-copies")
+    sizes = ends.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    ends = ends.join(sizes, "home").select("copy", "th", F.xxhash64("home", F.pmod(F.xxhash64("copy"), "blocks")).alias("block"))
+    one = ends.select(F.col("copy").alias("src"), F.col("block").alias("src_block"))
+    two = ends.select(F.col("copy").alias("dst"), F.col("block").alias("dst_block"))
+    least, most = F.least("src_block", "dst_block"), F.greatest("src_block", "dst_block")
+    dealt = pairs.join(one, "src").join(two, "dst").select(F.xxhash64(least, most).alias("block"), "src", "dst")
+    dealt = settle(dealt, "dealt-pairs")
+    places = dealt.select("block", F.explode(F.array("src", "dst")).alias("copy")).distinct()
+    rows = (
+        places.join(_sets(ends, texts), "copy").select("block", F.col("copy").alias("one"), F.lit(None).cast("string").alias("two"), "items")
+        .union(dealt.select("block", "src", "dst", F.lit(None).cast("binary")))
+    )
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("items").isNull())
+    return settle(rows.mapInArrow(_verified, "src string, dst string"), "links")
+
+
+def _cluster_links(nodes: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (src, dst) links between different components of one cluster.
+
+    A copy of which too few shingles occur in other components of its cluster cannot link to them and
+    is left out first; that takes linear work. The others are compared, block by block.
+    """
+    held = nodes.where("cluster is not null").join(root, "copy").select("cluster", "copy", "th", "root")
+    held = settle(_open_clusters(held), "clustered-copies")
+    if held.isEmpty():
+        return held.select(F.col("copy").alias("src"), F.col("copy").alias("dst"))
+    by_number = held.select(F.col("copy"), "cluster", F.xxhash64("copy").alias("node"), F.xxhash64("root").alias("root"))
+    items = texts.select("th", "text").mapInArrow(_wanted_items(texts.sparkSession.sparkContext.broadcast(_map_of(held.select("th")))), "copy string, size int, items array<bigint>")
+    items = items.dropDuplicates(["copy"]).join(by_number, "copy").select("cluster", "node", "root", "size", F.explode("items").alias("item"))
+    spot = Window.partitionBy("cluster", "item")
+    elsewhere = (
+        items.withColumns({"low": F.min("root").over(spot), "high": F.max("root").over(spot)}).where("low != high")
+        .groupBy("node").agg(F.count("*").alias("met"), F.min("size").alias("size"))
+        .where(100 * F.col("met") >= PERCENT * F.col("size")).select("node")
+    )
+    held = held.join(elsewhere, F.xxhash64("copy") == F.col("node"), "left_semi")
+    held = settle(_open_clusters(held), "open-copies")
+    blocks = held.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    places = (
+        held.join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("copy"), "blocks"))
+        .select("cluster", "copy", "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select(
+            F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("block"),
+            "copy", "root", F.signum(F.col("own") - F.col("other")).cast("int").alias("side"),
+        )
+    )
+    rows = places.join(_sets(held, texts), "copy").select("block", "copy", "root", "side", "items")
+    rows = rows.repartition("block").sortWithinPartitions("block")
+    return settle(rows.mapInArrow(_compared, "src string, dst string"), "cluster-links")
+
+
+def _open_clusters(held: DataFrame) -> DataFrame:
+    """The copies of clusters that fall into several components."""
+    several = held.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return held.join(several.select("cluster"), "cluster", "left_semi")
 
 
 def _expanded(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -147,8 +283,79 @@ def _expanded(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(F.least("one", "two").alias("src"), F.greatest("one", "two").alias("dst"))
 
 
+def _size(at: str) -> Column:
+    return F.shiftright(at, 32)
+
+
+def _place(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _counted(met: DataFrame) -> DataFrame:
+    """(a, b) of groups that meet under enough prefix shingles; one row of (a, at, b, b_at) per meeting."""
+    return (
+        met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at")))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("shared"), F.min(_size("at")).alias("n"), F.min(_size("b_at")).alias("m"))
+        .where(_enough(F.col("shared"), F.col("n"), F.col("m")))
+        .select("a", "b")
+    )
+
+
+def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
+    """Each group with the first group of its shingles in each of ``HUBS`` orders: by weight, and random but fixed ones.
+
+    A pair whose meetings are spread over several hubs may be missed here; the last round has it.
+    """
+    by_weight = -F.col("weight") if number == 0 else F.lit(0.0)
+    firsts = [
+        F.min(F.struct((by_weight if k == 0 else F.lit(0.0)).alias("first"), F.xxhash64("grp", F.lit(number * HUBS + k)).alias("order"), F.col("grp").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("b_root")))
+        for k in range(HUBS)
+    ]
+    hubs = rows.groupBy("hash").agg(*[f.alias(f"hub{k}") for k, f in enumerate(firsts)])
+    hubs = hubs.select("hash", F.array_distinct(F.transform(F.array(*[f"hub{k}" for k in range(HUBS)]), lambda h: h.dropFields("first", "order"))).alias("hubs"))
+    met = rows.join(hubs, "hash").select(F.col("grp").alias("a"), "at", "root", "split", F.explode("hubs").alias("hub"))
+    met = met.select("a", "at", "root", "split", "hub.b", "hub.b_at", "hub.b_root").where("a != b and (root != b_root or split)")
+    return _counted(met.select("a", "at", "b", "b_at"))
+
+
+def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataFrame:
+    """The nodes with the heaviest hub that their group may be linked to: their cluster."""
+    ends = stars.select(F.col("a").alias("grp"), "b").union(stars.select(F.col("b").alias("grp"), "b"))
+    weights = of_group.select(F.col("grp").alias("b"), "weight")
+    heaviest = ends.join(weights, "b").groupBy("grp").agg(F.max(F.struct("weight", "b")).alias("hub"))
+    return nodes.drop("cluster").join(heaviest.select("grp", F.col("hub.b").alias("cluster")), "grp", "left")
+
+
+def _across_clusters(rows: DataFrame) -> DataFrame:
+    """All groups of different components that meet under enough shingles, but for those of one cluster."""
+    other = rows.select(
+        "hash", F.col("grp").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("b_root"),
+        F.col("split").alias("b_split"), F.col("cluster").alias("b_cluster"),
+    )
+    met = (
+        rows.withColumnRenamed("grp", "a").join(other, "hash").where("a < b and (root != b_root or split or b_split)")
+        .where("cluster is null or b_cluster is null or cluster != b_cluster")
+    )
+    return _counted(met.select("a", "at", "b", "b_at"))
+
+
+def _within_groups(nodes: DataFrame, root: DataFrame, last: bool) -> DataFrame:
+    """Pairs of members of one group that lie apart: with its first member, or, in the last round, all."""
+    held = nodes.join(root, "copy").select("grp", "copy", "root")
+    apart = held.groupBy("grp").agg(F.min(F.struct("copy", "root")).alias("first"), F.count_distinct("root").alias("roots")).where("roots > 1")
+    if not last:
+        found = held.join(apart, "grp").where("root != first.root").select(F.col("copy").alias("src"), F.col("first.copy").alias("dst"))
+    else:
+        held = held.join(apart.select("grp"), "grp")
+        other = held.select("grp", F.col("copy").alias("other"), F.col("root").alias("other_root"))
+        found = held.join(other, "grp").where("copy < other and root != other_root").select(F.col("copy").alias("src"), F.col("other").alias("dst"))
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
 def similar(documents: DataFrame) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) per row; th is the hash of the text."""
+    """(doc_id, th, n_shingles, component_id, root) per row; th is the hash of the text, root names the
+    component even where ids repeat and is null for texts without words."""
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -173,77 +380,53 @@ def similar(documents: DataFrame) -> DataFrame:
         "hash", "grp", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("at")
     )
     shared = settle(
-        entries.select(
-            "*",
-            F.count("*").over(Window.partitionBy("hash")).alias("held"),
-            F.min(F.struct("grp", "at")).over(Window.partitionBy("hash")).alias("hub"),
-        ).where("held > 1").drop("held"),
+        entries.withColumns(
+            {"held": F.count("*").over(Window.partitionBy("hash")), "home": F.min("grp").over(Window.partitionBy("hash"))}
+        ).where("held > 1"),
         "shared-prefixes",
     )
-    size = lambda c: F.shiftright(c, 32)
-    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
-
-    # first round: each group with the least one that shares a prefix shingle
-    stars = (
-        shared.select("grp", "at", F.col("hub.grp").alias("b"), F.col("hub.at").alias("b_at"))
-        .where("grp != b")
-        .where(_can_link(size("at"), place("at"), size("b_at"), place("b_at")))
-        .groupBy(F.col("grp").alias("a"), "b").agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= OVERLAP)  # weaker pairs are left to the second round
-        .select("a", "b")
-    )
-    inside = nodes.groupBy("grp").agg(F.min("copy").alias("src"), F.count("*").alias("held")).where("held > 1")
-    stars = settle(
-        _expanded(stars, nodes)
-        .union(nodes.join(inside, "grp").where("copy != src").select("src", F.col("copy").alias("dst")))
-        .distinct(),
-        "star-pairs",
-    )
-    # whole sets of every node that can appear in a pair
-    involved = shared.select("grp").distinct().join(nodes, "grp").select("copy", "th")
-    involved = involved.union(nodes.join(inside.select("grp"), "grp").select("copy", "th")).distinct()
-    bits = spark.sparkContext.broadcast(_map_of(involved.select("th")))
-    sets = texts.select("th", "text").mapInArrow(_wanted_sets(bits), "copy string, items binary")
-    sets = settle(sets.join(involved.select("copy").distinct(), "copy", "left_semi").groupBy("copy").agg(F.first("items").alias("items")), "sets")
-    links = components(settle(_link(stars, sets), "star-links")).select(F.col("node").alias("copy"), "component")
-
-    # second round: groups that share a prefix shingle across components
-    labelled = nodes.join(links, "copy", "left").select("grp", "copy", F.coalesce("component", "copy").alias("component"))
-    of_group = labelled.groupBy("grp").agg(F.min("component").alias("component"), (F.count_distinct("component") > 1).alias("split"))
-    rows = shared.select("hash", "grp", "at").join(of_group, "grp")
-    mixed = (
-        rows.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("split").alias("split"))
-        .where("low != high or split").select("hash")
-    )
-    rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
-    other = rows.select("hash", *[F.col(c).alias(f"{c}_b") for c in ("grp", "at", "component", "split")])
-    across = (
-        rows.join(other, "hash")
-        .where("grp < grp_b and (component != component_b or split or split_b)")
-        .where(_can_link(size("at"), place("at"), size("at_b"), place("at_b")))
-        .groupBy(F.col("grp").alias("a"), F.col("grp_b").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least(size("at"), size("at_b"))).alias("n"))
-        .where(F.col("shared") >= F.least(F.lit(OVERLAP), F.ceil(F.col("n") * PERCENT / 100)))
-        .select("a", "b")
-    )
-    pairs = _expanded(across, nodes)
-    # and members of one group that the first round left apart
-    left = labelled.join(of_group.where("split").select("grp"), "grp")
-    apart = left.select("grp", F.col("copy").alias("src"), F.col("component").alias("c")).join(
-        left.select("grp", F.col("copy").alias("dst"), F.col("component").alias("d")), "grp"
-    ).where("src < dst and c != d")
-    pairs = settle(pairs.union(apart.select("src", "dst")).distinct(), "cross-pairs")
-    edges = links.where("copy != component").select(F.col("copy").alias("src"), F.col("component").alias("dst"))
-    root = components(edges.union(_link(pairs, sets))).select(F.col("node").alias("copy"), F.col("component").alias("root"))
+    # the least group that a group meets anywhere marks its neighbourhood
+    # and how often its shingles are held shows how central it is: a text that others were edited from comes first
+    home = shared.groupBy("grp").agg(F.min("home").alias("home"), (F.sum("held") / F.min(_size("at"))).alias("weight"))
+    nodes = settle(nodes.join(home, "grp", "left").withColumn("home", F.coalesce("home", "grp")), "nodes")
+    shared = shared.select("hash", "grp", "at")
+    root = nodes.select("copy", F.col("copy").alias("root"))  # every copy by itself at first
+    nodes = nodes.withColumn("cluster", F.lit(None).cast("long"))
+    for number in range(ROUNDS + 1):
+        of_group = nodes.join(root, "copy").groupBy("grp").agg(
+            F.min("root").alias("root"),
+            (F.count_distinct("root") > 1).alias("split"),
+            F.max("weight").alias("weight"),
+            F.max("cluster").alias("cluster"),
+        )
+        rows = shared.join(of_group, "grp")
+        mixed = (
+            rows.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("split").alias("split"))
+            .where("low != high or split").select("hash")
+        )
+        rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
+        last = number == ROUNDS
+        groups = settle(_across_clusters(rows) if last else _star_pairs(rows, number), "group-pairs")
+        pairs = settle(_expanded(groups, nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
+        edges = root.where("copy != root").select(F.col("copy").alias("src"), F.col("root").alias("dst"))
+        if not pairs.isEmpty():
+            edges = edges.union(_link(pairs, nodes, texts))
+        if number == 0:
+            nodes = settle(_clustered(nodes, groups, of_group), "clustered-nodes")
+        if last:
+            edges = edges.union(_cluster_links(nodes, root, texts))
+        merged = components(edges)
+        root = nodes.select("copy").distinct().join(merged.withColumnRenamed("node", "copy"), "copy", "left")
+        root = settle(root.select("copy", F.coalesce("component", "copy").alias("root")), "roots")
 
     named = members.select("doc_id", "th", "n", "copy").join(root, "copy", "left")
-    named = named.withColumn("root", F.coalesce("root", "copy"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select(
         "doc_id",
         "th",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        "root",
     )
 
 
@@ -261,13 +444,16 @@ def _map_of(hashes: DataFrame) -> np.ndarray:
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one with the least id, then the least text hash."""
-    found = similar(documents).select("doc_id", "th", "component_id", "n_shingles")
+    """One document of each component: the one with the least id, then the least text hash.
+
+    Rows that agree in doc_id and text are one document; texts without words all stay.
+    """
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("th"))  # never null
+    found = similar(documents).withColumn("__key", key)
     keep = (
-        found.where("n_shingles > 0")
-        .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("th").alias("hash"))).alias("k"))
-        .select("k.id", "k.hash")
-    ).union(found.where("n_shingles = 0").select("doc_id", "th")).distinct()
-    rows = documents.withColumn("__th", F.xxhash64(text_of()))
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["id"]) & (rows["__th"] == keep["hash"]), "left_semi")
-    return kept.drop("__th")
+        found.groupBy("root", F.when(F.col("root").isNull(), F.col("__key")).alias("wordless"))
+        .agg(F.min(F.struct("doc_id", "th", "__key")).alias("first"))
+        .select("first.__key")
+    )
+    rows = documents.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(text_of()))))
+    return rows.dropDuplicates(["__key"]).join(keep, "__key", "left_semi").drop("__key")

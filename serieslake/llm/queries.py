@@ -36,7 +36,7 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.similar(table(spark, folder, "documents")).drop("th")
+    return ngram_join.similar(table(spark, folder, "documents")).drop("th", "root")
 
 
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
