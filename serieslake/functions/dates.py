@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 SERIAL_DAY_ZERO = "1899-12-30"
 DAY_SECONDS = 86400
 DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy", "d/M/yy")
-TIME_TAIL = r" ([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"
+TIME_TAIL = r"^.{10}[ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+LAST_SERIAL = 2958465  # 9999-12-31, the last day a workbook can hold
 
 
 def _shape(fmt: str) -> str:
@@ -36,11 +37,15 @@ def parse(col: Column, fmt: str) -> Column:
 
 
 def parse_iso(col: Column) -> Column:
-    """``yyyy-MM-dd``, with or without a valid time of day behind it."""
+    """``yyyy-MM-dd``, with or without a valid time of day behind it.
+
+    The time stands behind a blank or a ``T``; seconds, their fraction and a zone may follow. The day
+    is taken as written.
+    """
     dashed = (F.substring(col, 5, 1) == "-") & (F.substring(col, 8, 1) == "-")
     day = F.substring(col, 1, 10).try_cast("date")
     return F.when((F.length(col) == 10) & dashed, day).when(
-        (F.length(col) == 19) & dashed & col.rlike(TIME_TAIL), day
+        (F.length(col) > 10) & dashed & col.rlike(TIME_TAIL), day
     )
 
 
@@ -55,8 +60,12 @@ def parse_day_first(col: Column) -> Column:
 
 
 def from_serial(col: Column) -> Column:
-    """Workbook day number to date; the fraction (time of day) is dropped."""
-    return F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), F.floor(col).cast("int"))
+    """Workbook day number to date; the fraction (time of day) is dropped.
+
+    Numbers that no workbook uses for a day (such as 20240110) give null.
+    """
+    day = F.when(col.between(0, LAST_SERIAL + 0.999999999), F.floor(col)).try_cast("int")
+    return F.date_add(F.lit(SERIAL_DAY_ZERO).cast("date"), day)
 
 
 def from_serial_or_text(col: Column) -> Column:

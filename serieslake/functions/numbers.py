@@ -15,8 +15,10 @@ DAYS_IN_YEAR = 365
 
 
 def to_number(col: Column) -> Column:
-    """Number or null; NaN text counts as missing, since the model has no NaN."""
-    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
+    """Number or null. The model has neither NaN nor infinity, so their names count as missing, and so
+    do the suffixed and hexadecimal forms (``1d``, ``2f``, ``0x1p3``) that a cast would take."""
+    plain = F.translate(col.cast("string"), "dDfFxX", "") == col.cast("string")
+    return F.when(plain, F.nanvl(col.try_cast("double"), F.lit(None).cast("double")))
 
 
 def placeholder_to_zero(col: Column, marker: str = "s/o") -> Column:
@@ -55,13 +57,14 @@ def digits_only(col: Column) -> Column:
 def daily_effective_rate(rate: Column, tenor: Column, markup: float = 0.0) -> Column:
     """Simple annual rate over ``tenor`` days as an effective daily rate.
 
-    A tenor of 0 gives a rate of 0 (the power is undefined there).
+    A tenor of 0 gives a rate of 0 (the power is undefined there). A loss beyond the whole amount has no
+    daily rate: null, never NaN.
     """
     days = tenor.cast("double")
     annual = rate + F.lit(float(markup)) if markup else rate
     growth = F.lit(1.0) + annual / F.lit(float(DAYS_IN_YEAR)) * days
     return F.when(tenor == 0, F.when(rate.isNotNull(), F.lit(0.0))).otherwise(
-        F.pow(growth, F.try_divide(F.lit(1.0), days)) - F.lit(1.0)
+        F.when(growth >= 0, F.pow(growth, F.try_divide(F.lit(1.0), days)) - F.lit(1.0))
     )
 
 

@@ -29,14 +29,15 @@ def extract_groups(col: Column, pattern: str, names: Sequence[str]) -> list[Colu
     """One column per capture group of the first match; no match gives null.
 
     The groups are rewritten into one separated text first, a subexpression all columns
-    share, so the pattern runs once per row instead of once per group.
+    share, so the pattern runs once per row instead of once per group. A separator before the first group
+    tells a match from a text left as it was.
     """
-    joined = SEPARATOR.join(f"${i}" for i in range(1, len(names) + 1))
-    parts = F.split(F.regexp_replace(col, rf"(?s)^.*?{pattern}.*$", joined), SEPARATOR)
-    matched = F.size(parts) == len(names)
+    joined = "".join(f"{SEPARATOR}${i}" for i in range(1, len(names) + 1))
+    parts = F.split(F.regexp_replace(col, rf"(?s)^.*?(?:{pattern}).*$", joined), SEPARATOR)
+    matched = F.size(parts) == len(names) + 1
     return [
         F.when(matched, F.nullif(F.get(parts, F.lit(i)), F.lit(""))).alias(name)
-        for i, name in enumerate(names)
+        for i, name in enumerate(names, start=1)
     ]
 
 

@@ -52,6 +52,12 @@ def up_to_first_year(
     return df.join(first, on).filter(keep).select(*df.columns)
 
 
+def after_floor(incoming: DataFrame, date: str, floor: str | None) -> DataFrame:
+    """Dated rows, and with ``floor`` only later ones: what a first load may take."""
+    dated = incoming.filter(F.col(date).isNotNull())
+    return dated.filter(F.col(date) > F.lit(floor).cast("date")) if floor else dated
+
+
 def newer_than(
     incoming: DataFrame,
     stored: DataFrame,
@@ -62,12 +68,12 @@ def newer_than(
     """Rows dated after the newest stored row (of the same key, when ``by`` is given).
 
     Strictly later: late and revised rows stay out. ``floor`` is the mark used where
-    nothing is stored yet; without it every row is new there.
+    nothing is stored yet; without it every row is new there. Rows without a date never are.
     """
     mark = F.lit(floor).cast("date") if floor else F.lit(None).cast("date")
     if not by:
         newest = F.coalesce(stored.select(F.max(date).cast("date")).scalar(), mark)
-        return incoming.filter(newest.isNull() | (F.col(date) > newest))
+        return incoming.filter(F.col(date).isNotNull() & (newest.isNull() | (F.col(date) > newest)))
     newest = (
         stored.groupBy(*by)
         .agg(F.max(date).cast("date").alias("_newest"))
@@ -77,6 +83,6 @@ def newer_than(
     limit = F.coalesce(F.col("_newest"), mark)
     return (
         incoming.join(newest, on, "left")
-        .filter(limit.isNull() | (F.col(date) > limit))
+        .filter(F.col(date).isNotNull() & (limit.isNull() | (F.col(date) > limit)))
         .select(*incoming.columns)
     )

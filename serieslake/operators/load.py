@@ -7,9 +7,12 @@ append_new       add only rows dated after the newest stored row
 overwrite        replace the table (the source restates its history)
 truncate_append  like overwrite, but the batch must pass its rules first
 replace_slice    replace all rows from a given year on
+replace_day      replace the rows of one day
 
-Whole-table replacement writes next to the table, checks the written rows, and swaps
-folders last, so a failed job or a lost executor leaves the stored table as it was.
+Whole-table replacement writes next to the table, counts broken rules on the way, and swaps
+folders last, so a failed job or a lost executor leaves the stored table as it was. A driver lost
+between the two renames of the swap leaves the former table under another name; the next load
+of the path (or ``recover``) puts it back. Empty batches are refused unless asked for.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StructField, Struc
 
 from serieslake.operators import filters, quality
 
+STAGED, PREVIOUS = "__staged-", "__previous-"
+
+
 @dataclass(frozen=True)
 class LoadResult:
     """What a load did; ``rows`` is counted while writing, not by a second pass."""
@@ -66,12 +72,26 @@ def _rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back a table whose driver was lost in the middle of a swap.
+
+    Between its two renames a swap leaves the former table under a name of its own and nothing at
+    the path; every load looks for that first.
+    """
+    fs, hadoop_path = _files(spark, path)
+    if fs.exists(hadoop_path) or not fs.exists(hadoop_path.getParent()):
+        return
+    left = [s.getPath() for s in fs.listStatus(hadoop_path.getParent()) if s.getPath().getName().startswith(f"{hadoop_path.getName()}{PREVIOUS}")]
+    if left:
+        _rename(spark, left[-1].toString(), path)
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
     """Put a finished folder in the place of the stored one."""
     if not exists(spark, path):
         _rename(spark, staged, path)
         return
-    previous = f"{path}__previous-{uuid.uuid4().hex}"
+    previous = f"{path}{PREVIOUS}{uuid.uuid4().hex}"
     _rename(spark, path, previous)
     try:
         _rename(spark, staged, path)
@@ -116,9 +136,12 @@ def append_new(
 ) -> LoadResult:
     """Rerunning the same batch adds nothing."""
     spark = df.sparkSession
+    recover(spark, path)
     if exists(spark, path):
         stored = spark.read.schema(_stored_schema(df)).parquet(path)
         df = filters.newer_than(df, stored, date, by, floor)
+    else:
+        df = filters.after_floor(df, date, floor)
     rows = _write(df, path, "append", partition_by)["rows"]
     return LoadResult(path, "append_new", rows)
 
@@ -128,21 +151,25 @@ def overwrite(
     path: str,
     partition_by: Sequence[str] = (),
     rules: Mapping[str, Column] | None = None,
-    minimum_rows: int = 0,
+    minimum_rows: int = 1,
 ) -> LoadResult:
-    """The written rows are checked before the swap, so the plan runs only once."""
+    """Rules are counted while the rows are written, so the plan runs once and nothing is read again.
+
+    An empty batch is refused, as it would wipe the table; ``minimum_rows=0`` asks for just that.
+    """
     spark = df.sparkSession
-    staged = f"{path}__staged-{uuid.uuid4().hex}"
-    rows = _write(df, staged, "errorifexists", partition_by)["rows"]
-    if rules or minimum_rows:
-        try:
-            written = spark.read.schema(_stored_schema(df)).parquet(staged)
-            quality.require(written, rules or {}, minimum_rows)
-        except quality.BatchRejected:
-            _remove(spark, staged)
-            raise
-    swap(spark, staged, path)
-    return LoadResult(path, "overwrite", rows)
+    recover(spark, path)
+    staged = f"{path}{STAGED}{uuid.uuid4().hex}"
+    rules = dict(rules or {})
+    try:
+        seen = _write(df, staged, "errorifexists", partition_by, {f"rule_{n}": c for n, c in enumerate(rules.values())})
+        broken = {name: seen[f"rule_{n}"] for n, name in enumerate(rules)}
+        broken["too_few_rows"] = int(seen["rows"] < minimum_rows)
+        quality.refuse(broken)
+        swap(spark, staged, path)
+    finally:
+        _remove(spark, staged)  # gone already after a swap
+    return LoadResult(path, "overwrite", seen["rows"])
 
 
 def truncate_append(
@@ -153,12 +180,13 @@ def truncate_append(
 
 
 def replace_slice(
-    df: DataFrame, path: str, from_year: int, date: str = "date", year: str = "year"
+    df: DataFrame, path: str, from_year: int, date: str = "date", year: str = "year", minimum_rows: int = 1
 ) -> LoadResult:
     """Replace every stored row dated in ``from_year`` or later by the rows of ``df``.
 
     The table is partitioned by year, so only the years in question are rewritten. Rows
-    dated before the slice are refused: they would be added twice on a rerun.
+    dated before the slice are refused: they would be added twice on a rerun. So is a batch
+    of fewer than ``minimum_rows`` rows: an empty one would remove the stored years.
     """
     spark = df.sparkSession
     yearly = df.withColumn(year, F.year(date))
@@ -166,6 +194,8 @@ def replace_slice(
         F.col(year) >= from_year, F.col(year)
     ).otherwise(F.raise_error(F.lit(f"row dated before {from_year} or without date")).cast("int"))
     yearly = yearly.withColumn(year, checked)
+    if minimum_rows and len(yearly.select(year).limit(minimum_rows).take(minimum_rows)) < minimum_rows:
+        raise quality.BatchRejected("too_few_rows: 1")
     stored = [y for y in _partition_values(spark, path, year) if y >= from_year]
     seen = _write(
         yearly, path, "overwrite", [year], {f"in_{y}": F.col(year) == y for y in stored},
@@ -177,6 +207,23 @@ def replace_slice(
     return LoadResult(path, "replace_slice", seen["rows"])
 
 
+def replace_day(df: DataFrame, path: str, day: str, date: str = "date") -> LoadResult:
+    """Replace the stored rows of one day by the rows of ``df``, which must all be dated that day.
+
+    The table is partitioned by date: only that day's folder is rewritten, and a rerun changes nothing.
+    An empty batch is refused.
+    """
+    wanted = F.lit(day).cast("date")
+    checked = F.when(F.col(date) == wanted, F.col(date)).otherwise(
+        F.raise_error(F.lit(f"row not dated {day}")).cast("date")
+    )
+    dated = df.withColumn(date, checked)
+    if dated.select(date).isEmpty():
+        raise quality.BatchRejected("too_few_rows: 1")
+    seen = _write(dated, path, "overwrite", [date], partitionOverwriteMode="dynamic")
+    return LoadResult(path, "replace_day", seen["rows"])
+
+
 def insert_many(df: DataFrame, path: str, replace: bool = False) -> LoadResult:
     """Bulk insert, emptying the table first when ``replace`` is set."""
     return overwrite(df, path) if replace else append(df, path)
@@ -188,6 +235,7 @@ MODES = {
     "overwrite": overwrite,
     "truncate_append": truncate_append,
     "replace_slice": replace_slice,
+    "replace_day": replace_day,
 }
 
 

@@ -32,11 +32,16 @@ def rule_counts(df: DataFrame, rules: Mapping[str, Column], minimum_rows: int =
     return counted.select(F.inline(F.array(*pairs)))
 
 
+def refuse(broken: Mapping[str, int]) -> None:
+    """Raise when any of the counted rules is broken."""
+    found = {rule: count for rule, count in broken.items() if count}
+    if found:
+        raise BatchRejected(", ".join(f"{rule}: {count}" for rule, count in found.items()))
+
+
 def require(df: DataFrame, rules: Mapping[str, Column], minimum_rows: int = 1) -> None:
     """Raise when any rule is broken (collects one small row per rule)."""
-    broken = rule_counts(df, rules, minimum_rows).filter("violations > 0").collect()
-    if broken:
-        raise BatchRejected(", ".join(f"{r.rule}: {r.violations}" for r in broken))
+    refuse({r.rule: r.violations for r in rule_counts(df, rules, minimum_rows).collect()})
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,28 +7,72 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.functions import dates, numbers, text
+from serieslake.functions import dates, numbers
 from serieslake.operators import filters, reshape
 from serieslake.sources import delimited, markup, records, sheets
 
-# Quote kinds in order of preference, payload fields and title patterns.
+# Quote kinds in order of preference and payload fields.
 SPOT_PREFIX = "CCL"
 SPOT_PRIORITY = ("CCL", "CCL3", "CCL2", "CCL1")
 SPOT_RECORD = "dateTime string, spot string, normalizedPrice double"
 FOREX_RECORD = (
     "Fecha string, Titulo string, Rueda string, Monto string, Cotizacion string, Hora string"
 )
-TITLE_PATTERN = r"([A-Z]+)\s*/\s*([A-Z]+)\s*(\d+)\s*(\d{6})"
+_DIGITS, _CAPITALS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TITLE_FIELDS = ("currency_out", "currency_in", "settle", "settle_date")
-SCREEN_PATTERN = (
-    r"([\w$]+(?:\s*\w*)?)\s*(?:/\s*)?([\w$]+(?:\s*\w*)?)\s*(\w+)\s*(\d{6})"
-)
 SCREEN_FIELDS = ("currencyOut", "currencyIn", "settle", "settleDate")
 
 
-def spot_records(payloads: DataFrame, body: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Quotes of spot-price payloads (the body is the record array)."""
-    return records.record_array(payloads, body, SPOT_RECORD, keep, field=None)
+def spot_records(
+    payloads: DataFrame, body: str, keep: Sequence[str] = (), field: str | None = "data"
+) -> DataFrame:
+    """Quotes of spot-price payloads; the record array stands under ``field`` of the envelope
+    (``None``: the body itself is the array)."""
+    return records.record_array(payloads, body, SPOT_RECORD, keep, field)
+
+
+def _all_of(col: Column, letters: str) -> Column:
+    """Whether a text consists of the given letters and is not empty."""
+    return (col != "") & (F.translate(col, letters, "") == "")
+
+
+def _title_end(title: Column) -> tuple[Column, Column]:
+    """The six-digit date that ends an instrument title, and what stands before it."""
+    trimmed = F.rtrim(title)
+    return F.right(trimmed, F.lit(6)), F.rtrim(F.left(trimmed, F.length(trimmed) - 6))
+
+
+def title_parts(title: Column, names: Sequence[str] = TITLE_FIELDS) -> list[Column]:
+    """Currencies, settlement code and date of a title such as ``USD / ARS 000 150324``.
+
+    The digits at the end are the date and, before it, the settlement code; blanks are optional. A title
+    of another form gives nulls.
+    """
+    date, before = _title_end(title)
+    before = F.translate(before, " ", "")
+    pair = F.rtrim(before, F.lit(_DIGITS))
+    parts = [F.substring_index(pair, "/", 1), F.substring_index(pair, "/", -1), F.substr(before, F.length(pair) + 1), date]
+    fits = (
+        _all_of(date, _DIGITS) & _all_of(parts[2], _DIGITS) & (F.length(pair) - F.length(F.translate(pair, "/", "")) == 1)
+        & _all_of(parts[0], _CAPITALS) & _all_of(parts[1], _CAPITALS)
+    )
+    return [F.when(fits, part).alias(name) for part, name in zip(parts, names)]
+
+
+def screen_parts(title: Column, names: Sequence[str] = SCREEN_FIELDS) -> list[Column]:
+    """The same of a title on screen, where a currency may have a second word, the slash may be missing
+    (the first word is then the one currency, the rest the other) and the code may hold letters."""
+    date, before = _title_end(title)
+    code = F.substring_index(before, " ", -1)
+    pair = F.trim(F.left(before, F.length(before) - F.length(code)))
+    slash = pair.contains("/")
+    first = F.trim(F.when(slash, F.substring_index(pair, "/", 1)).otherwise(F.substring_index(pair, " ", 1)))
+    second = F.trim(
+        F.when(slash, F.substring_index(pair, "/", -1)).otherwise(F.substr(pair, F.length(first) + 1, F.length(pair)))
+    )
+    parts = [first, second, code, date]
+    fits = _all_of(date, _DIGITS) & (first != "") & (second != "") & (code != "")
+    return [F.when(fits, part).alias(name) for part, name in zip(parts, names)]
 
 
 def consolidated_rate(
@@ -45,7 +89,8 @@ def consolidated_rate(
     Also gives the second kind on its own (``ccl3``). Two prices for one date and kind
     fail the job. A kind that never occurs is simply null.
     """
-    quotes = spots.filter(F.col(kind).startswith(prefix)).select(
+    # other kinds under the prefix play no part
+    quotes = spots.filter(F.col(kind).startswith(prefix) & F.col(kind).isin(list(priority))).select(
         *by, F.to_date(date).alias("date"), kind, F.col(price).cast("double").alias("_price")
     )
     wide = reshape.pivot_unique(quotes, [*by, "date"], kind, priority, "_price", prefix="_kind_")
@@ -79,7 +124,7 @@ def forex_quotes(payloads: DataFrame, body: str, keep: Sequence[str] = ()) -> Da
         dates.parse(F.col("Fecha"), "yyMMdd").alias("date"),
         F.col("Rueda").alias("rueda"),
         F.col("Titulo").alias("instrumento"),
-        *text.extract_groups(F.col("Titulo"), TITLE_PATTERN, TITLE_FIELDS),
+        *title_parts(F.col("Titulo")),
         numbers.comma_thousands(F.col("Monto")).alias("monto"),
         numbers.to_number(F.col("Cotizacion")).alias("cotizacion"),
         dates.time_of_day(F.col("Hora")).alias("hora"),
@@ -93,11 +138,11 @@ def forex_screen(
     columns: Sequence[str],
     css_class: str | None = None,
 ) -> DataFrame:
-    """Quotes of a rendered forex table; ``columns`` names its cells, Instrumento included."""
+    """Quotes of a rendered forex table; ``columns`` names its cells, Instrumento included. A line with
+    more cells than names fails the job."""
     lines = markup.table_rows(pages, html, keep, css_class)
-    cells = lines.select(*keep, *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)))
-    groups = text.extract_groups(F.col("Instrumento"), SCREEN_PATTERN, SCREEN_FIELDS)
-    return cells.select("*", *groups).withColumn(
+    cells = lines.select(*keep, *markup.named_cells(columns))
+    return cells.select("*", *screen_parts(F.col("Instrumento"))).withColumn(
         "settleDate", dates.parse(F.col("settleDate"), "ddMMyy")
     )
 

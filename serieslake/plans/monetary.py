@@ -85,9 +85,9 @@ def deposit_tables(rows: DataFrame, loads: Sequence[DepositLoad]) -> dict[str, D
     return {one.table: sheets.read_rows(rows, one.layout).drop("row") for one in loads}
 
 
-def daily_balance(rows: DataFrame, current_year: int | None = None) -> DataFrame:
+def daily_balance(rows: DataFrame, current_year: int | None = None, workbook: str | None = None) -> DataFrame:
     """The daily balance; sheets of past years are cut at their 31 December."""
-    table = sheets.read_rows(rows, layouts.SERIE_DIARIA)
+    table = sheets.read_rows(rows, layouts.SERIE_DIARIA.of(workbook))
     clamped = filters.up_to_first_year(table, ["workbook"], "row", "date", current_year)
     return clamped.drop("row")
 
@@ -113,9 +113,15 @@ def adjusted_real_money(
     return series.seasonally_adjusted(monthly, by, month, value)
 
 
-def to_observations(wide: DataFrame, source: str, date: str = "date") -> DataFrame:
-    """A wide table in the canonical long form."""
+def to_observations(
+    wide: DataFrame, source: str, date: str = "date", vintage: str | None = None
+) -> DataFrame:
+    """A wide table in the canonical long form; ``vintage`` dates the release it was read from."""
     values = [f.name for f in wide.schema if f.dataType.simpleString() == "double"]
     return wide.unpivot([date], values, "series_id", "value").select(
-        "series_id", F.col(date).alias("obs_date"), "value", F.lit(source).alias("source")
+        "series_id",
+        F.col(date).alias("obs_date"),
+        "value",
+        F.lit(source).alias("source"),
+        F.lit(vintage).cast("date").alias("vintage_date"),
     )

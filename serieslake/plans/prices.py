@@ -97,10 +97,7 @@ def livestock_prices(
     lines = markup.table_rows(pages, html, [date], css_class)
     cells = lines.select(
         date,
-        *(
-            F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(name)
-            for i, name in enumerate(LIVESTOCK_COLUMNS)
-        ),
+        *(F.nullif(cell, F.lit("")).alias(name) for name, cell in zip(LIVESTOCK_COLUMNS, markup.named_cells(LIVESTOCK_COLUMNS))),
     )
     price = [c for c in LIVESTOCK_COLUMNS if c.startswith("precio")]
     return filters.complete(cells).select(
@@ -144,6 +141,7 @@ def refresh_plan(
     wanted = tickers.filter(F.col("nombre") == group).select("ticker", "type")
     newest = (
         stored.filter(~F.col("matured"))
+        .join(wanted.select("ticker").distinct(), "ticker", "left_semi")  # the history is cut before it is grouped
         .groupBy("ticker")
         .agg(dates.next_day(F.max("date")).alias("date"))
     )

@@ -41,6 +41,6 @@ def repo_index(
     return series.compounded_index(single, ["_series"], date, rate, tenor, end).drop("_series")
 
 
-def repo_operations(rows: DataFrame) -> DataFrame:
+def repo_operations(rows: DataFrame, workbook: str | None = None) -> DataFrame:
     """The operations sheet; rows without a date or a total stock are no observations."""
-    return sheets.read_rows(rows, layouts.PASES)
+    return sheets.read_rows(rows, layouts.PASES.of(workbook))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +19,15 @@ def announced_pages(pages: DataFrame, body: str) -> DataFrame:
     return pages.withColumn("page_count", count.cast("int"))
 
 
-def page_gaps(pages: DataFrame, body: str) -> DataFrame:
-    return records.missing_pages(announced_pages(pages, body), "endpoint", "page", "page_count")
+def page_gaps(pages: DataFrame, body: str, by: Sequence[str] = ()) -> DataFrame:
+    """Endpoints (per ``by``, such as the run date) whose readable pages are not all there."""
+    announced = announced_pages(pages, body)
+    return records.missing_pages(announced, "endpoint", "page", "page_count", by, records.readable(F.col(body)))
+
+
+def unreadable_pages(pages: DataFrame, body: str) -> DataFrame:
+    """The pages that gave no records because their body could not be read."""
+    return records.unreadable(pages, body, ["endpoint", "page"])
 
 
 def trades(

@@ -83,10 +83,19 @@ def table_rows(
     return found.filter(F.size("cells") > 0)
 
 
+def named_cells(names: Sequence[str]) -> list[Column]:
+    """The cells of a line under the given names; more cells than names fail the job."""
+    checked = F.when(
+        F.size("cells") > len(names), F.raise_error(F.lit(f"a line has more than {len(names)} cells")).cast("array<string>")
+    ).otherwise(F.col("cells"))
+    return [F.get(checked, F.lit(i)).alias(name) for i, name in enumerate(names)]
+
+
 def _after(col: Column, tag: str, keep_tag: bool = False) -> Column:
     """Pieces of markup, each starting right behind one opening tag (or its name)."""
     rest = "" if keep_tag else "[^>]*>"
-    return F.slice(F.split(col, rf"(?i)<{tag}\b{rest}"), F.lit(2), F.lit(2**30))
+    pieces = F.split(col, rf"(?i)<{tag}\b{rest}")
+    return F.slice(pieces, F.lit(2), F.size(pieces))
 
 
 def _cell_text(col: Column) -> Column:

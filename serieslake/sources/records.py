@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,17 +42,42 @@ def record_array(
     return payloads.select(*keep, F.inline(items))
 
 
+def unreadable(payloads: DataFrame, body: str, keep: Sequence[str] = (), field: str | None = "data") -> DataFrame:
+    """``keep`` of the payloads that hold no readable record array, with the reason.
+
+    A body that was cut off, or an error page in the place of an answer, gives no records; this is the
+    list to report or to refuse the batch by.
+    """
+    return payloads.select(*keep, readable(F.col(body), field).alias("_ok"), F.col(body).alias("_body")).filter("not _ok").select(
+        *keep, F.when(F.col("_body").isNull(), "missing").when(F.trim("_body") == "", "empty").otherwise("no records").alias("reason")
+    )
+
+
+def readable(body: Column, field: str | None = "data") -> Column:
+    """Whether a body is whole JSON with the array of records in its place."""
+    whole = F.try_parse_json(body)
+    items = F.try_variant_get(whole, "$" if field is None else f"$.{field}", "array<variant>")
+    return items.isNotNull()
+
+
 def union_pages(pages: Sequence[DataFrame]) -> DataFrame:
     """All pages of all endpoints; columns one endpoint lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pages)
 
 
-def missing_pages(pages: DataFrame, endpoint: str, page: str, page_count: str) -> DataFrame:
-    """Endpoints whose landed pages do not add up to the announced count."""
+def missing_pages(
+    pages: DataFrame, endpoint: str, page: str, page_count: str, by: Sequence[str] = (), readable: Column | None = None
+) -> DataFrame:
+    """Endpoints whose landed pages do not add up to the announced count.
+
+    ``by`` adds to the key (the run date, so that yesterday's page does not stand in for today's);
+    only ``readable`` pages count as landed.
+    """
+    landed = F.col(page) if readable is None else F.when(readable, F.col(page))
     return (
-        pages.groupBy(endpoint)
+        pages.groupBy(endpoint, *by)
         .agg(
-            F.count_distinct(page).alias("pages_landed"),
+            F.count_distinct(landed).alias("pages_landed"),
             F.max(page_count).cast("long").alias("pages_expected"),
         )
         .filter(F.col("pages_landed") != F.col("pages_expected"))

@@ -15,7 +15,9 @@ reader skip the other sheets.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +66,11 @@ class SheetRange:
     required: tuple[str, ...] = ()
     drop_names: tuple[str, ...] = ()
     zero_markers: dict[str, str] = field(default_factory=dict)
+    workbook: str | None = None  # name of the workbook, or its beginning before a vintage
+
+    def of(self, workbook: str | None) -> "SheetRange":
+        """The same range in one workbook of a landing table that holds many."""
+        return self if workbook is None else replace(self, workbook=workbook)
 
     def positions(self) -> list[int]:
         """Sheet columns kept, after dropping positions counted within the range."""
@@ -76,6 +83,8 @@ class SheetRange:
             raise ValueError(
                 f"{self.table}: {len(self.names)} names for {len(positions)} columns"
             )
+        if len(set(self.names)) != len(self.names):
+            raise ValueError(f"{self.table}: a column name stands twice")
         return [(n, p) for n, p in zip(self.names, positions) if n not in self.drop_names]
 
     def typed(self, name: str, cell: Column) -> Column:
@@ -88,8 +97,14 @@ class SheetRange:
         return numbers.to_number(cell)
 
 
+def of_workbook(df: DataFrame, workbook: str | None) -> DataFrame:
+    """Rows of one workbook in all its vintages; sheet names alone do not tell workbooks apart."""
+    return df if workbook is None else df.filter(F.col("workbook").startswith(workbook))
+
+
 def _in_range(df: DataFrame, layout: SheetRange) -> DataFrame:
-    return df.filter((F.col("sheet") == layout.sheet) & (F.col("row") >= layout.first_row))
+    inside = (F.col("sheet") == layout.sheet) & (F.col("row") >= layout.first_row)
+    return of_workbook(df, layout.workbook).filter(inside)
 
 
 def _finish(df: DataFrame, layout: SheetRange) -> DataFrame:
@@ -113,11 +128,14 @@ def read_cells(cells: DataFrame, layout: SheetRange) -> DataFrame:
     """Range of a cell-form landing table.
 
     Values are typed before the grouping, so the aggregation buffers are fixed width
-    and the cells of one row merge on the map side.
+    and the cells of one row merge on the map side. Two records for one cell fail the job.
     """
     columns = layout.columns()
     wanted = _in_range(cells, layout).filter(F.col("col").isin([pos for _, pos in columns]))
+    words = sorted({pos // 62 for _, pos in columns})
     picked = wanted.groupBy("workbook", "row").agg(
+        F.count(F.lit(1)).alias("_cells"),
+        *(_seen_columns(word).alias(f"_seen{word}") for word in words),
         *(
             F.max(F.when(F.col("col") == pos, layout.typed(name, F.col("value")))).alias(name)
             for name, pos in columns
@@ -130,8 +148,10 @@ def read_cells(cells: DataFrame, layout: SheetRange) -> DataFrame:
             if name in layout.zero_markers
         ),
     )
+    distinct = reduce(add, (F.bit_count(f"_seen{word}") for word in words))
+    repeated = F.raise_error(F.lit(f"{layout.table}: two records for one cell")).cast("string")
     picked = picked.select(
-        "workbook",
+        F.when(F.col("_cells") > distinct, repeated).otherwise(F.col("workbook")).alias("workbook"),
         "row",
         *(
             layout.typed(name, F.col(name)).alias(name)
@@ -143,6 +163,12 @@ def read_cells(cells: DataFrame, layout: SheetRange) -> DataFrame:
     return _finish(picked, layout)
 
 
+def _seen_columns(word: int) -> Column:
+    """A bit for every column met among the ``word``-th 62 columns of a sheet."""
+    bit = F.expr(f"shiftleft(1L, cast(col - {62 * word} as int))")
+    return F.bit_or(F.when(F.floor(F.col("col") / 62) == word, bit).otherwise(F.lit(0).cast("long")))
+
+
 def rows_to_cells(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.posexplode("cells").alias("col", "value"))
 
@@ -174,7 +200,21 @@ def header_names(rows: DataFrame, layout: SheetRange, workbook: str) -> tuple[st
     )
     if found is None:
         raise ValueError(f"{layout.table}: no header row in {workbook}")
-    return tuple(found)
+    return unique_names(found)
+
+
+def unique_names(names: Sequence[str | None]) -> tuple[str, ...]:
+    """Header names as a workbook reader makes them unique: a repeated name gets ``.1``, ``.2`` and
+    so on, a blank one stands for its position."""
+    out: list[str] = []
+    for place, name in enumerate(names):
+        name = name or f"Unnamed: {place}"
+        taken, number = name, 0
+        while taken in out:
+            number += 1
+            taken = f"{name}.{number}"
+        out.append(taken)
+    return tuple(out)
 
 
 def until_blank(df: DataFrame, by: Sequence[str], order: str, key: Column) -> DataFrame:
@@ -197,90 +237,63 @@ def until_blank(df: DataFrame, by: Sequence[str], order: str, key: Column) -> Da
     )
 
 
-NO_DATE = "0001-01-01"
-PLACES = "sheet_no int, col int, block int, `table` string, series_id string, marker string"
-BLOCKS = (
-    "sheet string, sheet_no int, width int, blocks array<struct<first_row: bigint, date_pos: int, date_reader: string, "
-    "freq_pos: int, required: array<int>>>"
+SHEETS = (
+    "sheet string, blocks array<struct<workbook: string, `table`: string, first_row: bigint, date_pos: int, "
+    "date_reader: string, freq_pos: int, required: array<int>, series: array<struct<pos: int, name: string, marker: string>>>>"
 )
 
 
-def _layout_tables(layouts: Sequence[SheetRange]) -> tuple[list[tuple], list[tuple]]:
-    """The layouts as records: the blocks of each sheet and the place of each series."""
+def _layout_table(layouts: Sequence[SheetRange]) -> list[tuple]:
+    """The layouts as records: per sheet its blocks, each with the places of its series."""
     blocks: dict[str, list[tuple]] = {}
-    numbers_of = {sheet: n for n, sheet in enumerate(sorted({one.sheet for one in layouts}))}
-    places = []
     for one in layouts:
         columns = dict(one.columns())
-        mine = blocks.setdefault(one.sheet, [])
-        for name, pos in columns.items():
-            if name != one.date_column and name not in one.text_columns:
-                marker = one.zero_markers.get(name)
-                places.append((numbers_of[one.sheet], pos, len(mine), one.table, name, marker))
+        series = [
+            (pos, name, one.zero_markers.get(name))
+            for name, pos in columns.items()
+            if name != one.date_column and name not in one.text_columns
+        ]
         required = [columns[name] for name in one.required]
-        date_pos = columns[one.date_column]
-        mine.append((one.first_row, date_pos, one.date_reader, columns.get("tipoSerie"), required))
-    width = {sheet: 0 for sheet in blocks}
-    for one in layouts:
-        width[one.sheet] = max(width[one.sheet], column_index(one.last_col) + 1)
-    return [(sheet, numbers_of[sheet], width[sheet], mine) for sheet, mine in blocks.items()], places
+        blocks.setdefault(one.sheet, []).append(
+            (
+                one.workbook, one.table, one.first_row, columns[one.date_column], one.date_reader,
+                columns.get("tipoSerie"), required, series,
+            )
+        )
+    return list(blocks.items())
 
 
 def read_observations(rows: DataFrame, layouts: Sequence[SheetRange]) -> DataFrame:
     """All ranges at once, in long form: one scan of the landing table, no shuffle.
 
-    The layouts become two tables of at most some hundred records: the blocks of a sheet
-    and the series of a column. Dates are read once per row and block, then the cells
-    are exploded and matched to their series. Output: workbook, table, series_id,
-    obs_date, freq, value; rows without a date are left out.
+    The layouts become one small table: the blocks of a sheet with their series. A row meets the blocks
+    of its sheet, those it lies in read their date once, and only the places of their series become
+    records. Output: workbook, table, series_id, obs_date, freq, value; rows without a date are left out.
     """
-    spark = rows.sparkSession
-    blocks, places = _layout_tables(layouts)
-    block_table = F.broadcast(spark.createDataFrame(blocks, BLOCKS))
-    place_table = F.broadcast(spark.createDataFrame(places, PLACES))
+    table = F.broadcast(rows.sparkSession.createDataFrame(_layout_table(layouts), SHEETS))
     readers = sorted({one.date_reader for one in layouts})
-
-    def date_of(block: Column) -> Column:
-        cell = F.get("cells", block["date_pos"])
-        read = F.coalesce(
-            *(F.when(block["date_reader"] == name, DATE_READERS[name](cell)) for name in readers)
-        )
-        present = F.forall(block["required"], lambda pos: F.get("cells", pos).isNotNull())
-        return F.when((F.col("row") >= block["first_row"]) & present, read)
-
-    missing = F.col("width") - F.size("cells")
-    # Two steps: what shares a select with an explode is computed once per exploded record.
-    dated = rows.join(block_table, "sheet").select(
-        "workbook",
-        "sheet_no",
-        # Blank cells at the end of a row may be missing; they are null observations.
-        F.when(missing > 0, F.concat("cells", F.array_repeat(F.lit(None).cast("string"), missing)))
-        .otherwise(F.col("cells"))
-        .alias("cells"),
-        F.transform("blocks", date_of).alias("_dates"),
-        F.transform("blocks", lambda block: F.get("cells", block["freq_pos"])).alias("_freqs"),
-    )
-    exploded = dated.select(
-        "workbook", "sheet_no", "_dates", "_freqs", F.posexplode("cells").alias("col", "_cell")
+    inside = lambda block: (
+        (F.col("row") >= block["first_row"])
+        & F.coalesce(F.col("workbook").startswith(block["workbook"]), F.lit(True))
+        & F.forall(block["required"], lambda pos: F.get("cells", pos).isNotNull())
     )
-    cell, marker = F.col("_cell"), F.col("marker")
-    value = F.when(marker.isNotNull() & (cell.isNull() | (cell == marker)), F.lit(0.0)).otherwise(
-        numbers.to_number(cell)
-    )
-    obs_date = F.get("_dates", F.col("block"))
-    no_date = F.lit(NO_DATE).cast("date")
-    # ``coalesce`` keeps the optimizer from inferring "_dates is not null" and pushing that
-    # below the explode, where all dates would be read a second time.
-    dated_only = F.coalesce(obs_date, no_date) != no_date
-    return (
-        exploded.join(place_table, ["sheet_no", "col"])
-        .filter(dated_only)
-        .select(
-            "workbook",
-            "table",
-            "series_id",
-            obs_date.alias("obs_date"),
-            F.get("_freqs", F.col("block")).alias("freq"),
-            value.alias("value"),
-        )
+    met = rows.join(table, "sheet").select("workbook", "cells", F.explode(F.filter("blocks", inside)).alias("block"))
+    cell = F.get("cells", F.col("block.date_pos"))
+    obs_date = F.coalesce(*(F.when(F.col("block.date_reader") == name, DATE_READERS[name](cell)) for name in readers))
+    dated = met.select("workbook", "cells", "block", obs_date.alias("obs_date")).filter(F.col("obs_date").isNotNull())
+    found = dated.select(
+        "workbook",
+        F.col("block.table").alias("table"),
+        "obs_date",
+        F.get("cells", F.col("block.freq_pos")).alias("freq"),
+        # blank cells at the end of a row may be missing; they are null observations
+        F.inline(
+            F.transform(
+                "block.series",
+                lambda one: F.struct(one["name"].alias("series_id"), one["marker"].alias("_marker"), F.get("cells", one["pos"]).alias("_cell")),
+            )
+        ),
     )
+    cell, marker = F.col("_cell"), F.col("_marker")
+    value = F.when(marker.isNotNull() & (cell.isNull() | (cell == marker)), F.lit(0.0)).otherwise(numbers.to_number(cell))
+    return found.select("workbook", "table", "series_id", "obs_date", "freq", value.alias("value"))

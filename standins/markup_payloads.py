@@ -213,7 +213,10 @@ def q1_spot_payloads(spark, folder):
         F.lit(1).alias("representativity"),
     )
     bodies = per_day.select(
-        "user_id", F.to_json(F.array(quote("CCL", "a"), quote("CCL3", "b"), quote("MEP", "c"))).alias("body")
+        "user_id",
+        F.to_json(
+            F.struct(F.array(quote("CCL", "a"), quote("CCL3", "b"), quote("MEP", "c")).alias("data"))
+        ).alias("body"),
     )
     spots = exchange.spot_records(bodies, "body", ["user_id"])
     return exchange.consolidated_rate(spots, by=["user_id"])
@@ -268,21 +271,19 @@ FROM events
 
 
 def t4_instrument(spark, folder):
-    """Rendered forex tables, with the looser title pattern."""
+    """Rendered forex tables, with the looser form of titles."""
     pages = table(spark, folder, "events").select(
         "event_id", _page([_td(_instrument(), F.col("event_type"))], "forex", ["Instrumento"]).alias("html")
     )
     return exchange.forex_screen(pages, "html", ["event_id"], ["Instrumento", "rueda"], "forex")
 
 
-_GROUP = "nullif(regexp_extract(i, '{}', {}), '')"
 T4_SQL = f"""
-WITH e AS (SELECT event_id, {_TITLE} AS i, event_type AS rueda, event_id % 13 <> 0 AS hit FROM events)
-SELECT event_id, i AS "Instrumento", rueda, {_GROUP.format(exchange.SCREEN_PATTERN, 1)} AS "currencyOut",
-  {_GROUP.format(exchange.SCREEN_PATTERN, 2)} AS "currencyIn",
-  {_GROUP.format(exchange.SCREEN_PATTERN, 3)} AS settle,
-  CAST(try_strptime({_GROUP.format(exchange.SCREEN_PATTERN, 4)}, '%d%m%y') AS DATE) AS "settleDate"
-FROM e
+SELECT event_id, {_TITLE} AS "Instrumento", event_type AS rueda,
+  {_MATCHED.format("'USD'")} AS "currencyOut", {_MATCHED.format("'ARS'")} AS "currencyIn",
+  {_MATCHED.format("lpad(CAST(event_id % 4 AS VARCHAR), 3, '0')")} AS settle,
+  {_MATCHED.format("CAST(ts AS DATE)")} AS "settleDate"
+FROM events
 """
 
 # --- paged endpoints ----------------------------------------------------------------------------
@@ -291,6 +292,8 @@ ENDPOINTS = {
     "click": "id bigint, precio double",
     "view": "id bigint, precio double, plazo int",
     "purchase": "id bigint, moneda string",
+    "error": "id bigint, precio double, moneda string",
+    "signup": "id bigint",
 }
 
 
@@ -321,10 +324,10 @@ def q16_trades(spark, folder):
 
 Q16_SQL = """
 SELECT DATE '2024-06-03' AS date, event_type AS endpoint, event_id AS id,
-  CASE WHEN event_type <> 'purchase' THEN value END AS precio,
+  CASE WHEN event_type IN ('click', 'view', 'error') THEN value END AS precio,
   CASE WHEN event_type = 'view' THEN CAST(user_id % 3 AS INTEGER) END AS plazo,
-  CASE WHEN event_type = 'purchase' THEN 'ARS' END AS moneda
-FROM events WHERE event_type IN ('click', 'view', 'purchase')
+  CASE WHEN event_type IN ('purchase', 'error') THEN 'ARS' END AS moneda
+FROM events
 """
 
 
@@ -341,6 +344,26 @@ HAVING count(DISTINCT event_id % 4) <> CASE WHEN event_type = 'purchase' THEN 1
 """
 
 
+def _cut_pages(spark, folder) -> DataFrame:
+    """Landed pages of two run dates; every seventh body was cut off, some are missing."""
+    pages = _trade_pages(spark, folder).withColumn("run_date", F.lit("2024-06-03").cast("date"))
+    key = F.get_json_object("body", "$.data[0].id").cast("bigint")
+    cut = F.when(key % 7 == 0, F.left("body", F.length("body") - 9)).when(key % 11 == 0, F.lit(None)).otherwise(F.col("body"))
+    return pages.select("endpoint", "page", "run_date", key.alias("id"), cut.alias("body"))
+
+
+def q16_unreadable_pages(spark, folder):
+    """The pages whose records are lost, and why; the others give all their records."""
+    return records.unreadable(_cut_pages(spark, folder), "body", ["endpoint", "page", "id"])
+
+
+Q16_UNREADABLE_SQL = """
+SELECT event_type AS endpoint, CAST(event_id % 4 + 1 AS INTEGER) AS page, event_id AS id,
+  CASE WHEN event_id % 7 = 0 THEN 'no records' ELSE 'missing' END AS reason
+FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0
+"""
+
+
 def q2_rate_payloads(spark, folder):
     """Rate payloads whose body is the record array, dated with the run date."""
     record = F.struct(
@@ -373,4 +396,5 @@ QUERIES = {
     "t4_instrument": (t4_instrument, T4_SQL),
     "q16_trades": (q16_trades, Q16_SQL),
     "s5_page_gaps": (s5_page_gaps, S5_GAPS_SQL),
+    "q16_unreadable_pages": (q16_unreadable_pages, Q16_UNREADABLE_SQL),
 }

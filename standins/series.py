@@ -190,7 +190,9 @@ SELECT series_id, obs_date, round(value, 2) AS value,
 FROM monthly
 """
 
-WIDE_ITEMS = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "5-LOW": "low"}
+WIDE_ITEMS = {
+    "1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "open", "5-LOW": "low"
+}
 
 
 def p8_named_variations(spark, folder):
@@ -461,14 +463,14 @@ WHERE CAST(o_orderdate AS DATE) >
 
 
 def j6_combine_tables(spark, folder):
-    """Clicks first, views where a user has no click that day."""
-    per_day = lambda kind: (
+    """Clicks first, the other events where a user has no click that day."""
+    per_day = lambda clicks: (
         table(spark, folder, "events")
-        .filter(F.col("event_type") == kind)
+        .filter((F.col("event_type") == "click") == F.lit(clicks))
         .groupBy("user_id", F.to_date("ts").alias("date"))
         .agg(F.avg("value").alias("value"))
     )
-    both = joins.combine_first(per_day("click"), per_day("view"), ["user_id", "date"], ["value"])
+    both = joins.combine_first(per_day(True), per_day(False), ["user_id", "date"], ["value"])
     return rounded(both, {"value": 6})
 
 
@@ -476,7 +478,7 @@ J6_SQL = """
 WITH c AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS v FROM events
            WHERE event_type = 'click' GROUP BY 1, 2),
      v AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS v FROM events
-           WHERE event_type = 'view' GROUP BY 1, 2)
+           WHERE event_type <> 'click' GROUP BY 1, 2)
 SELECT coalesce(c.user_id, v.user_id) AS user_id, coalesce(c.date, v.date) AS date,
        round(coalesce(c.v, v.v), 6) AS value
 FROM c FULL JOIN v ON c.user_id = v.user_id AND c.date = v.date

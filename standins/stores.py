@@ -110,13 +110,47 @@ FROM orders WHERE year(o_orderdate) < 2001
 def s11_bulk_insert(spark, folder):
     """Insert, replace, insert again: the first rows are gone."""
     orders, path = _orders(spark, folder), scratch_path(spark, "bulk")
-    load.insert_many(orders.filter("prioridad = '1-URGENT'"), path)
-    load.insert_many(orders.filter("prioridad = '2-HIGH'"), path, replace=True)
-    load.insert_many(orders.filter("prioridad = '5-LOW'"), path)
+    load.insert_many(orders.withColumn("monto", F.lit(0.0)), path)
+    load.insert_many(orders.filter("prioridad <= '2-HIGH'"), path, replace=True)
+    load.insert_many(orders.filter("prioridad > '2-HIGH'"), path)
     return spark.read.schema(orders.schema).parquet(path)
 
 
-S11_SQL = f"SELECT {_COLUMNS} FROM orders WHERE o_orderpriority IN ('2-HIGH', '5-LOW')"
+S11_SQL = f"SELECT {_COLUMNS} FROM orders"
+
+
+def s10_replace_day(spark, folder):
+    """All days are stored, one is restated twice; an empty batch changes nothing."""
+    path = scratch_path(spark, "days")
+    orders = table(spark, folder, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
+        F.sum(whole("o_totalprice")).alias("monto")
+    )
+    load.append(orders, path, ["date"])
+    restated = orders.filter("date = '1995-03-15'").withColumn("monto", F.col("monto") + 1)
+    for _ in range(2):
+        load.load(restated, path, "replace_day", day="1995-03-15")
+    try:
+        load.load(restated.limit(0), path, "replace_day", day="1995-03-16")
+    except ValueError:
+        pass
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+S10_DAY_SQL = f"""
+SELECT {DAY} AS date, CAST(sum({TOTAL}) + CASE WHEN {DAY} = DATE '1995-03-15' THEN 1 ELSE 0 END AS BIGINT) AS monto
+FROM orders GROUP BY 1
+"""
+
+
+def f13_first_load_floor(spark, folder):
+    """The first load of a table obeys the floor and leaves rows without a date out."""
+    path = scratch_path(spark, "floor")
+    orders = _orders(spark, folder).withColumn("date", F.when(F.col("o_orderkey") % 5 != 0, F.col("date")))
+    load.load(orders, path, "append_new", floor="1995-01-01")
+    return spark.read.schema(orders.schema).parquet(path)
+
+
+F13_FLOOR_SQL = f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey % 5 <> 0 AND {DAY} > DATE '1995-01-01'"
 
 
 def s12_create_table(spark, folder):
@@ -369,6 +403,8 @@ QUERIES = {
     "s8_overwrite": (s8_overwrite, S8_SQL),
     "s9_truncate_append": (s9_truncate_append, S9_SQL),
     "s10_replace_slice": (s10_replace_slice, S10_SQL),
+    "s10_replace_day": (s10_replace_day, S10_DAY_SQL),
+    "f13_first_load_floor": (f13_first_load_floor, F13_FLOOR_SQL),
     "s11_bulk_insert": (s11_bulk_insert, S11_SQL),
     "s12_create_table": (s12_create_table, S12_SQL),
     "s13_snapshot": (s13_snapshot, S13_SQL),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslake.functions import dates, numbers, text
+from serieslake.plans import exchange
 
 
 def values(spark, inputs, expression, kind="string"):
@@ -126,3 +127,33 @@ def test_time_of_day(spark):
 def test_days_between_backwards_is_empty(spark):
     df = spark.createDataFrame([(dt.date(2024, 1, 3), dt.date(2024, 1, 1))], "a date, b date")
     assert df.select(dates.days_between(F.col("a"), F.col("b"))).head()[0] == []
+
+
+def test_odd_dates_serials_numbers_and_titles(spark):
+    def one(column, **values):
+        row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double'}" for k, v in values.items()))
+        return row.select(column).first()[0]
+
+    day = dt.date(2024, 1, 2)
+    for text_, want in {
+        "2024-01-02T00:00:00": day, "2024-01-02 00:00:00.000": day, "2024-01-02T10:20Z": day, "2024-01-02 25:00:00": None, "2024-01-02x": None
+    }.items():
+        assert one(dates.parse_iso(F.col("x")), x=text_) == want
+    assert one(dates.from_serial(F.col("x")), x=99999999999.0) is None
+    assert one(dates.from_serial(F.col("x")), x=20240110.0) is None
+    assert one(dates.from_serial(F.col("x")), x=45293.5) == day
+    for text_, want in {"1d": None, "2f": None, "Infinity": None, "-inf": None, "NaN": None, "0x1p3": None, " 1.5e3 ": 1500.0}.items():
+        assert one(numbers.to_number(F.col("x")), x=text_) == want
+    assert one(numbers.daily_effective_rate(F.col("x"), F.lit(400)), x=-1.0) is None
+    assert one(text.extract_groups(F.col("x"), r"(\d+)", ["n"])[0], x="no digits here") is None
+    assert one(text.extract_groups(F.col("x"), r"a(\d+)|b", ["n"])[0], x="xa12y") == "12"
+
+    def parts(read, title):
+        df = spark.createDataFrame([(title,)], "x string").select(*read(F.col("x")))
+        return tuple(df.first())
+
+    assert parts(exchange.title_parts, "USD / ARS 000 150324") == ("USD", "ARS", "000", "150324")
+    assert parts(exchange.title_parts, "USD/ARS024150324 ") == ("USD", "ARS", "024", "150324")
+    assert parts(exchange.title_parts, "sin formato") == (None,) * 4
+    assert parts(exchange.screen_parts, "USD MEP / ARS A01 150324") == ("USD MEP", "ARS", "A01", "150324")
+    assert parts(exchange.screen_parts, "DLR ARS 000 150324") == ("DLR", "ARS", "000", "150324")

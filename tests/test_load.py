@@ -86,10 +86,54 @@ def test_replace_slice_is_idempotent_and_drops_stale_years(spark, path):
         assert stored(spark, path, schema) == [
             ("a", day(1, 2021), 2021.0, 2021), ("a", day(2, 2023), 1.0, 2023),
         ]
-    assert load.replace_slice(batch(spark, []), path, 2022).rows == 0
+    with pytest.raises(quality.BatchRejected):  # an empty batch would wipe the years
+        load.replace_slice(batch(spark, []), path, 2022)
+    assert len(stored(spark, path, schema)) == 2
+    assert load.replace_slice(batch(spark, []), path, 2022, minimum_rows=0).rows == 0
     assert stored(spark, path, schema) == [("a", day(1, 2021), 2021.0, 2021)]
 
 
+def test_empty_batches_do_not_wipe_a_table(spark, path):
+    load.overwrite(batch(spark, [("a", day(1), 1.0)]), path)
+    with pytest.raises(quality.BatchRejected):
+        load.overwrite(batch(spark, []), path)
+    assert len(stored(spark, path)) == 1
+    assert load.overwrite(batch(spark, []), path, minimum_rows=0).rows == 0
+    assert stored(spark, path) == []
+
+
+def test_driver_lost_within_a_swap(spark, path, monkeypatch):
+    """The table is gone between the two renames; the next load brings it back first."""
+    load.overwrite(batch(spark, [("a", day(1), 1.0)]), path)
+    rename, calls = load._rename, []
+
+    def lost(*args):
+        calls.append(args)
+        if len(calls) > 1:
+            raise KeyboardInterrupt
+        rename(*args)
+
+    monkeypatch.setattr(load, "_rename", lost)
+    with pytest.raises(KeyboardInterrupt):
+        load.overwrite(batch(spark, [("b", day(2), 2.0)]), path)
+    monkeypatch.undo()
+    assert not load.exists(spark, path)
+    assert load.append_new(batch(spark, [("a", day(1), 9.0), ("c", day(3), 3.0)]), path).rows == 1
+    assert stored(spark, path) == [("a", day(1), 1.0), ("c", day(3), 3.0)]
+
+
+def test_replace_day(spark, path):
+    load.append(batch(spark, [("a", day(1), 1.0), ("a", day(2), 2.0)]), path, ["date"])
+    schema = "s string, x double, date date"
+    for _ in range(2):
+        assert load.replace_day(batch(spark, [("b", day(2), 5.0)]), path, "2024-01-02").rows == 1
+    assert stored(spark, path, schema) == [("a", 1.0, day(1)), ("b", 5.0, day(2))]
+    with pytest.raises(quality.BatchRejected):
+        load.replace_day(batch(spark, []), path, "2024-01-02")
+    with pytest.raises(Exception, match="row not dated"):
+        load.replace_day(batch(spark, [("b", day(3), 5.0)]), path, "2024-01-02")
+
+
 @pytest.mark.parametrize("date", [day(1, 2020), None])
 def test_replace_slice_refuses_rows_outside(spark, path, date):
     load.replace_slice(batch(spark, [("a", day(1), 1.0)]), path, 2024)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from serieslake.operators import joins, series
+from serieslake.operators import joins, reshape, series
 
 
 def day(n):
@@ -163,3 +163,27 @@ def test_null_dates_never_match(spark):
     a = spark.createDataFrame([(None, 1.0), (day(1), 2.0)], "date date, a double")
     b = spark.createDataFrame([(None, 3.0), (day(1), 4.0)], "date date, b double")
     assert [tuple(r) for r in joins.on_date(a, b).collect()] == [(day(1), 2.0, 4.0)]
+
+
+def test_every_markup_has_its_columns(spark):
+    rows = [("a", dt.date(2024, 1, n), 0.4, 1) for n in (1, 2, 4)]
+    df = spark.createDataFrame(rows, "s string, date date, vwap double, daysToMaturity int")
+    found = series.compounded_index(df, ["s"], "date", "vwap", "daysToMaturity", markups=(0.0, 0.03, 0.05, 0.1))
+    assert {"ted", "ted2", "ted3", "ted4", "cap", "cap1", "cap2", "cap3"} <= set(found.columns)
+    assert found.count() == 4
+
+
+def test_repeated_positions_fail(spark):
+    df = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1.0, 1), ("a", dt.date(2024, 1, 1), 2.0, 1)], "s string, date date, v double, t int")
+    with pytest.raises(Exception, match="two rows"):
+        series.ordinal(df, ["s"], ["date"], "n").collect()
+    with pytest.raises(Exception, match="two rows"):
+        series.compounded_index(df, ["s"], "date", "v", "t").count()
+
+
+def test_pivot_refuses_unlisted_items_and_hidden_duplicates(spark):
+    df = spark.createDataFrame([("d", "x", 1.0), ("d", "y", 2.0), ("d", "y", 3.0)], "d string, k string, v double")
+    with pytest.raises(Exception, match="duplicate pivot cell"):
+        reshape.pivot_unique(df, ["d"], "k", ["x", "y"], "v").select("d", "x").collect()
+    with pytest.raises(Exception, match="not listed"):
+        reshape.pivot_unique(df.filter("v < 3"), ["d"], "k", ["x"], "v").collect()

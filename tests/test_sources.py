@@ -102,7 +102,7 @@ def test_price_sheet_read_sideways(spark):
     for col, (month, base) in enumerate([("2016-12-01", 100.0), ("2017-01-01", 110.0)], start=1):
         cells.append(("w", "2", rows_of[0], col, month))
         cells += [("w", "2", r, col, str(base + i)) for i, r in enumerate(rows_of[1:])]
-        cells.append(("w", "2", rows_of[14] + 1, col, "note"))
+        cells.append(("w", "2", 28, col, "note"))  # a row that is not read
     df = spark.createDataFrame(cells, "workbook string, sheet string, row bigint, col int, value string")
     wide = prices.price_index(df).orderBy("date").collect()
     assert len(wide) == 2 and len(wide[0]) == 2 + 252
@@ -112,6 +112,37 @@ def test_price_sheet_read_sideways(spark):
     assert [r.level for r in long.collect()] == [225.0, 235.0]
 
 
+def test_two_records_for_one_cell_fail(spark):
+    schema = "workbook string, sheet string, row bigint, col int, value string"
+    layout = sheets.SheetRange("t", "S", "A", "B", 1, ("date", "x"))
+    cells = [("w", "S", 1, 0, "2024-01-02T00:00:00"), ("w", "S", 1, 1, "5")]
+    assert sheets.read_cells(spark.createDataFrame(cells, schema), layout).first()["date"] == dt.date(2024, 1, 2)
+    with pytest.raises(Exception, match="two records for one cell"):
+        sheets.read_cells(spark.createDataFrame([*cells, ("w", "S", 1, 1, "4")], schema), layout).collect()
+
+
+def test_repeated_headers_keep_their_series(spark):
+    assert sheets.unique_names(["date", "x", "x", None, "x"]) == ("date", "x", "x.1", "Unnamed: 3", "x.2")
+    with pytest.raises(ValueError, match="stands twice"):
+        sheets.SheetRange("t", "S", "A", "C", 1, ("date", "x", "x")).columns()
+
+
+def test_one_landing_table_of_many_workbooks(spark):
+    line = ["", "", "1", "2", "3", "4", "5", "6"]
+    data = [("EMAE_06_24", "0", 5, line), ("EMAE_07_24", "0", 5, line), ("ITCRM", "0", 5, ["2024-01-02", *line[2:], *line[2:], "7", "8", "9"])]
+    df = spark.createDataFrame(data, "workbook string, sheet string, row bigint, cells array<string>")
+    assert {r.workbook for r in activity.activity_index(df, workbook="EMAE").collect()} == {"EMAE_06_24", "EMAE_07_24"}
+    assert activity.activity_index(df, workbook="EMAE_06").count() == 1
+    assert [r.workbook for r in activity.real_exchange_rate(df, workbook="ITCRM").collect()] == ["ITCRM"]
+
+
+def test_lines_with_more_cells_than_names_fail(spark):
+    page = "<table class='table-custom'><tr>" + "<td>1" * 10 + "</table>"
+    df = spark.createDataFrame([("01/02/2024", page)], "date string, html string")
+    with pytest.raises(Exception, match="more than 9 cells"):
+        prices.livestock_prices(df, "html", "date").collect()
+
+
 PAGE = """<html><table class="other"><tr><td>no</td></tr></table>
 <TABLE id=x class='a table-custom b'><thead><tr><th>Uno</th><th>Dos</th></tr></thead>
 <tr><td> <b>1</b> </td><td>x &amp; &lt;y&gt;</td></tr><tr><td>2<td>z</table></html>"""
