@@ -5,9 +5,9 @@ landed sheets, payloads, pages or series, over whole tables, and then calls the
 SQL next to a query states the expected result straight from the tables.
 """
 
-from standins import markup_payloads, scalars, series, sheets, stores, tabular
+from standins import jobs, markup_payloads, scalars, series, sheets, stores, tabular
 
-MODULES = (series, tabular, scalars, sheets, markup_payloads, stores)
+MODULES = (series, tabular, scalars, sheets, markup_payloads, stores, jobs)
 
 
 def registered() -> dict:

@@ -239,8 +239,7 @@ def _instrument() -> Column:
     )
 
 
-def q7_forex(spark, folder):
-    """Forex payloads, titles taken apart; some titles do not match."""
+def forex_payloads(spark, folder) -> DataFrame:
     record = F.struct(
         F.date_format("ts", "yyMMdd").alias("Fecha"),
         _instrument().alias("Titulo"),
@@ -249,10 +248,14 @@ def q7_forex(spark, folder):
         F.col("value").cast("string").alias("Cotizacion"),
         F.date_format("ts", "HH:mm:ss").alias("Hora"),
     )
-    payloads = table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
         "event_id", F.to_json(F.struct(F.array(record).alias("data"))).alias("body")
     )
-    return exchange.forex_quotes(payloads, "body", ["event_id"])
+
+
+def q7_forex(spark, folder):
+    """Forex payloads, titles taken apart; some titles do not match."""
+    return exchange.forex_quotes(forex_payloads(spark, folder), "body", ["event_id"])
 
 
 _TITLE = (
@@ -297,7 +300,7 @@ ENDPOINTS = {
 }
 
 
-def _trade_pages(spark, folder) -> DataFrame:
+def trade_pages(spark, folder) -> DataFrame:
     """A page per event; each endpoint has fields of its own."""
     record = F.struct(
         F.col("event_id").alias("id"),
@@ -319,7 +322,7 @@ def _trade_pages(spark, folder) -> DataFrame:
 
 
 def q16_trades(spark, folder):
-    return trades.trades(_trade_pages(spark, folder), "body", "2024-06-03", ENDPOINTS)
+    return trades.trades(trade_pages(spark, folder), "body", "2024-06-03", ENDPOINTS)
 
 
 Q16_SQL = """
@@ -333,7 +336,7 @@ FROM events
 
 def s5_page_gaps(spark, folder):
     """Endpoints whose landed pages differ from the announced count (1 when silent)."""
-    return trades.page_gaps(_trade_pages(spark, folder), "body")
+    return trades.page_gaps(trade_pages(spark, folder), "body")
 
 
 S5_GAPS_SQL = """
@@ -346,7 +349,7 @@ HAVING count(DISTINCT event_id % 4) <> CASE WHEN event_type = 'purchase' THEN 1
 
 def _cut_pages(spark, folder) -> DataFrame:
     """Landed pages of two run dates; every seventh body was cut off, some are missing."""
-    pages = _trade_pages(spark, folder).withColumn("run_date", F.lit("2024-06-03").cast("date"))
+    pages = trade_pages(spark, folder).withColumn("run_date", F.lit("2024-06-03").cast("date"))
     key = F.get_json_object("body", "$.data[0].id").cast("bigint")
     cut = F.when(key % 7 == 0, F.left("body", F.length("body") - 9)).when(key % 11 == 0, F.lit(None)).otherwise(F.col("body"))
     return pages.select("endpoint", "page", "run_date", key.alias("id"), cut.alias("body"))

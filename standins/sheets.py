@@ -138,7 +138,7 @@ FROM customer GROUP BY 1
 # --- price index -----------------------------------------------------------------------------
 
 
-def _price_cells(spark, folder) -> DataFrame:
+def price_cells(spark, folder) -> DataFrame:
     """A price workbook per order status: 126 item rows, a column per month."""
     items = len(layouts.price_columns())
     totals = (
@@ -170,9 +170,11 @@ def _price_cells(spark, folder) -> DataFrame:
 
 def q3_price_index(spark, folder):
     """The wide price table, shown in long form: level and variation of every item."""
+    return price_entries(prices.price_index(price_cells(spark, folder)))
+
+
+def price_entries(wide: DataFrame) -> DataFrame:
     names = layouts.price_columns()
-    cells = _price_cells(spark, folder)
-    wide = prices.price_index(cells)
     entry = lambda n: F.struct(
         F.lit(n).alias("series_id"),
         F.col(n).alias("level"),
@@ -204,7 +206,7 @@ FROM padded
 
 def q3_price_observations(spark, folder):
     """The same workbooks without the wide step; only the cells that exist."""
-    long = prices.price_observations(_price_cells(spark, folder))
+    long = prices.price_observations(price_cells(spark, folder))
     return long.select(
         "workbook", "series_id", "obs_date", "level", F.round("variation", 9).alias("variation")
     )
@@ -223,7 +225,7 @@ FROM totals
 # --- activity index, real exchange rate, narrow series ----------------------------------------
 
 
-def q10_activity_index(spark, folder):
+def activity_rows(spark, folder) -> DataFrame:
     """Rows without dates: the line number of an order gives the month."""
     lines = table(spark, folder, "lineitem")
     measures = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
@@ -231,13 +233,16 @@ def q10_activity_index(spark, folder):
     cells = F.array(
         F.lit("margin"), F.lit("margin"), first, *(F.col(m).cast("string") for m in measures[1:])
     )
-    rows = lines.select(
+    return lines.select(
         F.col("l_orderkey").cast("string").alias("workbook"),
         F.lit("0").alias("sheet"),
         (F.col("l_linenumber") + 4).cast("long").alias("row"),
         cells.alias("cells"),
     )
-    return activity.activity_index(rows)
+
+
+def q10_activity_index(spark, folder):
+    return activity.activity_index(activity_rows(spark, folder))
 
 
 _emae = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey"]
@@ -250,7 +255,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS workbook,
 FROM lineitem WHERE l_partkey % 9 <> 0
 """
 
-def _exchange_rows(spark, folder) -> DataFrame:
+def exchange_rows(spark, folder) -> DataFrame:
     """Rate rows; every 40th row is blank, every 33rd a footer text, some numbers are bad."""
     key = F.col("o_orderkey")
     day = F.when(key % 40 == 0, None).when(key % 33 == 0, "Fuente: x").otherwise(iso_day())
@@ -261,11 +266,11 @@ def _exchange_rows(spark, folder) -> DataFrame:
 
 
 def q18_real_exchange(spark, folder):
-    return activity.real_exchange_rate(_exchange_rows(spark, folder))
+    return activity.real_exchange_rate(exchange_rows(spark, folder))
 
 
 def q18_until_blank(spark, folder):
-    return activity.real_exchange_rate(_exchange_rows(spark, folder), stop_at_blank=True)
+    return activity.real_exchange_rate(exchange_rows(spark, folder), stop_at_blank=True)
 
 
 def _q18_columns() -> str:
@@ -291,7 +296,7 @@ WHERE (cut IS NULL OR o_orderkey < cut) AND o_orderkey % 33 <> 0
 """
 
 
-def q19_narrow_series(spark, folder):
+def narrow_rows(spark, folder) -> DataFrame:
     """Three two-column workbooks, each with its own range and first row."""
     key = F.col("o_orderkey")
     day = F.when(key % 10 == 0, "sin dato").otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
@@ -300,8 +305,11 @@ def q19_narrow_series(spark, folder):
     cells = F.when(key % 3 == 0, F.array(F.lit("a"), F.lit("b"), day, amount)).otherwise(
         F.array(day, amount)
     )
-    rows = landed(table(spark, folder, "orders"), book, F.lit("0"), 0, cells)
-    return exchange.narrow_series(rows, layouts.NARROW)
+    return landed(table(spark, folder, "orders"), book, F.lit("0"), 0, cells)
+
+
+def q19_narrow_series(spark, folder):
+    return exchange.narrow_series(narrow_rows(spark, folder), layouts.NARROW)
 
 
 Q19_SQL = f"""
@@ -367,13 +375,17 @@ WHERE o_orderkey >= 10 GROUP BY 1, 2, 3
 """
 
 
-def q11_wide_table(spark, folder):
-    """One of the six as the wide table users query."""
+def monetary_rows(spark, folder) -> DataFrame:
+    """Two of the six sheets."""
     key = F.col("o_orderkey")
     sheet = F.when(key % 2 == 0, "RESERVAS").otherwise("PRESTAMOS")
     cells = cell_numbers(17, p0=iso_day(), p16=F.lit("D"))
-    rows = landed(table(spark, folder, "orders"), F.lit("series"), sheet, 0, cells)
-    return monetary.monetary_tables(rows)["reservas"]
+    return landed(table(spark, folder, "orders"), F.lit("series"), sheet, 0, cells)
+
+
+def q11_wide_table(spark, folder):
+    """One of the six as the wide table users query."""
+    return monetary.monetary_tables(monetary_rows(spark, folder))["reservas"]
 
 
 def _q11_wide_sql() -> str:
@@ -541,7 +553,7 @@ WHERE y >= 2000 OR {DAY} <= make_date(y, 12, 31)
 """
 
 
-def q15_repo_sheet(spark, folder):
+def repo_rows(spark, folder) -> DataFrame:
     key = F.col("o_orderkey")
     day = F.when(key % 12 == 0, "Nota").otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
@@ -550,8 +562,11 @@ def q15_repo_sheet(spark, folder):
     cells = cell_numbers(
         22, p0=day, p1=F.col("o_orderpriority"), p9=stock, p10=F.col("o_orderstatus")
     )
-    rows = landed(table(spark, folder, "orders"), F.lit("pases"), F.lit("0"), 5, cells)
-    return repo.repo_operations(rows)
+    return landed(table(spark, folder, "orders"), F.lit("pases"), F.lit("0"), 5, cells)
+
+
+def q15_repo_sheet(spark, folder):
+    return repo.repo_operations(repo_rows(spark, folder))
 
 
 def _q15_sql() -> str:

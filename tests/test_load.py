@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from serieslake.operators import filters, load, quality
+from serieslake.plans import jobs
 from serieslake.session import scratch_path
+from serieslake.sources import layouts, sheets
 from serieslake.streaming import stream_append_new
 
 
@@ -174,3 +176,18 @@ def test_stream_equals_batch(spark):
     load.append_new(one, direct, by=["s"])
     load.append_new(two, direct, by=["s"])
     assert stored(spark, target) == stored(spark, direct)
+
+
+def test_dashboard_tables_are_checked_before_any_is_replaced(spark, path):
+    width = sheets.column_index("BE") + 1
+    days = {dict(b.columns())["date"] for b in layouts.DASHBOARD_BLOCKS}
+
+    def landing(dates):
+        lines = [("panel", "DATOS | DATA", 40 + n, [d if c in days else str(n) for c in range(width)]) for n, d in enumerate(dates)]
+        return spark.createDataFrame(lines, "workbook string, sheet string, row bigint, cells array<string>")
+
+    done = jobs.run("dashboard", landing(["2024-01-02", "2024-01-03"]), path)
+    assert len(done) == 12 and {r.rows for r in done.values()} == {2}
+    with pytest.raises(quality.BatchRejected, match="primary key"):
+        jobs.run("dashboard", landing(["2024-01-02", "2024-01-02"]), path)
+    assert spark.read.parquet(f"{path}/infomond_tipo_cambio").count() == 2

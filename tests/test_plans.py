@@ -5,12 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from standins import registered
+from standins import jobs, registered, stores
 
 FOLDER = "/root/testdata/sf0.001"
 
 # These write tables while being called; their plan is only the read-back.
-WRITERS = set(__import__("standins.stores", fromlist=["QUERIES"]).QUERIES)
+WRITERS = {*stores.QUERIES, *jobs.QUERIES}
 
 
 def plan_of(df) -> str:
