@@ -1,20 +1,24 @@
 """Rows out of rendered HTML pages.
 
-Markup is read with patterns inside the JVM; missing end tags do no harm. Pages where tags
-stand in comments or scripts need ``parsed_tables``: the standard library's parser in Arrow
-batches.
+Markup is read with patterns inside the JVM; missing end tags do no harm, comments are skipped, and
+character references of every kind are decoded. Heading cells of a body line are cells like the others, and a
+cell that spans columns stands once in each. Pages where tags stand in scripts or attributes
+need ``parsed_tables``: the standard library's parser in Arrow batches, with the same rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The five named entities of plain HTML text; the ampersand goes last.
+from serieslake.session import ship
+
+# The named entities that plain HTML text cannot do without; the ampersand goes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&amp;": "&"}
 
 
@@ -29,9 +33,25 @@ def inner_text(col: Column, up_to: str | None = None) -> Column:
 
 
 def _decoded(col: Column) -> Column:
-    for entity, character in ENTITIES.items():
-        col = F.replace(col, F.lit(entity), F.lit(character))
-    return col
+    """Named and numeric character references as characters, in one pass; others stay as they are."""
+    named = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " "}
+    table = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))
+
+    def decoded(piece: Column) -> Column:
+        name = F.substring_index(piece, ";", 1)
+        code = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,5}$"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
+            name.rlike("^#[0-9]{1,6}$"), F.substr(name, F.lit(2))
+        ).cast("int")
+        # beyond the first plane a character is a pair of code units
+        high, low = 0xD800 + F.shiftright(code - 0x10000, 10), 0xDC00 + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        unit = lambda n: F.lpad(F.hex(n), 4, "0")
+        units = F.when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        character = F.coalesce(F.try_element_at(table, name), F.decode(F.unhex(units), "UTF-16BE"))
+        known = piece.contains(";") & character.isNotNull()
+        return F.when(known, F.concat(character, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(col, "&")
+    return F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), ""))
 
 
 def repeated_items(
@@ -61,24 +81,24 @@ def table_rows(
     Output: ``keep``, table, line, cells ARRAY<STRING> (header lines left out). End tags
     of cells and lines may be missing.
     """
-    texts = _after(F.col(html), "table", keep_tag=True)
+    # comments are no part of the page
+    page = F.when(F.col(html).contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(-->|$)", "")).otherwise(F.col(html))
+    texts = _after(page, "table", keep_tag=True)
     tables = pages.select(*keep, F.posexplode(texts).alias("table", "_table"))
     if css_class:
         tables = tables.filter(
             F.col("_table").rlike(rf"(?i)^[^>]*class\s*=\s*[\"'][^\"']*\b{css_class}\b")
         )
     if headers:
+        # a heading ends at its end tag or at whatever cell or line comes next
         heads = F.transform(
-            F.regexp_extract_all("_table", F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), F.lit(1)),
-            inner_text,
+            _after(F.col("_table"), "th"), lambda head: inner_text(F.split(head, r"(?i)<t[rd]\b|</t", 2)[0])
         )
         wanted = F.array(*(F.lit(h) for h in headers))
         tables = tables.filter(F.size(F.array_except(wanted, heads)) == 0)
     # Lines and cells are cut in one nested expression below a single generator: filters
     # on cells stay above it, and every pattern runs once.
-    lines = F.transform(
-        _after(F.col("_table"), "tr"), lambda line: F.transform(_after(line, "td"), _cell_text)
-    )
+    lines = F.transform(_after(F.col("_table"), "tr"), _line_cells)
     found = tables.select(*keep, "table", F.posexplode(lines).alias("line", "cells"))
     return found.filter(F.size("cells") > 0)
 
@@ -98,6 +118,22 @@ def _after(col: Column, tag: str, keep_tag: bool = False) -> Column:
     return F.slice(pieces, F.lit(2), F.size(pieces))
 
 
+def _line_cells(line: Column) -> Column:
+    """The cells of a line; one without any data cell is a line of headings and has none."""
+    no_cells = F.array().cast("array<string>")
+    cells = F.transform(_after(line, "t[dh]"), _cell_text)
+    # rare, so the attributes are looked at only where one asks for it
+    spanned = F.flatten(F.transform(_after(line, "t[dh]", keep_tag=True), _spanned_cell))
+    return F.when(line.rlike(r"(?i)<td\b"), F.when(line.rlike(r"(?i)\bcolspan\s*="), spanned).otherwise(cells)).otherwise(no_cells)
+
+
+def _spanned_cell(piece: Column) -> Column:
+    """A cell as often as it spans columns."""
+    columns = F.regexp_extract(piece, r"(?i)^[^>]*\bcolspan\s*=\s*[\"']?(\d{1,3})", 1).try_cast("int")
+    text = _cell_text(F.regexp_replace(piece, r"^[^>]*>", ""))
+    return F.array_repeat(text, F.greatest(F.coalesce(columns, F.lit(1)), F.lit(1)))
+
+
 def _cell_text(col: Column) -> Column:
     """Text of a cell up to whichever end tag comes first.
 
@@ -119,12 +155,14 @@ class _TableReader(HTMLParser):
         self.found: list[tuple[int, int, list[str]]] = []
         self.table, self.line = -1, -1
         self.cells: list[str] = []
-        self.open = False
+        self.spans: list[int] = []
+        self.open = self.data = False  # within a cell; a data cell stands in the line
 
     def flush(self) -> None:
-        if self.cells:
-            self.found.append((self.table, self.line, [c.strip() for c in self.cells]))
-        self.cells, self.open = [], False
+        if self.data:
+            cells = [c.replace("\xa0", " ").strip() for c, span in zip(self.cells, self.spans) for _ in range(span)]
+            self.found.append((self.table, self.line, cells))
+        self.cells, self.spans, self.open, self.data = [], [], False, False
 
     def handle_starttag(self, tag, attrs):
         if tag == "table":
@@ -133,16 +171,17 @@ class _TableReader(HTMLParser):
         elif tag == "tr":
             self.flush()
             self.line += 1
-        elif tag == "td":
+        elif tag in ("td", "th"):
             self.cells.append("")
+            span = dict(attrs).get("colspan") or ""
+            self.spans.append(max(int(span), 1) if span.isdigit() and len(span) < 4 else 1)
             self.open = True
-        elif tag == "th":
-            self.open = False
+            self.data |= tag == "td"
 
     def handle_endtag(self, tag):
         if tag in ("tr", "table"):
             self.flush()
-        elif tag == "td":
+        elif tag in ("td", "th"):
             self.open = False
 
     def handle_data(self, data):
@@ -164,6 +203,7 @@ def parsed_tables(pages: DataFrame, html: str, key: str) -> DataFrame:
                 out.extend((page, *row) for row in reader.found)
             yield pd.DataFrame(out, columns=[key, "table", "line", "cells"])
 
+    ship(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, html).mapInPandas(
         read, f"`{key}` {kind}, `table` int, line int, cells array<string>"

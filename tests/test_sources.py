@@ -161,6 +161,17 @@ def test_tables_by_class_and_by_heading(spark):
     assert [tuple(r) for r in parsed.collect()] == expected
 
 
+def test_both_readers_see_headings_spans_references_and_comments(spark):
+    page = (
+        "<table><tr><th>Uno<th>Dos<tr><th>Vaqu&iacute;a &#243;<td>1 &#x2014; &amp;lt;</tr><!-- <tr><td>old<td>2</tr> -->"
+        "<tr><td colspan=2>both&nbsp;x<td>&copy; &unknown; &#128512;</table>"
+    )
+    df = spark.createDataFrame([(1, page)], "id int, html string")
+    expected = [(1, 0, 1, ["Vaquía ó", "1 — &lt;"]), (1, 0, 2, ["both x", "both x", "© &unknown; 😀"])]
+    for found in (markup.table_rows(df, "html", ["id"], headers=["Dos"]), markup.parsed_tables(df, "html", "id")):
+        assert [tuple(r) for r in found.orderBy("line").collect()] == expected
+
+
 def test_livestock_units(spark):
     cells = ["Vacas", "1500,000", "1.600,500", "1550,250", "1555,000", "1.234", "$1.234.567,89", "98.765", "430 kg"]
     line = "".join(f"<td>{c}</td>" for c in cells)
