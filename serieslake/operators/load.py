@@ -17,6 +17,7 @@ of the path (or ``recover``) puts it back. Empty batches are refused unless aske
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -27,7 +28,7 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StructField, Struc
 
 from serieslake.operators import filters, quality
 
-STAGED, PREVIOUS = "__staged-", "__previous-"
+STAGED, PREVIOUS, MARKS = "__staged-", "__previous-", "_marks"
 
 
 @dataclass(frozen=True)
@@ -134,18 +135,58 @@ def append_new(
     floor: str | None = None,
     partition_by: Sequence[str] = (),
 ) -> LoadResult:
-    """Rerunning the same batch adds nothing."""
+    """Rerunning the same batch adds nothing.
+
+    The newest date of each series is kept next to the data (``_marks``), so a round reads the batch and
+    the marks, not the history. Marks count only for the very files they were made for; anything
+    else that wrote to the table makes the next round read it once.
+    """
     spark = df.sparkSession
     recover(spark, path)
+    keys = [*by, date]
     if exists(spark, path):
-        stored = spark.read.schema(_stored_schema(df)).parquet(path)
-        df = filters.newer_than(df, stored, date, by, floor)
+        newest = _read_marks(spark, path, df, keys)
+        df = filters.newer_than(df, newest, date, by, floor)
+        newest = newest.unionByName(df.select(*keys))
     else:
         df = filters.after_floor(df, date, floor)
-    rows = _write(df, path, "append", partition_by)["rows"]
+        newest = df.select(*keys)
+    # written beforehand: afterwards the stored files hold the batch already
+    pending = f"{path}{STAGED}{uuid.uuid4().hex}"
+    try:
+        newest.groupBy(*by).agg(F.max(date).alias(date)).select(*keys).coalesce(1).write.parquet(pending)
+        rows = _write(df, path, "append", partition_by)["rows"]
+        _keep_marks(spark, path, pending, keys)
+    finally:
+        _remove(spark, pending)
     return LoadResult(path, "append_new", rows)
 
 
+def _marks_name(spark: SparkSession, path: str, keys: Sequence[str]) -> str:
+    """Where the marks of the present data files stand: named by the files and the key."""
+    fs, hadoop_path = _files(spark, path)
+    found, files = [], fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if f"/{MARKS}/" not in name:
+            found.append(name.rpartition("/")[2])
+    return hashlib.sha256("\n".join([*keys, "", *sorted(found)]).encode()).hexdigest()
+
+
+def _read_marks(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest date per series, from the marks if they fit the data files, else from the data."""
+    marks = f"{path}/{MARKS}/{_marks_name(spark, path, keys)}"
+    found = marks if exists(spark, marks) else path
+    return spark.read.schema(_stored_schema(df)).parquet(found).select(*keys)
+
+
+def _keep_marks(spark: SparkSession, path: str, pending: str, keys: Sequence[str]) -> None:
+    fs, folder = _files(spark, f"{path}/{MARKS}")
+    fs.delete(folder, True)  # without marks the data are read
+    fs.mkdirs(folder)
+    _rename(spark, pending, f"{path}/{MARKS}/{_marks_name(spark, path, keys)}")
+
+
 def overwrite(
     df: DataFrame,
     path: str,

@@ -38,6 +38,22 @@ def test_append_new_is_strict_and_rerunnable(spark, path):
     assert stored(spark, path) == first + [("a", day(3), 3.0)]
 
 
+def test_second_round_reads_marks_and_no_history(spark, path):
+    rows = [("a", day(1), 1.0), ("b", day(2), 2.0)]
+    load.append_new(batch(spark, rows), path, by=["s"])
+    keys = ["s", "date"]
+    marks = load._read_marks(spark, path, batch(spark, []), keys)
+    assert all("/_marks/" in name for name in marks.inputFiles())
+    assert sorted(map(tuple, marks.collect())) == [("a", day(1)), ("b", day(2))]
+    # rows added in another way make the marks void
+    load.append(batch(spark, [("a", day(7), 7.0)]), path)
+    assert not any("/_marks/" in name for name in load._read_marks(spark, path, batch(spark, []), keys).inputFiles())
+    again = [("a", day(7), 9.0), ("a", day(8), 8.0), ("b", day(2), 0.0), ("c", day(1), 3.0)]
+    assert load.append_new(batch(spark, again), path, by=["s"]).rows == 2
+    assert load.append_new(batch(spark, again), path, by=["s"]).rows == 0
+    assert len(stored(spark, path)) == 5
+
+
 def test_append_new_per_series_with_empty_target_and_floor(spark, path):
     load.create_if_absent(spark, path, batch(spark, []).schema)
     rows = [("a", day(1), 1.0), ("a", day(5), 2.0), ("b", day(3), 3.0), (None, day(9), 4.0)]
