@@ -26,9 +26,9 @@ from serieslake.llm.ftrl import Ftrl
 BITS = 20
 PER_CLASS = (3000, 1500)  # labelled clean and toxic texts that a model is fitted on, at most
 EPOCHS = 6
-LIKELIHOOD = 10.0  # a feature marks toxic texts from this log-likelihood ratio on,
-RATIO = 3.0  # if that many times as large a share of toxic texts has it
-CLEAN_COST = 3.0  # a clean text called toxic weighs as much as so many toxic ones missed
+LIKELIHOOD = 12.0  # a feature marks toxic texts from this log-likelihood ratio on,
+RATIO = 10.0  # if that many times as large a share of toxic texts has it
+CLEAN_COST = 2.0  # a clean text called toxic weighs as much as so many toxic ones missed
 PREFIXES = (4, 5)
 
 
