@@ -24,7 +24,7 @@ import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import models
+from tokenizers import Tokenizer, models
 
 from serieslake.llm.common import with_columns_of_text
 
@@ -36,6 +36,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # str.split() splits at these, too, but they are no white space to the vocabulary
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space as the vocabulary means it
+RARE = re.compile("[^\0-\u017f]")  # letters whose class may differ between versions of Unicode
 _UNSPACED = regex.compile(f"[^{WHITE}]+")
 
 
@@ -61,6 +62,8 @@ class Coder(dict):
         super().__init__()
         with open(path, encoding="utf-8") as file:
             stored = json.load(file)
+        library = Tokenizer.from_file(path)
+        self._normalizer, self._pre_tokenizer = library.normalizer, library.pre_tokenizer
         vocabulary, merges = stored["model"]["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in stored["model"]["merges"]]
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.token = {i: t for t, i in {**vocabulary, **self.special}.items()}
@@ -80,18 +83,20 @@ class Coder(dict):
         cuts = [i for i in range(1, len(word)) if (word[i - 1], word[i]) not in self.neighbours]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
+    def _encode_letters(self, letters: str) -> bytes:
+        """The ids of a word in byte letters, fragment by fragment."""
+        if self.neighbours.issuperset(zip(letters, letters[1:])):
+            found = [t.id for t in self._ending.tokenize(letters)]
+        else:
+            *inner, last = self.fragments(letters)
+            found = [t.id for f in inner for t in self._inner.tokenize(f)] + [t.id for t in self._ending.tokenize(last)]
+        return array("I", found).tobytes()
+
     def _encode_word(self, word: str) -> bytes:
         ids = self._encoded.get(word)
         if ids is None:
-            letters = word
-            if not (word.isascii() and word.isprintable()):
-                letters = word.encode().decode("latin-1").translate(self._letters)
-            if self.neighbours.issuperset(zip(letters, letters[1:])):
-                found = [t.id for t in self._ending.tokenize(letters)]
-            else:
-                *inner, last = self.fragments(letters)
-                found = [t.id for f in inner for t in self._inner.tokenize(f)] + [t.id for t in self._ending.tokenize(last)]
-            ids = array("I", found).tobytes()
+            plain = word.isascii() and word.isprintable()
+            ids = self._encode_letters(word if plain else word.encode().decode("latin-1").translate(self._letters))
             if len(self._encoded) >= CACHED:
                 self._encoded.clear()
             self._encoded[word] = ids
@@ -108,10 +113,12 @@ class Coder(dict):
             parts = self._split_special.split(chunk)
             return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self.encode_chunk(p) for p in parts if p)
         if not chunk.isascii():
+            if RARE.search(chunk):
+                # what counts as a letter depends on the library's Unicode tables
+                pieces = self._pre_tokenizer.pre_tokenize_str(self._normalizer.normalize_str(chunk))
+                return b"".join(self._encode_letters(letters) for letters, _ in pieces)
             chunk = unicodedata.normalize("NFC", chunk)
-        # letter by letter, as the library lowers them: no final sigma
-        low = "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
-        return b"".join(map(self._encode_word, self._words.findall(low)))
+        return b"".join(map(self._encode_word, self._words.findall(chunk.lower())))
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode_chunk(chunk)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from serieslake.llm.bpe import WHITE, byte_letters, vocabulary_path
+from serieslake.llm.bpe import RARE, WHITE, byte_letters, vocabulary_path
 from serieslake.llm.common import text_of
 from serieslake.session import ship
 
@@ -43,7 +43,7 @@ class Pieces:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self._model = tokenizer.model
+        self._model, self._pre_tokenizer = tokenizer.model, tokenizer.pre_tokenizer
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, special)))
         self._marks = special
@@ -60,6 +60,8 @@ class Pieces:
     def pretokens(self, chunk: str) -> list[str]:
         if chunk.isascii() and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
             return [chunk]
+        if RARE.search(chunk):
+            return [chunk[a:b] for _, (a, b) in self._pre_tokenizer.pre_tokenize_str(chunk)]
         return self._pattern.findall(chunk)
 
     def count(self, pretoken: str) -> int:
