@@ -105,16 +105,18 @@ def components(edges: DataFrame) -> DataFrame:
     node with very many links is merged before the shuffle. Rounds grow with the logarithm of
     the longest chain; each one ends in a settled table. Nulls and self-links are ignored.
     """
+
+    def state_of(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     stars = settle(
         edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(),
         "stars",
     )
-    seen = None
-    while True:
+    seen = state_of(stars)
+    while seen[0]:
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settle(large, "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = (
@@ -123,7 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         stars = settle(small, "stars")
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = state_of(stars)
         if state == seen:
             break
         seen = state

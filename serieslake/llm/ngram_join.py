@@ -39,7 +39,7 @@ PERCENT = 85  # 100 * intersection >= PERCENT * union
 OVERLAP = 4
 FREQUENT = 1 << 18  # shingles moved to the end of the order, at most: 2 MB
 FREQUENT_FROM = 32
-ROUNDS = 2  # rounds that pair groups with hubs only, before all pairs across components
+ROUNDS = 1  # rounds that pair groups with hubs only, before all pairs across components
 HUBS = 8
 BLOCK = 64  # copies of a neighbourhood that are verified together
 MAP_BITS = 24  # bits of the map that picks texts to verify: 2 MB
@@ -406,16 +406,16 @@ def similar(documents: DataFrame) -> DataFrame:
         )
         rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
         last = number == ROUNDS
-        groups = settle(_across_clusters(rows) if last else _star_pairs(rows, number), "group-pairs")
+        groups = _across_clusters(rows) if last else settle(_star_pairs(rows, number), "group-pairs")
         pairs = settle(_expanded(groups, nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
-        edges = root.where("copy != root").select(F.col("copy").alias("src"), F.col("root").alias("dst"))
-        if not pairs.isEmpty():
-            edges = edges.union(_link(pairs, nodes, texts))
+        links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts)
         if number == 0:
             nodes = settle(_clustered(nodes, groups, of_group), "clustered-nodes")
         if last:
-            edges = edges.union(_cluster_links(nodes, root, texts))
-        merged = components(edges)
+            links = links.union(_cluster_links(nodes, root, texts))
+        if links.isEmpty():
+            continue  # nothing to merge
+        merged = components(links.union(root.where("copy != root").select("copy", "root")))
         root = nodes.select("copy").distinct().join(merged.withColumnRenamed("node", "copy"), "copy", "left")
         root = settle(root.select("copy", F.coalesce("component", "copy").alias("root")), "roots")
 
