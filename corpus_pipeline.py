@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from serieslake.llm import bpe, decontaminate, line_dedup, ngram_join, quality
-from serieslake.llm.common import settle, sweep, table
+from serieslake.llm.common import sweep, table
+from serieslake.session import scratch_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +53,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what earlier stages stored is removed as soon as the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"), kept=True)
+        path, found = scratch_path(spark, name.replace(" ", "-")), stage(spark, docs, sf_dir)
+        found.write.parquet(path)
+        docs = spark.read.schema(found.schema).parquet(path)
         sweep(spark)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
