@@ -39,6 +39,8 @@ PERCENT = 85  # 100 * intersection >= PERCENT * union
 OVERLAP = 4
 FREQUENT = 1 << 18  # shingles moved to the end of the order, at most: 2 MB
 FREQUENT_FROM = 32
+ALIKE = 12  # percent of a prefix that members of a cluster share with its hub
+JUMPS = 3  # from hub to heavier hub
 ROUNDS = 1  # rounds that pair groups with hubs only, before all pairs across components
 HUBS = 8
 BLOCK = 64  # copies of a neighbourhood that are verified together
@@ -292,13 +294,22 @@ def _place(at: str) -> Column:
 
 
 def _counted(met: DataFrame) -> DataFrame:
-    """(a, b) of groups that meet under enough prefix shingles; one row of (a, at, b, b_at) per meeting."""
+    """(a, b, linkable, alike) of groups that meet; one row of (a, at, b, b_at) per meeting.
+
+    ``linkable`` pairs meet under enough prefix shingles to be linked, ``alike`` ones under a good part of
+    their prefixes.
+    """
+    shorter = F.least("n", "m")
     return (
         met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at")))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.min(_size("at")).alias("n"), F.min(_size("b_at")).alias("m"))
-        .where(_enough(F.col("shared"), F.col("n"), F.col("m")))
-        .select("a", "b")
+        .select(
+            "a", "b",
+            _enough(F.col("shared"), F.col("n"), F.col("m")).alias("linkable"),
+            (100 * F.col("shared") >= ALIKE * (shorter * (100 - PERCENT) / 100 + OVERLAP)).alias("alike"),
+        )
+        .where("linkable or alike")
     )
 
 
@@ -320,11 +331,16 @@ def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
 
 
 def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataFrame:
-    """The nodes with the heaviest hub that their group may be linked to: their cluster."""
+    """The nodes with the heaviest hub that their group is alike to, or that this hub is alike to in
+    turn: their cluster."""
     ends = stars.select(F.col("a").alias("grp"), "b").union(stars.select(F.col("b").alias("grp"), "b"))
     weights = of_group.select(F.col("grp").alias("b"), "weight")
     heaviest = ends.join(weights, "b").groupBy("grp").agg(F.max(F.struct("weight", "b")).alias("hub"))
-    return nodes.drop("cluster").join(heaviest.select("grp", F.col("hub.b").alias("cluster")), "grp", "left")
+    cluster = settle(heaviest.select("grp", F.col("hub.b").alias("cluster")), "clusters")
+    for _ in range(JUMPS):
+        further = cluster.select(F.col("grp").alias("cluster"), F.col("cluster").alias("heavier"))
+        cluster = cluster.join(further, "cluster", "left").select("grp", F.coalesce("heavier", "cluster").alias("cluster"))
+    return nodes.drop("cluster").join(cluster, "grp", "left")
 
 
 def _across_clusters(rows: DataFrame) -> DataFrame:
@@ -407,7 +423,7 @@ def similar(documents: DataFrame) -> DataFrame:
         rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
         last = number == ROUNDS
         groups = _across_clusters(rows) if last else settle(_star_pairs(rows, number), "group-pairs")
-        pairs = settle(_expanded(groups, nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
+        pairs = settle(_expanded(groups.where("linkable").select("a", "b"), nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
         links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts)
         if number == 0:
             nodes = settle(_clustered(nodes, groups, of_group), "clustered-nodes")
