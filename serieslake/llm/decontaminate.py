@@ -110,13 +110,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
     pair_map = _bitmap(pairs.select(_pair(F.col("w"), F.col("i")).alias("h")), PAIR_BITS)
     seed_map = _bitmap(seeds.select("h"), SEED_BITS)
 
-    def hits_of(words: Column, starts: Column, number: int) -> Column:
-        seeded = F.transform(starts, lambda i: F.struct(i.alias("i"), _seed(words, i, number).alias("h")))
-        return F.filter(seeded, lambda s: _held(seed_map, s["h"], SEED_BITS))
+    def seeded(words: Column, starts: Column, number: int) -> Column:
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), _seed(words, i, number).alias("h")))
+
+    def hits_of(words: Column, starts: Column) -> Column:
+        # one filter for all seeds, so the plan holds the map once
+        every = F.flatten(F.array(*[seeded(words, starts, n) for n in range(len(SEEDS))]))
+        return F.filter(every, lambda s: _held(seed_map, s["h"], SEED_BITS))
 
     def hits(words: Column) -> Column:
         starts = F.filter(_starts(words, 2), lambda i: _held(pair_map, _pair(words, i), PAIR_BITS))
-        found = _let(starts, lambda i: F.flatten(F.array(*[hits_of(words, i, n) for n in range(len(SEEDS))])))
+        found = _let(starts, lambda i: hits_of(words, i))
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), *_around(words, s["i"])))
 
     found = (
