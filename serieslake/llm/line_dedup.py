@@ -28,7 +28,7 @@ from serieslake.session import ship
 
 WINDOW = 2
 DIVISOR = 2
-LONG_WORDS = 20
+LONG_WORDS = 10
 LEAST_WORDS = 10
 AROUND = 16  # short lines on each side that a removed chunk may take along
 
