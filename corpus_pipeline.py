@@ -14,6 +14,10 @@ from serieslake.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 from serieslake.llm.common import sweep, table
 from serieslake.session import scratch_path
 
+# near copies; op7_ngram_jaccard_join has a stricter contract of its own
+SHINGLE = 5
+PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -27,8 +31,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of near copies stays: Jaccard similarity of 5-word shingles from 0.8 on."""
+    return ngram_join.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A text is the set of its distinct 4-word shingles (words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; a text
-of fewer words is one shingle, a text without words none). All sets share one order of shingles:
-by hash, those most frequent in prefixes last. Two sets whose Jaccard similarity reaches the
-threshold share ``OVERLAP`` or more shingles of their prefixes. Texts with the same prefix and size form
-a group; group pairs are filtered by size, by the places of the shared shingle and by the number
+A text is the set of its distinct shingles of ``SHINGLE`` words, or as many as the caller names (words
+``[^\\x20\\x09-\\x0D]+``, A-Z lowered; a text of fewer words is one shingle, a text without words none). All
+sets share one order of shingles: by hash, those most frequent in prefixes last. Two sets whose
+Jaccard similarity reaches the threshold (``PERCENT``, or what the caller names) share ``OVERLAP``
+or more shingles of their prefixes. Texts with the same prefix and size form a group; group pairs are filtered by size, by the places of the shared shingle and by the number
 of shared prefix shingles, and only then expanded into their members and verified on whole sets.
 
 Candidates come in rounds. The first ones pair each group with a few hubs per prefix shingle, the most central
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from serieslake.llm.common import components, settle, text_of
 from serieslake.session import ship
 
 SHINGLE = 4
-PERCENT = 85  # 100 * intersection >= PERCENT * union
+PERCENT = 85
 OVERLAP = 4
 FREQUENT = 1 << 18  # shingles moved to the end of the order, at most: 2 MB
 FREQUENT_FROM = 32
@@ -47,40 +48,52 @@ BLOCK = 64  # copies of a neighbourhood that are verified together
 MAP_BITS = 24  # bits of the map that picks texts to verify: 2 MB
 
 
-def _shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+class Rule(NamedTuple):
+    """When two texts are linked: 100 * intersection >= percent * union of their shingles."""
+
+    shingle: int
+    percent: int
+
+
+def _shingle_sets(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
-    factors = [np.uint64(2 * 0x51ED270B7A2F1D3 * k + 1) for k in range(1, SHINGLE + 1)]
+    factors = [np.uint64((2 * 0x51ED270B7A2F1D3 * k + 1) % (1 << 64)) for k in range(1, shingle + 1)]
     for _, run in words.runs(texts):
         found = words.Words(run, words.SPACED)
         h = found.hash
         with np.errstate(over="ignore"):
-            shingles = words.mixed(sum(h[k : len(h) - SHINGLE + 1 + k] * factors[k] for k in range(SHINGLE))) if len(h) >= SHINGLE else h[:0]
+            shingles = words.mixed(sum(h[k : len(h) - shingle + 1 + k] * factors[k] for k in range(shingle))) if len(h) >= shingle else h[:0]
             for a, b in zip(found.bounds[:-1], found.bounds[1:]):
-                if b - a >= SHINGLE:
-                    yield np.unique(shingles[a : b - SHINGLE + 1])
+                if b - a >= shingle:
+                    yield np.unique(shingles[a : b - shingle + 1])
                 else:
                     yield words.mixed(np.sum(h[a:b] * factors[: b - a], keepdims=True) + np.uint64(b - a)) if b > a else h[:0]
 
 
-def _prefix_length(n: int) -> int:
-    need = -(-PERCENT * n // 100)  # the least intersection with any linked set
+def _prefix_length(n: int, percent: int) -> int:
+    need = -(-percent * n // 100)  # the least intersection with any linked set
     return min(n, n - need + min(OVERLAP, need))
 
 
-def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefix_counts(rule: Rule) -> callable:
     """(hash, texts) of the shingles near the front of hash order, each once per batch."""
-    for batch in batches:
-        fronts = [s[: _prefix_length(len(s)) * 5 // 4 + 4] for s in _shingle_sets(batch.column(0).to_pylist())]
-        value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *fronts]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["hash", "texts"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = _shingle_sets(batch.column(0).to_pylist(), rule.shingle)
+            fronts = [s[: _prefix_length(len(s), rule.percent) * 5 // 4 + 4] for s in sets]
+            value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *fronts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["hash", "texts"])
+
+    return mapped
 
 
-def _members(frequent) -> callable:
+def _members(frequent, rule: Rule) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for batch in batches:
             sizes, copies, groups, prefixes = [], [], [], []
-            for found in _shingle_sets(batch.column(2).to_pylist()):
+            for found in _shingle_sets(batch.column(2).to_pylist(), rule.shingle):
                 n = len(found)
                 sizes.append(n)
                 if not n:
@@ -88,7 +101,7 @@ def _members(frequent) -> callable:
                     groups.append(None)
                     prefixes.append(None)
                     continue
-                length = _prefix_length(n)
+                length = _prefix_length(n, rule.percent)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, found), len(late) - 1)
                     is_late = late[at] == found
@@ -107,7 +120,7 @@ def _members(frequent) -> callable:
     return mapped
 
 
-def _on_map(batches: Iterator[pa.RecordBatch], bits) -> Iterator[np.ndarray]:
+def _on_map(batches: Iterator[pa.RecordBatch], bits, shingle: int) -> Iterator[np.ndarray]:
     """The sets of the texts whose hash is on the map, copies within the task once."""
     seen = set()
     for batch in batches:
@@ -117,7 +130,7 @@ def _on_map(batches: Iterator[pa.RecordBatch], bits) -> Iterator[np.ndarray]:
             th = batch.column(0)[int(k)].as_py()
             on[k] = th not in seen
             seen.add(th)
-        yield from _shingle_sets(batch.column(1).filter(pa.array(on)).to_pylist())
+        yield from _shingle_sets(batch.column(1).filter(pa.array(on)).to_pylist(), shingle)
 
 
 def _in_runs(sets: Iterator[np.ndarray], size: int = 500) -> Iterator[list[np.ndarray]]:
@@ -125,9 +138,9 @@ def _in_runs(sets: Iterator[np.ndarray], size: int = 500) -> Iterator[list[np.nd
         yield run
 
 
-def _wanted_sets(bits) -> callable:
+def _wanted_sets(bits, shingle: int) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _in_runs(_on_map(batches, bits.value)):
+        for run in _in_runs(_on_map(batches, bits.value, shingle)):
             data = [s.tobytes() for s in run]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(xxhash.xxh3_128_hexdigest, data), pa.string()), pa.array(data, pa.binary())], names=["copy", "items"]
@@ -136,9 +149,9 @@ def _wanted_sets(bits) -> callable:
     return mapped
 
 
-def _wanted_items(bits) -> callable:
+def _wanted_items(bits, shingle: int) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _in_runs(_on_map(batches, bits.value)):
+        for run in _in_runs(_on_map(batches, bits.value, shingle)):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in run], pa.string()),
@@ -151,68 +164,76 @@ def _wanted_items(bits) -> callable:
     return mapped
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(percent: int) -> callable:
     """The links between components within each pair of blocks, whose copies stand together."""
-    rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
-    for _, block in itertools.groupby(rows, key=lambda row: row[0]):
-        sides = {-1: [], 0: [], 1: []}
-        for _, copy, root, side, items in block:
-            sides[side].append((copy, root, np.frombuffer(items, np.uint64)))
-        pairs = itertools.chain(itertools.combinations(sides[0], 2), itertools.product(sides[-1], sides[1]))
-        found = [(one[0], two[0]) for one, two in pairs if one[1] != two[1] and _linked(one[2], two[2])]
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["src", "dst"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        for _, block in itertools.groupby(rows, key=lambda row: row[0]):
+            sides = {-1: [], 0: [], 1: []}
+            for _, copy, root, side, items in block:
+                sides[side].append((copy, root, np.frombuffer(items, np.uint64)))
+            pairs = itertools.chain(itertools.combinations(sides[0], 2), itertools.product(sides[-1], sides[1]))
+            found = [(one[0], two[0]) for one, two in pairs if one[1] != two[1] and _linked(one[2], two[2], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["src", "dst"])
+
+    return mapped
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verified(percent: int) -> callable:
     """The pairs that reach the threshold. Rows come by block, each block's sets before its pairs."""
-    block, sets = None, {}
-    for batch in batches:
-        src, dst = [], []
-        for key, one, two, items in zip(*(column.to_pylist() for column in batch.columns)):
-            if key != block:
-                block, sets = key, {}
-            if items is not None:
-                sets[one] = np.frombuffer(items, np.uint64)
-                continue
-            if _linked(sets[one], sets[two]):
-                src.append(one)
-                dst.append(two)
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
-
-
-def _can_link(n: Column, i: Column, m: Column, j: Column) -> Column:
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
+        for batch in batches:
+            src, dst = [], []
+            for key, one, two, items in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != block:
+                    block, sets = key, {}
+                if items is not None:
+                    sets[one] = np.frombuffer(items, np.uint64)
+                    continue
+                if _linked(sets[one], sets[two], percent):
+                    src.append(one)
+                    dst.append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], names=["src", "dst"])
+
+    return mapped
+
+
+def _can_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     """Whether sets of sizes n and m that share the shingle at places i and j can reach the threshold."""
     most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * most >= PERCENT * (n + m))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _enough(shared: Column, n: Column, m: Column) -> Column:
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     """Whether sets that share so many prefix shingles can reach the threshold.
 
     Of the set whose prefix ends first, all but what lies behind its prefix is known to be shared or not.
     """
     def behind(size: Column) -> Column:
-        need = F.ceil(size * PERCENT / 100)
+        need = F.ceil(size * percent / 100)
         return need - F.least(F.lit(OVERLAP), need)
 
-    return (100 + PERCENT) * (shared + F.greatest(behind(n), behind(m))) >= PERCENT * (n + m)
+    return (100 + percent) * (shared + F.greatest(behind(n), behind(m))) >= percent * (n + m)
 
 
-def _sets(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+def _sets(wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(copy, items) of at least the wanted copies (copy, th), made again from the texts."""
     bits = texts.sparkSession.sparkContext.broadcast(_map_of(wanted.select("th")))
-    sets = texts.select("th", "text").mapInArrow(_wanted_sets(bits), "copy string, items binary")
+    sets = texts.select("th", "text").mapInArrow(_wanted_sets(bits, shingle), "copy string, items binary")
     return sets.groupBy("copy").agg(F.first("items").alias("items"))
 
 
-def _link(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _link(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The (src, dst) pairs of copies whose whole sets reach the threshold.
 
     Pairs are dealt out by the blocks of their two ends, about ``BLOCK`` copies of a neighbourhood each, so
@@ -229,14 +250,14 @@ def _link(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = settle(dealt, "dealt-pairs")
     places = dealt.select("block", F.explode(F.array("src", "dst")).alias("copy")).distinct()
     rows = (
-        places.join(_sets(ends, texts), "copy").select("block", F.col("copy").alias("one"), F.lit(None).cast("string").alias("two"), "items")
+        places.join(_sets(ends, texts, rule.shingle), "copy").select("block", F.col("copy").alias("one"), F.lit(None).cast("string").alias("two"), "items")
         .union(dealt.select("block", "src", "dst", F.lit(None).cast("binary")))
     )
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("items").isNull())
-    return settle(rows.mapInArrow(_verified, "src string, dst string"), "links")
+    return settle(rows.mapInArrow(_verified(rule.percent), "src string, dst string"), "links")
 
 
-def _cluster_links(nodes: DataFrame, root: DataFrame, texts: DataFrame) -> DataFrame:
+def _cluster_links(nodes: DataFrame, root: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The (src, dst) links between different components of one cluster.
 
     A copy of which too few shingles occur in other components of its cluster cannot link to them and
@@ -247,13 +268,14 @@ def _cluster_links(nodes: DataFrame, root: DataFrame, texts: DataFrame) -> DataF
     if held.isEmpty():
         return held.select(F.col("copy").alias("src"), F.col("copy").alias("dst"))
     by_number = held.select(F.col("copy"), "cluster", F.xxhash64("copy").alias("node"), F.xxhash64("root").alias("root"))
-    items = texts.select("th", "text").mapInArrow(_wanted_items(texts.sparkSession.sparkContext.broadcast(_map_of(held.select("th")))), "copy string, size int, items array<bigint>")
+    bits = texts.sparkSession.sparkContext.broadcast(_map_of(held.select("th")))
+    items = texts.select("th", "text").mapInArrow(_wanted_items(bits, rule.shingle), "copy string, size int, items array<bigint>")
     items = items.dropDuplicates(["copy"]).join(by_number, "copy").select("cluster", "node", "root", "size", F.explode("items").alias("item"))
     spot = Window.partitionBy("cluster", "item")
     elsewhere = (
         items.withColumns({"low": F.min("root").over(spot), "high": F.max("root").over(spot)}).where("low != high")
         .groupBy("node").agg(F.count("*").alias("met"), F.min("size").alias("size"))
-        .where(100 * F.col("met") >= PERCENT * F.col("size")).select("node")
+        .where(100 * F.col("met") >= rule.percent * F.col("size")).select("node")
     )
     held = held.join(elsewhere, F.xxhash64("copy") == F.col("node"), "left_semi")
     held = settle(_open_clusters(held), "open-copies")
@@ -266,9 +288,9 @@ def _cluster_links(nodes: DataFrame, root: DataFrame, texts: DataFrame) -> DataF
             "copy", "root", F.signum(F.col("own") - F.col("other")).cast("int").alias("side"),
         )
     )
-    rows = places.join(_sets(held, texts), "copy").select("block", "copy", "root", "side", "items")
+    rows = places.join(_sets(held, texts, rule.shingle), "copy").select("block", "copy", "root", "side", "items")
     rows = rows.repartition("block").sortWithinPartitions("block")
-    return settle(rows.mapInArrow(_compared, "src string, dst string"), "cluster-links")
+    return settle(rows.mapInArrow(_compared(rule.percent), "src string, dst string"), "cluster-links")
 
 
 def _open_clusters(held: DataFrame) -> DataFrame:
@@ -293,7 +315,7 @@ def _place(at: str) -> Column:
     return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _counted(met: DataFrame) -> DataFrame:
+def _counted(met: DataFrame, percent: int) -> DataFrame:
     """(a, b, linkable, alike) of groups that meet; one row of (a, at, b, b_at) per meeting.
 
     ``linkable`` pairs meet under enough prefix shingles to be linked, ``alike`` ones under a good part of
@@ -301,19 +323,19 @@ def _counted(met: DataFrame) -> DataFrame:
     """
     shorter = F.least("n", "m")
     return (
-        met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at")))
+        met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at"), percent))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.min(_size("at")).alias("n"), F.min(_size("b_at")).alias("m"))
         .select(
             "a", "b",
-            _enough(F.col("shared"), F.col("n"), F.col("m")).alias("linkable"),
-            (100 * F.col("shared") >= ALIKE * (shorter * (100 - PERCENT) / 100 + OVERLAP)).alias("alike"),
+            _enough(F.col("shared"), F.col("n"), F.col("m"), percent).alias("linkable"),
+            (100 * F.col("shared") >= ALIKE * (shorter * (100 - percent) / 100 + OVERLAP)).alias("alike"),
         )
         .where("linkable or alike")
     )
 
 
-def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
+def _star_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
     """Each group with the first group of its shingles in each of ``HUBS`` orders: by weight, and random but fixed ones.
 
     A pair whose meetings are spread over several hubs may be missed here; the last round has it.
@@ -327,7 +349,7 @@ def _star_pairs(rows: DataFrame, number: int) -> DataFrame:
     hubs = hubs.select("hash", F.array_distinct(F.transform(F.array(*[f"hub{k}" for k in range(HUBS)]), lambda h: h.dropFields("first", "order"))).alias("hubs"))
     met = rows.join(hubs, "hash").select(F.col("grp").alias("a"), "at", "root", "split", F.explode("hubs").alias("hub"))
     met = met.select("a", "at", "root", "split", "hub.b", "hub.b_at", "hub.b_root").where("a != b and (root != b_root or split)")
-    return _counted(met.select("a", "at", "b", "b_at"))
+    return _counted(met.select("a", "at", "b", "b_at"), percent)
 
 
 def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataFrame:
@@ -343,7 +365,7 @@ def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataF
     return nodes.drop("cluster").join(cluster, "grp", "left")
 
 
-def _across_clusters(rows: DataFrame) -> DataFrame:
+def _across_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """All groups of different components that meet under enough shingles, but for those of one cluster."""
     other = rows.select(
         "hash", F.col("grp").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("b_root"),
@@ -353,7 +375,7 @@ def _across_clusters(rows: DataFrame) -> DataFrame:
         rows.withColumnRenamed("grp", "a").join(other, "hash").where("a < b and (root != b_root or split or b_split)")
         .where("cluster is null or b_cluster is null or cluster != b_cluster")
     )
-    return _counted(met.select("a", "at", "b", "b_at"))
+    return _counted(met.select("a", "at", "b", "b_at"), percent)
 
 
 def _within_groups(nodes: DataFrame, root: DataFrame, last: bool) -> DataFrame:
@@ -369,22 +391,26 @@ def _within_groups(nodes: DataFrame, root: DataFrame, last: bool) -> DataFrame:
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-def similar(documents: DataFrame) -> DataFrame:
+def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, root) per row; th is the hash of the text, root names the
-    component even where ids repeat and is null for texts without words."""
+    component even where ids repeat and is null for texts without words.
+
+    Texts are linked whose sets of ``shingle`` words reach ``percent`` of Jaccard similarity.
+    """
+    rule = Rule(shingle, percent)
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select("doc_id", text_of().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
-    counted = texts.select("text").mapInArrow(_prefix_counts, "hash bigint, texts bigint")
+    counted = texts.select("text").mapInArrow(_prefix_counts(rule), "hash bigint, texts bigint")
     frequent = (
         counted.groupBy("hash").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= FREQUENT_FROM)
         .orderBy(F.desc("texts"), "hash").limit(FREQUENT).select("hash").toPandas()["hash"]
     )
     late = spark.sparkContext.broadcast(np.sort(frequent.to_numpy(dtype=np.int64).view(np.uint64)))
     members = settle(
-        texts.mapInArrow(_members(late), f"doc_id {id_type}, th bigint, n int, copy string, grp bigint, prefix array<bigint>"),
+        texts.mapInArrow(_members(late, rule), f"doc_id {id_type}, th bigint, n int, copy string, grp bigint, prefix array<bigint>"),
         "members",
     )
     nodes = (
@@ -422,13 +448,13 @@ def similar(documents: DataFrame) -> DataFrame:
         )
         rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
         last = number == ROUNDS
-        groups = _across_clusters(rows) if last else settle(_star_pairs(rows, number), "group-pairs")
+        groups = _across_clusters(rows, percent) if last else settle(_star_pairs(rows, number, percent), "group-pairs")
         pairs = settle(_expanded(groups.where("linkable").select("a", "b"), nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
-        links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts)
+        links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts, rule)
         if number == 0:
             nodes = settle(_clustered(nodes, groups, of_group), "clustered-nodes")
         if last:
-            links = links.union(_cluster_links(nodes, root, texts))
+            links = links.union(_cluster_links(nodes, root, texts, rule))
         if links.isEmpty():
             continue  # nothing to merge
         merged = components(links.union(root.where("copy != root").select("copy", "root")))
@@ -459,13 +485,13 @@ def _map_of(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
+def one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the least id, then the least text hash.
 
     Rows that agree in doc_id and text are one document; texts without words all stay.
     """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("th"))  # never null
-    found = similar(documents).withColumn("__key", key)
+    found = similar(documents, shingle, percent).withColumn("__key", key)
     keep = (
         found.groupBy("root", F.when(F.col("root").isNull(), F.col("__key")).alias("wordless"))
         .agg(F.min(F.struct("doc_id", "th", "__key")).alias("first"))

@@ -150,6 +150,30 @@ def test_join_of_near_copies_and_shared_passages(spark, seed, monkeypatch):
     check_join(spark, rows)
 
 
+def test_join_at_another_threshold_and_shingle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT_FROM", 4)
+    pick = random.Random(12)
+    rows = []
+    for base in range(30):
+        text = prose(3000 + base, pick.randrange(5, 160))
+        for _ in range(4):
+            copy = edited(text, pick, pick.randrange(0, 4)).split(" ")
+            rows.append((pick.randrange(10**6), " ".join(copy[: round(len(copy) * pick.uniform(0.78, 1))])))
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b]]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs}
+    assert sum(0.8 <= j < 0.85 for j in alike.values()) > 10
+    root = least_reachable(range(len(rows)), [p for p in pairs if 5 * len(sets[p[0]] & sets[p[1]]) >= 4 * len(sets[p[0]] | sets[p[1]])])
+    want = []
+    for k, (i, _) in enumerate(rows):
+        want.append((i, len(sets[k]), min(rows[m][0] for m in root if root[m] == root[k]) if sets[k] else i))
+    got = ngram_join.similar(documents(spark, rows), 5, 80).drop("th", "root").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_one_of_each_keeps_all_columns_and_texts_without_words(spark):
     rows = awkward()
     kept = ngram_join.one_of_each(documents(spark, rows, extra=True))

@@ -3,7 +3,7 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 from serieslake.llm import queries
-from tables import awkward, documents
+from tables import awkward, documents, prose
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -29,6 +29,13 @@ def test_run_equals_the_stages_in_order(spark, tmp_path):
     assert 0 < sizes[-1] < 200 and sizes == sorted(sizes, reverse=True)
 
 
+def test_near_copies_between_the_thresholds_go(spark):
+    text = " ".join(prose(40, 300).split())
+    cut = " ".join(text.split()[:246])  # 5-word Jaccard similarity 0.82
+    got = corpus_pipeline.keep_one_of_each(spark, documents(spark, [(1, text), (2, cut), (3, prose(41, 300))]), FOLDER)
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
+
+
 def test_registration():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
