@@ -1,14 +1,14 @@
 """Line dedup over content-defined chunks of lines.
 
-A text's lines are hashed; a rolling hash over ``WINDOW`` neighbouring line hashes closes a chunk
-wherever it falls into one of ``DIVISOR`` classes, so boundaries depend on nearby lines alone
-and inserted lines move only the boundaries next to them. A line of ``LONG_WORDS`` words or more
-is closed on both sides and is a chunk of its own, so repeated paragraphs are found wherever they
-stand. Chunks of several lines with ``LEAST_WORDS`` words or more, and long lines, are compared
-over the whole corpus: the first occurrence (least doc_id, then position) stays, every later one
-is removed once its bytes equal the first one's. A removed chunk takes along the short
-lines next to it that equal, byte for byte, those next to the first occurrence.
-
+A line of ``LONG_WORDS`` words or more is a chunk of its own. Among shorter lines a chunk begins at every line
+with words and closes at the line that brings it to ``LEAST_WORDS`` words; a long line ends it without one.
+So chunks depend on their own lines alone, wherever they stand, and every repeat of that many words holds one.
+Chunks are compared over the whole corpus: the first occurrence (least doc_id, then position) stays, every later
+one is removed once its bytes equal the first one's, unless both overlap. A removed chunk takes along the short
+lines next to it that equal, byte for byte, those next to the first occurrence; as chunks begin at every
+line, fewer than ``LEAST_WORDS`` words are left there.
+
+Words are runs between white space of any kind; in scripts written without spaces two letters count as a word.
 Null texts count as empty; an emptied text stays as an empty text, no row is dropped. Rows that
 agree in doc_id and text are one document; a null doc_id is an id like any other and comes first.
 Extra columns are kept; ``n_chars``, if present, follows the text.
@@ -16,6 +16,7 @@ Extra columns are kept; ``n_chars``, if present, follows the text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,46 +27,59 @@ from pyspark.sql import functions as F
 from serieslake.llm.common import settle, text_of
 from serieslake.session import ship
 
-WINDOW = 2
-DIVISOR = 2
 LONG_WORDS = 10
 LEAST_WORDS = 10
-AROUND = 16  # short lines on each side that a removed chunk may take along
+# Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def _layout(text: str) -> tuple[list[str], list[bool], list[tuple[int, int]]]:
-    """Lines, which of them are long, and the (first, end) of each chunk."""
-    lines = text.split("\n")
-    long = [line.count(" ") + 1 >= LONG_WORDS for line in lines]
-    hashes = [0 if big else xxhash.xxh3_64_intdigest(line) for line, big in zip(lines, long)]
-    chunks, first, last = [], 0, len(lines) - 1
-    for i in range(len(lines)):
-        rolling = sum(h * (2 * k + 1) for k, h in enumerate(hashes[max(0, i - WINDOW + 1) : i + 1]))
-        if i == last or long[i] or long[i + 1] or (rolling >> 20) % DIVISOR == 0:
-            chunks.append((first, i + 1))
-            first = i + 1
-    return lines, long, chunks
+def _n_words(line: str) -> int:
+    spaced = len(line.split())
+    return spaced if line.isascii() else spaced + len(_UNSPACED.findall(line)) // 2
 
 
-def _counts(lines: list[str], long: list[bool], first: int, end: int) -> bool:
-    if end - first == 1:
-        return long[first]
-    return sum(line.count(" ") + 1 for line in lines[first:end] if line) >= LEAST_WORDS
+def _layout(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
+    """Lines, the words of each, and the (first, end) of each chunk."""
+    lines = text.split("\n")
+    words = [_n_words(line) for line in lines]
+    chunks, first, held = [], 0, 0
+    for i, n in enumerate(words):
+        if n >= LONG_WORDS:
+            chunks.append((i, i + 1))
+            first, held = i + 1, 0
+            continue
+        held += n
+        while held >= LEAST_WORDS:
+            if words[first]:
+                chunks.append((first, i + 1))
+            held -= words[first]
+            first += 1
+    return lines, words, chunks
+
+
+def _next_to(lines: list[str], words: list[int], places: range) -> list[str]:
+    """Short lines at the places, up to the one that brings them to ``LEAST_WORDS`` words."""
+    out, held = [], 0
+    for i in places:
+        held += words[i]
+        if held >= LEAST_WORDS:
+            break
+        out.append(lines[i])
+    return out
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, first, end, high, low = [], [], [], [], []
         for row, text in enumerate(batch.column(2).to_pylist()):
-            lines, long, chunks = _layout(text)
+            lines, _, chunks = _layout(text)
             for a, b in chunks:
-                if _counts(lines, long, a, b):
-                    digest = xxhash.xxh3_128_intdigest("\n".join(lines[a:b]))
-                    at.append(row)
-                    first.append(a)
-                    end.append(b)
-                    high.append((digest >> 64) - (1 << 63))
-                    low.append((digest & ((1 << 64) - 1)) - (1 << 63))
+                digest = xxhash.xxh3_128_intdigest("\n".join(lines[a:b]))
+                at.append(row)
+                first.append(a)
+                end.append(b)
+                high.append((digest >> 64) - (1 << 63))
+                low.append((digest & ((1 << 64) - 1)) - (1 << 63))
         at = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(at), batch.column(1).take(at)]
@@ -79,18 +93,11 @@ def _chunk_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, out = [], []
         for row, (text, spans) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            lines, long, _ = _layout(text)
+            lines, words, _ = _layout(text)
             for span in spans:
                 a, b = span["first"], span["end"]
-                before, after = [], []
-                for i in range(a - 1, max(-1, a - 1 - AROUND), -1):
-                    if long[i]:
-                        break
-                    before.append(lines[i])
-                for i in range(b, min(len(lines), b + AROUND)):
-                    if long[i]:
-                        break
-                    after.append(lines[i])
+                before = _next_to(lines, words, range(a - 1, -1, -1))
+                after = _next_to(lines, words, range(b, len(lines)))
                 at.append(row)
                 out.append((a, b, span["high"], span["low"], span["kept"], "\n".join(lines[a:b]), before, after))
         cells = list(zip(*out)) or [()] * 8
@@ -128,9 +135,11 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         chunks.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(place).alias("keeper")).where("n > 1").drop("n")
     )
     # a keeper's row says so itself, so one list per document serves both sides
+    own = F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.th") == F.col("th"))
     wanted = (
         chunks.join(repeated, ["high", "low"])
         .withColumn("kept", place.eqNullSafe(F.col("keeper")))
+        .where(F.col("kept") | ~own | (F.col("first") >= F.col("keeper.end")))
         .groupBy("doc_id", "th")
         .agg(F.collect_set(F.struct("first", "end", "high", "low", "kept")).alias("spans"))
     )
@@ -140,8 +149,10 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
         "repeated-chunks",
     )
     keepers = found.where("kept").groupBy("high", "low").agg(
-        F.min(F.struct("chunk", "before", "after")).alias("k")  # equal rows of one document
+        F.min(F.struct("chunk", "before", "after", "doc_id", "th", "end")).alias("k")  # equal rows of one document
     )
+    own = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.th") == F.col("th"))
+    first = F.col("first") - _equal_run(F.col("before"), F.col("k.before"))
     return (
         found.where("not kept")
         .join(keepers, ["high", "low"])
@@ -150,7 +161,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
             "doc_id",
             "th",
             F.struct(
-                (F.col("first") - _equal_run(F.col("before"), F.col("k.before"))).alias("first"),
+                F.when(own, F.greatest(first, F.col("k.end"))).otherwise(first).alias("first"),
                 (F.col("end") + _equal_run(F.col("after"), F.col("k.after"))).alias("end"),
             ).alias("span"),
         )

@@ -68,6 +68,38 @@ def test_nothing_is_lost_and_nothing_unique_goes(spark):
     assert sum(r["lines_removed"] for r in got.values()) > 50
 
 
+def test_repeated_passages_of_short_lines_always_go(spark):
+    rows, passages = [], {}
+    for n in range(1, 10):
+        for trial in range(4):
+            words = prose(5000 + 10 * n + trial, 52).split()
+            passage = "\n".join(" ".join(words[k : k + n]) for k in range(0, 52, n))
+            for copy in range(2):
+                around = prose(7000 + len(rows), 60).split()
+                before, after = ["\n".join(" ".join(half[k : k + n]) for k in range(0, 30, n)) for half in (around[:30], around[30:])]
+                rows.append((len(rows), f"{before}\n{passage}\n{after}"))
+                passages[len(rows) - 1] = (copy, passage, f"{before}\n{after}")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    for i, text in rows:
+        copy, _, rest = passages[i]
+        assert got[i] == (rest if copy else text)
+
+
+def test_repeats_without_spaces_and_of_blank_lines_go(spark):
+    chinese = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(60))
+    tabs, hard = prose(8001, 30).split(), prose(8002, 30).split()
+    lines = [chinese, "\t".join(tabs), "\u00a0".join(hard), "\n".join([chinese[::-1][:12], *[""] * 30, chinese[::-1][12:20], "end"])]
+    rows = [(k, f"{k} only\n{lines[k % 4]}\n{k} too") for k in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {k: t if k < 4 else f"{k} only\n{k} too" for k, t in rows}
+
+
+def test_a_chunk_that_overlaps_its_first_occurrence_stays(spark):
+    rows = [(1, "\n".join(["la"] * 15)), (2, "\n".join(["du"] * 25))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\n".join(["du"] * 10)}
+
+
 def test_boundaries_resist_shifts():
     text = prose(8, 900)
     whole = line_dedup._layout(text)
