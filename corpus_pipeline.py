@@ -9,9 +9,10 @@ result is stored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from serieslake.llm import bpe, decontaminate, line_dedup, ngram_join, quality
-from serieslake.llm.common import sweep, table
+from serieslake.llm.common import sweep, table, text_of
 from serieslake.session import scratch_path
 
 # near copies; op7_ngram_jaccard_join has a stricter contract of its own
@@ -36,8 +37,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark passage go; others with the same id but another text stay."""
+    marked = docs.withColumn("__th", F.xxhash64(text_of()))
+    return decontaminate.without_leaks(marked, table(spark, sf_dir, "benchmark"), "doc_id", "__th").drop("__th")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

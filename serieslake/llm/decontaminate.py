@@ -16,6 +16,7 @@ or item_id is an id like any other. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +148,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage."""
-    found = leaks(documents, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["__leaked"]), "left_anti")
+def without_leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
+    """The documents that hold no benchmark passage; rows that agree in the ``keys`` (doc_id unless
+    named) are one document."""
+    keys = keys or ("doc_id",)
+    found = leaks(documents, benchmark, *keys).select(*[F.col(k).alias(f"__leaked_{k}") for k in keys]).distinct()
+    same = [documents[k].eqNullSafe(found[f"__leaked_{k}"]) for k in keys]
+    return documents.join(found, reduce(Column.__and__, same), "left_anti")

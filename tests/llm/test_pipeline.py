@@ -36,6 +36,14 @@ def test_near_copies_between_the_thresholds_go(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [1, 3]
 
 
+def test_a_leak_takes_no_other_text_of_its_id_along(spark, tmp_path):
+    spark.createDataFrame([(1, prose(61, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean, leaking = prose(62, 40), prose(63, 20) + " " + prose(61, 20)
+    docs = documents(spark, [(None, leaking), (None, clean), (None, None), (4, clean), (4, leaking), (4, leaking)], extra=True)
+    got = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(None, clean), (None, None), (4, clean)], key=repr)
+
+
 def test_registration():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
