@@ -6,10 +6,11 @@ replaced. Every mask begins with two words in a row. Bit maps of fixed size, mad
 benchmark, first pass over each text: one holds the benchmark's word pairs, one its seeds. What
 passes is joined to the benchmark's seeds by hash. Around each hit the words of both texts are
 then compared place by place: ``RUN`` places in a row (the whole item, if shorter) of which
-``SHARE`` or more agree make a leak.
+``SHARE`` or more agree make a leak. Items shorter than ``RUN`` have shorter masks of their own, so that no
+choice of replaced words escapes all masks; items shorter than ``LEAST`` are their own mask and must
+agree as a whole.
 
-Null and empty texts match nothing; items with fewer words than the shortest seed cannot be told
-from common phrases and are not searched. Rows that repeat give one result. A null doc_id
+Null and empty texts match nothing. Rows that repeat give one result. A null doc_id
 or item_id is an id like any other. Extra columns are ignored.
 """
 
@@ -27,9 +28,14 @@ from serieslake.llm.common import text_of
 SEEDS = ("111111", "11011011", "11101011", "1101111011", "110100111")
 RUN = 13
 SHARE = 0.8
+LEAST = 6  # words of the shortest item that may differ
+# for items of fewer than RUN words, and for items of 1, 2, ... words
+SHORT_SEEDS = ("110111", "11111", "111011", "1111")
+WHOLE_SEEDS = tuple("1" * n for n in range(1, LEAST))
 PAIR_BITS = 18
 SEED_BITS = 20
 LONGEST = max(map(len, SEEDS))
+ALL_SEEDS = SEEDS + SHORT_SEEDS + WHOLE_SEEDS
 
 
 def _words(text: Column) -> Column:
@@ -48,7 +54,7 @@ def _pair(words: Column, i: Column) -> Column:
 
 
 def _seed(words: Column, i: Column, number: int) -> Column:
-    places = [F.get(words, i + k) for k, bit in enumerate(SEEDS[number]) if bit == "1"]
+    places = [F.get(words, i + k) for k, bit in enumerate(ALL_SEEDS[number]) if bit == "1"]
     return F.xxhash64(F.lit(number), *places)
 
 
@@ -82,11 +88,13 @@ def _held(bitmap: Column, h: Column, bits: int) -> Column:
 def _benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     """(h, item_id, words before the seed reversed, words from it on, length), one row per seed of an item."""
     items = benchmark.select("item_id", _words(text_of()).alias("w"))
+    size = F.size("w")
+    searched = [size >= LEAST] * len(SEEDS) + [size.between(LEAST, RUN - 1)] * len(SHORT_SEEDS) + [size == len(s) for s in WHOLE_SEEDS]
     rows = [
-        items.withColumn("i", F.explode(_starts(F.col("w"), len(seed)))).select(
+        items.where(wanted).withColumn("i", F.explode(_starts(F.col("w"), len(seed)))).select(
             _seed(F.col("w"), F.col("i"), number).alias("h"), "item_id", "w", "i"
         )
-        for number, seed in enumerate(SEEDS)
+        for number, (seed, wanted) in enumerate(zip(ALL_SEEDS, searched))
     ]
     out = rows[0]
     for more in rows[1:]:
@@ -94,6 +102,16 @@ def _benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     return out.select("h", "item_id", *_around(F.col("w"), F.col("i")), F.size("w").alias("n_words"))
 
 
+def _numbers(benchmark: DataFrame) -> list[int]:
+    """The seeds that some item has use for; the others would find nothing."""
+    size = F.size(_words(text_of()))
+    short, *whole = benchmark.agg(
+        F.count_if(size.between(LEAST, RUN - 1)), *[F.count_if(size == len(seed)) for seed in WHOLE_SEEDS]
+    ).first()
+    used = [1] * len(SEEDS) + [short] * len(SHORT_SEEDS) + whole
+    return [number for number, items in enumerate(used) if items]
+
+
 def _around(words: Column, i: Column) -> list[Column]:
     low = F.greatest(i - (RUN - 1), F.lit(0))
     return [
@@ -107,6 +125,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
     agreeing words in a row of ``RUN`` places; ``keys`` is doc_id unless named."""
     keys = keys or ("doc_id",)
     seeds = _benchmark_seeds(benchmark)
+    numbers = _numbers(benchmark)
     pairs = benchmark.select(_words(text_of()).alias("w")).select("w", F.explode(_starts(F.col("w"), 2)).alias("i"))
     pair_map = _bitmap(pairs.select(_pair(F.col("w"), F.col("i")).alias("h")), PAIR_BITS)
     seed_map = _bitmap(seeds.select("h"), SEED_BITS)
@@ -116,11 +135,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
 
     def hits_of(words: Column, starts: Column) -> Column:
         # one filter for all seeds, so the plan holds the map once
-        every = F.flatten(F.array(*[seeded(words, starts, n) for n in range(len(SEEDS))]))
+        every = F.flatten(F.array(*[seeded(words, starts, n) for n in numbers]))
         return F.filter(every, lambda s: _held(seed_map, s["h"], SEED_BITS))
 
     def hits(words: Column) -> Column:
-        starts = F.filter(_starts(words, 2), lambda i: _held(pair_map, _pair(words, i), PAIR_BITS))
+        starts = _starts(words, 1)
+        if ALL_SEEDS.index("1") not in numbers:  # single words have no pair
+            starts = F.filter(_starts(words, 2), lambda i: _held(pair_map, _pair(words, i), PAIR_BITS))
         found = _let(starts, lambda i: hits_of(words, i))
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), *_around(words, s["i"])))
 
@@ -143,7 +164,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
         found.select(*keys, "item_id", length.alias("length"), _let(places, lambda p: most(p, length)).alias("agreeing"))
         .groupBy(*keys, "item_id", "length")
         .agg(F.max("agreeing").alias("agreeing"))
-        .where(F.col("agreeing") >= F.ceil(F.col("length") * F.lit(SHARE)))
+        .where(F.col("agreeing") >= F.when(F.col("length") < LEAST, F.col("length")).otherwise(F.ceil(F.col("length") * F.lit(SHARE))))
         .drop("length")
     )
 

@@ -1,5 +1,6 @@
 """Line dedup, Jaccard join, embedding near-dedup and decontamination against brute force."""
 
+import itertools
 import random
 import re
 
@@ -317,6 +318,27 @@ def test_replaced_words_are_tolerated_and_clean_texts_left(spark):
     assert {r["doc_id"] for r in kept.collect()} == {3, 4, 6}
 
 
+def test_no_replaced_words_of_short_items_escape(spark):
+    items, rows, want = [], [], set()
+    for n in range(1, 13):
+        words = [f"item{n}word{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        allowed = n - -(-8 * n // 10) if n > 5 else 0
+        for count in range(allowed + 1):
+            for gone in itertools.combinations(range(n), count):
+                rows.append((len(rows), " ".join(["before it", *("zzz" if k in gone else w for k, w in enumerate(words)), "after"])))
+                want.add((rows[-1][0], n))
+        gone = random.Random(n).sample(range(n), allowed + 1)  # one too many
+        rows.append((len(rows), " ".join("zzz" if k in gone else w for k, w in enumerate(words))))
+        rows.append((len(rows), "none of it"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert got == want
+    bench = bench.where("item_id > 1")  # without single words, pairs are looked up first
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert got == {(d, i) for d, i in want if i > 1}
+
+
 def test_decontamination_of_awkward_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, prose(1, 120)), (1, prose(1, 120))], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
