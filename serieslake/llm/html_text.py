@@ -8,8 +8,9 @@ an ``article`` or ``main`` element, all of that element is taken.
 
 Elements that are never article text are left out beforehand: scripts, styles, menus, page headers
 and footers, asides, forms, hidden parts, and elements named by class, id or role as adverts,
-notices, side bars, comments and the like (a name does not count on an element that wraps the
-article). Tags may be left open, cut off or misnested: paragraphs, items and cells close
+notices, side bars, comments and the like. Neither a name nor a form counts on an element that wraps the
+article, or that holds most of the page's text outside links while no other article is marked; names behind
+``has``, ``no``, ``with`` and ``without`` say what an element is not. Tags may be left open, cut off or misnested: paragraphs, items and cells close
 each other, stray end tags are ignored, and what is open at the end of the page is closed there.
 
 Null, empty and text-free pages give an empty text. Character references are decoded, white space
@@ -20,6 +21,7 @@ that repeat give equal rows; extra columns are dropped unless asked for.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 
@@ -74,15 +76,16 @@ _NOISE = set(
     "recommendations widget pagination pager skip copyright paywall".split()
 )
 _ARTICLES = {"article", "main"}
+_ABOUT_OTHERS = {"has", "no", "with", "without"}  # has-sidebar, no-comments
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "content", "noise", "named", "chars", "links", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "content", "noise", "named", "hidden", "chars", "links", "tags", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent = tag, parent
         self.content: list = []  # elements and strings in page order
-        self.noise, self.named = tag in _NEVER, False
+        self.noise, self.named, self.hidden = tag in _NEVER, False, False
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -94,20 +97,27 @@ class _Node:
         return node
 
 
+def _is_noise(name: str) -> bool:
+    """Whether a class or id names an advert, a side bar or the like."""
+    words = (w.lower() for w in _WORDS.findall(name))
+    return not _NOISE.isdisjoint(itertools.takewhile(lambda w: w not in _ABOUT_OTHERS, words))
+
+
 def _mark(node: _Node, attributes: str) -> None:
     """Note what the attributes say about an element."""
     for name, *values in _NAMES.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            node.noise = True
+            node.hidden = True
         elif name == "style":
-            node.noise |= "display:none" in value.replace(" ", "").lower()
+            node.hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "role":
-            node.noise |= value.lower() in _ROLES
+            node.hidden |= value.lower() in _ROLES
             if value.lower() in _ARTICLES:
                 node.tag = value.lower()
         elif name in ("class", "id"):
-            node.named |= not _NOISE.isdisjoint(w.lower() for w in _WORDS.findall(value))
+            node.named |= any(map(_is_noise, value.split()))
+    node.noise |= node.hidden
 
 
 def _before(node: _Node, tag: str) -> _Node:
@@ -186,15 +196,39 @@ def _measure(nodes: list[_Node]) -> None:
             node.links = node.chars
 
 
+def _holders(nodes: list[_Node]) -> set[_Node]:
+    """Named elements and forms that hold most of the page's text outside links, unless an article is marked elsewhere."""
+    if not any(node.named or node.tag == "form" for node in nodes):
+        return set()
+    out = {node: node.hidden or (node.noise and node.tag != "form") for node in nodes}  # whatever its name and size
+    for node in nodes[1:]:
+        out[node] |= out[node.parent]
+    prose, articles = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
+    for node in reversed(nodes):
+        if out[node] or node.tag == "a":
+            continue
+        articles[node] += node.tag in _ARTICLES and not node.named
+        prose[node] += sum(len(" ".join(_text(piece).split())) for piece in node.content if isinstance(piece, str))
+        if node.parent is not None:
+            prose[node.parent] += prose[node]
+            articles[node.parent] += articles[node]
+    body = nodes[0]
+    return {
+        node
+        for node in nodes
+        if (node.named or node.tag == "form") and 2 * prose[node] > prose[body] and (articles[node] or not articles[body])
+    }
+
+
 def _drop_noise(nodes: list[_Node]) -> None:
-    """Named elements and page headers are noise unless they wrap the article."""
+    """Named elements and page headers are noise unless they wrap the article or most of the text."""
     _measure(nodes)
     total = nodes[0].chars
-    wraps = set()
+    wraps = _holders(nodes)
     for node in nodes:
         if node.tag in _ARTICLES and not node.named and not node.noise and 2 * node.chars > total:
             up = node.parent
-            while up is not None and up not in wraps:
+            while up is not None:
                 wraps.add(up)
                 up = up.parent
     for node in nodes:

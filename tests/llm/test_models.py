@@ -104,6 +104,22 @@ def test_density_finds_the_text_without_marks_of_an_article():
     assert html_text.extract(page).split("\n")[-1] == "Short." and "two" not in html_text.extract(page)
 
 
+def test_named_wrappers_and_forms_around_the_text():
+    paragraphs = "".join(f"<p>Paragraph {k} says enough words to be text, and some more of them.</p>" for k in range(4))
+    text = html_text.extract(f"<div id=content>{paragraphs}</div>")
+    assert text.count("\n") == 3
+    links = "<div class=sidebar><p>Side <a href=x>one</a> <a href=y>two</a></p></div>"
+    for wrapper in ("div id=content class='content has-sidebar'", "div class='no-comments'", "div class=sidebar-layout", "form action=x"):
+        tag = wrapper.split()[0]
+        page = f"<body><nav><a href=z>menu</a></nav><{wrapper}>{paragraphs}{links}</{tag}><footer>foot</footer></body>"
+        assert html_text.extract(page) == text, wrapper
+    half = "<p>A comment, as long as can be.</p>" * 9
+    page = f"<article>{paragraphs}</article><div class=comments>{half}</div><form hidden>{half * 9}</form>"
+    assert html_text.extract(page) == text
+    assert html_text.extract(f"<div>{paragraphs}</div><form style='display:none'>{half * 9}</form><div class=comment>a b</div>") == text
+    assert html_text.extract(f"<div class=hasSidebar>{paragraphs}</div><div class='no-ads sidebar'>Not this</div>") == text
+
+
 def test_broken_pages():
     pages = {
         None: "", "": "", "plain  &lt;text&gt;\n": "plain <text>", "<script>x<p>y": "", "<!-- a <p>b</p>": "",
