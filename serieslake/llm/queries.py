@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.llm import bpe, decontaminate, embedding_dedup, html_text, line_dedup, ngram_join, quality, token_counts, token_files, toxicity
+from serieslake.llm import bpe, decontaminate, embedding_dedup, exact_dedup, html_text, line_dedup, ngram_join, quality, token_counts, token_files, toxicity
 from serieslake.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+
+
 # name -> (query, SQL or None)
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, None),
@@ -70,4 +74,5 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_quality": (op9_quality, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, None),
+    "op13_exact_dedup": (op13_exact_dedup, exact_dedup.ORACLE_SQL),
 }

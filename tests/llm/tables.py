@@ -5,7 +5,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # columns whose names the operators use themselves
-CLASHES = "th string, n int, copy string, grp string, prefix string, h string, row string, spans string, hash string, ids string, lines_removed string, quality_score string, severity string, item_id string"
+CLASHES = "th string, n int, copy string, grp string, prefix string, h string, row string, spans string, hash string, ids string, lines_removed string, quality_score string, severity string, item_id string, norm string, name string, best string, id string, own string, quality_label string, __key string, __th string"
 
 
 def documents(spark, rows, extra=False):

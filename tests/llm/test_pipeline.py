@@ -48,5 +48,5 @@ def test_registration():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
