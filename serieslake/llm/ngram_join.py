@@ -490,12 +490,16 @@ def one_of_each(documents: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
     Rows that agree in doc_id and text are one document; texts without words all stay.
     """
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("th"))  # never null
-    found = similar(documents, shingle, percent).withColumn("__key", key)
+    found = similar(documents, shingle, percent).withColumn("key", _row_key(F.col("th")))
     keep = (
-        found.groupBy("root", F.when(F.col("root").isNull(), F.col("__key")).alias("wordless"))
-        .agg(F.min(F.struct("doc_id", "th", "__key")).alias("first"))
-        .select("first.__key")
+        found.groupBy("root", F.when(F.col("root").isNull(), F.col("key")).alias("wordless"))
+        .agg(F.min(F.struct("doc_id", "th", "key")).alias("first"))
+        .select("first.key")
     )
-    rows = documents.withColumn("__key", F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64(text_of()))))
-    return rows.dropDuplicates(["__key"]).join(keep, "__key", "left_semi").drop("__key")
+    rows = documents.select(_row_key(F.xxhash64(text_of())).alias("key"), F.struct("*").alias("row"))
+    return rows.dropDuplicates(["key"]).join(keep, "key", "left_semi").select("row.*")
+
+
+def _row_key(text_hash: Column) -> Column:
+    """doc_id and text as one string, never null."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(text_hash))
