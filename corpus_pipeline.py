@@ -1,7 +1,9 @@
 """The corpus pipeline: documents through the operators of the subpackage, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents``, the last one the
-token counts and digests per document. ``run`` writes every stage's result as Parquet and reads
+token counts and digests per document. Null texts count as empty; empty and very long texts, null ids, repeated
+rows and extra columns of any name go through every stage, and an empty table gives an empty one. Rows that agree in
+doc_id and text are one document to the third stage and one verdict to the others. ``run`` writes every stage's result as Parquet and reads
 it back as the next stage's documents. Tables that a stage settled are removed once its
 result is stored.
 """
@@ -20,15 +22,22 @@ SHINGLE = 5
 PERCENT = 80
 
 
+def _packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, text and named columns, with the whole row in one column: no name of a user's column clashes with a stage's."""
+    return docs.select(*dict.fromkeys(["doc_id", "text", *columns]), F.struct("*").alias("row"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     weights, bias = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, weights, bias).where("quality_label = 1").select(*docs.columns)
+    return quality.score(_packed(docs), weights, bias, ["row"]).where("quality_label = 1").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; the documents stay, with what is left of their text."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    made = [c for c in ("text", "n_chars") if c in docs.columns]
+    found = line_dedup.dedup_lines(_packed(docs, *made))
+    return found.select(*[F.col(c if c in made else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +47,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go; others with the same id but another text stay."""
-    marked = docs.withColumn("__th", F.xxhash64(text_of()))
-    return decontaminate.without_leaks(marked, table(spark, sf_dir, "benchmark"), "doc_id", "__th").drop("__th")
+    marked = _packed(docs, "text").withColumn("th", F.xxhash64(text_of()))
+    return decontaminate.without_leaks(marked, table(spark, sf_dir, "benchmark"), "doc_id", "th").select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
