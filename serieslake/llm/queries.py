@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serieslake.llm import bpe, decontaminate, embedding_dedup, exact_dedup, html_text, line_dedup, ngram_join, quality, ranked_search, token_counts, token_files, toxicity
+from serieslake.llm import bpe, collocations, decontaminate, embedding_dedup, exact_dedup, html_text, line_dedup, ngram_join, quality, ranked_search, token_counts, token_files, toxicity
 from serieslake.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_quality": (op9_quality, None),
     "op10_benchmark_leaks": (op10_benchmark_leaks, None),
+    "op11_collocations": (op11_collocations, collocations.ORACLE_SQL),
     "op12_ranked_search": (op12_ranked_search, ranked_search.ORACLE_SQL),
     "op13_exact_dedup": (op13_exact_dedup, exact_dedup.ORACLE_SQL),
 }
