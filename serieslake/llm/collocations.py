@@ -41,7 +41,7 @@ LONGEST = 3
 LEAST = 10
 PERCENT = 50
 TOP = 2000
-CHUNK = 1 << 22  # words of a chunk, one text's more at most
+CHUNK = 1 << 21  # words of a chunk, one text's more at most
 ROWS = 1 << 17  # rows of one Arrow batch
 NUMBER_BITS = 31  # of a group's name; above them the chunk, of which the low SEQUENCE_BITS count chunks of one task
 SEQUENCE_BITS = 12
@@ -98,12 +98,12 @@ class _Chunk:
 
 
 def _packed(at: np.ndarray) -> bytes:
-    """Sorted places as differences."""
-    return np.diff(at, prepend=0).astype(np.int32).tobytes()
+    """Sorted places as steps of one byte: 1 to the next place, 2 to any other."""
+    return np.minimum(np.diff(at, prepend=at[:1] - 2), 2).astype(np.uint8).tobytes()
 
 
 def _places(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(packed, np.int32), dtype=np.int64)
+    return np.cumsum(np.frombuffer(packed, np.uint8), dtype=np.int64)
 
 
 def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +183,9 @@ def _kept_phrases(chunks: pa.Table, frequent: pa.Table) -> pa.Table:
 
 def _frequent(counted: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """(place, keys, f, id) of the groups with ``least`` occurrences or more: one row per chunk that holds one, settled."""
-    group = Window.partitionBy(*keys)
-    found = counted.select("place", *keys, F.sum("n").over(group).alias("f"), F.min("place").over(group).alias("id"))
+    group = Window.partitionBy("key", *keys)  # the hash first: rows of one shuffle partition are sorted by it almost alone
+    dealt = counted.repartition(*keys).withColumn("key", F.xxhash64(*keys))
+    found = dealt.select("place", *keys, F.sum("n").over(group).alias("f"), F.min("place").over(group).alias("id"))
     return settle(found.where(F.col("f") >= least), name)
 
 
