@@ -1,34 +1,42 @@
 """Sinks: the load modes of a stored table.
 
-A stored table is a Parquet folder, optionally partitioned. Modes:
+A stored table is a Parquet table with a commit log (see ``versions``), optionally partitioned. Modes:
 
 append           add the rows
 append_new       add only rows dated after the newest stored row
+append_pages     add the rows of landed pages that the table's ledger does not hold yet
 overwrite        replace the table (the source restates its history)
 truncate_append  like overwrite, but the batch must pass its rules first
 replace_slice    replace all rows from a given year on
 replace_day      replace the rows of one day
 
-Whole-table replacement writes next to the table, counts broken rules on the way, and swaps
-folders last, so a failed job or a lost executor leaves the stored table as it was. A driver lost
-between the two renames of the swap leaves the former table under another name; the next load
-of the path (or ``recover``) puts it back. Empty batches are refused unless asked for.
+Every mode evaluates its batch once: the rows are written into a folder of their own, rows and broken rules are counted on the
+way, and one published version makes the load visible, all its partitions together. A failed job, a lost executor
+or a lost driver leaves the table as it was. Read tables with ``read``. Empty batches are refused unless asked
+for. Each load, refused ones included, leaves a line in the table's load log.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import uuid
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
-from serieslake.operators import filters, quality
+from serieslake.operators import filters, quality, versions
+from serieslake.operators.versions import Version, exists, read, vacuum  # noqa: F401
 
-STAGED, PREVIOUS, MARKS = "__staged-", "__previous-", "_marks"
+MARKS, LEDGER, LOADS = "_marks", "_ledger", "_loads"
+MERGE = 8  # folders of marks or of a ledger that a version names; beyond, they are merged into one
+COMMIT = "_commit"
+STORED, MISSING = "stored", "missing"
+LOAD_LOG = "job string, mode string, at timestamp, rows bigint, version bigint, broken map<string, bigint>, refused boolean"
 
 
 @dataclass(frozen=True)
@@ -38,93 +46,134 @@ class LoadResult:
     path: str
     mode: str
     rows: int
+    version: int = 0
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop file system and path object of a folder."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+def _write(df: DataFrame, folder: str, partition_by: Sequence[str], counts: Mapping[str, Column] | None = None) -> dict[str, int]:
+    """Write once; the row count and further counts are observed on the way."""
+    if partition_by:
+        # Few files per partition folder; the runtime splits whichever one is large.
+        df = df.hint("rebalance", *partition_by)
+    seen = Observation()
+    watched = {"rows": F.count(F.lit(1))} | {n: F.count_if(c) for n, c in (counts or {}).items()}
+    writer = df.observe(seen, *(c.alias(n) for n, c in watched.items())).write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(folder)
+    return seen.get
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _files(spark, path)
-    return fs.exists(hadoop_path)
+def _load(
+    df: DataFrame,
+    path: str,
+    mode: str,
+    change: Callable[[Version | None, tuple[str, ...], int], Version],
+    partition_by: Sequence[str] = (),
+    rules: Mapping[str, Column] | None = None,
+    minimum_rows: int = 0,
+    base: Version | None = None,
+    job: str | None = None,
+    retry: bool = False,
+) -> LoadResult:
+    """Write the rows, then publish what ``change`` makes of (base version, new folders, rows).
 
+    With ``retry`` a load that another one overtook is published on top of that.
+    """
+    spark, rules = df.sparkSession, dict(rules or {})
+    folder = versions.new_load(path)
+    try:
+        seen = _write(df, folder, partition_by, {f"rule_{n}": c for n, c in enumerate(rules.values())})
+        broken = {name: seen[f"rule_{n}"] for n, name in enumerate(rules)} | {"too_few_rows": int(seen["rows"] < minimum_rows)}
+        try:
+            quality.refuse(broken)
+        except quality.BatchRejected:
+            _note(spark, path, job, mode, seen["rows"], base.number if base else 0, broken, True)
+            raise
+        entries = versions.entries_of(spark, folder, partition_by)
+        while True:
+            try:
+                version = versions.publish(spark, path, change(base, entries, seen["rows"]))
+                break
+            except versions.Conflict:
+                if not retry:
+                    raise
+                base = versions.newest(spark, path)
+    except BaseException:
+        now = versions.newest(spark, path)  # an interruption may come when the load is published already
+        if now is None or not any(f"{path}/{e}".startswith(folder) for e in now.entries):
+            versions.remove(spark, folder)
+        raise
+    _note(spark, path, job, mode, seen["rows"], version.number, broken, False)
+    return LoadResult(path, mode, seen["rows"], version.number)
 
-def _remove(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = _files(spark, path)
-    fs.delete(hadoop_path, True)
 
+def _note(spark: SparkSession, path: str, job: str | None, mode: str, rows: int, version: int, broken: Mapping[str, int], refused: bool) -> None:
+    """A line in the table's load log; ``broken`` names the rules that were broken."""
+    at = spark.sql("SELECT cast(current_timestamp() AS string)").first()[0]
+    line = {"job": job, "mode": mode, "at": at, "rows": rows, "version": version, "refused": refused, "broken": {k: v for k, v in broken.items() if v}}
+    versions.write_text(spark, f"{path}/{LOADS}/{uuid.uuid4().hex}.json", json.dumps(line))
 
-def _partition_values(spark: SparkSession, path: str, column: str) -> list[int]:
-    """Whole-number partition values of a stored table, from its folder names."""
-    if not exists(spark, path):
-        return []
-    fs, hadoop_path = _files(spark, path)
-    names = [status.getPath().getName() for status in fs.listStatus(hadoop_path)]
-    values = [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")]
-    return sorted(int(v) for v in values if v.isdigit())
 
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """One row per load of the table: job, mode, when, rows, version, broken rules, whether it was refused.
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
-    fs, source_path = _files(spark, source)
-    _, target_path = _files(spark, target)
-    if not fs.rename(source_path, target_path):
-        raise OSError(f"cannot rename {source} to {target}")
+    ``version`` is the version a load made, or that it met when it was refused.
+    """
+    if not exists(spark, f"{path}/{LOADS}"):
+        return spark.createDataFrame([], LOAD_LOG)
+    return spark.read.schema(LOAD_LOG).json(f"{path}/{LOADS}")
 
 
-def recover(spark: SparkSession, path: str) -> None:
-    """Bring back a table whose driver was lost in the middle of a swap.
+def _plain(mode: str, df: DataFrame, kept: Callable[[Version], Iterable[str]]) -> Callable[[Version | None, tuple[str, ...], int], Version]:
+    """A change that keeps some folders of the base; rows that came in another way make its marks void."""
 
-    Between its two renames a swap leaves the former table under a name of its own and nothing at
-    the path; every load looks for that first.
-    """
-    fs, hadoop_path = _files(spark, path)
-    if fs.exists(hadoop_path) or not fs.exists(hadoop_path.getParent()):
-        return
-    left = [s.getPath() for s in fs.listStatus(hadoop_path.getParent()) if s.getPath().getName().startswith(f"{hadoop_path.getName()}{PREVIOUS}")]
-    if left:
-        _rename(spark, left[-1].toString(), path)
-
-
-def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a finished folder in the place of the stored one."""
-    if not exists(spark, path):
-        _rename(spark, staged, path)
-        return
-    previous = f"{path}{PREVIOUS}{uuid.uuid4().hex}"
-    _rename(spark, path, previous)
-    try:
-        _rename(spark, staged, path)
-    except Exception:
-        _rename(spark, previous, path)
-        raise
-    _remove(spark, previous)
+    def change(base: Version | None, entries: tuple[str, ...], rows: int) -> Version:
+        before = tuple(kept(base)) if base else ()
+        sides = {LEDGER: base.sides[LEDGER]} if base and LEDGER in base.sides else {}
+        keys = {LEDGER: base.keys[LEDGER]} if sides else {}
+        known = base.struct.fields if before else []
+        fields = [*known, *(f for f in df.schema if f.name not in {k.name for k in known})]
+        return Version(versions.following(base), mode, rows, StructType(fields).json(), before + entries, sides, keys)
 
+    return change
 
-def _write(
-    df: DataFrame,
-    path: str,
-    mode: str,
-    partition_by: Sequence[str],
-    counts: Mapping[str, Column] | None = None,
-    **options: str,
-) -> dict[str, int]:
-    """Write once; the row count and further counts are observed on the way."""
-    if partition_by:
-        # Few files per partition folder; the runtime splits whichever one is large.
-        df = df.hint("rebalance", *partition_by)
-    seen = Observation()
-    watched = {"rows": F.count(F.lit(1))} | {n: F.count_if(c) for n, c in (counts or {}).items()}
-    writer = df.observe(seen, *(c.alias(n) for n, c in watched.items())).write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.options(**options).parquet(path)
-    return seen.get
 
+def append(df: DataFrame, path: str, partition_by: Sequence[str] = (), job: str | None = None) -> LoadResult:
+    base = versions.newest(df.sparkSession, path)
+    return _load(df, path, "append", _plain("append", df, lambda b: b.entries), partition_by, base=base, job=job, retry=True)
 
-def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> LoadResult:
-    return LoadResult(path, "append", _write(df, path, "append", partition_by)["rows"])
+
+def _side(spark: SparkSession, path: str, folders: Sequence[str], schema: StructType) -> DataFrame:
+    """A side table of a version, from its folders."""
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in folders])
+
+
+def _keep_side(df: DataFrame, path: str, side: str) -> str:
+    """Write a folder of a side table; its place as a version names it."""
+    place = f"{side}/{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{place}")
+    return place
+
+
+def _newest_dates(rows: DataFrame, by: Sequence[str], date: str, number: int) -> DataFrame:
+    """(series, newest date, commit): one row per series, dealt out by the hash of the series."""
+    return rows.groupBy(*by).agg(F.max(date).alias(date)).select(*by, date, F.lit(number).cast("long").alias(COMMIT))
+
+
+def _marks_schema(schema: StructType, keys: Sequence[str]) -> StructType:
+    return StructType([*(schema[k] for k in keys), StructField(COMMIT, LongType())])
+
+
+def marks(spark: SparkSession, path: str, version: Version, by: Sequence[str], date: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """The newest date of each series, a row per commit that moved it, and the folders that hold it.
+
+    Without marks for these keys the table is read once, and the marks of that are written.
+    """
+    keys, folders = (*by, date), version.sides.get(MARKS, ())
+    if not folders or version.keys.get(MARKS) != keys:
+        stored = read(spark, path).select(*keys)
+        folders = (_keep_side(_newest_dates(stored, by, date, version.number), path, MARKS),)
+    return _side(spark, path, folders, _marks_schema(version.struct, keys)), folders
 
 
 def append_new(
@@ -134,57 +183,116 @@ def append_new(
     by: Sequence[str] = (),
     floor: str | None = None,
     partition_by: Sequence[str] = (),
+    job: str | None = None,
 ) -> LoadResult:
     """Rerunning the same batch adds nothing.
 
-    The newest date of each series is kept next to the data (``_marks``), so a round reads the batch and
-    the marks, not the history. Marks count only for the very files they were made for; anything
-    else that wrote to the table makes the next round read it once.
+    The newest date of each series is kept in marks beside the data, so a round reads the batch and the marks, not the
+    history. Each round adds a folder of marks made from the rows it has just written (the batch is not evaluated again);
+    ``MERGE`` folders are merged into one. Marks belong to the version; a load in another mode makes them
+    void, and the next round reads the table once.
     """
     spark = df.sparkSession
-    recover(spark, path)
-    keys = [*by, date]
-    if exists(spark, path):
-        newest = _read_marks(spark, path, df, keys)
-        df = filters.newer_than(df, newest, date, by, floor)
-        newest = newest.unionByName(df.select(*keys))
+    base, keys, folders = versions.newest(spark, path), (*by, date), ()
+    if base is None:
+        fresh = filters.after_floor(df, date, floor)
     else:
-        df = filters.after_floor(df, date, floor)
-        newest = df.select(*keys)
-    # written beforehand: afterwards the stored files hold the batch already
-    pending = f"{path}{STAGED}{uuid.uuid4().hex}"
+        newest, folders = marks(spark, path, base, by, date)
+        fresh = filters.newer_than(df, newest.select(*keys), date, by, floor)
+
+    def change(base: Version | None, entries: tuple[str, ...], rows: int) -> Version:
+        number = versions.following(base)
+        held = folders
+        if rows:
+            added = versions.read_entries(spark, path, entries, df.schema).select(*keys)
+            held = (*held, _keep_side(_newest_dates(added, by, date, number), path, MARKS))
+        if len(held) > MERGE:
+            every = _side(spark, path, held, _marks_schema(df.schema, keys))
+            held = (_keep_side(every.groupBy(*by).agg(F.max(date).alias(date), F.max(COMMIT).alias(COMMIT)).select(*keys, COMMIT), path, MARKS),)
+        plain = _plain("append_new", df, lambda b: b.entries)(base, entries, rows)
+        return replace(plain, sides={**plain.sides, MARKS: held}, keys={**plain.keys, MARKS: keys})
+
+    return _load(fresh, path, "append_new", change, partition_by, base=base, job=job)
+
+
+def _same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
+    return reduce(and_, [left[k].eqNullSafe(right[f"_key_{k}"]) for k in key])
+
+
+def append_pages(
+    pages: DataFrame,
+    path: str,
+    shape: Callable[[DataFrame], DataFrame],
+    key: Sequence[str],
+    status: Column,
+    announced: Callable[[DataFrame], DataFrame] | None = None,
+    partition_by: Sequence[str] = (),
+    job: str | None = None,
+) -> LoadResult:
+    """Store the rows of landed pages, each page once; what could not be read is listed and taken when it lands whole.
+
+    ``key`` identifies a page (run date, endpoint, page number). ``status`` is "stored" for a page whose body can be
+    read, else the reason. ``announced`` gives the keys of the pages there should be; those not landed are listed as missing.
+    ``shape`` makes rows of pages. The table's ledger holds (key, status, commit) and is published with
+    the rows, so a page is taken whole or not at all, whatever its rows are dated. Of several copies of a page in one landing a
+    readable one is taken. The landing is read once: pages that are not stored yet are written aside first.
+    """
+    spark, key = pages.sparkSession, list(key)
+    base = versions.newest(spark, path)
+    number, folders = versions.following(base), base.sides.get(LEDGER, ()) if base else ()
+    schema = StructType([*(pages.schema[k] for k in key), *StructType.fromDDL(f"status string, {COMMIT} bigint")])
+    if folders and base.keys[LEDGER] != tuple(key):
+        raise ValueError(f"the ledger of {path} is kept by {', '.join(base.keys[LEDGER])}")
+    marked = pages.select(*key, status.alias("_status"), F.struct("*").alias("_page"))
+    kept = _side(spark, path, folders, schema) if folders else spark.createDataFrame([], schema)
+    kept = kept.where(F.col("status") == STORED).select(*[F.col(k).alias(f"_key_{k}") for k in key]).distinct()
+    open_pages = marked.join(kept, _same_key(marked, kept, key), "left_anti")
+    first = F.min_by(F.struct("_status", "_page"), F.struct(F.col("_status") != STORED, F.xxhash64("_page")))
+    aside = f"{path}/_pages-{uuid.uuid4().hex}"
     try:
-        newest.groupBy(*by).agg(F.max(date).alias(date)).select(*keys).coalesce(1).write.parquet(pending)
-        rows = _write(df, path, "append", partition_by)["rows"]
-        _keep_marks(spark, path, pending, keys)
+        open_pages.groupBy(*key).agg(first.alias("_p")).select(*key, "_p.*").write.parquet(aside)
+        found = spark.read.parquet(aside)
+        if found.isEmpty() and base is not None:
+            _note(spark, path, job, "append_pages", 0, base.number, {}, False)
+            return LoadResult(path, "append_pages", 0, base.number)
+        rows = shape(found.where(F.col("_status") == STORED).select("_page.*"))
+        listed = found.select(*key, F.col("_status").alias("status"))
+        if announced is not None:
+            wanted = announced(found.select("_page.*")).select(*key).distinct()
+            for known in (listed.select(*[F.col(k).alias(f"_key_{k}") for k in key]), kept):
+                wanted = wanted.join(known, _same_key(wanted, known, key), "left_anti")
+            listed = listed.unionByName(wanted.withColumn("status", F.lit(MISSING)))
+
+        def change(base: Version | None, entries: tuple[str, ...], n: int) -> Version:
+            held = (*folders, _keep_side(listed.withColumn(COMMIT, F.lit(number).cast("long")), path, LEDGER))
+            if len(held) > MERGE:
+                held = (_keep_side(_newest_status(_side(spark, path, held, schema), key), path, LEDGER),)
+            plain = _plain("append_pages", rows, lambda b: b.entries)(base, entries, n)
+            return replace(plain, sides={**plain.sides, LEDGER: held}, keys={**plain.keys, LEDGER: tuple(key)})
+
+        return _load(rows, path, "append_pages", change, partition_by, base=base, job=job)
     finally:
-        _remove(spark, pending)
-    return LoadResult(path, "append_new", rows)
+        versions.remove(spark, aside)
 
 
-def _marks_name(spark: SparkSession, path: str, keys: Sequence[str]) -> str:
-    """Where the marks of the present data files stand: named by the files and the key."""
-    fs, hadoop_path = _files(spark, path)
-    found, files = [], fs.listFiles(hadoop_path, True)
-    while files.hasNext():
-        name = files.next().getPath().toString()
-        if f"/{MARKS}/" not in name:
-            found.append(name.rpartition("/")[2])
-    return hashlib.sha256("\n".join([*keys, "", *sorted(found)]).encode()).hexdigest()
+def _newest_status(entries: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per page; once stored, a page stays so."""
+    last = F.max_by(F.struct("status", COMMIT), F.struct(F.col("status") == STORED, COMMIT))
+    return entries.groupBy(*key).agg(last.alias("l")).select(*key, "l.*")
 
 
-def _read_marks(spark: SparkSession, path: str, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The newest date per series, from the marks if they fit the data files, else from the data."""
-    marks = f"{path}/{MARKS}/{_marks_name(spark, path, keys)}"
-    found = marks if exists(spark, marks) else path
-    return spark.read.schema(_stored_schema(df)).parquet(found).select(*keys)
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(key, status, commit) of every page that landed or was announced, as of the newest version."""
+    version = versions.newest(spark, path)
+    if version is None or LEDGER not in version.sides:
+        raise FileNotFoundError(f"no ledger at {path}")
+    entries = spark.read.parquet(*[f"{path}/{f}" for f in version.sides[LEDGER]])
+    return _newest_status(entries, version.keys[LEDGER])
 
 
-def _keep_marks(spark: SparkSession, path: str, pending: str, keys: Sequence[str]) -> None:
-    fs, folder = _files(spark, f"{path}/{MARKS}")
-    fs.delete(folder, True)  # without marks the data are read
-    fs.mkdirs(folder)
-    _rename(spark, pending, f"{path}/{MARKS}/{_marks_name(spark, path, keys)}")
+def to_repair(spark: SparkSession, path: str) -> DataFrame:
+    """The pages of the ledger whose rows are not in the table, with the reason."""
+    return ledger(spark, path).where(F.col("status") != STORED).drop(COMMIT)
 
 
 def overwrite(
@@ -193,62 +301,45 @@ def overwrite(
     partition_by: Sequence[str] = (),
     rules: Mapping[str, Column] | None = None,
     minimum_rows: int = 1,
+    mode: str = "overwrite",
+    job: str | None = None,
 ) -> LoadResult:
     """Rules are counted while the rows are written, so the plan runs once and nothing is read again.
 
     An empty batch is refused, as it would wipe the table; ``minimum_rows=0`` asks for just that.
     """
-    spark = df.sparkSession
-    recover(spark, path)
-    staged = f"{path}{STAGED}{uuid.uuid4().hex}"
-    rules = dict(rules or {})
-    try:
-        seen = _write(df, staged, "errorifexists", partition_by, {f"rule_{n}": c for n, c in enumerate(rules.values())})
-        broken = {name: seen[f"rule_{n}"] for n, name in enumerate(rules)}
-        broken["too_few_rows"] = int(seen["rows"] < minimum_rows)
-        quality.refuse(broken)
-        swap(spark, staged, path)
-    finally:
-        _remove(spark, staged)  # gone already after a swap
-    return LoadResult(path, "overwrite", seen["rows"])
+    base = versions.newest(df.sparkSession, path)
+    return _load(df, path, mode, _plain(mode, df, lambda b: ()), partition_by, rules, minimum_rows, base, job)
 
 
 def truncate_append(
-    df: DataFrame, path: str, rules: Mapping[str, Column], minimum_rows: int = 1
+    df: DataFrame, path: str, rules: Mapping[str, Column], minimum_rows: int = 1, job: str | None = None
 ) -> LoadResult:
-    rows = overwrite(df, path, (), rules, minimum_rows).rows
-    return LoadResult(path, "truncate_append", rows)
+    return overwrite(df, path, (), rules, minimum_rows, "truncate_append", job)
 
 
 def replace_slice(
-    df: DataFrame, path: str, from_year: int, date: str = "date", year: str = "year", minimum_rows: int = 1
+    df: DataFrame, path: str, from_year: int, date: str = "date", year: str = "year", minimum_rows: int = 1, job: str | None = None
 ) -> LoadResult:
     """Replace every stored row dated in ``from_year`` or later by the rows of ``df``.
 
-    The table is partitioned by year, so only the years in question are rewritten. Rows
-    dated before the slice are refused: they would be added twice on a rerun. So is a batch
+    The table is partitioned by year, so earlier years stay where they are, and all later ones change in one
+    commit. Rows dated before the slice are refused: they would be added twice on a rerun. So is a batch
     of fewer than ``minimum_rows`` rows: an empty one would remove the stored years.
     """
-    spark = df.sparkSession
-    yearly = df.withColumn(year, F.year(date))
-    checked = F.when(
-        F.col(year) >= from_year, F.col(year)
-    ).otherwise(F.raise_error(F.lit(f"row dated before {from_year} or without date")).cast("int"))
-    yearly = yearly.withColumn(year, checked)
-    if minimum_rows and len(yearly.select(year).limit(minimum_rows).take(minimum_rows)) < minimum_rows:
-        raise quality.BatchRejected("too_few_rows: 1")
-    stored = [y for y in _partition_values(spark, path, year) if y >= from_year]
-    seen = _write(
-        yearly, path, "overwrite", [year], {f"in_{y}": F.col(year) == y for y in stored},
-        partitionOverwriteMode="dynamic",
+    checked = F.when(F.year(date) >= from_year, F.year(date)).otherwise(
+        F.raise_error(F.lit(f"row dated before {from_year} or without date")).cast("int")
     )
-    # Dynamic overwrite leaves a year alone when the batch has no row for it.
-    for gone in (y for y in stored if seen[f"in_{y}"] == 0):
-        _remove(spark, f"{path}/{year}={gone}")
-    return LoadResult(path, "replace_slice", seen["rows"])
+    yearly = df.withColumn(year, checked)
 
+    def earlier(base: Version) -> list[str]:
+        return [e for e in base.entries if int(versions.partition_value(e, year)) < from_year]
 
-def replace_day(df: DataFrame, path: str, day: str, date: str = "date") -> LoadResult:
+    base = versions.newest(df.sparkSession, path)
+    return _load(yearly, path, "replace_slice", _plain("replace_slice", yearly, earlier), [year], None, minimum_rows, base, job)
+
+
+def replace_day(df: DataFrame, path: str, day: str, date: str = "date", job: str | None = None) -> LoadResult:
     """Replace the stored rows of one day by the rows of ``df``, which must all be dated that day.
 
     The table is partitioned by date: only that day's folder is rewritten, and a rerun changes nothing.
@@ -259,10 +350,12 @@ def replace_day(df: DataFrame, path: str, day: str, date: str = "date") -> LoadR
         F.raise_error(F.lit(f"row not dated {day}")).cast("date")
     )
     dated = df.withColumn(date, checked)
-    if dated.select(date).isEmpty():
-        raise quality.BatchRejected("too_few_rows: 1")
-    seen = _write(dated, path, "overwrite", [date], partitionOverwriteMode="dynamic")
-    return LoadResult(path, "replace_day", seen["rows"])
+
+    def others(base: Version) -> list[str]:
+        return [e for e in base.entries if versions.partition_value(e, date) != day]
+
+    base = versions.newest(df.sparkSession, path)
+    return _load(dated, path, "replace_day", _plain("replace_day", dated, others), [date], None, 1, base, job)
 
 
 def insert_many(df: DataFrame, path: str, replace: bool = False) -> LoadResult:
@@ -273,6 +366,7 @@ def insert_many(df: DataFrame, path: str, replace: bool = False) -> LoadResult:
 MODES = {
     "append": append,
     "append_new": append_new,
+    "append_pages": append_pages,
     "overwrite": overwrite,
     "truncate_append": truncate_append,
     "replace_slice": replace_slice,
@@ -302,17 +396,15 @@ def table_schema(df: DataFrame, date: str = "date", epoch: bool = False) -> Stru
 
 def create_if_absent(spark: SparkSession, path: str, schema: StructType) -> bool:
     """Create an empty table; True when it was not there."""
-    if exists(spark, path):
+    if versions.newest(spark, path) is not None:
+        return False
+    try:
+        versions.publish(spark, path, Version(1, "create", 0, schema.json(), ()))
+    except versions.Conflict:  # another one was faster
         return False
-    spark.createDataFrame([], schema).write.parquet(path)
     return True
 
 
-def _stored_schema(df: DataFrame) -> StructType:
-    """Known from the batch, so opening the table needs no schema inference."""
-    return df.schema
-
-
 def export_snapshot(
     df: DataFrame, folder: str, snapshot_date: str, name: str = "snapshot_date"
 ) -> str | None:

@@ -1,7 +1,9 @@
 """Complete jobs: landed rows or payloads to stored tables, each with its load mode.
 
 ``run`` is driven by the ``JOBS`` table. A job that restates its history replaces its tables, the others
-add what is newer than the newest stored row, so a rerun over the same landing adds nothing.
+add what is newer than the newest stored row, so a rerun over the same landing adds nothing. Jobs over payloads
+(``pages``) keep a ledger of the pages they have stored: a page that was cut off or missing is taken by the next run that
+finds it whole, whatever its rows are dated.
 The dashboard's twelve tables are checked against their keys first; if one breaks a constraint, none is
 replaced.
 """
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from serieslake.operators import load, quality
 from serieslake.plans import activity, exchange, monetary, prices, repo, trades
-from serieslake.sources import layouts
+from serieslake.sources import layouts, records
 
 FOREX_BODY = TRADES_BODY = "body"
 
@@ -25,13 +27,15 @@ FOREX_BODY = TRADES_BODY = "body"
 class Job:
     """How landed data become tables, how these are stored, and what must hold before that.
 
-    ``report`` gives constraint violations (table_name, constraint_name, violations).
+    ``report`` gives constraint violations (table_name, constraint_name, violations). ``pages`` gives the landed
+    pages with their keys, and the options of ``append_pages``.
     """
 
     tables: Callable[..., Mapping[str, DataFrame]]
     mode: str
     options: Mapping[str, object] = field(default_factory=dict)
     report: Callable[[DataFrame], DataFrame] | None = None
+    pages: Callable[..., tuple[DataFrame, Mapping[str, object]]] | None = None
 
 
 def _deposit_tables(rows: DataFrame, workbook: str) -> Mapping[str, DataFrame]:
@@ -43,6 +47,22 @@ def _dashboard_violations(rows: DataFrame) -> DataFrame:
     return monetary.dashboard_constraints(rows).groupBy("table_name", "constraint_name").agg(F.sum("violations").alias("violations"))
 
 
+def _forex_pages(payloads: DataFrame, keep=()) -> tuple[DataFrame, Mapping[str, object]]:
+    """A payload is known by the columns that are kept of it, or by its content if there are none."""
+    body = F.col(FOREX_BODY)
+    found = payloads if keep else payloads.withColumn("payload", F.sha2(body, 256))
+    return found, {"key": list(keep) or ["payload"], "status": records.status(body)}
+
+
+def _trade_pages(pages: DataFrame, run_date: str, schemas) -> tuple[DataFrame, Mapping[str, object]]:
+    wanted = pages.filter(F.col("endpoint").isin(list(schemas))).withColumn("run_date", F.lit(run_date).cast("date"))
+    return wanted, {
+        "key": ["run_date", "endpoint", "page"],
+        "status": records.status(F.col(TRADES_BODY)),
+        "announced": lambda found: trades.announced_keys(found, TRADES_BODY, ["run_date"]),
+    }
+
+
 JOBS = {
     "price_index": Job(lambda cells: {"IPCIndec": prices.price_index(cells)}, "overwrite"),
     "activity": Job(lambda rows, **of: {"EMAE": activity.activity_index(rows, **of)}, "overwrite"),
@@ -54,9 +74,9 @@ JOBS = {
     "narrow_series": Job(
         lambda rows: {"narrow": exchange.narrow_series(rows, layouts.NARROW)}, "append_new", {"date": "obs_date", "by": ["series_id"]}
     ),
-    "forex": Job(lambda payloads, keep=(): {"forex": exchange.forex_quotes(payloads, FOREX_BODY, keep)}, "append_new", {"date": "date"}),
+    "forex": Job(lambda payloads, keep=(): {"forex": exchange.forex_quotes(payloads, FOREX_BODY, keep)}, "append_pages", pages=_forex_pages),
     "trades": Job(
-        lambda pages, run_date, schemas: {"senebi": trades.trades(pages, TRADES_BODY, run_date, schemas)}, "append_new", {"date": "date"}
+        lambda pages, run_date, schemas: {"senebi": trades.trades(pages, TRADES_BODY, run_date, schemas)}, "append_pages", pages=_trade_pages
     ),
 }
 
@@ -67,5 +87,11 @@ def run(job: str, landed: DataFrame, lake: str, **given) -> dict[str, load.LoadR
     if plan.report is not None:
         found = plan.report(landed).filter("violations > 0").collect()  # a row per table and constraint
         quality.refuse({f"{r.table_name}, {r.constraint_name}": r.violations for r in found})
+    if plan.pages is not None:
+        pages, how = plan.pages(landed, **given)
+        names = list(plan.tables(pages, **given))
+        return {
+            name: load.append_pages(pages, f"{lake}/{name}", lambda p, name=name: plan.tables(p, **given)[name], job=job, **how) for name in names
+        }
     tables = plan.tables(landed, **given)
-    return {name: load.load(frame, f"{lake}/{name}", plan.mode, **plan.options) for name, frame in tables.items()}
+    return {name: load.load(frame, f"{lake}/{name}", plan.mode, job=job, **plan.options) for name, frame in tables.items()}

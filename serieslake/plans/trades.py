@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from serieslake.functions import text
 from serieslake.operators import project
@@ -25,6 +25,13 @@ def page_gaps(pages: DataFrame, body: str, by: Sequence[str] = ()) -> DataFrame:
     return records.missing_pages(announced, "endpoint", "page", "page_count", by, records.readable(F.col(body)))
 
 
+def announced_keys(pages: DataFrame, body: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, endpoint, page) of all pages that the envelopes of each endpoint announce."""
+    count = announced_pages(pages, body).groupBy(*by, "endpoint").agg(F.max("page_count").alias("n"))
+    numbers = F.sequence(F.lit(1), F.greatest("n", F.lit(1))).cast(ArrayType(pages.schema["page"].dataType))
+    return count.select(*by, "endpoint", F.explode(numbers).alias("page"))
+
+
 def unreadable_pages(pages: DataFrame, body: str) -> DataFrame:
     """The pages that gave no records because their body could not be read."""
     return records.unreadable(pages, body, ["endpoint", "page"])

@@ -42,15 +42,20 @@ def record_array(
     return payloads.select(*keep, F.inline(items))
 
 
+def status(body: Column, field: str | None = "data") -> Column:
+    """"stored" for a body that holds its records, else why it does not."""
+    return (
+        F.when(readable(body, field), "stored").when(body.isNull(), "missing").when(F.trim(body) == "", "empty").otherwise("no records")
+    )
+
+
 def unreadable(payloads: DataFrame, body: str, keep: Sequence[str] = (), field: str | None = "data") -> DataFrame:
     """``keep`` of the payloads that hold no readable record array, with the reason.
 
     A body that was cut off, or an error page in the place of an answer, gives no records; this is the
     list to report or to refuse the batch by.
     """
-    return payloads.select(*keep, readable(F.col(body), field).alias("_ok"), F.col(body).alias("_body")).filter("not _ok").select(
-        *keep, F.when(F.col("_body").isNull(), "missing").when(F.trim("_body") == "", "empty").otherwise("no records").alias("reason")
-    )
+    return payloads.select(*keep, status(F.col(body), field).alias("reason")).filter("reason != 'stored'")
 
 
 def readable(body: Column, field: str | None = "data") -> Column:

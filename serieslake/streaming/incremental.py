@@ -26,16 +26,17 @@ def stream_append_new(
     by: Sequence[str] = (),
     floor: str | None = None,
     file_format: str = "parquet",
+    job: str | None = None,
 ) -> int:
     """Run one round over the landing folder; returns the number of rows added.
 
     Everything landed since the last round forms one batch, so rows of one date that
-    arrive in several files are loaded together.
+    arrive in several files are loaded together. Each round leaves a line in the table's load log under ``job``.
     """
     added: list[int] = []
 
     def write(batch: DataFrame, _: int) -> None:
-        result = load.append_new(shape(batch), path, date, by, floor)
+        result = load.append_new(shape(batch), path, date, by, floor, job=job)
         added.append(result.rows)
 
     query = (

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from serieslake.operators import filters
+from serieslake.operators import filters, load
 from serieslake.plans import jobs
 from serieslake.session import scratch_path
 from standins import markup_payloads, sheets
 
+TRADES = {"run_date": "2024-06-03", "schemas": markup_payloads.ENDPOINTS}
+
 
 def _stored(spark, job: str, landed: DataFrame, name: str, **given) -> DataFrame:
     """The stored table after two runs; the second one must add no row."""
@@ -16,9 +19,9 @@ def _stored(spark, job: str, landed: DataFrame, name: str, **given) -> DataFrame
     plan = jobs.JOBS[job]
     first = jobs.run(job, landed, lake, **given)[name]
     again = jobs.run(job, landed, lake, **given)[name]
-    if plan.mode == "append_new" and again.rows:
+    if plan.mode in ("append_new", "append_pages") and again.rows:
         raise ValueError(f"a rerun of {job} added {again.rows} of {first.rows} rows")
-    return spark.read.schema(plan.tables(landed, **given)[name].schema).parquet(f"{lake}/{name}")
+    return load.read(spark, f"{lake}/{name}")
 
 
 def job_activity(spark, folder):
@@ -43,8 +46,36 @@ def job_forex(spark, folder):
 
 
 def job_trades(spark, folder):
-    pages = markup_payloads.trade_pages(spark, folder)
-    return _stored(spark, "trades", pages, "senebi", run_date="2024-06-03", schemas=markup_payloads.ENDPOINTS)
+    return _stored(spark, "trades", markup_payloads.dense_pages(spark, folder), "senebi", **TRADES)
+
+
+def _repaired(spark, job: str, landings: list[DataFrame], name: str, **given) -> DataFrame:
+    """The stored table after one run per landing, with the rows that each run added."""
+    lake = scratch_path(spark, job)
+    added = [jobs.run(job, landed, lake, **given)[name].rows for landed in landings]
+    counts = [F.lit(n).cast("bigint").alias(f"added_{k}") for k, n in enumerate(added, 1)]
+    return load.read(spark, f"{lake}/{name}").select("*", *counts)
+
+
+def job_trades_repair(spark, folder):
+    """Some pages are cut off or missing at first; the next run adds just their rows, the third none."""
+    whole = markup_payloads.dense_pages(spark, folder)
+    return _repaired(spark, "trades", [markup_payloads.cut_pages(spark, folder), whole, whole], "senebi", **TRADES)
+
+
+def job_trades_to_repair(spark, folder):
+    """What the first run lists as not stored, and why."""
+    lake = scratch_path(spark, "trades")
+    jobs.run("trades", markup_payloads.cut_pages(spark, folder), lake, **TRADES)
+    return load.to_repair(spark, f"{lake}/senebi")
+
+
+def job_forex_repair(spark, folder):
+    """Payloads of days that are partly stored still land: those cut off at first, and those that came late."""
+    whole = markup_payloads.forex_payloads(spark, folder)
+    body = F.when(F.col("event_id") % 5 == 0, F.left("body", F.length("body") - 9)).otherwise(F.col("body"))
+    first = whole.filter("event_id % 9 != 0").withColumn("body", body)
+    return _repaired(spark, "forex", [first, whole, whole], "forex", keep=("event_id",))
 
 
 def job_price_index(spark, folder):
@@ -52,6 +83,30 @@ def job_price_index(spark, folder):
     return sheets.price_entries(_stored(spark, "price_index", sheets.price_cells(spark, folder), "IPCIndec"))
 
 
+_CUT = "(event_id // 50 + 1) % 3 = 2 OR (event_id // 50 + 1) % 7 = 0"
+TRADES_REPAIR_SQL = f"""
+SELECT t.*, (SELECT count(*) FROM events WHERE NOT ({_CUT})) AS added_1, (SELECT count(*) FROM events WHERE {_CUT}) AS added_2,
+  CAST(0 AS BIGINT) AS added_3
+FROM ({markup_payloads.Q16_SQL}) t
+"""
+
+TO_REPAIR_SQL = """
+WITH landed AS (SELECT DISTINCT event_type AS endpoint, CAST(event_id // 50 + 1 AS INTEGER) AS page FROM events),
+announced AS (
+  SELECT endpoint, CAST(unnest(generate_series(1, (SELECT max(page) FROM landed))) AS INTEGER) AS page
+  FROM (SELECT DISTINCT endpoint FROM landed))
+SELECT DATE '2024-06-03' AS run_date, a.endpoint, a.page,
+  CASE WHEN a.page % 7 = 0 OR l.page IS NULL THEN 'missing' ELSE 'no records' END AS status
+FROM announced a LEFT JOIN landed l ON l.endpoint = a.endpoint AND l.page = a.page
+WHERE a.page % 7 = 0 OR a.page % 3 = 2 OR l.page IS NULL
+"""
+
+FOREX_REPAIR_SQL = f"""
+SELECT t.*, (SELECT count(*) FROM events WHERE event_id % 5 <> 0 AND event_id % 9 <> 0) AS added_1,
+  (SELECT count(*) FROM events WHERE event_id % 5 = 0 OR event_id % 9 = 0) AS added_2, CAST(0 AS BIGINT) AS added_3
+FROM ({markup_payloads.Q7_SQL}) t
+"""
+
 QUERIES = {
     "job_activity": (job_activity, sheets.Q10_SQL),
     "job_real_exchange": (job_real_exchange, sheets.Q18_SQL),
@@ -59,5 +114,8 @@ QUERIES = {
     "job_narrow_series": (job_narrow_series, sheets.Q19_SQL),
     "job_forex": (job_forex, markup_payloads.Q7_SQL),
     "job_trades": (job_trades, markup_payloads.Q16_SQL),
+    "job_trades_repair": (job_trades_repair, TRADES_REPAIR_SQL),
+    "job_trades_to_repair": (job_trades_to_repair, TO_REPAIR_SQL),
+    "job_forex_repair": (job_forex_repair, FOREX_REPAIR_SQL),
     "job_price_index": (job_price_index, sheets.Q3_SQL),
 }

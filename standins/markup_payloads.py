@@ -321,6 +321,30 @@ def trade_pages(spark, folder) -> DataFrame:
     )
 
 
+PAGE = 50  # events of a landed page, over all endpoints
+
+
+def dense_pages(spark, folder) -> DataFrame:
+    """Pages as an endpoint answers them: the records of up to ``PAGE`` events, and the number of pages."""
+    events = table(spark, folder, "events").withColumn("page", (F.col("event_id") / PAGE).cast("int") + 1)
+    record = F.struct(
+        F.col("event_id").alias("id"),
+        F.col("value").alias("precio"),
+        (F.col("user_id") % 3).cast("int").alias("plazo"),
+        F.lit("ARS").alias("moneda"),
+    )
+    pages = events.groupBy(F.col("event_type").alias("endpoint"), "page").agg(F.collect_list(record).alias("data"))
+    count = events.select(F.max("page")).scalar()
+    body = F.to_json(F.struct(F.struct(count.alias("page_count")).alias("content"), "data"))
+    return pages.select("endpoint", "page", body.alias("body"))
+
+
+def cut_pages(spark, folder) -> DataFrame:
+    """A first landing: every third page cut off, every seventh not there."""
+    body = F.when(F.col("page") % 3 == 2, F.left("body", F.length("body") - 9)).otherwise(F.col("body"))
+    return dense_pages(spark, folder).filter("page % 7 != 0").withColumn("body", body)
+
+
 def q16_trades(spark, folder):
     return trades.trades(trade_pages(spark, folder), "body", "2024-06-03", ENDPOINTS)
 

@@ -38,7 +38,7 @@ def s7_append(spark, folder):
     orders, path = _orders(spark, folder), scratch_path(spark, "append")
     load.load(orders.filter("date < '1998-01-01'"), path, "append", partition_by=["prioridad"])
     load.load(orders.filter("date >= '1998-01-01'"), path, "append", partition_by=["prioridad"])
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
 S7_SQL = f"SELECT {_COLUMNS} FROM orders"
@@ -49,7 +49,7 @@ def s8_overwrite(spark, folder):
     orders, path = _orders(spark, folder), scratch_path(spark, "overwrite")
     load.load(orders, path, "overwrite")
     load.load(orders.filter("o_orderkey % 2 = 0").withColumn("monto", F.col("monto") * 2), path, "overwrite")
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
 S8_SQL = f"""
@@ -68,7 +68,7 @@ def s9_truncate_append(spark, folder):
         ledger.store_exchange_balance(bad, path)
     except ValueError:
         pass
-    return spark.read.schema(balance.schema).parquet(path)
+    return load.read(spark, path)
 
 
 S9_SQL = f"""
@@ -96,7 +96,7 @@ def s10_replace_slice(spark, folder):
     )
     monetary.store_daily_balance(restated, path, 1999)
     monetary.store_daily_balance(restated, path, 1999)
-    return spark.read.schema("workbook string, date date, tipoCambio double, year int").parquet(path)
+    return load.read(spark, path)
 
 
 S10_SQL = f"""
@@ -113,7 +113,7 @@ def s11_bulk_insert(spark, folder):
     load.insert_many(orders.withColumn("monto", F.lit(0.0)), path)
     load.insert_many(orders.filter("prioridad <= '2-HIGH'"), path, replace=True)
     load.insert_many(orders.filter("prioridad > '2-HIGH'"), path)
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
 S11_SQL = f"SELECT {_COLUMNS} FROM orders"
@@ -133,7 +133,7 @@ def s10_replace_day(spark, folder):
         load.load(restated.limit(0), path, "replace_day", day="1995-03-16")
     except ValueError:
         pass
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
 S10_DAY_SQL = f"""
@@ -147,7 +147,7 @@ def f13_first_load_floor(spark, folder):
     path = scratch_path(spark, "floor")
     orders = _orders(spark, folder).withColumn("date", F.when(F.col("o_orderkey") % 5 != 0, F.col("date")))
     load.load(orders, path, "append_new", floor="1995-01-01")
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
 F13_FLOOR_SQL = f"SELECT {_COLUMNS} FROM orders WHERE o_orderkey % 5 <> 0 AND {DAY} > DATE '1995-01-01'"
@@ -165,7 +165,7 @@ def s12_create_table(spark, folder):
     created = load.create_if_absent(spark, path, schema)
     again = load.create_if_absent(spark, path, schema)
     load.append(totals, path)
-    stored = spark.read.schema(schema).parquet(path)
+    stored = load.read(spark, path)
     return stored.select("*", F.lit(created).alias("created"), F.lit(again).alias("created_again"))
 
 
@@ -176,20 +176,15 @@ SELECT {DAY} AS date, max(o_totalprice) AS mayor, min(o_totalprice) AS menor, tr
 
 
 def s16_single_row(spark, folder):
-    """One-row insert: the newest order joins a table of the cheap ones."""
+    """One-row insert: the newest order joins the table of all others."""
     orders, path = _orders(spark, folder), scratch_path(spark, "single")
-    load.append(orders.filter("monto < 20000"), path)
-    newest = orders.agg(
-        F.max_by(F.struct(*orders.columns), F.struct("date", "o_orderkey")).alias("r")
-    ).select("r.*")
+    newest = orders.agg(F.max_by(F.struct(*orders.columns), F.struct("date", "o_orderkey")).alias("r")).select("r.*")
+    load.append(orders.join(newest.select("o_orderkey"), "o_orderkey", "left_anti").select(*orders.columns), path)
     load.append(newest, path)
-    return spark.read.schema(orders.schema).parquet(path)
+    return load.read(spark, path)
 
 
-S16_SQL = f"""
-SELECT {_COLUMNS} FROM orders WHERE o_totalprice < 20000
-UNION ALL (SELECT {_COLUMNS} FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1)
-"""
+S16_SQL = f"SELECT {_COLUMNS} FROM orders"
 
 
 def s13_snapshot(spark, folder):
@@ -216,7 +211,7 @@ def a4_load_counts(spark, folder):
         load.load(orders, path, "append_new"),
         load.load(orders, path, "append_new"),
     ]
-    stored = spark.read.schema(orders.schema).parquet(path)
+    stored = load.read(spark, path)
     return stored.agg(
         F.count(F.lit(1)).alias("stored_rows"),
         *(F.lit(r.rows).cast("bigint").alias(f"load_{i}") for i, r in enumerate(results, start=1)),
@@ -230,6 +225,30 @@ SELECT n AS stored_rows, a AS load_1, b AS load_2, CAST(0 AS BIGINT) AS load_3 F
 """
 
 
+def a4_load_log(spark, folder):
+    """The log of two loads and a refused one."""
+    orders, path = _orders(spark, folder), scratch_path(spark, "logged")
+    load.load(orders.filter("date < '1998-01-01'"), path, "append_new", job="orders_daily")
+    load.load(orders, path, "append_new", job="orders_daily")
+    try:
+        rules = {"early": F.col("date") < "1995-01-01", "no priority": F.col("prioridad").isNull()}
+        load.load(orders, path, "truncate_append", rules=rules, job="orders_restated")
+    except ValueError:
+        pass
+    log = load.load_log(spark, path)
+    return log.select("job", "mode", "rows", "version", "refused", F.col("broken")["early"].alias("early"), F.get(F.map_keys("broken"), F.lit(0)).alias("rule"))
+
+
+A4_LOG_SQL = """
+WITH c AS (SELECT count(*) FILTER (WHERE o_orderdate < DATE '1998-01-01') AS a, count(*) AS n,
+  count(*) FILTER (WHERE o_orderdate < DATE '1995-01-01') AS early FROM orders)
+SELECT 'orders_daily' AS job, 'append_new' AS mode, a AS rows, CAST(1 AS BIGINT) AS version, false AS refused,
+  CAST(NULL AS BIGINT) AS early, CAST(NULL AS VARCHAR) AS rule FROM c
+UNION ALL SELECT 'orders_daily', 'append_new', n - a, 2, false, NULL, NULL FROM c
+UNION ALL SELECT 'orders_restated', 'truncate_append', n, 2, true, early, 'early' FROM c
+"""
+
+
 def s15_get_table(spark, folder):
     """A stored table found through the catalog, one frequency, dates as text."""
     path, name = scratch_path(spark, "eventos"), f"eventos_{uuid.uuid4().hex}"
@@ -299,7 +318,7 @@ def q20_csv_import(spark, folder):
     )
     history = exchange.rate_from_csv(spark, source, ["date", "ccl", "ccl3"])
     load.load(history, path, "overwrite")
-    return spark.read.schema(history.schema).parquet(path)
+    return load.read(spark, path)
 
 
 Q20_SQL = """
@@ -326,7 +345,7 @@ def q17_select_series(spark, folder):
     )
     chosen = prices.us_prices(spark, source, "Brand#7")
     load.load(chosen, path, "overwrite", minimum_rows=1)
-    return spark.read.schema(chosen.schema).parquet(path)
+    return load.read(spark, path)
 
 
 Q17_SQL = """
@@ -353,7 +372,7 @@ def x1_stream(spark, folder):
     rows.write.mode("append").parquet(landing)
     run()
     run()
-    stored = spark.read.schema(rows.schema).parquet(path)
+    stored = load.read(spark, path)
     return stored.select("series_id", "date", F.round("value", 6).alias("value"))
 
 
@@ -374,10 +393,10 @@ def q2_store_index(spark, folder):
     )
     load.append_new(rates.filter("date < '2024-01-20'"), quotes_path)
     load.append_new(rates, quotes_path)
-    stored = spark.read.schema(rates.schema).parquet(quotes_path)
+    stored = load.read(spark, quotes_path)
     index = series.compounded_index(stored, ["series_id"], "date", "vwap", "daysToMaturity", end="2024-02-10")
     load.overwrite(index, index_path)
-    back = spark.read.schema(index.schema).parquet(index_path)
+    back = load.read(spark, index_path)
     return back.select("series_id", "date", F.round("ted", 9).alias("ted"), F.round("cap", 6).alias("cap"))
 
 
@@ -411,6 +430,7 @@ QUERIES = {
     "s15_get_table": (s15_get_table, S15_SQL),
     "s16_single_row": (s16_single_row, S16_SQL),
     "a4_load_counts": (a4_load_counts, A4_SQL),
+    "a4_load_log": (a4_load_log, A4_LOG_SQL),
     "s2_delimited": (s2_delimited, S2_SQL),
     "q20_csv_import": (q20_csv_import, Q20_SQL),
     "q17_select_series": (q17_select_series, Q17_SQL),
