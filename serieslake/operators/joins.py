@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serieslake.functions import dates
@@ -18,15 +18,28 @@ def on_date(left: DataFrame, right: DataFrame, date: str = "date") -> DataFrame:
 def with_year_ago(
     df: DataFrame, date: str, values: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Each row next to the same series one year earlier; unmatched rows drop out."""
-    ago = df.select(
-        *(F.col(c).alias(f"_by_{c}") for c in by),
-        F.col(date).alias("_date_ago"),
-        *(F.col(v).alias(f"{v}_year_ago") for v in values),
+    """Each row next to the same series one year earlier; unmatched rows drop out.
+
+    The rows of one calendar day of all years stand in one window, in the order of the years, and a range frame picks the
+    year before: one shuffle, neither a self-join nor pairs, and no task gets more of a series than one row a
+    year. 29 February looks back to the 28th and shares its window. A second row of a date fails the job.
+    Rows without a date or with a null key match nothing.
+    """
+    leap = (F.month(date) == 2) & (F.dayofmonth(date) == 29)
+    place = 2 * F.year(date) + leap.cast("int")  # 28 February at 2 * year, 29 February one later
+    day = F.month(date) * 100 + F.least(F.dayofmonth(date), F.when(F.month(date) == 2, 28).otherwise(31))
+    years = Window.partitionBy(*by, day).orderBy(place)
+
+    def at(back: int):
+        frame = years.rangeBetween(-back, -back)
+        return F.max(F.struct(*values)).over(frame)
+
+    ago = F.when(leap, at(3)).otherwise(at(2))
+    once = F.when(F.count(F.lit(1)).over(years.rangeBetween(0, 0)) == 1, ago).otherwise(F.raise_error(F.lit("two rows for one date of a series")))
+    known = df.dropna(subset=[*by, date])
+    return known.select("*", once.alias("_ago")).filter("_ago is not null").select(
+        *[F.col(f"`{c}`") for c in df.columns], *(F.col(f"_ago.`{v}`").alias(f"{v}_year_ago") for v in values)
     )
-    on = [F.col(c) == F.col(f"_by_{c}") for c in by]
-    on.append(dates.year_before(F.col(date)) == F.col("_date_ago"))
-    return df.join(ago, on).drop("_date_ago", *(f"_by_{c}" for c in by))
 
 
 def combine_first(

@@ -63,7 +63,7 @@ def _write(df: DataFrame, folder: str, partition_by: Sequence[str], counts: Mapp
     return seen.get
 
 
-def _load(
+def store(
     df: DataFrame,
     path: str,
     mode: str,
@@ -140,7 +140,7 @@ def _plain(mode: str, df: DataFrame, kept: Callable[[Version], Iterable[str]]) -
 
 def append(df: DataFrame, path: str, partition_by: Sequence[str] = (), job: str | None = None) -> LoadResult:
     base = versions.newest(df.sparkSession, path)
-    return _load(df, path, "append", _plain("append", df, lambda b: b.entries), partition_by, base=base, job=job, retry=True)
+    return store(df, path, "append", _plain("append", df, lambda b: b.entries), partition_by, base=base, job=job, retry=True)
 
 
 def _side(spark: SparkSession, path: str, folders: Sequence[str], schema: StructType) -> DataFrame:
@@ -148,7 +148,7 @@ def _side(spark: SparkSession, path: str, folders: Sequence[str], schema: Struct
     return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in folders])
 
 
-def _keep_side(df: DataFrame, path: str, side: str) -> str:
+def keep_side(df: DataFrame, path: str, side: str) -> str:
     """Write a folder of a side table; its place as a version names it."""
     place = f"{side}/{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{place}")
@@ -172,7 +172,7 @@ def marks(spark: SparkSession, path: str, version: Version, by: Sequence[str], d
     keys, folders = (*by, date), version.sides.get(MARKS, ())
     if not folders or version.keys.get(MARKS) != keys:
         stored = read(spark, path).select(*keys)
-        folders = (_keep_side(_newest_dates(stored, by, date, version.number), path, MARKS),)
+        folders = (keep_side(_newest_dates(stored, by, date, version.number), path, MARKS),)
     return _side(spark, path, folders, _marks_schema(version.struct, keys)), folders
 
 
@@ -205,14 +205,14 @@ def append_new(
         held = folders
         if rows:
             added = versions.read_entries(spark, path, entries, df.schema).select(*keys)
-            held = (*held, _keep_side(_newest_dates(added, by, date, number), path, MARKS))
+            held = (*held, keep_side(_newest_dates(added, by, date, number), path, MARKS))
         if len(held) > MERGE:
             every = _side(spark, path, held, _marks_schema(df.schema, keys))
-            held = (_keep_side(every.groupBy(*by).agg(F.max(date).alias(date), F.max(COMMIT).alias(COMMIT)).select(*keys, COMMIT), path, MARKS),)
+            held = (keep_side(every.groupBy(*by).agg(F.max(date).alias(date), F.max(COMMIT).alias(COMMIT)).select(*keys, COMMIT), path, MARKS),)
         plain = _plain("append_new", df, lambda b: b.entries)(base, entries, rows)
         return replace(plain, sides={**plain.sides, MARKS: held}, keys={**plain.keys, MARKS: keys})
 
-    return _load(fresh, path, "append_new", change, partition_by, base=base, job=job)
+    return store(fresh, path, "append_new", change, partition_by, base=base, job=job)
 
 
 def _same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
@@ -264,13 +264,13 @@ def append_pages(
             listed = listed.unionByName(wanted.withColumn("status", F.lit(MISSING)))
 
         def change(base: Version | None, entries: tuple[str, ...], n: int) -> Version:
-            held = (*folders, _keep_side(listed.withColumn(COMMIT, F.lit(number).cast("long")), path, LEDGER))
+            held = (*folders, keep_side(listed.withColumn(COMMIT, F.lit(number).cast("long")), path, LEDGER))
             if len(held) > MERGE:
-                held = (_keep_side(_newest_status(_side(spark, path, held, schema), key), path, LEDGER),)
+                held = (keep_side(_newest_status(_side(spark, path, held, schema), key), path, LEDGER),)
             plain = _plain("append_pages", rows, lambda b: b.entries)(base, entries, n)
             return replace(plain, sides={**plain.sides, LEDGER: held}, keys={**plain.keys, LEDGER: tuple(key)})
 
-        return _load(rows, path, "append_pages", change, partition_by, base=base, job=job)
+        return store(rows, path, "append_pages", change, partition_by, base=base, job=job)
     finally:
         versions.remove(spark, aside)
 
@@ -309,7 +309,7 @@ def overwrite(
     An empty batch is refused, as it would wipe the table; ``minimum_rows=0`` asks for just that.
     """
     base = versions.newest(df.sparkSession, path)
-    return _load(df, path, mode, _plain(mode, df, lambda b: ()), partition_by, rules, minimum_rows, base, job)
+    return store(df, path, mode, _plain(mode, df, lambda b: ()), partition_by, rules, minimum_rows, base, job)
 
 
 def truncate_append(
@@ -336,7 +336,7 @@ def replace_slice(
         return [e for e in base.entries if int(versions.partition_value(e, year)) < from_year]
 
     base = versions.newest(df.sparkSession, path)
-    return _load(yearly, path, "replace_slice", _plain("replace_slice", yearly, earlier), [year], None, minimum_rows, base, job)
+    return store(yearly, path, "replace_slice", _plain("replace_slice", yearly, earlier), [year], None, minimum_rows, base, job)
 
 
 def replace_day(df: DataFrame, path: str, day: str, date: str = "date", job: str | None = None) -> LoadResult:
@@ -355,7 +355,7 @@ def replace_day(df: DataFrame, path: str, day: str, date: str = "date", job: str
         return [e for e in base.entries if versions.partition_value(e, date) != day]
 
     base = versions.newest(df.sparkSession, path)
-    return _load(dated, path, "replace_day", _plain("replace_day", dated, others), [date], None, 1, base, job)
+    return store(dated, path, "replace_day", _plain("replace_day", dated, others), [date], None, 1, base, job)
 
 
 def insert_many(df: DataFrame, path: str, replace: bool = False) -> LoadResult:

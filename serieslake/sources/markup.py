@@ -2,12 +2,13 @@
 
 Markup is read with patterns inside the JVM; missing end tags do no harm, comments are skipped, and
 character references of every kind are decoded. Heading cells of a body line are cells like the others, and a
-cell that spans columns stands once in each. Pages where tags stand in scripts or attributes
-need ``parsed_tables``: the standard library's parser in Arrow batches, with the same rules.
+cell that spans columns or lines stands once in each. Pages where tags stand in scripts or attributes
+need ``parsed_tables``: the standard library's parser in Arrow batches, with the same rules; scripts are no text there.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from html.entities import name2codepoint
 from html.parser import HTMLParser
@@ -21,6 +22,8 @@ from serieslake.session import ship
 # The named entities that plain HTML text cannot do without; the ampersand goes last.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&amp;": "&"}
 
+MOST_COLUMNS, MOST_LINES = 1000, 65534  # fixed values: what HTML allows a cell to span; 0 lines mean all the rest
+
 
 def inner_text(col: Column, up_to: str | None = None) -> Column:
     """Text of a fragment: tags removed, entities decoded, outer blanks trimmed.
@@ -87,7 +90,7 @@ def table_rows(
     tables = pages.select(*keep, F.posexplode(texts).alias("table", "_table"))
     if css_class:
         tables = tables.filter(
-            F.col("_table").rlike(rf"(?i)^[^>]*class\s*=\s*[\"'][^\"']*\b{css_class}\b")
+            F.col("_table").rlike(rf"(?i)^[^>]*\bclass\s*=\s*([\"'][^\"'>]*\b{css_class}\b|[^\s\"'>]*\b{css_class}\b)")
         )
     if headers:
         # a heading ends at its end tag or at whatever cell or line comes next
@@ -98,7 +101,9 @@ def table_rows(
         tables = tables.filter(F.size(F.array_except(wanted, heads)) == 0)
     # Lines and cells are cut in one nested expression below a single generator: filters
     # on cells stay above it, and every pattern runs once.
-    lines = F.transform(_after(F.col("_table"), "tr"), _line_cells)
+    pieces = _after(F.col("_table"), "tr")
+    spanned = F.col("_table").rlike(r"(?i)\browspan\s*=")  # rare, and only there a line depends on those before it
+    lines = F.when(spanned, _grid(pieces)).otherwise(F.transform(pieces, _line_cells))
     found = tables.select(*keep, "table", F.posexplode(lines).alias("line", "cells"))
     return found.filter(F.size("cells") > 0)
 
@@ -127,11 +132,70 @@ def _line_cells(line: Column) -> Column:
     return F.when(line.rlike(r"(?i)<td\b"), F.when(line.rlike(r"(?i)\bcolspan\s*="), spanned).otherwise(cells)).otherwise(no_cells)
 
 
+def _span(piece: Column, attribute: str, most: int, zero: int = 1) -> Column:
+    """How many columns or lines a cell asks for: at least 1, at most ``most``."""
+    digits = F.regexp_extract(piece, rf"(?i)^[^>]*\b{attribute}\s*=\s*[\"']?(\d+)", 1)
+    asked = F.when(F.length(digits) > 6, most).otherwise(digits.try_cast("int"))
+    return F.when(asked == 0, zero).otherwise(F.least(F.coalesce(asked, F.lit(1)), F.lit(most)))
+
+
 def _spanned_cell(piece: Column) -> Column:
     """A cell as often as it spans columns."""
-    columns = F.regexp_extract(piece, r"(?i)^[^>]*\bcolspan\s*=\s*[\"']?(\d{1,3})", 1).try_cast("int")
-    text = _cell_text(F.regexp_replace(piece, r"^[^>]*>", ""))
-    return F.array_repeat(text, F.greatest(F.coalesce(columns, F.lit(1)), F.lit(1)))
+    return F.array_repeat(_cell_text(F.regexp_replace(piece, r"^[^>]*>", "")), _span(piece, "colspan", MOST_COLUMNS))
+
+
+def _grid(lines: Column) -> Column:
+    """The cells of all lines of a table in which cells span lines: a fold that carries what is still open in each column.
+
+    A line takes its cells from left to right into the columns that no cell from above holds. Columns left
+    free before one that is held are null. Lines of headings keep their columns held, but have no cells of their own.
+    """
+    held = "struct<text:string,lines:int>"
+
+    def cells(line: Column) -> Column:
+        return F.transform(
+            _after(line, "t[dh]", keep_tag=True),
+            lambda piece: F.struct(
+                _cell_text(F.regexp_replace(piece, r"^[^>]*>", "")).alias("text"),
+                _span(piece, "colspan", MOST_COLUMNS).alias("columns"),
+                _span(piece, "rowspan", MOST_LINES, MOST_LINES).alias("lines"),
+            ),
+        )
+
+    def one_less(open_: Column) -> Column:
+        return F.transform(open_, lambda o: F.struct(o["text"].alias("text"), (o["lines"] - 1).alias("lines")))
+
+    def placed(open_: Column, out: Column, cell: Column) -> Column:
+        rest = F.slice(open_, F.size(out) + 1, F.greatest(F.size(open_) - F.size(out), F.lit(0)))
+        free = F.array_position(F.transform(rest, lambda o: o["lines"] > 0), False).cast("int")
+        run = F.when(free > 0, free - 1).otherwise(F.size(rest))
+        own = F.struct(cell["text"].alias("text"), (cell["lines"] - 1).alias("lines"))
+        return F.concat(out, one_less(F.slice(rest, F.lit(1), run)), F.array_repeat(own, cell["columns"]))
+
+    def filled(open_: Column, line: Column) -> Column:
+        out = F.aggregate(cells(line), F.array().cast(f"array<{held}>"), lambda out, cell: placed(open_, out, cell))
+
+        def behind(out: Column) -> Column:
+            rest = F.slice(open_, F.size(out) + 1, F.greatest(F.size(open_) - F.size(out), F.lit(0)))
+            last = F.coalesce(F.array_max(F.transform(rest, lambda o, i: F.when(o["lines"] > 0, i + 1).otherwise(0))), F.lit(0))
+            nothing = F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).alias("lines"))
+            more = F.transform(
+                F.slice(rest, F.lit(1), last),
+                lambda o: F.when(o["lines"] > 0, F.struct(o["text"].alias("text"), (o["lines"] - 1).alias("lines"))).otherwise(nothing),
+            )
+            return F.concat(out, more)
+
+        return F.get(F.transform(F.array(out), behind), F.lit(0))
+
+    def step(state: Column, line: Column) -> Column:
+        def next_state(row: Column) -> Column:
+            data = F.when(line.rlike(r"(?i)<td\b"), F.transform(row, lambda c: c["text"])).otherwise(F.array().cast("array<string>"))
+            return F.struct(row.alias("open"), F.concat(state["rows"], F.array(data)).alias("rows"))
+
+        return F.get(F.transform(F.array(filled(state["open"], line)), next_state), F.lit(0))
+
+    start = F.struct(F.array().cast(f"array<{held}>").alias("open"), F.array().cast("array<array<string>>").alias("rows"))
+    return F.aggregate(lines, start, step, lambda state: state["rows"])
 
 
 def _cell_text(col: Column) -> Column:
@@ -147,6 +211,12 @@ def _cell_text(col: Column) -> Column:
     )
 
 
+def _span_of(value: str | None, most: int, zero: int = 1) -> int:
+    digits = re.match(r"\d+", value or "", re.ASCII)
+    asked = int(digits[0]) if digits else 1
+    return min(asked, most) if asked else zero
+
+
 class _TableReader(HTMLParser):
     """Collects (table, line, cells); an opening tag closes whatever it must."""
 
@@ -155,37 +225,54 @@ class _TableReader(HTMLParser):
         self.found: list[tuple[int, int, list[str]]] = []
         self.table, self.line = -1, -1
         self.cells: list[str] = []
-        self.spans: list[int] = []
+        self.spans: list[tuple[int, int]] = []
+        self.held: list[tuple[str | None, int]] = []  # per column: the text from above and the lines it still covers
+        self.line_open = self.code = False
         self.open = self.data = False  # within a cell; a data cell stands in the line
 
     def flush(self) -> None:
-        if self.data:
-            cells = [c.replace("\xa0", " ").strip() for c, span in zip(self.cells, self.spans) for _ in range(span)]
-            self.found.append((self.table, self.line, cells))
+        if self.cells or self.line_open:
+            row: list[tuple[str | None, int]] = []
+            for text, (columns, lines) in zip(self.cells, self.spans):
+                while len(row) < len(self.held) and self.held[len(row)][1]:
+                    row.append((self.held[len(row)][0], self.held[len(row)][1] - 1))
+                row += [(text.replace("\xa0", " ").strip(), lines - 1)] * columns
+            rest = self.held[len(row) :]
+            while rest and not rest[-1][1]:
+                rest.pop()
+            row += [(text, lines - 1) if lines else (None, 0) for text, lines in rest]
+            self.held = row
+            if self.data:
+                self.found.append((self.table, self.line, [text for text, _ in row]))
+        self.line_open = False
         self.cells, self.spans, self.open, self.data = [], [], False, False
 
     def handle_starttag(self, tag, attrs):
+        self.code = tag in ("script", "style")
         if tag == "table":
             self.flush()
-            self.table, self.line = self.table + 1, -1
+            self.table, self.line, self.held = self.table + 1, -1, []
         elif tag == "tr":
             self.flush()
             self.line += 1
+            self.line_open = True
         elif tag in ("td", "th"):
             self.cells.append("")
-            span = dict(attrs).get("colspan") or ""
-            self.spans.append(max(int(span), 1) if span.isdigit() and len(span) < 4 else 1)
+            named = dict(attrs)
+            lines = _span_of(named.get("rowspan"), MOST_LINES, MOST_LINES)
+            self.spans.append((_span_of(named.get("colspan"), MOST_COLUMNS), lines))
             self.open = True
             self.data |= tag == "td"
 
     def handle_endtag(self, tag):
+        self.code = False
         if tag in ("tr", "table"):
             self.flush()
         elif tag in ("td", "th"):
             self.open = False
 
     def handle_data(self, data):
-        if self.open and self.cells:
+        if self.open and self.cells and not self.code:
             self.cells[-1] += data
 
 

@@ -140,8 +140,34 @@ def s3_unclosed_tables(spark, folder):
 
 
 def s3_parsed_tables(spark, folder):
-    """The same pages through the standard library's parser."""
-    return _two_cells(markup.parsed_tables(_unclosed_pages(spark, folder), "html", "c_custkey"))
+    """Pages with tags in scripts and attributes, which only a parser can tell from markup."""
+    rows = [
+        F.concat(F.lit('<td title="<td>no</td>">'), "c_name", F.lit("<td>a &lt; b")),
+        F.concat(F.lit("<td>"), "c_mktsegment", F.lit("<script>'<tr><td>no'</script><td>"), F.col("c_nationkey").cast("string")),
+    ]
+    page = F.concat(F.lit("<script>var t = '<table><tr><td>no</td></tr></table>';</script>"), _page(rows, "plain", ["uno", "dos"], row_end=""))
+    return _two_cells(markup.parsed_tables(table(spark, folder, "customer").select("c_custkey", page.alias("html")), "html", "c_custkey"))
+
+
+def s3_row_spans(spark, folder):
+    """A table whose first column covers two lines and whose heading covers two columns; the class has no quotes."""
+    page = F.concat(
+        F.lit("<table class=otra><tr><td rowspan=2>no<td>no<tr><td>no</table>"),
+        F.lit("<table border=0 class=precios><tr><th rowspan=2>Nombre</th><th colspan=2>Valores</th></tr><tr><th>a</th><th>b</th></tr>"),
+        F.lit('<tr><td rowspan="2">'), "c_name", F.lit("</td><td>"), "c_mktsegment", F.lit("</td><td>1</td></tr>"),
+        F.lit("<tr><td colspan='2'>"), F.col("c_nationkey").cast("string"), F.lit("</td></tr>"),
+        F.lit("<tr><td>total<td>x<td rowspan=9>&lt;"), "c_name", F.lit("</table>"),
+    )
+    pages = table(spark, folder, "customer").select("c_custkey", page.alias("html"))
+    lines = markup.table_rows(pages, "html", ["c_custkey"], css_class="precios")
+    return lines.select("c_custkey", "line", *markup.named_cells(["nombre", "uno", "dos"]))
+
+
+S3_SPANS_SQL = """
+SELECT c_custkey, CAST(2 AS INTEGER) AS line, c_name AS nombre, c_mktsegment AS uno, '1' AS dos FROM customer
+UNION ALL SELECT c_custkey, 3, c_name, CAST(c_nationkey AS VARCHAR), CAST(c_nationkey AS VARCHAR) FROM customer
+UNION ALL SELECT c_custkey, 4, 'total', 'x', '<' || c_name FROM customer
+"""
 
 
 def _unclosed_pages(spark, folder) -> DataFrame:
@@ -414,6 +440,7 @@ QUERIES = {
     "s3_html_items": (s3_html_items, S3_ITEMS_SQL),
     "s3_html_tables": (s3_html_tables, S3_TABLES_SQL),
     "s3_unclosed_tables": (s3_unclosed_tables, S3_UNCLOSED_SQL),
+    "s3_row_spans": (s3_row_spans, S3_SPANS_SQL),
     "s3_parsed_tables": (s3_parsed_tables, S3_UNCLOSED_SQL),
     "q6_livestock": (q6_livestock, Q6_SQL),
     "s4_json_records": (s4_json_records, S4_SQL),

@@ -377,17 +377,9 @@ FROM trended t JOIN scaled s ON s.series_id = t.series_id AND s.moy = month(t.da
 
 
 def x4_per_series(spark, folder):
-    """A routine from outside Spark: centred 12-month mean of each series."""
-
-    def smoothed(one):
-        mean = one["value"].rolling(13, center=True).mean()
-        return one.assign(smooth=mean)
-
-    found = series.per_series(
-        monthly(spark, folder), ["series_id"], "obs_date", smoothed, "smooth double"
-    )
-    present = F.nanvl("smooth", F.lit(None).cast("double"))
-    return rounded(found.withColumn("smooth", present), {"value": 2, "smooth": 2})
+    """Centred 13-month mean of each series."""
+    found = series.centred_mean(monthly(spark, folder), ["series_id"], "obs_date", "value", "smooth")
+    return rounded(found, {"value": 2, "smooth": 2})
 
 
 X4_SQL = f"""
@@ -398,6 +390,32 @@ FROM monthly WINDOW w AS (PARTITION BY series_id ORDER BY obs_date
                           ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING)
 """
 
+
+
+def d10_as_of(spark, folder):
+    """Three releases of one history, as known in mid-March: the second restates most series, the third comes too late."""
+    rows = monthly(spark, folder)
+    release = lambda df, day, factor: df.select(
+        "series_id", "obs_date", (F.col("value") * factor).alias("value"), F.lit(day).cast("date").alias("vintage_date")
+    )
+    landed = (
+        release(rows, "2024-01-31", 1)
+        .union(release(rows.filter("series_id <> '1-URGENT' AND month(obs_date) % 2 = 0"), "2024-02-29", 2))
+        .union(release(rows, "2024-03-31", 3))
+    )
+    return rounded(series.as_of(landed, ["series_id"], "obs_date", "vintage_date", "2024-03-15", ["value"]), {"value": 2})
+
+
+D10_SQL = f"""
+WITH {MONTHLY_SQL},
+landed AS (
+  SELECT *, DATE '2024-01-31' AS vintage_date FROM monthly
+  UNION ALL SELECT series_id, obs_date, value * 2, DATE '2024-02-29' FROM monthly WHERE series_id <> '1-URGENT' AND month(obs_date) % 2 = 0
+  UNION ALL SELECT series_id, obs_date, value * 3, DATE '2024-03-31' FROM monthly)
+SELECT series_id, obs_date, vintage_date, round(value, 2) AS value FROM landed WHERE vintage_date <= DATE '2024-03-15'
+QUALIFY row_number() OVER (PARTITION BY series_id, obs_date ORDER BY vintage_date DESC) = 1
+"""
+
 # --- consolidated rate ------------------------------------------------------------------------
 
 SPOT_OF = {"click": "CCL", "view": "CCL3", "purchase": "CCL2", "error": "CCL1", "signup": "MEP"}
@@ -498,6 +516,7 @@ QUERIES = {
     "q4_aggregates_yoy": (q4_aggregates_yoy, Q4_SQL),
     "q5_real_money": (q5_real_money, Q5_SQL),
     "w7_seasonal": (w7_seasonal, W7_SQL),
+    "d10_as_of": (d10_as_of, D10_SQL),
     "x4_per_series": (x4_per_series, X4_SQL),
     "a5_consolidated": (a5_consolidated, A5_SQL),
     "f13_incremental": (f13_incremental, F13_SQL),

@@ -205,7 +205,6 @@ def j1_last_dates(spark, folder):
     """Every customer with the day after its last order, if it has any."""
     last = (
         table(spark, folder, "orders")
-        .filter(F.col("o_orderpriority") == "1-URGENT")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(dates.next_day(F.max(F.to_date("o_orderdate"))).alias("next_date"))
     )
@@ -215,7 +214,7 @@ def j1_last_dates(spark, folder):
 
 J1_SQL = """
 SELECT c_custkey, c_mktsegment, CAST(max(o_orderdate) + INTERVAL 1 DAY AS DATE) AS next_date
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey
 GROUP BY 1, 2
 """
 

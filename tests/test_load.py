@@ -158,7 +158,7 @@ def test_empty_batches_do_not_wipe_a_table(spark, path):
     assert stored(spark, path) == []
 
 
-STEPS = ["_write", "_keep_side", "_note", "entries_of", "publish", "write_text", "remove"]
+STEPS = ["_write", "keep_side", "_note", "entries_of", "publish", "write_text", "remove"]
 
 
 def _loads(spark):
@@ -225,10 +225,10 @@ def test_only_one_of_two_loads_of_one_version_is_published(spark, path):
     base = versions.newest(spark, path)
     load.overwrite(batch(spark, [("b", day(2), 2.0)]), path)
     with pytest.raises(versions.Conflict):
-        load._load(batch(spark, [("c", day(3), 3.0)]), path, "overwrite", load._plain("overwrite", batch(spark, []), lambda b: ()), base=base)
+        load.store(batch(spark, [("c", day(3), 3.0)]), path, "overwrite", load._plain("overwrite", batch(spark, []), lambda b: ()), base=base)
     assert stored(spark, path) == [("b", day(2), 2.0)]
     # rows that are only added go on top of what came in between
-    load._load(batch(spark, [("c", day(3), 3.0)]), path, "append", load._plain("append", batch(spark, []), lambda b: b.entries), base=base, retry=True)
+    load.store(batch(spark, [("c", day(3), 3.0)]), path, "append", load._plain("append", batch(spark, []), lambda b: b.entries), base=base, retry=True)
     assert len(stored(spark, path)) == 2
 
 

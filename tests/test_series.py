@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from serieslake.operators import joins, reshape, series
+from serieslake.operators import joins, load, reshape, series
+from serieslake.plans import repo
+from serieslake.session import scratch_path
 
 
 def day(n):
@@ -187,3 +189,46 @@ def test_pivot_refuses_unlisted_items_and_hidden_duplicates(spark):
         reshape.pivot_unique(df, ["d"], "k", ["x", "y"], "v").select("d", "x").collect()
     with pytest.raises(Exception, match="not listed"):
         reshape.pivot_unique(df.filter("v < 3"), ["d"], "k", ["x"], "v").collect()
+
+
+def test_a_repeated_date_fails_changes_and_year_ago(spark):
+    rows = [("a", dt.date(2023, 1, 1), 1.0), ("a", dt.date(2024, 1, 1), 2.0), ("a", dt.date(2024, 1, 1), 3.0)]
+    hour = F.year("d")
+    for found in (
+        lambda df: series.changes(df, ["s"], ["d"], {"c": "x"}),
+        lambda df: series.changes(df, ["s"], ["d"], {"c": "x"}, fill=False),
+        lambda df: series.changes(df, ["s"], ["d"], {"c": "x"}, bucket=hour),
+        lambda df: series.year_over_year(df, "d", ["x"], ["s"]),
+        lambda df: series.year_over_year(df, "d", ["x"]),
+    ):
+        assert found(frame(spark, rows[:2])).count() >= 1
+        with pytest.raises(Exception, match="two rows for one"):
+            found(frame(spark, rows)).collect()
+
+
+def test_year_ago_needs_one_shuffle_and_no_join(spark):
+    days = [dt.date(2023, 2, 28), dt.date(2024, 2, 28), dt.date(2024, 2, 29), dt.date(2025, 2, 28), dt.date(2025, 3, 1), None]
+    df = frame(spark, [("a", d, float(k + 1)) for k, d in enumerate(days)] + [(None, days[0], 9.0)])
+    grown = series.year_over_year(df, "d", ["x"], ["s"])
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {(r.d, r.x) for r in grown.collect()} == {(days[1], 1.0), (days[2], 2.0), (days[3], 1.0)}
+
+
+def test_index_goes_on_from_its_stored_end(spark):
+    days = [dt.date(2024, 1, n) for n in (1, 3, 4, 8, 9, 12)]
+    rows = [(s, d, 20.0 + n, n % 3) for s in ("a", "b", None) for n, d in enumerate(days) if s != "b" or n > 2]
+    rates = spark.createDataFrame(rows, "s string, date date, vwap double, daysToMaturity int")
+    whole = series.compounded_index(rates, ["s"], "date", "vwap", "daysToMaturity", "2024-01-15")
+    path = scratch_path(spark, "index")
+    for end in ("2024-01-05", "2024-01-10", "2024-01-10", "2024-01-15"):
+        repo.extend_index(rates, path, ["s"], end)
+    assert sorted(map(tuple, load.read(spark, path).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_as_of_takes_the_latest_vintage_known(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("a", day, dt.date(2024, 2, v), float(v)) for v in (1, 5, 9)] + [("b", day, dt.date(2024, 2, 9), 1.0), ("c", day, None, 1.0)]
+    df = spark.createDataFrame(rows, "s string, d date, v date, x double")
+    got = series.as_of(df, ["s"], "d", "v", "2024-02-06", ["x"])
+    assert list(map(tuple, got.collect())) == [("a", day, dt.date(2024, 2, 5), 5.0)]

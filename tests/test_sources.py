@@ -261,3 +261,30 @@ def test_delimited_reads_by_position(spark, tmp_path):
 def test_get_table_unknown_name(spark):
     spark.createDataFrame([("x", "default")], "name string, db string").createOrReplaceTempView("known")
     assert tables.get_table(spark, "nope", catalog="known") is None
+
+
+SPANS = [
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>",
+    "<table class=big><tr><th rowspan='2'>h</th><th colspan=2>k</th></tr><tr><th>l</th><th>m</th></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>",
+    "<TABLE><TR><TD>a<TD rowspan=3 colspan=2>b<TD>c<TR><TD>d<TD>e<TR><TR><TD>f</TABLE>",
+    "<table><tr><td>a<td rowspan=0>b<tr><td>c<tr><td>d<td>e</table><table><tr><td>x</table>",
+    "<table><tr><td>a<td>b<td rowspan=2>c<tr></table><table><tr><td colspan=4 rowspan=99999999999>z<tr><td>y</table>",
+]
+
+
+def test_row_spans_in_both_readers(spark):
+    pages = spark.createDataFrame(list(enumerate(SPANS)), "id int, html string")
+    quick = sorted(tuple(r) for r in markup.table_rows(pages, "html", ["id"]).collect())
+    parsed = sorted(tuple(r) for r in markup.parsed_tables(pages, "html", "id").collect())
+    assert [r[:3] for r in quick] == [r[:3] for r in parsed] and [list(r[3]) for r in quick] == [list(r[3]) for r in parsed]
+    lines = {(r[0], r[1], r[2]): list(r[3]) for r in parsed}
+    assert lines[0, 0, 0] == ["a", "b"] and lines[0, 0, 1] == ["a", "c"]
+    assert lines[1, 0, 2] == ["1", "2", "3"] and (1, 0, 0) not in lines
+    assert lines[2, 0, 1] == ["d", "b", "b", "e"] and lines[2, 0, 3] == ["f"]
+    assert lines[3, 0, 1] == ["c", "b"] and lines[3, 0, 2] == ["d", "b", "e"] and lines[3, 1, 0] == ["x"]
+    assert lines[4, 1, 1] == ["z"] * 4 + ["y"]
+
+
+def test_classes_without_quotes(spark):
+    pages = spark.createDataFrame([(1, "<table class=tabla><tr><td>x</table><table class='otra tabla'><tr><td>y</table><table class=no><tr><td>z</table>")], "id int, html string")
+    assert [r.cells for r in markup.table_rows(pages, "html", ["id"], css_class="tabla").collect()] == [["x"], ["y"]]
