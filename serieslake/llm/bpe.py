@@ -4,7 +4,7 @@ A merge always yields a token of the vocabulary, so two neighbouring bytes that
 other in no token are never merged across: such a pair marks a certain cut. White space and
 the borders between words, digits and marks are certain cuts as well. A text is split at all
 certain cuts, each fragment is encoded on its own, and the ids are joined. Fragments seen
-before come from a cache of bounded size.
+before come from caches of bounded size, which forget the older half when they are full.
 
 The vocabulary file is a word-end BPE with byte alphabet (``tokenizers`` JSON); only its
 vocabulary, merges and special tokens are read. Null texts count as empty and give no ids; rows
@@ -29,7 +29,7 @@ from tokenizers import Tokenizer, models
 from serieslake.llm.common import with_columns_of_text
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED = 300_000  # fragments kept by each worker at most
+CACHED = 300_000  # chunks, and words, that each generation of a worker's caches holds at most; there are two
 WORD_END = "</w>"
 # fixed values: the pattern that the vocabulary was made with
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -77,6 +77,8 @@ class Coder(dict):
         bare = [t.removesuffix(WORD_END) for t in vocabulary]
         self.neighbours = {pair for t in bare for pair in zip(t, t[1:])}
         self._encoded: dict[str, bytes] = {}
+        self._older_words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> list[str]:
         """A word in byte letters, split wherever two neighbours stand together in no token."""
@@ -95,10 +97,12 @@ class Coder(dict):
     def _encode_word(self, word: str) -> bytes:
         ids = self._encoded.get(word)
         if ids is None:
-            plain = word.isascii() and word.isprintable()
-            ids = self._encode_letters(word if plain else word.encode().decode("latin-1").translate(self._letters))
+            ids = self._older_words.get(word)
+            if ids is None:
+                plain = word.isascii() and word.isprintable()
+                ids = self._encode_letters(word if plain else word.encode().decode("latin-1").translate(self._letters))
             if len(self._encoded) >= CACHED:
-                self._encoded.clear()
+                self._older_words, self._encoded = self._encoded, {}
             self._encoded[word] = ids
         return ids
 
@@ -121,8 +125,11 @@ class Coder(dict):
         return b"".join(map(self._encode_word, self._words.findall(chunk.lower())))
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode_chunk(chunk)
+        ids = self._older.get(chunk)
+        if ids is None:
+            ids = self.encode_chunk(chunk)
         if len(self) >= CACHED:
+            self._older = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
