@@ -129,8 +129,9 @@ def _plain(mode: str, df: DataFrame, kept: Callable[[Version], Iterable[str]]) -
 
     def change(base: Version | None, entries: tuple[str, ...], rows: int) -> Version:
         before = tuple(kept(base)) if base else ()
-        sides = {LEDGER: base.sides[LEDGER]} if base and LEDGER in base.sides else {}
-        keys = {LEDGER: base.keys[LEDGER]} if sides else {}
+        # a ledger counts on whatever comes; filters belong to folders, which never change
+        kept_on = [side for side in (LEDGER, "_filters") if base and side in base.sides]
+        sides, keys = {s: base.sides[s] for s in kept_on}, {s: base.keys[s] for s in kept_on}
         known = base.struct.fields if before else []
         fields = [*known, *(f for f in df.schema if f.name not in {k.name for k in known})]
         return Version(versions.following(base), mode, rows, StructType(fields).json(), before + entries, sides, keys)

@@ -376,6 +376,82 @@ FROM trended t JOIN scaled s ON s.series_id = t.series_id AND s.moy = month(t.da
 """
 
 
+def w7_filters(spark, folder):
+    """Iterated seasonal filters over the monthly totals of each priority, with every part of the result."""
+    found = series.filtered_adjustment(
+        series.densified(monthly(spark, folder), ["series_id"], "obs_date", ["value"], step="month", carry=False), ["series_id"], "obs_date", "value"
+    )
+    return rounded(found, {"value": 2, "weight": 5, "seasonal": 6, "adjusted": 2, "trend": 2, "irregular": 6})
+
+
+def _weighted_sql(value: str, window: str, weights) -> str:
+    at = {j: value if j == 0 else f"{'lead' if j > 0 else 'lag'}({value}, {abs(j)}) OVER {window}" for j in weights}
+    top = " + ".join(f"coalesce({at[j]}, 0) * {w!r}::DOUBLE" for j, w in weights.items())
+    held = " + ".join(f"CASE WHEN {at[j]} IS NOT NULL THEN {w!r}::DOUBLE ELSE 0 END" for j, w in weights.items())
+    return f"({top}) / nullif({held}, 0)"
+
+
+def _filters_sql() -> str:
+    """The same steps, one table each."""
+    year, along = "(PARTITION BY series_id, month(obs_date) ORDER BY obs_date)", "(PARTITION BY series_id ORDER BY obs_date)"
+    # fixed values: the published weights of the four filters
+    h13 = (-0.01935, -0.02786, 0.0, 0.06549, 0.14736, 0.21434, 0.24006)
+    henderson = series.henderson_weights()
+    if any(abs(henderson[j] - h13[6 - abs(j)]) > 6e-6 for j in henderson):
+        raise ValueError("not the published Henderson weights")
+    m212 = {j: (1 if abs(j) == 6 else 2) / 24 for j in range(-6, 7)}
+    m33 = dict(zip(range(-2, 3), (1 / 9, 2 / 9, 3 / 9, 2 / 9, 1 / 9)))
+    m35 = dict(zip(range(-3, 4), (1 / 15, 2 / 15, 3 / 15, 3 / 15, 3 / 15, 2 / 15, 1 / 15)))
+    steps, last = [], "dense"
+
+    def step(column: str, expression: str) -> None:
+        nonlocal last
+        name = f"s{len(steps)}"
+        made = f"* REPLACE ({expression} AS {column})" if column in seen else f"*, {expression} AS {column}"
+        steps.append(f"{name} AS (SELECT {made} FROM {last})")
+        seen.add(column)
+        last = name
+
+    seen: set[str] = set()
+
+    def factors(ratio: str, weights, name: str) -> None:
+        step("smooth", _weighted_sql(ratio, year, weights))
+        step(name, f"smooth / nullif({_weighted_sql('smooth', along, m212)}, 0)")
+
+    def graded(ratio: str, factor: str) -> None:
+        step("off", f"abs({ratio} / nullif({factor}, 0) - 1)")
+        step("sigma", "1.4826 * median(off) OVER (PARTITION BY series_id)")
+        step("weight", "CASE WHEN sigma = 0 THEN 1 ELSE greatest(0, least(1, (2.5 * sigma - off) / sigma)) END::DOUBLE")
+        step("ratio", f"weight * {ratio} + (1 - weight) * {factor}")
+
+    step("first", f"CASE WHEN count(value) OVER (PARTITION BY series_id ORDER BY obs_date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN {_weighted_sql('value', along, m212)} END")
+    step("raw", "value / nullif(first, 0)")
+    factors("raw", m33, "factor")
+    graded("raw", "factor")
+    factors("ratio", m33, "factor")
+    step("plain", "value / nullif(factor, 0)")
+    step("second", _weighted_sql("plain", along, henderson))
+    step("raw", "value / nullif(second, 0)")
+    factors("raw", m35, "factor")
+    graded("raw", "factor")
+    factors("ratio", m35, "seasonal")
+    step("adjusted", "value / nullif(seasonal, 0)")
+    step("trend", _weighted_sql("adjusted", along, henderson))
+    return f"""
+WITH {MONTHLY_SQL},
+spine AS (
+  SELECT series_id, CAST(unnest(generate_series(CAST(min(obs_date) AS TIMESTAMP), (SELECT CAST(max(obs_date) AS TIMESTAMP) FROM monthly),
+         INTERVAL 1 MONTH)) AS DATE) AS obs_date FROM monthly GROUP BY series_id),
+dense AS (SELECT s.series_id, s.obs_date, m.value FROM spine s LEFT JOIN monthly m ON m.series_id = s.series_id AND m.obs_date = s.obs_date),
+{", ".join(steps)}
+SELECT series_id, obs_date, round(value, 2) AS value, round(weight, 5) AS weight, round(seasonal, 6) AS seasonal,
+  round(adjusted, 2) AS adjusted, round(trend, 2) AS trend, round(adjusted / nullif(trend, 0), 6) AS irregular FROM {last}
+"""
+
+
+W7_FILTERS_SQL = _filters_sql()
+
+
 def x4_per_series(spark, folder):
     """Centred 13-month mean of each series."""
     found = series.centred_mean(monthly(spark, folder), ["series_id"], "obs_date", "value", "smooth")
@@ -517,6 +593,7 @@ QUERIES = {
     "q5_real_money": (q5_real_money, Q5_SQL),
     "w7_seasonal": (w7_seasonal, W7_SQL),
     "d10_as_of": (d10_as_of, D10_SQL),
+    "w7_filters": (w7_filters, W7_FILTERS_SQL),
     "x4_per_series": (x4_per_series, X4_SQL),
     "a5_consolidated": (a5_consolidated, A5_SQL),
     "f13_incremental": (f13_incremental, F13_SQL),

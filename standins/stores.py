@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serieslake.functions import dates
-from serieslake.operators import load, series
+from serieslake.operators import keys, load, series
 from serieslake.plans import exchange, ledger, monetary, prices, repo
 from serieslake.session import scratch_path
 from serieslake.sources import delimited, tables
@@ -249,6 +249,18 @@ UNION ALL SELECT 'orders_restated', 'truncate_append', n, 2, true, early, 'early
 """
 
 
+def s14_new_keys(spark, folder):
+    """A batch of one year, some of its keys stored already; only that year's folder is looked at."""
+    orders, path = _orders(spark, folder).withColumn("year", F.year("date")), scratch_path(spark, "keyed")
+    load.load(orders, path, "append", partition_by=["year"])
+    repeated = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_orderkey")).otherwise(-1 - F.col("o_orderkey"))
+    batch = orders.filter("year = 1997").withColumn("o_orderkey", repeated)
+    return keys.stored_keys(batch, path, ["o_orderkey", "date"], "year")
+
+
+S14_KEYS_SQL = f"SELECT o_orderkey, {DAY} AS date FROM orders WHERE year(o_orderdate) = 1997 AND o_orderkey % 97 = 0"
+
+
 def s15_get_table(spark, folder):
     """A stored table found through the catalog, one frequency, dates as text."""
     path, name = scratch_path(spark, "eventos"), f"eventos_{uuid.uuid4().hex}"
@@ -449,6 +461,7 @@ QUERIES = {
     "s15_get_table": (s15_get_table, S15_SQL),
     "s16_single_row": (s16_single_row, S16_SQL),
     "a4_load_counts": (a4_load_counts, A4_SQL),
+    "s14_new_keys": (s14_new_keys, S14_KEYS_SQL),
     "a4_load_log": (a4_load_log, A4_LOG_SQL),
     "s2_delimited": (s2_delimited, S2_SQL),
     "q20_csv_import": (q20_csv_import, Q20_SQL),

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from serieslake.operators import filters, load, quality, versions
+from serieslake.operators import filters, keys, load, quality, versions
 from serieslake.plans import jobs
 from serieslake.session import scratch_path
 from serieslake.sources import layouts, records, sheets
@@ -276,6 +276,28 @@ def test_pages_are_stored_once_and_repaired(spark, path):
     assert sorted(map(tuple, load.to_repair(spark, path).collect()), key=str) == [(None, 2, "missing"), (None, 3, "missing")]
 
 
+def test_keys_of_a_batch_against_the_stored_ones(spark, path):
+    rows = [(f"s{n}", day(n % 28 + 1, 2020 + n % 4), float(n)) for n in range(400)] + [(None, day(1, 2021), 0.0)]
+    stored_rows = batch(spark, rows).withColumn("year", F.year("date"))
+    load.append(stored_rows, path, ["year"])
+    new = [("s1", day(2, 2021), 1.0), ("s1", day(3, 2021), 1.0), (None, day(1, 2021), 1.0), ("s9999", day(1, 2021), 1.0), ("s2", day(9, 2025), 1.0)]
+    new = batch(spark, new).withColumn("year", F.year("date"))
+    found = keys.stored_keys(new, path, ["s", "date"], "year")
+    assert sorted(map(tuple, found.collect()), key=str) == [("s1", day(2, 2021)), (None, day(1, 2021))]
+    scanned = [f for f in found.inputFiles() if "/_load=" in f]
+    assert scanned and all("/year=2021/" in f for f in scanned)
+    # without a partition column every folder's filters are asked, and the answer is the same
+    assert keys.stored_keys(new, path, ["s", "date"]).count() == 2
+    held = versions.newest(spark, path).sides[keys.FILTERS]
+    with pytest.raises(quality.BatchRejected, match="stored key"):
+        keys.append_unique(new, path, ["s", "date"], ["year"])
+    good = new.filter("s = 's9999' OR year = 2025")
+    assert keys.append_unique(good, path, ["s", "date"], ["year"]).rows == 2
+    assert keys.stored_keys(good, path, ["s", "date"], "year").count() == 2
+    assert versions.newest(spark, path).sides[keys.FILTERS][:1] == held  # folders that were known keep their filters
+    assert keys.stored_keys(good, f"{path}-none", ["s", "date"]).count() == 0
+
+
 def test_stream_and_refused_batches_are_logged(spark, path):
     landing = scratch_path(spark, "in")
     batch(spark, [("a", day(1), 1.0)]).write.parquet(landing)

@@ -232,3 +232,26 @@ def test_as_of_takes_the_latest_vintage_known(spark):
     df = spark.createDataFrame(rows, "s string, d date, v date, x double")
     got = series.as_of(df, ["s"], "d", "v", "2024-02-06", ["x"])
     assert list(map(tuple, got.collect())) == [("a", day, dt.date(2024, 2, 5), 5.0)]
+
+
+def test_filters_find_a_known_season_beside_outliers(spark):
+    season = [0.8, 0.9, 1.0, 1.1, 1.2, 1.1, 1.0, 0.9, 1.05, 1.15, 0.85, 0.95]
+    months = [dt.date(2010 + k // 12, k % 12 + 1, 1) for k in range(144)]
+    rng = np.random.default_rng(4)
+    rows = []
+    for name in ("clean", "spiked"):
+        for k, m in enumerate(months):
+            value = 100 * 1.004**k * season[k % 12] * (1 + 0.004 * rng.standard_normal())
+            rows.append((name, m, value * (1.6 if name == "spiked" and k in (50, 51, 97) else 1.0)))
+    found = series.filtered_adjustment(frame(spark, rows), ["s"], "d", "x").orderBy("s", "d").collect()
+    for name in ("clean", "spiked"):
+        own = [r for r in found if r.s == name]
+        off = [abs(r.seasonal / season[k % 12] - 1) for k, r in enumerate(own)]
+        assert max(off[12:-12]) < 0.02 and max(off) < 0.05  # filters are one-sided at the ends
+        inner = [r for k, r in enumerate(own) if 8 < k < 135 and not any(abs(k - o) < 8 for o in (50, 51, 97))]
+        assert max(abs(r.trend / (100 * 1.004 ** months.index(r.d)) - 1) for r in inner) < 0.01
+    spiked = [r for r in found if r.s == "spiked"]
+    assert all(spiked[k].weight == 0 for k in (50, 51, 97)) and spiked[97].irregular > 1.2
+    assert abs(sum(series.henderson_weights().values()) - 1) < 1e-12
+    with pytest.raises(Exception, match="two rows for one position"):
+        series.filtered_adjustment(frame(spark, [*rows, rows[0]]), ["s"], "d", "x").collect()
