@@ -384,10 +384,14 @@ def w7_filters(spark, folder):
     return rounded(found, {"value": 2, "weight": 5, "seasonal": 6, "adjusted": 2, "trend": 2, "irregular": 6})
 
 
-def _weighted_sql(value: str, window: str, weights) -> str:
-    at = {j: value if j == 0 else f"{'lead' if j > 0 else 'lag'}({value}, {abs(j)}) OVER {window}" for j in weights}
-    top = " + ".join(f"coalesce({at[j]}, 0) * {w!r}::DOUBLE" for j, w in weights.items())
-    held = " + ".join(f"CASE WHEN {at[j]} IS NOT NULL THEN {w!r}::DOUBLE ELSE 0 END" for j, w in weights.items())
+def _weighted_sql(value: str, window: str, weights, share: str = "1") -> str:
+    counted = f"CASE WHEN {value} IS NOT NULL THEN ({share})::DOUBLE END"
+
+    def at(column: str, j: int) -> str:
+        return f"coalesce({column}, 0)" if j == 0 else f"coalesce({'lead' if j > 0 else 'lag'}({column}, {abs(j)}) OVER {window}, 0)"
+
+    top = " + ".join(f"{at(f'{value} * {counted}', j)} * {w!r}::DOUBLE" for j, w in weights.items())
+    held = " + ".join(f"{at(counted, j)} * {w!r}::DOUBLE" for j, w in weights.items())
     return f"({top}) / nullif({held}, 0)"
 
 
@@ -414,29 +418,38 @@ def _filters_sql() -> str:
 
     seen: set[str] = set()
 
-    def factors(ratio: str, weights, name: str) -> None:
-        step("smooth", _weighted_sql(ratio, year, weights))
+    def factors(weights, name: str) -> None:
+        step("smooth", f"coalesce({_weighted_sql('raw', year, weights, 'weight')}, {_weighted_sql('raw', year, weights)})" if weights
+             else "median(raw) OVER (PARTITION BY series_id, month(obs_date))")
         step(name, f"smooth / nullif({_weighted_sql('smooth', along, m212)}, 0)")
 
-    def graded(ratio: str, factor: str) -> None:
-        step("off", f"abs({ratio} / nullif({factor}, 0) - 1)")
+    def graded() -> None:
+        step("off", "abs(raw / nullif(factor, 0) - 1)")
         step("sigma", "1.4826 * median(off) OVER (PARTITION BY series_id)")
-        step("weight", "CASE WHEN sigma = 0 THEN 1 ELSE greatest(0, least(1, (2.5 * sigma - off) / sigma)) END::DOUBLE")
-        step("ratio", f"weight * {ratio} + (1 - weight) * {factor}")
-
-    step("first", f"CASE WHEN count(value) OVER (PARTITION BY series_id ORDER BY obs_date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN {_weighted_sql('value', along, m212)} END")
-    step("raw", "value / nullif(first, 0)")
-    factors("raw", m33, "factor")
-    graded("raw", "factor")
-    factors("ratio", m33, "factor")
-    step("plain", "value / nullif(factor, 0)")
+        step("weight", "coalesce(CASE WHEN sigma = 0 THEN 1 WHEN sigma > 0 AND off IS NOT NULL THEN greatest(0, least(1, (2.5 * sigma - off) / sigma)) END, 1)::DOUBLE")
+
+    def first_ratios(source: str) -> None:
+        step("plain", source)
+        step("first", f"CASE WHEN count(value) OVER (PARTITION BY series_id ORDER BY obs_date ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN {_weighted_sql('plain', along, m212)} END")
+        step("raw", "value / nullif(first, 0)")
+
+    replaced = "coalesce(weight * value + (1 - weight) * first * factor, value)"
+    first_ratios("value")
+    factors(None, "factor")
+    graded()
+    first_ratios(replaced)
+    factors(m33, "factor")
+    graded()
+    factors(m33, "factor")
+    step("plain", f"({replaced}) / nullif(factor, 0)")
     step("second", _weighted_sql("plain", along, henderson))
     step("raw", "value / nullif(second, 0)")
-    factors("raw", m35, "factor")
-    graded("raw", "factor")
-    factors("ratio", m35, "seasonal")
+    factors(m35, "factor")
+    graded()
+    factors(m35, "seasonal")
     step("adjusted", "value / nullif(seasonal, 0)")
-    step("trend", _weighted_sql("adjusted", along, henderson))
+    step("plain", "coalesce(weight * adjusted + (1 - weight) * second, adjusted)")
+    step("trend", _weighted_sql("plain", along, henderson))
     return f"""
 WITH {MONTHLY_SQL},
 spine AS (
