@@ -42,6 +42,7 @@ LEAST = 10
 PERCENT = 50
 TOP = 2000
 CHUNK = 1 << 21  # words of a chunk, one text's more at most
+PARTS = 64  # of a language, ranked on their own first
 ROWS = 1 << 17  # rows of one Arrow batch
 NUMBER_BITS = 31  # of a group's name; above them the chunk, of which the low SEQUENCE_BITS count chunks of one task
 SEQUENCE_BITS = 12
@@ -256,7 +257,11 @@ def collocations(documents: DataFrame, longest: int = LONGEST, least: int = LEAS
         .where(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
         .select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # the first of each part of a language are enough, so its last task gets at most PARTS * top rows
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+    kept = kept.withColumn("in_part", F.row_number().over(part)).where(F.col("in_part") <= top).drop("in_part")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     ranked = kept.select("*", place.alias("rank")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
