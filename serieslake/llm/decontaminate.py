@@ -65,18 +65,16 @@ def _starts(words: Column, span: int) -> Column:
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> Column:
-    """A map of 2 ** bits bits as one constant array; its size does not depend on the data."""
+    """A map of 2 ** bits bits, the result of a subquery; its size does not depend on the data."""
     mask = (1 << bits) - 1
     cells = (
         hashes.select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
-        .groupBy(F.shiftright("b", 6).alias("cell"))
+        .groupBy(F.shiftright("b", 6).alias("id"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("held"))
-        .collect()  # at most 2 ** (bits - 6) rows
     )
-    held = [0] * (1 << (bits - 6))
-    for cell, value in cells:
-        held[cell] = value
-    return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
+    every = hashes.sparkSession.range(1 << (bits - 6)).join(cells, "id", "left")
+    placed = F.sort_array(F.collect_list(F.struct("id", F.coalesce("held", F.lit(0).cast("long")).alias("held"))))
+    return every.agg(placed["held"].alias("map")).scalar()  # 2 ** (bits - 6) numbers
 
 
 def _held(bitmap: Column, h: Column, bits: int) -> Column:
@@ -127,8 +125,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
     seeds = _benchmark_seeds(benchmark)
     numbers = _numbers(benchmark)
     pairs = benchmark.select(_words(text_of()).alias("w")).select("w", F.explode(_starts(F.col("w"), 2)).alias("i"))
-    pair_map = _bitmap(pairs.select(_pair(F.col("w"), F.col("i")).alias("h")), PAIR_BITS)
-    seed_map = _bitmap(seeds.select("h"), SEED_BITS)
+    maps = [
+        _bitmap(pairs.select(_pair(F.col("w"), F.col("i")).alias("h")), PAIR_BITS).alias("__pairs"),
+        _bitmap(seeds.select("h"), SEED_BITS).alias("__seeds"),
+    ]
+    pair_map, seed_map = F.col("__pairs"), F.col("__seeds")
 
     def seeded(words: Column, starts: Column, number: int) -> Column:
         return F.transform(starts, lambda i: F.struct(i.alias("i"), _seed(words, i, number).alias("h")))
@@ -146,7 +147,9 @@ def leaks(documents: DataFrame, benchmark: DataFrame, *keys: str) -> DataFrame:
         return F.transform(found, lambda s: F.struct(s["h"].alias("h"), *_around(words, s["i"])))
 
     found = (
-        documents.select(*keys, F.explode(_let(_words(text_of()), hits)).alias("hit"))
+        documents.select(*keys, text_of().alias("__text"), *maps)
+        .select(*keys, _let(_words(F.col("__text")), hits).alias("hits"))
+        .select(*keys, F.explode("hits").alias("hit"))
         .select(*keys, "hit.h", F.col("hit.before").alias("d_before"), F.col("hit.after").alias("d_after"))
         .join(seeds.hint("merge"), "h")  # the benchmark has no bound, so it is never broadcast
     )
