@@ -46,6 +46,7 @@ ROUNDS = 1  # rounds that pair groups with hubs only, before all pairs across co
 HUBS = 8
 BLOCK = 64  # copies of a neighbourhood that are verified together
 MAP_BITS = 24  # bits of the map that picks texts to verify: 2 MB
+SLICE = 500  # rows of an Arrow batch that are Python objects at once
 
 
 class Rule(NamedTuple):
@@ -55,6 +56,12 @@ class Rule(NamedTuple):
     percent: int
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
+
+
 def _shingle_sets(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     factors = [np.uint64((2 * 0x51ED270B7A2F1D3 * k + 1) % (1 << 64)) for k in range(1, shingle + 1)]
@@ -80,8 +87,8 @@ def _prefix_counts(rule: Rule) -> callable:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = _shingle_sets(batch.column(0).to_pylist(), rule.shingle)
-            fronts = [s[: _prefix_length(len(s), rule.percent) * 5 // 4 + 4] for s in sets]
+            sets = (s for part in _sliced([batch]) for s in _shingle_sets(part.column(0).to_pylist(), rule.shingle))
+            fronts = [s[: _prefix_length(len(s), rule.percent) * 5 // 4 + 4].copy() for s in sets]
             value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *fronts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["hash", "texts"])
 
@@ -91,7 +98,7 @@ def _prefix_counts(rule: Rule) -> callable:
 def _members(frequent, rule: Rule) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, copies, groups, prefixes = [], [], [], []
             for found in _shingle_sets(batch.column(2).to_pylist(), rule.shingle):
                 n = len(found)
@@ -123,7 +130,7 @@ def _members(frequent, rule: Rule) -> callable:
 def _on_map(batches: Iterator[pa.RecordBatch], bits, shingle: int) -> Iterator[np.ndarray]:
     """The sets of the texts whose hash is on the map, copies within the task once."""
     seen = set()
-    for batch in batches:
+    for batch in _sliced(batches):
         low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
         on = ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
         for k in np.flatnonzero(on):
@@ -175,7 +182,7 @@ def _compared(percent: int) -> callable:
     """The links between components within each pair of blocks, whose copies stand together."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+        rows = (row for batch in _sliced(batches) for row in zip(*(column.to_pylist() for column in batch.columns)))
         for _, block in itertools.groupby(rows, key=lambda row: row[0]):
             sides = {-1: [], 0: [], 1: []}
             for _, copy, root, side, items in block:
@@ -192,7 +199,7 @@ def _verified(percent: int) -> callable:
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, sets = None, {}
-        for batch in batches:
+        for batch in _sliced(batches):
             src, dst = [], []
             for key, one, two, items in zip(*(column.to_pylist() for column in batch.columns)):
                 if key != block:
@@ -365,6 +372,13 @@ def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataF
     return nodes.drop("cluster").join(cluster, "grp", "left")
 
 
+def _meeting_enough(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of groups that hold as many open shingles as any link takes; the others cannot link any more."""
+    need = F.ceil(F.min(_size("at")) * percent / 100)
+    enough = rows.groupBy("grp").agg(F.count("*").alias("open"), F.least(F.lit(OVERLAP), need).alias("need")).where("open >= need")
+    return rows.join(enough.select("grp"), "grp", "left_semi")
+
+
 def _across_clusters(rows: DataFrame, percent: int) -> DataFrame:
     """All groups of different components that meet under enough shingles, but for those of one cluster."""
     other = rows.select(
@@ -421,12 +435,9 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     entries = groups.select("grp", "n", F.posexplode("prefix").alias("i", "hash")).select(
         "hash", "grp", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("at")
     )
-    shared = settle(
-        entries.withColumns(
-            {"held": F.count("*").over(Window.partitionBy("hash")), "home": F.min("grp").over(Window.partitionBy("hash"))}
-        ).where("held > 1"),
-        "shared-prefixes",
-    )
+    # counted with partial sums, so that a shingle which very many groups hold gathers in no task
+    held = entries.groupBy("hash").agg(F.count("*").alias("held"), F.min("grp").alias("home")).where("held > 1")
+    shared = settle(entries.join(held, "hash"), "shared-prefixes")
     # the least group that a group meets anywhere marks its neighbourhood
     # and how often its shingles are held shows how central it is: a text that others were edited from comes first
     home = shared.groupBy("grp").agg(F.min("home").alias("home"), (F.sum("held") / F.min(_size("at"))).alias("weight"))
@@ -446,8 +457,9 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
             rows.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("split").alias("split"))
             .where("low != high or split").select("hash")
         )
-        rows = settle(rows.join(mixed, "hash", "left_semi"), "open-prefixes")
         last = number == ROUNDS
+        rows = rows.join(mixed, "hash", "left_semi")
+        rows = settle(_meeting_enough(rows, percent) if last else rows, "open-prefixes")
         groups = _across_clusters(rows, percent) if last else settle(_star_pairs(rows, number, percent), "group-pairs")
         pairs = settle(_expanded(groups.where("linkable").select("a", "b"), nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
         links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts, rule)
