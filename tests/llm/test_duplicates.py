@@ -276,6 +276,24 @@ def test_embeddings_against_all_pairs(spark):
     assert len(got) == len(rows)
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    pick = random.Random(12)
+    rows = [(k, [2.0, 1.0]) for k in range(3)] + [(10 + k, [1.0, 2.0, 3.0]) for k in range(6)] + [(20, [3.0]), (21, [4.0]), (22, [-1.0])]
+    for length in (5, 8):
+        for k in range(40):
+            base = [pick.gauss(0, 1) for _ in range(length)]
+            rows += [(100 * length + 2 * k, base), (100 * length + 2 * k + 1, [x + pick.gauss(0, 0.01) for x in base])]
+    rows += [(5000, [1.0] * 7)]  # the only one of its length
+    table = vectors(spark, [(*row, 0, "x", "x") for row in rows])
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(table).collect()}
+    assert len(got) == len(rows) and got[5000] == (0, 5000)
+    assert got[0] == (2, 0) and got[12] == (5, 10) and got[20] == (1, 20) and got[21] == (1, 20) and got[22] == (0, 22)
+    for length in (5, 8):
+        for k in range(40):
+            one, two = got[100 * length + 2 * k], got[100 * length + 2 * k + 1]
+            assert one[0] >= 1 and two[0] >= 1 and one[1] == two[1]
+
+
 def test_few_and_no_vectors(spark):
     def run(rows):
         return sorted(map(tuple, embedding_dedup.near_duplicates(vectors(spark, rows)).collect()))
