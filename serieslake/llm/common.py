@@ -76,23 +76,24 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
     return documents.select("doc_id", text_of().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).repartition(1)
 
 
-def settle(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there.
-
-    ``kept`` tables outlast the next ``sweep``.
-    """
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    if not kept:
-        _settled.append(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Remove the settled tables; call it only when every result made from them is stored."""
+def mark() -> int:
+    """Where a ``sweep`` of what is settled from now on has to stop."""
+    return len(_settled)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables settled since a ``mark``; call it only when every result made from them is stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _settled:
+    while len(_settled) > since:
         path = jvm.org.apache.hadoop.fs.Path(_settled.pop())
         path.getFileSystem(conf).delete(path, True)
 

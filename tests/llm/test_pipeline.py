@@ -3,6 +3,7 @@
 import __spark_entry__ as entry
 import corpus_pipeline
 from serieslake.llm import queries
+from serieslake.llm.common import mark, settle, sweep
 from tables import awkward, documents, prose
 
 FOLDER = "/root/testdata/sf0.001"
@@ -44,6 +45,21 @@ def test_a_leak_takes_no_other_text_of_its_id_along(spark, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(None, clean), (None, None), (4, clean)], key=repr)
 
 
+def test_a_sweep_leaves_what_was_settled_before_its_mark(spark):
+    before = settle(spark.range(5), "before")
+    since = mark()
+    after = settle(spark.range(7), "after")
+    assert after.count() == 7
+    sweep(spark, since)
+    assert before.count() == 5 and mark() == since
+
+
+def test_an_unread_result_outlasts_a_run(spark):
+    unread = queries.op8_token_files(spark, FOLDER)
+    corpus_pipeline.run(spark, FOLDER)
+    assert unread.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
 def test_registration():
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and len(set(names)) == 5
