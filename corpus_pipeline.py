@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serieslake.llm import bpe, decontaminate, line_dedup, ngram_join, quality
-from serieslake.llm.common import sweep, table, text_of
+from serieslake.llm.common import mark, sweep, table, text_of
 from serieslake.session import scratch_path
 
 # near copies; op7_ngram_jaccard_join has a stricter contract of its own
@@ -77,10 +77,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what earlier stages stored is removed as soon as the next one has read it."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        since = mark()
         path, found = scratch_path(spark, name.replace(" ", "-")), stage(spark, docs, sf_dir)
         found.write.parquet(path)
         docs = spark.read.schema(found.schema).parquet(path)
-        sweep(spark)
+        sweep(spark, since)
         if before:
             _remove(spark, before)
         before = path
