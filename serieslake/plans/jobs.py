@@ -11,8 +11,10 @@ replaced.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from serieslake.operators import load, quality
 from serieslake.plans import activity, exchange, monetary, prices, repo, trades
 from serieslake.sources import layouts, records
 
-FOREX_BODY = TRADES_BODY = "body"
+AT_ONCE = 4  # tables of a job that are stored at the same time
+FOREX_BODY = TRADES_BODY = SPOT_BODY = "body"
 
 
 @dataclass(frozen=True)
@@ -28,7 +31,8 @@ class Job:
     """How landed data become tables, how these are stored, and what must hold before that.
 
     ``report`` gives constraint violations (table_name, constraint_name, violations). ``pages`` gives the landed
-    pages with their keys, and the options of ``append_pages``.
+    pages with their keys, and the options of ``append_pages``. With ``by_series`` the columns given as ``by`` tell
+    the series of a table apart, each with a newest date of its own.
     """
 
     tables: Callable[..., Mapping[str, DataFrame]]
@@ -36,6 +40,18 @@ class Job:
     options: Mapping[str, object] = field(default_factory=dict)
     report: Callable[[DataFrame], DataFrame] | None = None
     pages: Callable[..., tuple[DataFrame, Mapping[str, object]]] | None = None
+    by_series: bool = False
+
+
+def _spot_tables(payloads: DataFrame, by=()) -> Mapping[str, DataFrame]:
+    spots = exchange.spot_records(payloads, SPOT_BODY, by)
+    return {"ccl": exchange.consolidated_rate(spots, by=by)}
+
+
+def _livestock_tables(pages: DataFrame) -> Mapping[str, DataFrame]:
+    """The market tables of the pages, dated by their request."""
+    clean = prices.livestock_prices(pages, "html", "date")
+    return {"MAGPrices": clean.withColumn("date", F.col("date").cast("date"))}
 
 
 def _deposit_tables(rows: DataFrame, workbook: str) -> Mapping[str, DataFrame]:
@@ -74,6 +90,8 @@ JOBS = {
     "narrow_series": Job(
         lambda rows: {"narrow": exchange.narrow_series(rows, layouts.NARROW)}, "append_new", {"date": "obs_date", "by": ["series_id"]}
     ),
+    "spot_rates": Job(_spot_tables, "append_new", {"date": "date"}, by_series=True),
+    "livestock": Job(_livestock_tables, "append_new", {"date": "date"}),
     "forex": Job(lambda payloads, keep=(): {"forex": exchange.forex_quotes(payloads, FOREX_BODY, keep)}, "append_pages", pages=_forex_pages),
     "trades": Job(
         lambda pages, run_date, schemas: {"senebi": trades.trades(pages, TRADES_BODY, run_date, schemas)}, "append_pages", pages=_trade_pages
@@ -94,4 +112,9 @@ def run(job: str, landed: DataFrame, lake: str, **given) -> dict[str, load.LoadR
             name: load.append_pages(pages, f"{lake}/{name}", lambda p, name=name: plan.tables(p, **given)[name], job=job, **how) for name in names
         }
     tables = plan.tables(landed, **given)
-    return {name: load.load(frame, f"{lake}/{name}", plan.mode, job=job, **plan.options) for name, frame in tables.items()}
+    options = dict(plan.options) | ({"by": tuple(given.get("by", ()))} if plan.by_series else {})
+    store = inheritable_thread_target(landed.sparkSession)(
+        lambda name: load.load(tables[name], f"{lake}/{name}", plan.mode, job=job, **options)
+    )
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the tables of a job do not depend on each other
+        return dict(zip(tables, pool.map(store, tables)))

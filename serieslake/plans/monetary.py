@@ -68,11 +68,8 @@ def deposit_loads(
     rows: DataFrame, workbook: str, tables: Sequence[str] = tuple(layouts.DEPOSIT_SHEETS)
 ) -> list[DepositLoad]:
     """Parameters with the column names of the workbook's own header rows filled in."""
-    loads = []
-    for table in tables:
-        header = sheets.header_names(rows, layouts.deposit_layout(table), workbook)
-        loads.append(DepositLoad(table, layouts.deposit_layout(table, header)))
-    return loads
+    headers = sheets.header_names(rows, [layouts.deposit_layout(table) for table in tables], workbook)
+    return [DepositLoad(table, layouts.deposit_layout(table, headers[table])) for table in tables]
 
 
 def deposit_observations(rows: DataFrame, loads: Sequence[DepositLoad]) -> DataFrame:

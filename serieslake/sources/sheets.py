@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,20 +187,19 @@ def transposed(cells: DataFrame) -> DataFrame:
     )
 
 
-def header_names(rows: DataFrame, layout: SheetRange, workbook: str) -> tuple[str, ...]:
-    """Names from the header row above the range, kept columns only (reads one row)."""
-    found = (
-        rows.filter(
-            (F.col("workbook") == workbook)
-            & (F.col("sheet") == layout.sheet)
-            & (F.col("row") == layout.first_row - 1)
-        )
-        .select(*(F.get("cells", F.lit(pos)) for pos in layout.positions()))
-        .head()
-    )
-    if found is None:
-        raise ValueError(f"{layout.table}: no header row in {workbook}")
-    return unique_names(found)
+def header_names(rows: DataFrame, layouts: Sequence[SheetRange], workbook: str) -> dict[str, tuple[str, ...]]:
+    """Per table the names in the header row above its range, kept columns only; one scan for all of them."""
+    places = {(one.sheet, one.first_row - 1) for one in layouts}
+    wanted = reduce(or_, ((F.col("sheet") == sheet) & (F.col("row") == row) for sheet, row in sorted(places)))
+    lines = rows.filter((F.col("workbook") == workbook) & wanted).groupBy("sheet", "row").agg(F.min("cells").alias("cells"))
+    found = {(line.sheet, line.row): line.cells for line in lines.collect()}  # a line per sheet of the layouts
+    names = {}
+    for one in layouts:
+        cells = found.get((one.sheet, one.first_row - 1))
+        if cells is None:
+            raise ValueError(f"{one.table}: no header row in {workbook}")
+        names[one.table] = unique_names([cells[pos] if pos < len(cells) else None for pos in one.positions()])
+    return names
 
 
 def unique_names(names: Sequence[str | None]) -> tuple[str, ...]:

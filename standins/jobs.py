@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from serieslake.operators import filters, load
 from serieslake.plans import jobs
 from serieslake.session import scratch_path
 from standins import markup_payloads, sheets
+from standins.series import rounded
 
 TRADES = {"run_date": "2024-06-03", "schemas": markup_payloads.ENDPOINTS}
 
@@ -49,6 +52,55 @@ def job_trades(spark, folder):
     return _stored(spark, "trades", markup_payloads.dense_pages(spark, folder), "senebi", **TRADES)
 
 
+def job_spot_rates(spark, folder):
+    return _stored(spark, "spot_rates", markup_payloads.spot_payloads(spark, folder), "ccl", by=["user_id"])
+
+
+def job_livestock(spark, folder):
+    stored = _stored(spark, "livestock", markup_payloads.livestock_pages(spark, folder), "MAGPrices")
+    return rounded(stored, {c: 3 for c in stored.columns if c.startswith("precio")})
+
+
+def _totals(name: str, stored: DataFrame) -> DataFrame:
+    """Rows, values and sum of every numeric column of a stored table."""
+    values = [f.name for f in stored.schema if f.dataType.simpleString() == "double"]
+    line = lambda c: F.struct(F.lit(c).alias("series_id"), F.count(c).alias("present"), F.sum(c).alias("total"))
+    summed = stored.agg(
+        F.array(*map(line, values)).alias("_lines"),
+        F.count(F.lit(1)).alias("observations"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    )
+    found = summed.select("observations", "first_date", "last_date", F.inline("_lines"))
+    return found.select(F.lit(name).alias("table"), "series_id", "observations", "present", "total", "first_date", "last_date")
+
+
+def _all_stored(spark, job: str, landed: DataFrame, **given) -> DataFrame:
+    """Totals of every table a job stores, after two runs; the second one must leave the tables as they are."""
+    lake = scratch_path(spark, job)
+    first = jobs.run(job, landed, lake, **given)
+    again = jobs.run(job, landed, lake, **given)
+    for name, result in again.items():
+        if result.rows != (0 if jobs.JOBS[job].mode == "append_new" else first[name].rows):
+            raise ValueError(f"a rerun of {job} wrote {result.rows} rows of {name} after {first[name].rows}")
+    return reduce(DataFrame.unionByName, [_totals(name, load.read(spark, f"{lake}/{name}")) for name in first])
+
+
+def job_deposits(spark, folder):
+    """All eight deposit tables, named by the workbook's own headers."""
+    return _all_stored(spark, "deposits", sheets.deposit_rows(spark, folder), workbook="dep")
+
+
+def job_monetary(spark, folder):
+    """All six monetary tables."""
+    return _all_stored(spark, "monetary", sheets.six_sheets(spark, folder))
+
+
+def job_dashboard(spark, folder):
+    """All twelve dashboard tables, checked against their keys before they replace anything."""
+    return _all_stored(spark, "dashboard", sheets.dashboard_days(spark, folder))
+
+
 def _repaired(spark, job: str, landings: list[DataFrame], name: str, **given) -> DataFrame:
     """The stored table after one run per landing, with the rows that each run added."""
     lake = scratch_path(spark, job)
@@ -107,7 +159,20 @@ SELECT t.*, (SELECT count(*) FROM events WHERE event_id % 5 <> 0 AND event_id %
 FROM ({markup_payloads.Q7_SQL}) t
 """
 
+MONETARY_SQL = f"""
+SELECT "table", series_id, CAST(sum(observations) AS BIGINT) AS observations, CAST(sum(present) AS BIGINT) AS present,
+  sum(total) AS total, min(first_date) AS first_date, max(last_date) AS last_date
+FROM ({sheets.Q11_SQL}) GROUP BY 1, 2
+"""
+
+LIVESTOCK_SQL = f"SELECT * REPLACE (CAST(date AS DATE) AS date) FROM ({markup_payloads.Q6_SQL})"
+
 QUERIES = {
+    "job_spot_rates": (job_spot_rates, markup_payloads.Q1_SQL),
+    "job_livestock": (job_livestock, LIVESTOCK_SQL),
+    "job_deposits": (job_deposits, sheets.ALL_DEPOSITS_SQL),
+    "job_monetary": (job_monetary, MONETARY_SQL),
+    "job_dashboard": (job_dashboard, sheets.DASHBOARD_DAYS_SQL),
     "job_activity": (job_activity, sheets.Q10_SQL),
     "job_real_exchange": (job_real_exchange, sheets.Q18_SQL),
     "job_repo_sheet": (job_repo_sheet, sheets.QUERIES["q15_repo_sheet"][1]),

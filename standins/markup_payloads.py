@@ -62,7 +62,7 @@ def _local(amount: Column, digits: int) -> Column:
     return F.translate(F.format_number(amount, digits), ",.", ".,")
 
 
-def _livestock_pages(spark, folder) -> DataFrame:
+def livestock_pages(spark, folder) -> DataFrame:
     price, key = F.col("o_totalprice"), F.col("o_orderkey")
     cells = lambda name, extra: _td(
         name,
@@ -85,7 +85,7 @@ def _livestock_pages(spark, folder) -> DataFrame:
 
 def q6_livestock(spark, folder):
     """Market pages: rows with an empty cell go, local number styles become numbers."""
-    clean = prices.livestock_prices(_livestock_pages(spark, folder), "html", "date")
+    clean = prices.livestock_prices(livestock_pages(spark, folder), "html", "date")
     return clean.select(
         *(
             F.round(c, 3).alias(c) if c.startswith("precio") else F.col(c)
@@ -224,8 +224,8 @@ FROM events, (VALUES (0), (1)) v(d)
 """
 
 
-def q1_spot_payloads(spark, folder):
-    """Spot payloads of a user to the consolidated rate, end to end."""
+def spot_payloads(spark, folder) -> DataFrame:
+    """A body per user and day."""
     events = table(spark, folder, "events")
     per_day = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.avg(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"),
@@ -238,13 +238,17 @@ def q1_spot_payloads(spark, folder):
         F.round(price, 4).alias("normalizedPrice"),
         F.lit(1).alias("representativity"),
     )
-    bodies = per_day.select(
+    return per_day.select(
         "user_id",
         F.to_json(
             F.struct(F.array(quote("CCL", "a"), quote("CCL3", "b"), quote("MEP", "c")).alias("data"))
         ).alias("body"),
     )
-    spots = exchange.spot_records(bodies, "body", ["user_id"])
+
+
+def q1_spot_payloads(spark, folder):
+    """Spot payloads of a user to the consolidated rate, end to end."""
+    spots = exchange.spot_records(spot_payloads(spark, folder), "body", ["user_id"])
     return exchange.consolidated_rate(spots, by=["user_id"])
 
 

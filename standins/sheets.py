@@ -336,8 +336,8 @@ def _summary(observations: DataFrame, *by: str) -> DataFrame:
 _TAGS = {"bmBCRA": 32, "reservas": 16, "depositos": 30, "prestamos": 21}
 
 
-def q11_monetary_sheets(spark, folder):
-    """Six sheets in one landing table, all read in one scan."""
+def six_sheets(spark, folder) -> DataFrame:
+    """All six monetary sheets in one landing table."""
     key = F.col("o_orderkey")
     names = F.array(*(F.lit(one.sheet) for one in layouts.MONETARY))
     tag = F.when(F.col("o_custkey") % 2 == 0, "D").otherwise("M")
@@ -350,8 +350,12 @@ def q11_monetary_sheets(spark, folder):
         .otherwise((whole("o_totalprice") + i).cast("string")),
     )
     sheet = F.get(names, (key % 6).cast("int"))
-    rows = landed(table(spark, folder, "orders"), F.lit("series"), sheet, 0, cells)
-    return _summary(monetary.monetary_observations(rows), "freq")
+    return landed(table(spark, folder, "orders"), F.lit("series"), sheet, 0, cells)
+
+
+def q11_monetary_sheets(spark, folder):
+    """Six sheets in one landing table, all read in one scan."""
+    return _summary(monetary.monetary_observations(six_sheets(spark, folder)), "freq")
 
 
 def _item_rows(blocks) -> str:
@@ -400,6 +404,18 @@ def _q11_wide_sql() -> str:
 
 
 def _dashboard_rows(spark, folder) -> DataFrame:
+    return dashboard_lines(table(spark, folder, "orders"))
+
+
+def dashboard_days(spark, folder) -> DataFrame:
+    """One line per day, as the dashboard has it."""
+    days = table(spark, folder, "orders").groupBy("o_orderdate").agg(
+        F.min("o_orderkey").alias("o_orderkey"), F.max("o_totalprice").alias("o_totalprice")
+    )
+    return dashboard_lines(days)
+
+
+def dashboard_lines(orders: DataFrame) -> DataFrame:
     """Every block has its date column; the interest block has placeholders and gaps."""
     key = F.col("o_orderkey")
     special = {f"p{dict(b.columns())['date']}": iso_day() for b in layouts.DASHBOARD_BLOCKS}
@@ -409,26 +425,33 @@ def _dashboard_rows(spark, folder) -> DataFrame:
     special[f"p{sheets.column_index('V')}"] = F.when(key % 4 != 0, iso_day())
     cells = cell_numbers(sheets.column_index("BE") + 1, **special)
     sheet = F.when(key % 50 == 49, "OTRA").otherwise("DATOS | DATA")
-    return landed(table(spark, folder, "orders"), F.lit("panel"), sheet, 0, cells)
+    return landed(orders, F.lit("panel"), sheet, 0, cells)
 
 
 def q12_dashboard_blocks(spark, folder):
     return _summary(monetary.dashboard_observations(_dashboard_rows(spark, folder)))
 
 
-Q12_SQL = f"""
+def _q12_sql(lines: str) -> str:
+    return f"""
 WITH items(g, "table", series_id, pos) AS (VALUES {_item_rows(layouts.DASHBOARD_BLOCKS)})
 SELECT "table", series_id, count(*) AS observations, count(*) AS present,
   CAST(sum(CASE WHEN series_id = 'pase_pasivo' AND (o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)
            THEN 0 ELSE {TOTAL} + pos END) AS DOUBLE) AS total,
   min({DAY}) AS first_date, max({DAY}) AS last_date
-FROM orders CROSS JOIN items
+FROM {lines} CROSS JOIN items
 WHERE o_orderkey >= 27 AND o_orderkey % 50 <> 49
   AND (o_orderkey % 4 <> 0 OR "table" <> 'infomond_liquidez_entidades')
 GROUP BY 1, 2
 """
 
 
+Q12_SQL = _q12_sql("orders")
+DASHBOARD_DAYS_SQL = _q12_sql(
+    "(SELECT o_orderdate, min(o_orderkey) AS o_orderkey, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) days"
+)
+
+
 def s14_dashboard_constraints(spark, folder):
     """Only the even orders' last cell is missing, so one series has nulls; dates repeat."""
     rows = _dashboard_rows(spark, folder).withColumn(
@@ -524,6 +547,54 @@ FROM orders JOIN items ON g = o_orderkey % 3 WHERE o_orderkey % 10 <> 0
 GROUP BY 1, 2
 """
 
+
+def deposit_rows(spark, folder) -> DataFrame:
+    """All seven sheets, with their header rows; the second series of a table is blank here and there."""
+    key, orders = F.col("o_orderkey"), table(spark, folder, "orders")
+    names = list(dict.fromkeys(sheet for sheet, _, _ in layouts.DEPOSIT_SHEETS.values()))
+    sheet = F.get(F.array(*map(F.lit, names)), (key % len(names)).cast("int"))
+    width = sheets.column_index("EV") + 1
+    right, aside = sheets.column_index("EP"), sheet == "Total_sectores"
+    second = F.when((key % 10 == 0), F.lit(3)).when((key % 15 == 1), F.lit(right + 1))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: F.when((i == 0) | (aside & (i == right)), F.date_format("o_orderdate", "yyyyMMdd"))
+        .when(~i.eqNullSafe(second), (whole("o_totalprice") + i).cast("string")),
+    )
+    rows = landed(orders, F.lit("dep"), sheet, 27, cells)
+    header = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.concat(F.lit("h"), i.cast("string")))
+    heads = rows.select("workbook", "sheet").distinct().withColumns({"row": F.lit(26).cast("long"), "cells": header})
+    return rows.unionByName(heads)
+
+
+def _all_deposits_sql() -> str:
+    """Every column of every deposit table: the sums of its sheet, moved by the column's place."""
+    names = list(dict.fromkeys(sheet for sheet, _, _ in layouts.DEPOSIT_SHEETS.values()))
+    right = sheets.column_index("EP")
+    items = []
+    for name, (sheet, span, drop) in layouts.DEPOSIT_SHEETS.items():
+        left, last = (sheets.column_index(letters) for letters in span.split(":"))
+        kept = [p for n, p in enumerate(range(left, last + 1)) if n not in drop]
+        items += [(names.index(sheet), name, pos, left) for pos in kept[1:]]
+    values = ", ".join(f"({g}, '{name}', {pos}, {left})" for g, name, pos, left in items)
+    return f"""
+WITH items(g, "table", pos, lft) AS (VALUES {values}),
+lines AS (
+  SELECT o_orderkey % {len(names)} AS g, {TOTAL} AS total, {DAY} AS d,
+    o_orderkey % 10 = 0 AS blank_left, o_orderkey % 10 <> 0 AND o_orderkey % 15 = 1 AS blank_right FROM orders),
+sums AS (
+  SELECT g, 0 AS lft, count(*) AS n, sum(total) AS total, min(d) AS first_date, max(d) AS last_date
+  FROM lines WHERE NOT blank_left GROUP BY 1
+  UNION ALL
+  SELECT g, {right}, count(*), sum(total), min(d), max(d) FROM lines WHERE NOT blank_right GROUP BY 1)
+SELECT "table", 'h' || pos AS series_id, n AS observations, n AS present,
+  CAST(total + n * pos AS DOUBLE) AS total, first_date, last_date
+FROM items JOIN sums USING (g, lft)
+"""
+
+
+ALL_DEPOSITS_SQL = _all_deposits_sql()
+
 # --- daily balance, repo operations, ledger ----------------------------------------------------------
 
 
