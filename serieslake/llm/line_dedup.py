@@ -1,15 +1,17 @@
 """Line dedup over content-defined chunks of lines.
 
-A line of ``LONG_WORDS`` words or more is a chunk of its own. Among shorter lines a chunk begins at every line
-with words and closes at the line that brings it to ``LEAST_WORDS`` words; a long line ends it without one.
-So chunks depend on their own lines alone, wherever they stand, and every repeat of that many words holds one.
-Chunks are compared over the whole corpus: the first occurrence (least doc_id, then position) stays, every later
+A line of ``LONG_WORDS`` words or more is a chunk of its own. Shorter lines form chunks of several, whose boundaries
+are chosen by a hash that rolls over the hashes of ``ROLLED`` lines: of every run of lines with ``WINDOW_WORDS`` words the
+line with the least rolling hash begins a chunk (all of them, if several are least), and so does the first line of a text or after
+a long line. A chunk closes at the line that brings it to ``LEAST_WORDS`` words; a long line ends it without one.
+So chunks depend on nearby lines alone, wherever they stand, and every repeat of ``WINDOW_WORDS`` and
+``LEAST_WORDS`` words, rounded up to whole lines each, holds one. Chunks are compared over the whole corpus: the first occurrence (least doc_id, then position) stays, every later
 one is removed once its bytes equal the first one's, unless both overlap. A removed chunk takes along the short
-lines next to it that equal, byte for byte, those next to the first occurrence; as chunks begin at every
-line, fewer than ``LEAST_WORDS`` words are left there.
+lines next to it that equal, byte for byte, those next to the first occurrence; as a chunk begins in every window,
+fewer than ``REACH`` words are left there.
 
 Words are runs between white space of any kind; in scripts written without spaces two letters count as a word.
-Null texts count as empty; an emptied text stays as an empty text, no row is dropped. Rows that
+Texts of any length are read whole, line by line. Null texts count as empty; an emptied text stays as an empty text, no row is dropped. Rows that
 agree in doc_id and text are one document; a null doc_id is an id like any other and comes first.
 Extra columns are kept; ``n_chars``, if present, follows the text.
 """
@@ -29,6 +31,10 @@ from serieslake.session import ship
 
 LONG_WORDS = 10
 LEAST_WORDS = 10
+WINDOW_WORDS = 5
+ROLLED = 2
+REACH = 25
+_BASE, _BITS = 0x9E3779B97F4A7C15, (1 << 64) - 1
 # Thai, Lao, Tibetan, Burmese, Khmer, kana, Chinese characters
 _UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
@@ -38,31 +44,68 @@ def _n_words(line: str) -> int:
     return spaced if line.isascii() else spaced + len(_UNSPACED.findall(line)) // 2
 
 
+def _rolling(lines: list[str]) -> list[int]:
+    """At each line the polynomial hash of ``ROLLED`` line hashes, as far as there are lines."""
+    hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
+    lead = pow(_BASE, ROLLED, 1 << 64)
+    out, rolled = [0] * len(lines), 0
+    for i in range(len(lines) - 1, -1, -1):
+        left = hashes[i + ROLLED] if i + ROLLED < len(lines) else 0
+        # the new line enters with the least power, the one that leaves has the highest
+        rolled = (rolled * _BASE + hashes[i] - left * lead) & _BITS
+        out[i] = rolled
+    return out
+
+
+def _starts(lines: list[str], words: list[int], run: list[int]) -> list[int]:
+    """Which lines of a run of short ones begin chunks, counted within the run."""
+    rolling = _rolling([lines[i] for i in run])
+    chosen = {0} if run else set()
+    end = held = 0
+    for first in range(len(run)):
+        while end < len(run) and held < WINDOW_WORDS:
+            held += words[run[end]]
+            end += 1
+        if held < WINDOW_WORDS:
+            break
+        least = min(rolling[first:end])
+        chosen.update(k for k in range(first, end) if rolling[k] == least)
+        held -= words[run[first]]
+    return sorted(chosen)
+
+
 def _layout(text: str) -> tuple[list[str], list[int], list[tuple[int, int]]]:
     """Lines, the words of each, and the (first, end) of each chunk."""
     lines = text.split("\n")
     words = [_n_words(line) for line in lines]
-    chunks, first, held = [], 0, 0
-    for i, n in enumerate(words):
-        if n >= LONG_WORDS:
-            chunks.append((i, i + 1))
-            first, held = i + 1, 0
+    chunks, run = [], []
+    for i, n in enumerate([*words, LONG_WORDS]):
+        if 0 < n < LONG_WORDS:
+            run.append(i)
+        if n < LONG_WORDS:
             continue
-        held += n
-        while held >= LEAST_WORDS:
-            if words[first]:
-                chunks.append((first, i + 1))
-            held -= words[first]
-            first += 1
+        before = end = held = 0
+        for start in _starts(lines, words, run):
+            held -= sum(words[k] for k in run[before : min(start, end)])
+            before, end = start, max(start, end)
+            while end < len(run) and held < LEAST_WORDS:
+                held += words[run[end]]
+                end += 1
+            if held < LEAST_WORDS:
+                break
+            chunks.append((run[start], run[end - 1] + 1))
+        run = []
+        if i < len(lines):
+            chunks.append((i, i + 1))
     return lines, words, chunks
 
 
 def _next_to(lines: list[str], words: list[int], places: range) -> list[str]:
-    """Short lines at the places, up to the one that brings them to ``LEAST_WORDS`` words."""
+    """Short lines at the places, up to the one that brings them to ``REACH`` words."""
     out, held = [], 0
     for i in places:
         held += words[i]
-        if held >= LEAST_WORDS:
+        if held >= REACH or words[i] >= LONG_WORDS:
             break
         out.append(lines[i])
     return out

@@ -110,6 +110,99 @@ def test_boundaries_resist_shifts():
     assert len(cuts - moved) <= 1
 
 
+def test_boundaries_of_short_lines_resist_shifts():
+    """Far from an edit the same lines begin chunks, not all of them do, and lines of five words always do."""
+    pick = random.Random(11)
+    words = prose(9000, 2400).split()
+    lines = [" ".join(words[6 * k : 6 * k + pick.randrange(1, 7)]) for k in range(400)]
+    for cut in (1, 7, 50):
+        whole = {a for a, _ in line_dedup._layout("\n".join(lines))[2]}
+        moved = {a + cut for a, _ in line_dedup._layout("\n".join(lines[cut:]))[2]}
+        assert {a for a in whole if a >= cut + 6} == {a for a in moved if a >= cut + 6}
+    assert all(k in whole for k in range(380) if len(lines[k].split()) >= 5) and len(whole) < 350
+    rolled = line_dedup._rolling(lines)
+    assert rolled[40:] == line_dedup._rolling(lines[40:]) and rolled[7] == line_dedup._rolling(lines[7:9])[0]
+
+
+def plain_chunks(lines):
+    """(first, end) of the chunks by the rules of the module text, tried window by window."""
+    size = [len(line.split()) for line in lines]
+    out, run = [(i, i + 1) for i, n in enumerate(size) if n >= 10], []
+    for i, n in enumerate([*size, 10]):
+        if n >= 10:
+            rolled = line_dedup._rolling([lines[k] for k in run])
+            starts = {0}
+            for a in range(len(run)):
+                for b in range(a + 1, len(run) + 1):
+                    if sum(size[k] for k in run[a:b]) >= 5:
+                        starts |= {k for k in range(a, b) if rolled[k] == min(rolled[a:b])}
+                        break
+            for a in starts:
+                ends = [b for b in range(a + 1, len(run) + 1) if sum(size[k] for k in run[a:b]) >= 10]
+                out += [(run[a], run[ends[0] - 1] + 1)] if ends else []
+            run = []
+        elif n:
+            run.append(i)
+    return out
+
+
+def plain_line_dedup(rows):
+    texts = {i: t.split("\n") for i, t in rows}
+    places = {}
+    for i, lines in texts.items():
+        for a, b in plain_chunks(lines):
+            places.setdefault("\n".join(lines[a:b]), []).append((i, a, b))
+
+    def near(lines, order):
+        out, held = [], 0
+        for k in order:
+            held += len(lines[k].split())
+            if held >= line_dedup.REACH or len(lines[k].split()) >= 10:
+                break
+            out.append(lines[k])
+        return out
+
+    def same(one, other):
+        return next((k for k, (x, y) in enumerate(zip(one, other)) if x != y), min(len(one), len(other)))
+
+    gone = {i: set() for i in texts}
+    for found in places.values():
+        (i, a, b), *later = sorted(found)
+        for j, c, d in later:
+            if j == i and c < b:
+                continue
+            first = c - same(near(texts[i], range(a - 1, -1, -1)), near(texts[j], range(c - 1, -1, -1)))
+            end = d + same(near(texts[i], range(b, len(texts[i]))), near(texts[j], range(d, len(texts[j]))))
+            gone[j] |= set(range(max(first, b) if i == j else first, end))
+    return {i: "\n".join(line for k, line in enumerate(lines) if k not in gone[i]) for i, lines in texts.items()}
+
+
+def test_line_dedup_equals_plain_python(spark):
+    pick = random.Random(21)
+    words = prose(9500, 3000).split()
+    pool = [" ".join(words[25 * k : 25 * k + pick.choice((1, 2, 3, 4, 6, 9, 10, 25))]) for k in range(120)] + ["", "la", "la la"]
+    passages = [pick.choices(pool, k=pick.randrange(3, 25)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(pick.randrange(0, 5)):
+            lines += pick.choice(passages) if pick.random() < 0.5 else pick.choices(pool, k=pick.randrange(1, 15))
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    wanted = plain_line_dedup(rows)
+    assert got == wanted and sum(wanted[i] != t for i, t in rows) > 60
+
+
+def test_line_dedup_of_one_very_long_text(spark):
+    """A text of some megabytes, a copy of its middle, and a text of one line."""
+    pick = random.Random(31)
+    words = ["".join(pick.choices("abcdefghij", k=6)) for _ in range(20000)]
+    lines = [" ".join(pick.choices(words, k=pick.randrange(1, 9))) for _ in range(120000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(["own start here", *lines[50000:60000], "own end there"])), (3, "x" * 2_000_000)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert len(rows[0][1]) > 3_000_000 and got == {1: rows[0][1], 2: "own start here\nown end there", 3: rows[2][1]}
+
+
 def test_line_dedup_of_awkward_rows(spark):
     rows = awkward()
     got = found(line_dedup.dedup_lines(documents(spark, rows, extra=True)))
