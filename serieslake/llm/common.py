@@ -59,7 +59,8 @@ def with_columns_of_text(
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:
     """(doc_id, text, label) of at most so many ids of class 0 and class 1, in one partition.
 
-    The ids with the least hash are taken. Null ids and labels, and ids labelled both ways, are left out.
+    The ids with the least hash are taken, and of several texts of an id the one with the least hash. Null ids and labels, and
+    ids labelled both ways, are left out.
     """
     ship(documents.sparkSession)
     marked = (
@@ -73,7 +74,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_cla
         for value, most in enumerate(per_class)
     )
     ids = F.broadcast(zero.union(one))  # at most sum(per_class) rows
-    return documents.select("doc_id", text_of().alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"]).repartition(1)
+    texts = documents.select("doc_id", text_of().alias("text")).join(ids, "doc_id")
+    least = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text")))
+    return texts.groupBy("doc_id", "label").agg(least.alias("text")).select("doc_id", "text", "label").repartition(1)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A text's features are its distinct words (A-Z lowered) and the first four and five bytes of longer words,
 hashed. One weight per feature is shared by all grades; P(grade > k) = sigmoid(f - threshold k) with
-ascending thresholds, and the expected severity is the sum of those chances. Labels tell toxic from
+ascending thresholds, and the expected severity is the sum of those chances. Weights and both thresholds are
+learned in the likelihood of the grades. Which texts are called toxic is another matter: they are those from a decision cut on,
+the f that tells the sample's toxic from its clean texts best, and the cut leaves the model as it is. Labels tell toxic from
 clean only, so training grades toxic texts by how dense the features are that mark toxic texts:
 below the median of the toxic sample is grade 1, from it on grade 2. Only marking features get a weight.
 
-Null and empty texts have no features and get the chances of the thresholds alone. Rows that
+Null and empty texts have no features and get the chances of the thresholds alone. Texts of any length are read whole. Rows that
 repeat score alike. Without labelled texts of both classes all severities are 0. Extra columns are dropped
 unless asked for.
 """
@@ -30,6 +32,7 @@ LIKELIHOOD = 12.0  # a feature marks toxic texts from this log-likelihood ratio
 RATIO = 10.0  # if that many times as large a share of toxic texts has it
 CLEAN_COST = 2.0  # a clean text called toxic weighs as much as so many toxic ones missed
 PREFIXES = (4, 5)
+LEAST_GAP = 0.001  # between the thresholds
 
 
 def _features(run: words.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,40 @@ def _grades(marked: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarra
     return np.where(toxic == 0, 0, np.where(density >= np.median(density[toxic == 1]), 2, 1))
 
 
-def _threshold(margins: np.ndarray, toxic: np.ndarray) -> float:
+def log_likelihood(margins: np.ndarray, grade: np.ndarray, low: float, high: float) -> float:
+    below, under = _sigmoid(low - margins), _sigmoid(high - margins)
+    return float(np.log(np.maximum(np.choose(grade, (below, under - below, 1 - under)), 1e-12)).sum())
+
+
+def _thresholds(margins: np.ndarray, grade: np.ndarray, low: float, high: float) -> tuple[float, float]:
+    """The thresholds of greatest likelihood at given margins, by Newton steps that are halved until they gain."""
+    at, reached = np.array([low, high]), log_likelihood(margins, grade, low, high)
+    first, second, third = (grade == g for g in range(3))
+    for _ in range(100):
+        a, b = _sigmoid(at[0] - margins), _sigmoid(at[1] - margins)
+        da, db, p = a * (1 - a), b * (1 - b), np.maximum(b - a, 1e-12)
+        slope = np.array([(1 - a)[first].sum() - (da / p)[second].sum(), (db / p)[second].sum() - b[third].sum()])
+        cross = (da * db / p**2)[second].sum()
+        bend = np.array(
+            [
+                [-da[first].sum() - (da * (1 - 2 * a) / p + (da / p) ** 2)[second].sum(), cross],
+                [cross, (db * (1 - 2 * b) / p - (db / p) ** 2)[second].sum() - db[third].sum()],
+            ]
+        )
+        step = np.linalg.solve(np.eye(2) * 1e-6 - bend, slope)
+        while np.abs(step).max() > 1e-7:
+            to = np.clip(at + step, -30, 30)
+            gained = log_likelihood(margins, grade, *to)
+            if to[1] >= to[0] + LEAST_GAP and gained > reached:
+                at, reached = to, gained
+                break
+            step = step / 2
+        else:
+            break
+    return float(at[0]), float(at[1])
+
+
+def _cut(margins: np.ndarray, toxic: np.ndarray) -> float:
     """The margin that tells the sample's toxic from its clean texts best."""
     order = np.argsort(margins, kind="stable")
     margins, toxic = margins[order], toxic[order]
@@ -123,21 +159,27 @@ def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             low -= rate * np.clip(steps[0] + steps[1], -5, 5)
             gap -= rate * np.clip(steps[1] * np.exp(gap), -5, 5)
     weights = model.all()
-    # the lower threshold moves to where the sample is told apart best
-    high, low = low + np.exp(gap), _threshold(np.array([weights[row].sum() for row in rows]), toxic)
+    margins = np.array([weights[row].sum() for row in rows])
+    low, high = _thresholds(margins, grade, low, low + np.exp(gap))
     kept = np.flatnonzero(weights)
     yield pd.DataFrame(
-        {"features": [kept.astype(np.int32).tobytes()], "weights": [weights[kept].tobytes()], "low": [low], "high": [max(high, low + 0.1)]}
+        {
+            "features": [kept.astype(np.int32).tobytes()],
+            "weights": [weights[kept].tobytes()],
+            "low": [low],
+            "high": [high],
+            "cut": [_cut(margins, toxic)],
+        }
     )
 
 
 class Model:
-    """Shared weights and ascending thresholds."""
+    """Shared weights, ascending thresholds and the margin from which a text is called toxic."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, low: float, high: float):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, low: float, high: float, cut: float):
         self.weights = np.zeros(1 << BITS)
         self.weights[features] = weights
-        self.thresholds = (low, high)
+        self.thresholds, self.cut = (low, high), cut
 
     def margins(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -152,14 +194,17 @@ class Model:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model | None:
     """The model of at most ``per_class`` labelled clean and toxic texts; the sample meets in one task."""
     sample = labelled_sample(documents, labels, label, per_class)
-    found = sample.mapInPandas(_fit, "features binary, weights binary, low double, high double").first()
+    found = sample.mapInPandas(_fit, "features binary, weights binary, low double, high double, cut double").first()
     if found is None:
         return None
-    return Model(np.frombuffer(found[0], np.int32), np.frombuffer(found[1]), found[2], found[3])
+    return Model(np.frombuffer(found[0], np.int32), np.frombuffer(found[1]), *found[2:])
 
 
 def grade(documents: DataFrame, model: Model | None, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (all by default) with the expected ``severity`` (0 to 2), the median ``grade``, and ``toxic`` (grade 1 or 2)."""
+    """``columns`` (all by default) with the expected ``severity`` (0 to 2), ``toxic`` (from the decision cut on), and the ``grade``.
+
+    A text that is not called toxic has grade 0, another one the grade 2 if the model holds that likelier than not, else 1.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the corpus
 
     def graded(texts):
@@ -167,7 +212,7 @@ def grade(documents: DataFrame, model: Model | None, columns: list[str] | None =
             return np.zeros(len(texts)), np.zeros(len(texts), np.int32), np.zeros(len(texts), bool)
         f = shared.value.margins(texts)
         above = np.stack([_sigmoid(f - t) for t in shared.value.thresholds])
-        grades = (above >= 0.5).sum(axis=0).astype(np.int32)
-        return above.sum(axis=0), grades, grades > 0
+        toxic = f >= shared.value.cut
+        return above.sum(axis=0), np.where(toxic, 1 + (above[1] >= 0.5), 0).astype(np.int32), toxic
 
     return with_columns_of_text(documents, columns, "severity double, grade int, toxic boolean", graded)
