@@ -80,7 +80,7 @@ _ABOUT_OTHERS = {"has", "no", "with", "without"}  # has-sidebar, no-comments
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "content", "noise", "named", "hidden", "chars", "links", "tags", "link_tags", "density", "sum")
+    __slots__ = ("tag", "parent", "content", "noise", "named", "hidden", "chars", "links", "tags", "link_tags", "density", "sum", "open")
 
     def __init__(self, tag: str, parent: "_Node | None"):
         self.tag, self.parent = tag, parent
@@ -88,6 +88,7 @@ class _Node:
         self.noise, self.named, self.hidden = tag in _NEVER, False, False
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.open: frozenset[str] = frozenset()  # the tags of the element and of those around it, without the body's
 
     def within(self, tags: set[str]) -> "_Node | None":
         """The nearest element with one of the tags, itself included."""
@@ -123,7 +124,7 @@ def _mark(node: _Node, attributes: str) -> None:
 def _before(node: _Node, tag: str) -> _Node:
     """The open element that a start tag falls into, once it has closed what it closes."""
     closed, shelters = _CLOSES.get(tag, ({"p"} if tag in _CLOSES_P else (), _SHELTERS))
-    if closed:
+    if not node.open.isdisjoint(closed):
         up, into = node, node
         while up.parent is not None and up.tag not in shelters:
             if up.tag in closed:
@@ -137,6 +138,8 @@ def _before(node: _Node, tag: str) -> _Node:
 
 def _after(node: _Node, tag: str) -> _Node:
     """The open element once an end tag is read; an end tag without a start changes nothing."""
+    if tag not in node.open:
+        return node
     up = node
     while up.parent is not None and up.tag != tag:
         if tag in _INLINE and up.tag not in _INLINE or up.tag in _SHELTERS and tag not in _TABLE_PARTS:
@@ -166,6 +169,7 @@ def _tree(page: str) -> list[_Node]:
         parent = _before(node, tag)
         child = _Node(tag, parent)
         _mark(child, found["attributes"])
+        child.open = parent.open if child.tag in parent.open else parent.open | {child.tag}
         parent.content.append(child)
         nodes.append(child)
         if tag in _RAW:
@@ -224,13 +228,14 @@ def _drop_noise(nodes: list[_Node]) -> None:
     """Named elements and page headers are noise unless they wrap the article or most of the text."""
     _measure(nodes)
     total = nodes[0].chars
-    wraps = _holders(nodes)
+    wraps, around = _holders(nodes), set()
     for node in nodes:
         if node.tag in _ARTICLES and not node.named and not node.noise and 2 * node.chars > total:
             up = node.parent
-            while up is not None:
-                wraps.add(up)
+            while up is not None and up not in around:
+                around.add(up)
                 up = up.parent
+    wraps |= around
     for node in nodes:
         if node.tag in _RAW or node is nodes[0]:
             continue
@@ -285,10 +290,10 @@ def _chosen(nodes: list[_Node]) -> list[_Node]:
         path.append(up)
         up = up.parent
     threshold = min(n.density for n in path)
-    chosen = {id(best)}
+    chosen, on_path = {id(best)}, {id(n) for n in path}
     for node in path[1:]:
         for piece in node.content:
-            if not isinstance(piece, str) and piece not in path and not piece.noise and piece.chars:
+            if not isinstance(piece, str) and id(piece) not in on_path and not piece.noise and piece.chars:
                 if piece.density >= threshold and 2 * piece.links < piece.chars:
                     chosen.add(id(piece))
     return [n for n in nodes if id(n) in chosen]

@@ -1,8 +1,10 @@
 """Quality, toxicity and main text."""
 
-import numpy as np
+import time
 import zlib
 
+import numpy as np
+
 from serieslake.llm import html_text, quality, queries, toxicity, words
 from tables import awkward, documents, found
 
@@ -83,6 +85,24 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.grade(documents(spark, rows), None, ["doc_id"]).agg({"severity": "max"}).first()[0] == 0.0
 
 
+def test_both_thresholds_are_those_of_greatest_likelihood():
+    pick = np.random.default_rng(3)
+    margins, noise = pick.normal(0, 3, 4000), pick.logistic(size=4000)
+    grade = (margins + noise > 1).astype(int) + (margins + noise > 2.5).astype(int)
+    low, high = toxicity._thresholds(margins, grade, -3.0, 8.0)
+    assert abs(low - 1) < 0.2 and abs(high - 2.5) < 0.25
+    best = toxicity.log_likelihood(margins, grade, low, high)
+    assert all(best >= toxicity.log_likelihood(margins, grade, low + a, high + b) for a in (-0.05, 0, 0.05) for b in (-0.05, 0, 0.05))
+
+
+def test_severity_is_that_of_the_model(spark):
+    """The decision cut tells which texts are toxic; the severity is the sum of the model's chances."""
+    model = toxicity.Model(np.array([], np.int32), np.array([]), 1.0, 2.0, 0.0)
+    got = found(toxicity.grade(documents(spark, [(1, "any text"), (2, None)]), model))
+    chance = 1 / (1 + np.exp(1.0)) + 1 / (1 + np.exp(2.0))
+    assert all(abs(got[i][0]["severity"] - chance) < 1e-12 and got[i][0]["toxic"] and got[i][0]["grade"] == 1 for i in (1, 2))
+
+
 ARTICLE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p><article>no";</script></head>
 <body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div class="cookie-notice"><p>We use cookies, many of them, on all of our pages.</p></div>
 <article><h1>Title</h1><p>First &eacute; para&#103;raph<b> is <i>bold</b>.<p>Second   one
@@ -96,6 +116,13 @@ def test_article_without_its_surroundings():
     assert html_text.extract(ARTICLE) == "Title\nFirst é paragraph is bold.\nSecond one with a link\nHi."
 
 
+def test_deep_pages_take_linear_time():
+    page = "<div>" * 100_000 + "<p>Some text that is long enough to be found." + "</span>" * 100_000
+    start = time.monotonic()
+    assert html_text.extract(page) == "Some text that is long enough to be found."
+    assert time.monotonic() - start < 20
+
+
 def test_density_finds_the_text_without_marks_of_an_article():
     page = (
         "<body><div><ul><li><a href=1>one</a><li><a href=2>two</a></ul></div><div><div><p>A long paragraph of the main text, with many words.</p>"
