@@ -134,9 +134,16 @@ def _line_cells(line: Column) -> Column:
 
 def _span(piece: Column, attribute: str, most: int, zero: int = 1) -> Column:
     """How many columns or lines a cell asks for: at least 1, at most ``most``."""
+
+    def asked(digits: Column) -> Column:
+        # most cells ask for nothing; an empty text must not reach the cast, which raises and catches an error for each
+        return (
+            F.when(digits == "", 1).when(F.length(digits) > 6, most).when(F.ltrim(digits, F.lit("0")) == "", zero)
+            .otherwise(F.least(digits.cast("int"), F.lit(most)))
+        )
+
     digits = F.regexp_extract(piece, rf"(?i)^[^>]*\b{attribute}\s*=\s*[\"']?(\d+)", 1)
-    asked = F.when(F.length(digits) > 6, most).otherwise(digits.try_cast("int"))
-    return F.when(asked == 0, zero).otherwise(F.least(F.coalesce(asked, F.lit(1)), F.lit(most)))
+    return F.get(F.transform(F.array(digits), asked), F.lit(0))
 
 
 def _spanned_cell(piece: Column) -> Column:

@@ -158,7 +158,9 @@ def s3_row_spans(spark, folder):
         F.lit("<tr><td colspan='2'>"), F.col("c_nationkey").cast("string"), F.lit("</td></tr>"),
         F.lit("<tr><td>total<td>x<td rowspan=9>&lt;"), "c_name", F.lit("</table>"),
     )
-    pages = table(spark, folder, "customer").select("c_custkey", page.alias("html"))
+    # a small file makes many pages, so they are dealt out before the work on them
+    customers = table(spark, folder, "customer").repartition(spark.sparkContext.defaultParallelism)
+    pages = customers.select("c_custkey", page.alias("html"))
     lines = markup.table_rows(pages, "html", ["c_custkey"], css_class="precios")
     return lines.select("c_custkey", "line", *markup.named_cells(["nombre", "uno", "dos"]))
 

@@ -288,3 +288,15 @@ def test_row_spans_in_both_readers(spark):
 def test_classes_without_quotes(spark):
     pages = spark.createDataFrame([(1, "<table class=tabla><tr><td>x</table><table class='otra tabla'><tr><td>y</table><table class=no><tr><td>z</table>")], "id int, html string")
     assert [r.cells for r in markup.table_rows(pages, "html", ["id"], css_class="tabla").collect()] == [["x"], ["y"]]
+
+
+def test_spans_of_cells_that_ask_for_none_are_not_cast(spark):
+    """Each cast of an empty text raises and catches an error, which took most of the time of a page."""
+    asked = ["", " colspan=0", " colspan=03", " colspan=''", " colspan=00000000", " colspan='2'", " colspan=x", ' rowspan="000"']
+    body = "".join(f"<tr><td{a}>{k}" for k, a in enumerate(asked))
+    pages = spark.createDataFrame([(1, f"<table><tr><td rowspan=1>a{body}</table>"), (2, None)], "id int, html string")
+    lines = markup.table_rows(pages, "html", ["id"])
+    assert "try_cast" not in lines._jdf.queryExecution().toString().lower()
+    quick = sorted(tuple(r) for r in lines.collect())
+    assert [len(r[3]) for r in quick] == [1, 1, 1, 3, 1, 1000, 2, 1, 1]
+    assert quick[:5] + quick[6:] == [r for r in sorted(tuple(r) for r in markup.parsed_tables(pages, "html", "id").collect()) if r[2] != 5]
