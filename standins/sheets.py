@@ -556,11 +556,16 @@ def deposit_rows(spark, folder) -> DataFrame:
     width = sheets.column_index("EV") + 1
     right, aside = sheets.column_index("EP"), sheet == "Total_sectores"
     second = F.when((key % 10 == 0), F.lit(3)).when((key % 15 == 1), F.lit(right + 1))
-    cells = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.when((i == 0) | (aside & (i == right)), F.date_format("o_orderdate", "yyyyMMdd"))
-        .when(~i.eqNullSafe(second), (whole("o_totalprice") + i).cast("string")),
-    )
+    day, total = F.date_format("o_orderdate", "yyyyMMdd"), whole("o_totalprice")
+
+    def cell(i: int) -> Column:
+        value = (total + i).cast("string")
+        if i in (3, right + 1):
+            return F.when(~F.lit(i).eqNullSafe(second), value)
+        return day if i == 0 else F.when(aside, day).otherwise(value) if i == right else value
+
+    # an array of expressions: a filter on one cell makes that cell alone, not the whole row of every sheet
+    cells = F.array(*map(cell, range(width)))
     rows = landed(orders, F.lit("dep"), sheet, 27, cells)
     header = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.concat(F.lit("h"), i.cast("string")))
     heads = rows.select("workbook", "sheet").distinct().withColumns({"row": F.lit(26).cast("long"), "cells": header})

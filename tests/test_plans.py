@@ -5,7 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from standins import jobs, registered, stores
+from serieslake.plans import monetary
+from standins import jobs, registered, sheets, stores
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -64,3 +65,11 @@ def test_independent_of_partition_count(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found[0] == found[1]
+
+
+def test_filters_on_deposit_rows_make_one_cell(spark):
+    """A filter on a cell must not make all cells of a row, for the rows of every sheet."""
+    rows = sheets.deposit_rows(spark, FOLDER)
+    found = monetary.deposit_tables(rows, monetary.deposit_loads(rows, "dep"))["depUVA"]
+    conditions = re.findall(r"Filter .*", plan_of(found))
+    assert conditions and not any("transform(" in c for c in conditions)
