@@ -71,10 +71,10 @@ def _bitmap(hashes: DataFrame, bits: int) -> Column:
         hashes.select(F.col("h").bitwiseAND(F.lit(mask)).alias("b"))
         .groupBy(F.shiftright("b", 6).alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("held"))
-        .collect()  # at most 2 ** (bits - 6) rows
+        .toArrow()  # at most 2 ** (bits - 6) rows
     )
     held = [0] * (1 << (bits - 6))
-    for cell, value in cells:
+    for cell, value in zip(cells["cell"].to_pylist(), cells["held"].to_pylist()):
         held[cell] = value
     return F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
 

@@ -2,14 +2,16 @@
 
 A text is the set of its distinct shingles of ``SHINGLE`` words, or as many as the caller names (words
 ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; a text of fewer words is one shingle, a text without words none). All
-sets share one order of shingles: by hash, those most frequent in prefixes last. Two sets whose
-Jaccard similarity reaches the threshold (``PERCENT``, or what the caller names) share ``OVERLAP``
-or more shingles of their prefixes. Texts with the same prefix and size form a group; group pairs are filtered by size, by the places of the shared shingle and by the number
-of shared prefix shingles, and only then expanded into their members and verified on whole sets.
-
-Candidates come in rounds. The first ones pair each group with a few hubs per prefix shingle, the most central
+sets share one order of shingles: by hash, those most frequent in prefixes last. Neighbours in that order make a
+key, so texts that have single shingles in common by chance, as more and more texts of a larger table do, do not
+meet. Two sets whose Jaccard similarity reaches the threshold (``PERCENT``, or what the caller names) share
+``OVERLAP`` or more keys of their prefixes (see ``Rule``). Texts with the same prefix and size form a group; group
+pairs are filtered by size, by the places of the shared key and by the number
+of shared keys, and only then expanded into their members and verified on whole sets.
+
+Candidates come in rounds. The first ones pair each group with a few hubs per key, the most central
 one among them; that settles most large groups of near copies in linear work and names, for each group, the
-cluster of its heaviest hub. The last round takes all groups that share a prefix shingle but still lie
+cluster of its heaviest hub. The last round takes all groups that share a key but still lie
 in different components, so no link between components is missed: members of one cluster are compared in
 blocks, once those are left out that share too little with other components, and all others by pairs.
 Copies (equal sets) are one node throughout.
@@ -40,21 +42,38 @@ PERCENT = 85
 OVERLAP = 4
 FREQUENT = 1 << 18  # shingles moved to the end of the order, at most: 2 MB
 FREQUENT_FROM = 32
-ALIKE = 12  # percent of a prefix that members of a cluster share with its hub
+ALIKE = 3  # percent of its keys that members of a cluster share with its hub
 JUMPS = 3  # from hub to heavier hub
 ROUNDS = 1  # rounds that pair groups with hubs only, before all pairs across components
 HUBS = 8
 BLOCK = 64  # copies of a neighbourhood that are verified together
 MAP_BITS = 24  # bits of the map that picks texts to verify: 2 MB
+KEY_BITS = 25  # bits of the map that picks keys of several texts: 4 MB
 SLICE = 500  # rows of an Arrow batch that are Python objects at once
 
 
 class Rule(NamedTuple):
-    """When two texts are linked: 100 * intersection >= percent * union of their shingles."""
+    """When two texts are linked: 100 * intersection >= percent * union of their shingles.
+
+    A key is made of ``span`` neighbours. Let the prefix of set X end no later than that of Y, let X have a and Y
+    have b shingles up to there that the other lacks. Each of them parts one couple of neighbours at most, so of
+    the keys of X, span * a + (span - 1) * b at most are no keys of Y. With n, m, o for the sizes of X, Y and their
+    intersection that is span * n + (span - 1) * m - (2 * span - 1) * o at most, and for linked sets never over
+    span * n * (100 - percent) / 100, as long as couples are only taken above 50 percent.
+    """
 
     shingle: int
     percent: int
 
+    @property
+    def span(self) -> int:
+        return 2 if self.percent > 50 else 1
+
+    @property
+    def apart(self) -> int:
+        """Percent of its size that a set's prefix may lose in keys to a linked one."""
+        return self.span * (100 - self.percent)
+
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -77,9 +96,15 @@ def _shingle_sets(texts: list[str], shingle: int) -> Iterator[np.ndarray]:
                     yield words.mixed(np.sum(h[a:b] * factors[: b - a], keepdims=True) + np.uint64(b - a)) if b > a else h[:0]
 
 
-def _prefix_length(n: int, percent: int) -> int:
-    need = -(-percent * n // 100)  # the least intersection with any linked set
-    return min(n, n - need + min(OVERLAP, need))
+def _prefix_length(n: int, rule: Rule) -> int:
+    return min(n, n * rule.apart // 100 + rule.span - 1 + OVERLAP)
+
+
+def _keys(prefix: np.ndarray, span: int) -> np.ndarray:
+    if span == 1:
+        return prefix
+    with np.errstate(over="ignore"):
+        return words.mixed(prefix[:-1] * np.uint64(0x9E3779B97F4A7C15) + prefix[1:])
 
 
 def _prefix_counts(rule: Rule) -> callable:
@@ -88,7 +113,7 @@ def _prefix_counts(rule: Rule) -> callable:
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (s for part in _sliced([batch]) for s in _shingle_sets(part.column(0).to_pylist(), rule.shingle))
-            fronts = [s[: _prefix_length(len(s), rule.percent) * 5 // 4 + 4].copy() for s in sets]
+            fronts = [s[: _prefix_length(len(s), rule) * 5 // 4 + 4].copy() for s in sets]
             value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *fronts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["hash", "texts"])
 
@@ -108,7 +133,7 @@ def _members(frequent, rule: Rule) -> callable:
                     groups.append(None)
                     prefixes.append(None)
                     continue
-                length = _prefix_length(n, rule.percent)
+                length = _prefix_length(n, rule)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, found), len(late) - 1)
                     is_late = late[at] == found
@@ -117,22 +142,45 @@ def _members(frequent, rule: Rule) -> callable:
                     ordered = found[:length]
                 copies.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
                 groups.append(xxhash.xxh3_64_intdigest(ordered.tobytes(), seed=n) - (1 << 63))
-                prefixes.append(ordered.view(np.int64))
+                prefixes.append(_keys(ordered, rule.span).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(copies, pa.string())]
                 + [pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "n", "copy", "grp", "prefix"],
+                names=["doc_id", "th", "n", "copy", "grp", "keys"],
             )
 
     return mapped
 
 
+def _repeated_keys(bits) -> callable:
+    """The keys of each text that are on the map, with its size and their place as one long."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ends = batch.column(2).flatten().to_numpy(), np.cumsum(batch.column(2).value_lengths().to_numpy())
+            text = np.repeat(np.arange(batch.num_rows), np.diff(ends, prepend=0))
+            place = np.arange(len(keys)) - np.concatenate(([0], ends))[text]
+            on = np.flatnonzero(_are_on(keys.view(np.uint64), bits.value, KEY_BITS))
+            at = (batch.column(1).to_numpy().astype(np.int64)[text[on]] << 32) + place[on]
+            bounds = pa.array(np.searchsorted(text[on], np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(bounds, pa.array(keys[on])), pa.ListArray.from_arrays(bounds, pa.array(at))],
+                names=["grp", "hash", "at"],
+            )
+
+    return mapped
+
+
+def _are_on(hashes: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
+    low = hashes & np.uint64((1 << width) - 1)
+    return ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def _on_map(batches: Iterator[pa.RecordBatch], bits, shingle: int) -> Iterator[np.ndarray]:
     """The sets of the texts whose hash is on the map, copies within the task once."""
     seen = set()
     for batch in _sliced(batches):
-        low = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-        on = ((bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
+        on = _are_on(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits, MAP_BITS)
         for k in np.flatnonzero(on):
             th = batch.column(0)[int(k)].as_py()
             on[k] = th not in seen
@@ -221,16 +269,15 @@ def _can_link(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colum
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
-    """Whether sets that share so many prefix shingles can reach the threshold.
+def _enough(shared: Column, n: Column, m: Column, rule: Rule) -> Column:
+    """Whether sets that share so many keys can reach the threshold, whichever's prefix ends first."""
 
-    Of the set whose prefix ends first, all but what lies behind its prefix is known to be shared or not.
-    """
-    def behind(size: Column) -> Column:
-        need = F.ceil(size * percent / 100)
-        return need - F.least(F.lit(OVERLAP), need)
+    def lost(one: Column, two: Column) -> Column:
+        length = F.least(one, F.floor(one * rule.apart / 100) + rule.span - 1 + OVERLAP)
+        return rule.span * one + (rule.span - 1) * two - length
 
-    return (100 + percent) * (shared + F.greatest(behind(n), behind(m))) >= percent * (n + m)
+    most = shared + rule.span - 1 + F.greatest(lost(n, m), lost(m, n))
+    return (100 + rule.percent) * most >= (2 * rule.span - 1) * rule.percent * (n + m)
 
 
 def _sets(wanted: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
@@ -322,28 +369,27 @@ def _place(at: str) -> Column:
     return F.col(at).bitwiseAND(F.lit((1 << 32) - 1))
 
 
-def _counted(met: DataFrame, percent: int) -> DataFrame:
+def _counted(met: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, linkable, alike) of groups that meet; one row of (a, at, b, b_at) per meeting.
 
-    ``linkable`` pairs meet under enough prefix shingles to be linked, ``alike`` ones under a good part of
-    their prefixes.
+    ``linkable`` pairs meet under enough keys to be linked, ``alike`` ones under a good part of theirs.
     """
     shorter = F.least("n", "m")
     return (
-        met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at"), percent))
+        met.where(_can_link(_size("at"), _place("at"), _size("b_at"), _place("b_at"), rule.percent))
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.min(_size("at")).alias("n"), F.min(_size("b_at")).alias("m"))
         .select(
             "a", "b",
-            _enough(F.col("shared"), F.col("n"), F.col("m"), percent).alias("linkable"),
-            (100 * F.col("shared") >= ALIKE * (shorter * (100 - percent) / 100 + OVERLAP)).alias("alike"),
+            _enough(F.col("shared"), F.col("n"), F.col("m"), rule).alias("linkable"),
+            (100 * F.col("shared") >= ALIKE * (shorter * rule.apart / 100 + OVERLAP)).alias("alike"),
         )
         .where("linkable or alike")
     )
 
 
-def _star_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
-    """Each group with the first group of its shingles in each of ``HUBS`` orders: by weight, and random but fixed ones.
+def _star_pairs(rows: DataFrame, number: int, rule: Rule) -> DataFrame:
+    """Each group with the first group of its keys in each of ``HUBS`` orders: by weight, and random but fixed ones.
 
     A pair whose meetings are spread over several hubs may be missed here; the last round has it.
     """
@@ -356,7 +402,7 @@ def _star_pairs(rows: DataFrame, number: int, percent: int) -> DataFrame:
     hubs = hubs.select("hash", F.array_distinct(F.transform(F.array(*[f"hub{k}" for k in range(HUBS)]), lambda h: h.dropFields("first", "order"))).alias("hubs"))
     met = rows.join(hubs, "hash").select(F.col("grp").alias("a"), "at", "root", "split", F.explode("hubs").alias("hub"))
     met = met.select("a", "at", "root", "split", "hub.b", "hub.b_at", "hub.b_root").where("a != b and (root != b_root or split)")
-    return _counted(met.select("a", "at", "b", "b_at"), percent)
+    return _counted(met.select("a", "at", "b", "b_at"), rule)
 
 
 def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataFrame:
@@ -372,15 +418,16 @@ def _clustered(nodes: DataFrame, stars: DataFrame, of_group: DataFrame) -> DataF
     return nodes.drop("cluster").join(cluster, "grp", "left")
 
 
-def _meeting_enough(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows of groups that hold as many open shingles as any link takes; the others cannot link any more."""
-    need = F.ceil(F.min(_size("at")) * percent / 100)
-    enough = rows.groupBy("grp").agg(F.count("*").alias("open"), F.least(F.lit(OVERLAP), need).alias("need")).where("open >= need")
+def _meeting_enough(rows: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of groups that hold as many open keys as any link takes; the others cannot link any more."""
+    least = F.ceil(F.min(_size("at")) * rule.percent / 100)  # size of the smallest linked set, which takes the fewest
+    need = F.least(F.lit(OVERLAP), least - F.floor(least * rule.apart / 100) - (rule.span - 1))
+    enough = rows.groupBy("grp").agg(F.count("*").alias("open"), need.alias("need")).where("open >= need")
     return rows.join(enough.select("grp"), "grp", "left_semi")
 
 
-def _across_clusters(rows: DataFrame, percent: int) -> DataFrame:
-    """All groups of different components that meet under enough shingles, but for those of one cluster."""
+def _across_clusters(rows: DataFrame, rule: Rule) -> DataFrame:
+    """All groups of different components that meet under enough keys, but for those of one cluster."""
     other = rows.select(
         "hash", F.col("grp").alias("b"), F.col("at").alias("b_at"), F.col("root").alias("b_root"),
         F.col("split").alias("b_split"), F.col("cluster").alias("b_cluster"),
@@ -389,7 +436,7 @@ def _across_clusters(rows: DataFrame, percent: int) -> DataFrame:
         rows.withColumnRenamed("grp", "a").join(other, "hash").where("a < b and (root != b_root or split or b_split)")
         .where("cluster is null or b_cluster is null or cluster != b_cluster")
     )
-    return _counted(met.select("a", "at", "b", "b_at"), percent)
+    return _counted(met.select("a", "at", "b", "b_at"), rule)
 
 
 def _within_groups(nodes: DataFrame, root: DataFrame, last: bool) -> DataFrame:
@@ -420,26 +467,28 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     counted = texts.select("text").mapInArrow(_prefix_counts(rule), "hash bigint, texts bigint")
     frequent = (
         counted.groupBy("hash").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= FREQUENT_FROM)
-        .orderBy(F.desc("texts"), "hash").limit(FREQUENT).select("hash").toPandas()["hash"]
+        .orderBy(F.desc("texts"), "hash").limit(FREQUENT).select("hash").toArrow()["hash"]
     )
-    late = spark.sparkContext.broadcast(np.sort(frequent.to_numpy(dtype=np.int64).view(np.uint64)))
+    late = spark.sparkContext.broadcast(np.sort(frequent.to_numpy().view(np.uint64)))
     members = settle(
-        texts.mapInArrow(_members(late, rule), f"doc_id {id_type}, th bigint, n int, copy string, grp bigint, prefix array<bigint>"),
+        texts.mapInArrow(_members(late, rule), f"doc_id {id_type}, th bigint, n int, copy string, grp bigint, keys array<bigint>"),
         "members",
     )
     nodes = (
         members.where("n > 0").groupBy("grp", "copy").agg(F.min("th").alias("th"))  # any text of the set
     )
-    groups = members.where("n > 0").groupBy("grp").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"))
-    # size and place share one long
-    entries = groups.select("grp", "n", F.posexplode("prefix").alias("i", "hash")).select(
-        "hash", "grp", (F.col("n").cast("long") * (1 << 32) + F.col("i")).alias("at")
-    )
-    # counted with partial sums, so that a shingle which very many groups hold gathers in no task
+    with_keys = members.where("n > 0").select("grp", "n", "keys")
+    # most keys are of one text; only the others, and a few on the same bits, meet their groups
+    again = with_keys.select(F.explode("keys").alias("hash")).groupBy("hash").count().where("count > 1")
+    bits = spark.sparkContext.broadcast(_map_of(again.select("hash"), KEY_BITS))
+    groups = with_keys.mapInArrow(_repeated_keys(bits), "grp bigint, hash array<bigint>, at array<bigint>").where(F.size("hash") > 0)
+    groups = groups.groupBy("grp").agg(F.first(F.arrays_zip("hash", "at")).alias("keys"))
+    entries = groups.select("grp", F.explode("keys").alias("key")).select("key.hash", "grp", "key.at")
+    # counted with partial sums, so that a key which very many groups hold gathers in no task
     held = entries.groupBy("hash").agg(F.count("*").alias("held"), F.min("grp").alias("home")).where("held > 1")
     shared = settle(entries.join(held, "hash"), "shared-prefixes")
     # the least group that a group meets anywhere marks its neighbourhood
-    # and how often its shingles are held shows how central it is: a text that others were edited from comes first
+    # and how often its keys are held shows how central it is: a text that others were edited from comes first
     home = shared.groupBy("grp").agg(F.min("home").alias("home"), (F.sum("held") / F.min(_size("at"))).alias("weight"))
     nodes = settle(nodes.join(home, "grp", "left").withColumn("home", F.coalesce("home", "grp")), "nodes")
     shared = shared.select("hash", "grp", "at")
@@ -459,8 +508,8 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         )
         last = number == ROUNDS
         rows = rows.join(mixed, "hash", "left_semi")
-        rows = settle(_meeting_enough(rows, percent) if last else rows, "open-prefixes")
-        groups = _across_clusters(rows, percent) if last else settle(_star_pairs(rows, number, percent), "group-pairs")
+        rows = settle(_meeting_enough(rows, rule) if last else rows, "open-prefixes")
+        groups = _across_clusters(rows, rule) if last else settle(_star_pairs(rows, number, rule), "group-pairs")
         pairs = settle(_expanded(groups.where("linkable").select("a", "b"), nodes).union(_within_groups(nodes, root, last)).distinct(), "pairs")
         links = pairs if pairs.isEmpty() else _link(pairs, nodes, texts, rule)
         if number == 0:
@@ -484,16 +533,15 @@ def similar(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     )
 
 
-def _map_of(hashes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with the low bits of the ``th`` hashes."""
-    low = F.col("th").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    cells = (
-        hashes.groupBy(F.shiftright(low, 6).alias("cell"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast((th & {(1 << MAP_BITS) - 1}) & 63 as int))")).alias("held"))
-        .toPandas()  # at most 2 ** (MAP_BITS - 6) rows
-    )
-    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
-    out[cells["cell"].to_numpy(dtype=np.int64)] = cells["held"].to_numpy(dtype=np.int64).view(np.uint64)
+def _map_of(hashes: DataFrame, width: int = MAP_BITS) -> np.ndarray:
+    """A bit map of fixed size with the low bits of a column of hashes."""
+    h = F.col(hashes.columns[0])
+    low = h.bitwiseAND(F.lit((1 << width) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int"))
+    cells = hashes.groupBy(F.shiftright(low, 6).alias("cell")).agg(F.bit_or(bit).alias("held"))
+    cells = cells.toArrow()  # at most 2 ** (width - 6) rows
+    out = np.zeros(1 << (width - 6), np.uint64)
+    out[cells["cell"].to_numpy()] = cells["held"].to_numpy().view(np.uint64)
     return out
 
 
