@@ -300,6 +300,23 @@ def test_join_at_another_threshold_and_shingle(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_texts_that_share_shingles_by_chance_do_not_meet(spark, monkeypatch):
+    pick = random.Random(5)
+    texts = [" ".join(pick.choices("abcdefghi", k=120)) for _ in range(300)]  # 6561 shingles: each is in about 5 texts
+    rows = list(enumerate([*texts, texts[0] + " z"]))
+    met, settle = {}, ngram_join.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        met[name] = max(met.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "settle", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar(documents(spark, rows)).collect()}
+    assert got == {i: i % 300 for i in range(301)}
+    assert 0 < met["shared-prefixes"] < 3000  # about 6,300 shingles lie in prefixes, nearly all of them in several
+
+
 def test_one_of_each_keeps_all_columns_and_texts_without_words(spark):
     rows = awkward()
     kept = ngram_join.one_of_each(documents(spark, rows, extra=True))
