@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from serieslake.llm.common import with_columns_of_text
+from serieslake.llm.common import keep, with_columns_of_text
 
 VOCABULARY = "word_bpe_49k.json"
 CACHED = 300_000  # chunks, and words, that each generation of a worker's caches holds at most; there are two
@@ -145,7 +145,8 @@ class Coder(dict):
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    """The coder of a vocabulary file, kept by each worker."""
+    """The coder of a vocabulary file, kept by each worker until a task of another operator begins there."""
+    keep("bpe", coder.cache_clear)
     return Coder(path)
 
 
@@ -165,7 +166,7 @@ def encode(documents: DataFrame, columns: list[str] | None = None, vocabulary: s
         own = coder(vocabulary_path(vocabulary))
         yield [np.frombuffer(own.encode(t), "<u4").astype(np.int32) for t in texts]
 
-    return with_columns_of_text(documents, columns, "ids array<int>", ids)
+    return with_columns_of_text(documents, columns, "ids array<int>", ids, operator="bpe")
 
 
 def digests(documents: DataFrame, columns: list[str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -183,4 +184,4 @@ def digests(documents: DataFrame, columns: list[str] | None = None, vocabulary:
             text_hash.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
         return counts, ids_hash, text_hash
 
-    return with_columns_of_text(documents, columns, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digested)
+    return with_columns_of_text(documents, columns, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digested, operator="bpe")

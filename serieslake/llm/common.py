@@ -12,7 +12,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from serieslake.session import scratch_path, ship
 
+SLICE = 500  # rows of an Arrow batch whose texts are Python objects at once
+
 _settled: list[str] = []
+_kept: dict[str, Callable[[], object]] = {}  # by operator, in each Python worker
+
+
+def keep(operator: str, drop: Callable[[], object]) -> None:
+    """Tell this worker how to drop what tasks of an operator keep for later ones."""
+    _kept[operator] = drop
+
+
+def begin(operator: str = "") -> None:
+    """A task of an operator begins: what tasks of other operators kept in this worker is dropped."""
+    for other in [name for name in _kept if name != operator]:
+        _kept.pop(other)()
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE):
+            yield batch.slice(start, SLICE)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,11 +50,13 @@ def with_columns_of_text(
     extra: str,
     compute: Callable[[list[str]], Iterable],
     text: str = "text",
+    operator: str = "",
 ) -> DataFrame:
     """``columns`` of a table (all by default) and the ``extra`` columns made from its texts.
 
-    ``compute`` gets the whole texts of one Arrow batch and returns one array per extra column.
-    A column of the table with the name of an extra one is replaced.
+    ``compute`` gets the whole texts of ``SLICE`` rows at most and returns one array per extra column.
+    A column of the table with the name of an extra one is replaced. A text that is one of the columns travels once.
+    ``operator`` names who keeps something in the workers (see ``keep``).
     """
     ship(df.sparkSession)
     made = T.StructType.fromDDL(extra)
@@ -42,18 +64,23 @@ def with_columns_of_text(
     kept_fields = [df.select(F.col(f"`{c}`")).schema[0] for c in kept]
     schema = T.StructType(kept_fields + made.fields)
     arrow = to_arrow_schema(schema)
+    own = [F.col(f"`{c}`") for c in kept]
+    if text in kept and isinstance(kept_fields[kept.index(text)].dataType, T.StringType):
+        place = kept.index(text)
+    else:
+        place = len(kept)
+        own.append(text_of(text).alias("__text"))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = compute(batch.column(len(kept)).to_pylist())
+        begin(operator)
+        for batch in sliced(batches):
+            found = compute([t or "" for t in batch.column(place).to_pylist()])
             arrays = list(batch.columns[: len(kept)])
             for value, field in zip(found, list(arrow)[len(kept) :]):
                 arrays.append(value if isinstance(value, pa.Array) else pa.array(value, field.type, from_pandas=False))
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], text_of(text).alias("__text")).mapInArrow(mapped, schema)
+    return df.select(*own).mapInArrow(mapped, schema)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_class: tuple[int, int]) -> DataFrame:

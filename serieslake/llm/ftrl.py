@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+_BLOCK = 1 << 16
+
 
 class Ftrl:
     def __init__(self, size: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3):
@@ -23,4 +25,7 @@ class Ftrl:
         self._n[index] = grown
 
     def all(self) -> np.ndarray:
-        return self.at(slice(None))
+        out = np.empty(len(self._z))
+        for k in range(0, len(out), _BLOCK):
+            out[k : k + _BLOCK] = self.at(slice(k, k + _BLOCK))
+        return out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serieslake.llm import words
-from serieslake.llm.common import labelled_sample, text_of, with_columns_of_text
+from serieslake.llm.common import begin, labelled_sample, text_of, with_columns_of_text
 from serieslake.llm.ftrl import Ftrl
 
 BITS = 18  # weights per sort of n-gram: 2 ** BITS
@@ -74,36 +74,42 @@ def _scores(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
         if not len(found.hash):
             continue
         for index, (low, high) in _ngrams(found):
-            total = np.concatenate(([0.0], np.cumsum(weights[index])))
+            total = np.concatenate(([0.0], np.cumsum(weights[index], dtype=np.float64)))
             margin[first : first + len(run)] += SCALE * (total[high] - total[low]) / np.maximum(high - low, 1)
     return 1.0 / (1.0 + np.exp(-np.clip(margin, -30, 30)))
 
 
 def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follow-the-regularised-leader over the sample, in id order."""
+    begin()
     sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values(["doc_id", "text"])
     rows = []
     for first, run in words.runs(sample["text"].tolist()):
         found = words.Words(run, words.LETTERS_OR_MARKS)
         grams = _ngrams(found) if len(found.hash) else []
         for i in range(len(run)):
-            index, value = [np.zeros(0, np.int64)], [np.zeros(0)]
+            index, count, distinct, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], []
             for all_index, (low, high) in grams:
-                own, count = np.unique(all_index[low[i] : high[i]], return_counts=True)
-                index.append(own)
-                value.append(SCALE * count / max(high[i] - low[i], 1))
-            rows.append((np.concatenate(index), np.concatenate(value)))
+                own, times = np.unique(all_index[low[i] : high[i]], return_counts=True)
+                index.append(own.astype(np.int32))
+                count.append(times.astype(np.int32))
+                distinct.append(len(own))
+                held.append(max(high[i] - low[i], 1))
+            # shares are made from counts at each use, so that an n-gram takes 8 bytes here
+            rows.append((np.concatenate(index), np.concatenate(count), distinct, held))
     size = (SORTS << BITS) + 1
     model = Ftrl(size)
     labels = sample["label"].to_numpy(dtype=float)
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         for k in order.permutation(len(rows)):
-            index, value = rows[k]
+            index, count, distinct, held = rows[k]
+            value = SCALE * count / np.repeat(np.array(held, np.int64), np.array(distinct, np.int64))
             index, value = np.append(index, size - 1), np.append(value, 1.0)
             w = model.at(index)
             p = 1.0 / (1.0 + np.exp(-np.clip(w @ value, -30, 30)))
             model.learn(index, w, (p - labels[k]) * value)
+    del rows
     w = model.all()
     yield pd.DataFrame({"weights": [w.astype(np.float32).tobytes()]})
 
@@ -116,11 +122,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_cla
     """
     sample = labelled_sample(documents, labels.where(~held_out()), label, (per_class, per_class))
     found = sample.mapInPandas(_fit, "weights binary").first()
-    w = np.frombuffer(found[0], np.float32).astype(np.float64) if found else np.zeros((SORTS << BITS) + 1)
+    w = np.frombuffer(found[0], np.float32) if found else np.zeros((SORTS << BITS) + 1, np.float32)
     return w[:-1], float(w[-1])
 
 
-def score(documents: DataFrame, weights: np.ndarray, bias: float, columns: list[str] | None = None) -> DataFrame:
+def score(documents: DataFrame, weights: np.ndarray, bias: float, columns: list[str] | None = None, text: str = "text") -> DataFrame:
     """``columns`` of the documents (all by default) with quality_score and quality_label added."""
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast((weights, bias))  # 2 ** BITS * SORTS weights, whatever the corpus
@@ -129,4 +135,4 @@ def score(documents: DataFrame, weights: np.ndarray, bias: float, columns: list[
         values = _scores(texts, *model.value)
         return values, (values >= 0.5).astype(np.int32)
 
-    return with_columns_of_text(documents, columns, "quality_score double, quality_label int", scored)
+    return with_columns_of_text(documents, columns, "quality_score double, quality_label int", scored, text=text)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from serieslake.llm import words
-from serieslake.llm.common import labelled_sample, with_columns_of_text
+from serieslake.llm.common import begin, labelled_sample, with_columns_of_text
 from serieslake.llm.ftrl import Ftrl
 
 BITS = 20
@@ -123,6 +123,7 @@ def _cut(margins: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def _fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    begin()
     sample = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "label": []}), *frames]).sort_values("doc_id")
     toxic = sample["label"].to_numpy(dtype=np.int64)
     if len(np.unique(toxic)) < 2:

@@ -1,12 +1,14 @@
 """Quality, toxicity and main text."""
 
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 
-from serieslake.llm import html_text, quality, queries, toxicity, words
-from tables import awkward, documents, found
+from serieslake.llm import common, html_text, quality, queries, toxicity, words
+from tables import awkward, documents, found, prose
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -52,6 +54,28 @@ def test_scores_do_not_depend_on_other_texts_of_a_batch():
     assert np.allclose(together, [quality._scores([t], weights, 0.1)[0] for t in texts], atol=1e-12)
 
 
+def test_memory_of_a_fit():
+    texts = [prose(i, 400) for i in range(10)]
+    rows = [(i, texts[i % 10] + f" {i}", i % 2) for i in range(1500)]
+    sample = pd.DataFrame(rows, columns=["doc_id", "text", "label"])
+    words.Words([b""], words.SPACED)  # its tables stay, whatever runs
+    tracemalloc.start()
+    list(quality._fit(iter([sample])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    model = 2 * 8 * (quality.SORTS << quality.BITS)
+    assert peak < 3 * model
+
+
+def test_texts_become_objects_a_slice_at_a_time_and_travel_once(spark):
+    docs = documents(spark, [(i, None if i % 7 == 0 else f"text {i}") for i in range(1300)]).coalesce(1)
+    made = common.with_columns_of_text(docs, None, "beside int, own string", lambda texts: ([len(texts)] * len(texts), texts))
+    rows = made.collect()
+    assert len(rows) == 1300 and all(r["own"] == (r["text"] or "") for r in rows)
+    assert max(r["beside"] for r in rows) <= common.SLICE
+    assert "__text" not in made._jdf.queryExecution().toString()
+
+
 def test_toxicity_on_labels(spark):
     got = {r["doc_id"]: r for r in queries.op4_toxicity(spark, FOLDER).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}

@@ -18,6 +18,12 @@ def test_stages_keep_the_columns_and_survive_awkward_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() == len(awkward())
 
 
+def test_the_classifier_gets_each_text_once(spark):
+    plan = corpus_pipeline.keep_good(spark, documents(spark, awkward(), extra=True), FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("MapInArrow", 1)[1]
+    assert "struct(" not in below and "__text" not in below.splitlines()[0]
+
+
 def test_run_equals_the_stages_in_order(spark, tmp_path):
     want = spark.read.parquet(f"{FOLDER}/documents.parquet")
     sizes = []

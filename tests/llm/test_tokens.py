@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from serieslake.llm import bpe, queries, token_counts, token_files
+from serieslake.llm import bpe, common, queries, token_counts, token_files
 from tables import awkward, documents, found
 
 WORDS = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -52,6 +52,15 @@ def test_cuts_only_between_bytes_that_no_token_joins():
         assert not any(left[-1] + right[0] in token for token in own.token.values())
 
 
+def test_another_operator_drops_what_the_coder_kept():
+    path = bpe.vocabulary_path()
+    own = bpe.coder(path)
+    common.begin("bpe")
+    assert bpe.coder(path) is own  # tasks of one operator share it
+    common.begin()
+    assert bpe.coder(path) is not own
+
+
 def digest(ids):
     return hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
